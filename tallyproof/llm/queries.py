@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licences, mixing
 from .minhash import near_duplicates
+from .store import Store
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,18 +18,70 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.concat_ws(",", F.array_sort(F.array_distinct(F.transform("licences", lambda m: m["licence"]))))
+    best = F.round(F.coalesce(F.array_max(F.transform("licences", lambda m: m["dice"])), F.lit(0.0)), 6)
+    return found.select("doc_id", F.size("licences").cast("bigint").alias("n_matches"), names.alias("licences"), best.alias("best_dice"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Store(spark)
+    sized = store.keep(_read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size")))
+    mixed = mixing.mix(sized, store.keep(mixing.rates(sized)))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op4_license_scan": op4_license_scan,
+    "op6_source_mixing": op6_source_mixing,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _licence_sql() -> str:
+    """The same Dice score by brute force: every segment against every template."""
+    grams = lambda words: f"list_distinct(CASE WHEN len({words}) < 2 THEN {words} ELSE list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]) END)"
+    rows = ", ".join("('{}', [{}])".format(k, ", ".join(f"'{g}'" for g in licences.template_bigrams(v))) for k, v in licences.TEMPLATES.items())
+    return rf"""
+WITH t(licence, b) AS (VALUES {rows}),
+segments AS (SELECT doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '
+\s*
+'), [text]))) AS s FROM documents),
+words AS (SELECT doc_id, s, list_filter(string_split(regexp_replace({_LOWER.replace("text", "s")}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM segments),
+grams AS (SELECT doc_id, s, {grams("w")} AS g FROM words),
+scored AS (SELECT doc_id, s, licence, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM grams JOIN t ON len(g) BETWEEN len(b) / 2 AND 2 * len(b)),
+best AS (SELECT doc_id, s, arg_min(licence, (-dice, licence)) AS licence, max(dice) AS dice FROM scored WHERE dice >= {licences.THRESHOLD} GROUP BY doc_id, s),
+per AS (SELECT doc_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT licence)), ',') AS l, max(dice) AS d FROM best GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_matches, coalesce(l, '') AS licences, round(coalesce(d, 0.0::DOUBLE), 6) AS best_dice FROM documents LEFT JOIN per USING (doc_id)"""
+
+
+_MIX_DRAWS = ", ".join(f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{k}'), {8 * j + 1}, 8))::BIGINT" for k in range(mixing.DRAWS // 4) for j in range(4))
+
 ORACLE_SQL = {
+    "op4_license_scan": _licence_sql(),
+    "op6_source_mixing": rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, [{_MIX_DRAWS}] AS u FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w, (2 * source_size)::DOUBLE AS cap FROM s),
+l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, least(cap, w * max(level) OVER ()) AS target FROM l),
+r AS (SELECT *, floor(CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END)::BIGINT AS base,
+  ((CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END) - floor(CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END)) * 4294967296.0::DOUBLE AS edge FROM t),
+e AS (SELECT r.source, k, abs(any_value(source_size * base - target) + sum(CASE WHEN u[k + 1] < edge THEN size ELSE 0 END)) AS off
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, range({mixing.DRAWS}) AS g(k) GROUP BY r.source, k),
+b AS (SELECT source, arg_min(k, (off, k)) AS draw FROM e GROUP BY source)
+SELECT d.doc_id, d.size, r.source_size, r.target, d.size * (r.base + CASE WHEN u[b.draw + 1] < edge THEN 1 ELSE 0 END) AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN b ON d.source IS NOT DISTINCT FROM b.source""",
     "op1_minhash_near_dedup": rf"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 shingles AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
