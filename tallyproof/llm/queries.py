@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, mixing, secret_scan
+from . import licences, mixing, secret_scan, substrings
 from .minhash import near_duplicates
 from .store import Store
 
@@ -18,6 +18,12 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["stop"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan_licences(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     names = F.concat_ws(",", F.array_sort(F.array_distinct(F.transform("licences", lambda m: m["licence"]))))
@@ -41,6 +47,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_license_scan": op4_license_scan,
     "op6_source_mixing": op6_source_mixing,
     "op7_secret_scan": op7_secret_scan,
