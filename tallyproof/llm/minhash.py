@@ -16,9 +16,9 @@ Steps, all distributed:
    the others are expanded with their right keys (i, j).
 3. Within a table key, members link to its most popular member; links are confirmed on
    full shingle sets; connected components follow. Table keys whose members are already
-   one component are done. Only for pairs in one table key that still lie in different
-   components is each remaining pair confirmed, so no link between components is lost
-   and no group of copies is ever expanded into all its pairs.
+   one component are done. Where a table key still holds different components, the
+   members meet in blocks and their remaining pairs are confirmed there, so no link
+   between components is lost, and only links ever become rows.
 
 Nulls and empties: null or wordless text has an empty set, links with nothing and is its
 own component. Fewer than `size` words: the whole sequence is one shingle. Rows with a
@@ -148,6 +148,65 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.where(100 * common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
 
+#: Members of a left key in one block; a larger key is compared block by block.
+BLOCK = 256
+
+
+def _confirm_in_blocks(rest: DataFrame, reps: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between members of different labels that share a table key.
+
+    rest: (left, node, label). The members of a left key are dealt to blocks by a hash of
+    their id, and every two blocks meet in one group, so a group has a bounded number of
+    rows however large the key is. A pair is compared only where it meets first, under
+    its first shared left key, and if it shares a right key too; only links leave.
+    """
+    sizes = rest.groupBy("left").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rest.join(sizes, "left").withColumn("p", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("gid", F.xxhash64("left", F.least("p", "q"), F.greatest("p", "q"))).select("gid", "left", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "p", "node", "label")
+    rows = dealt.join(reps.select(F.col("doc_id").alias("node"), "lefts", "rights"), "node").join(sets.withColumnRenamed("doc_id", "node"), "node")
+
+    def pairs_of(t: pa.Table):
+        lefts, rights = (np.asarray(t[c].combine_chunks().values).reshape(t.num_rows, -1) for c in ("lefts", "rights"))
+        left, p, lo, hi, node, label = (t[c].to_numpy() for c in ("left", "p", "lo", "hi", "node", "label"))
+        lists = t["shingles"].combine_chunks()
+        starts, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+        flat, starts = flat[starts[0] : starts[-1]], starts - starts[0]
+        flat = np.asarray(flat).view(np.uint64)
+        n = np.diff(starts)
+        first = np.argmax(lefts == left[:, None], 1)  # each row's place of this left key
+        for i in range(t.num_rows):
+            near = (label != label[i]) & (100 * np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i])) & (node > node[i])
+            near &= (p != p[i]) if lo[i] != hi[i] else True
+            near = np.flatnonzero(near)
+            near = near[(rights[near] == rights[i]).any(1)]
+            near = near[np.argmax(lefts[near] == lefts[i], 1) == first[i]]
+            if not len(near):
+                continue
+            mine = flat[starts[i] : starts[i + 1]]
+            theirs = np.concatenate([flat[starts[j] : starts[j + 1]] for j in near])
+            hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+            common = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(n[near])[:-1]]))
+            for j in near[100 * common >= threshold * (n[i] + n[near] - common)]:
+                yield int(node[i]), int(node[j])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            gid = held["gid"].to_numpy()
+            cut = np.flatnonzero(gid[1:] != gid[:-1]) + 1
+            out = [x for s, e in zip([0, *cut[:-1]], cut) for x in pairs_of(held.slice(s, e - s))] if len(cut) else []
+            held = held.slice(cut[-1]) if len(cut) else held
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        if held is not None:
+            out = list(pairs_of(held))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 85, collections: int = COLLECTIONS, group: int = GROUP) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept. See the module's text.
 
@@ -160,12 +219,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 85, collect
     full = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     ids = store.keep(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     # A representative's keys come from its own row, so only 16 bytes a set pass the aggregation.
-    reps = full.join(ids.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
-    lefts = reps.select("doc_id", F.posexplode("lefts").alias("i", "key")).select("doc_id", "key")
-    lefts_shared = lefts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    live = lefts.join(lefts_shared, "key")
+    reps = store.keep(full.join(ids.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"]))
+    lefts = reps.select("doc_id", F.explode("lefts").alias("left"))
+    lefts_shared = lefts.groupBy("left").agg(F.count("*").alias("n")).where("n > 1").select("left")
+    live = lefts.join(lefts_shared, "left")
     rights = reps.select("doc_id", "n_shingles", "rights")
-    tables = live.join(rights, "doc_id").select(F.col("doc_id").alias("node"), "n_shingles", "key", F.posexplode("rights").alias("j", "other")).select("node", "n_shingles", F.xxhash64("key", "j", "other").alias("key"))
+    tables = live.join(rights, "doc_id").select(F.col("doc_id").alias("node"), "n_shingles", "left", F.explode("rights").alias("right")).select("node", "n_shingles", "left", F.xxhash64("left", "right").alias("key"))
     tables = store.keep(tables)
     shared = tables.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key", "n")
     tables = store.keep(tables.join(shared, "key"))
@@ -177,17 +236,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 85, collect
     centres = tables.join(popular, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"), F.col("n_shingles").alias("nc"))).alias("c")).select("key", (-F.col("c.node")).alias("centre"), F.col("c.nc").alias("nc"))
     near = F.expr(f"100 * least(n_shingles, nc) >= {threshold} * greatest(n_shingles, nc)")
     first = tables.join(centres, "key").where("node <> centre").where(near).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    tested = store.keep(first)
-    edges = store.keep(_confirm(tested, sets, threshold))
+    edges = store.keep(_confirm(first, sets, threshold))
     labels = store.keep(components(edges, store))
 
-    # Table keys that still hold members of different components: every such pair, once.
-    marked = tables.join(labels, "node", "left").select("key", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
+    # Table keys that still hold members of different components: the rest of their pairs, in blocks.
+    marked = tables.join(labels, "node", "left").select("key", "left", "node", F.coalesce("label", "node").alias("label"))
     split = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    marked = store.keep(marked.join(split, "key", "left_semi"))
-    other = marked.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("nc"), F.col("label").alias("other"))
-    rest = marked.join(other, "key").where("node < b AND label <> other").where(near).select(F.col("node").alias("a"), "b").distinct()
-    more = store.keep(_confirm(rest.join(tested, ["a", "b"], "left_anti"), sets, threshold))
+    rest = store.keep(marked.join(split, "key", "left_semi").select("left", "node", "label").distinct())
+    more = store.keep(_confirm_in_blocks(rest, reps, sets, threshold))
     if not more.isEmpty():
         labels = store.keep(components(edges.union(more), store))
 
