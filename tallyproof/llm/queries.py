@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, mixing, secret_scan, substrings, toxicity
+from . import licences, mixing, quality, secret_scan, substrings, toxicity
 from .minhash import near_duplicates
 from .sampling import split_of
 from .store import Store
@@ -42,6 +42,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("licences").cast("bigint").alias("n_matches"), names.alias("licences"), best.alias("best_dice"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_on_tables(docs, _read(spark, sf_dir, "labels"))
+    return _judged(quality.score(docs, model), 3, 1, quality.THRESHOLD)
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Store(spark)
     sized = store.keep(_read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size")))
@@ -61,6 +67,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_license_scan": op4_license_scan,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_source_mixing": op6_source_mixing,
     "op7_secret_scan": op7_secret_scan,
 }
