@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, mixing, quality, secret_scan, substrings, toxicity
+from . import langid, licences, mixing, quality, secret_scan, substrings, toxicity
 from .minhash import near_duplicates
 from .sampling import split_of
 from .store import Store
@@ -62,6 +62,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secret_scan.labels("base"), 256).alias("base_sha256"), secret_scan.labels("spans").alias("spans"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs, langid.fit(docs.where(split_of("doc_id", 4) != 2)))
+    return found.select("doc_id", (split_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -70,6 +76,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_source_mixing": op6_source_mixing,
     "op7_secret_scan": op7_secret_scan,
+    "op10_language_id": op10_language_id,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
