@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licences, mixing, quality, secret_scan, substrings, toxicity
+from . import decontam, langid, licences, mixing, quality, secret_scan, substrings, topk, toxicity
 from .minhash import near_duplicates
 from .sampling import split_of
 from .store import Store
@@ -62,6 +62,16 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secret_scan.labels("base"), 256).alias("base_sha256"), secret_scan.labels("spans").alias("spans"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(_read(spark, sf_dir, "embeddings"))
+    return topk.exact_top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("score", 6).alias("score"), "first_word", "end_word")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.predict(docs, langid.fit(docs.where(split_of("doc_id", 4) != 2)))
@@ -76,6 +86,8 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_source_mixing": op6_source_mixing,
     "op7_secret_scan": op7_secret_scan,
+    "op8_exact_top_k": op8_exact_top_k,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_language_id": op10_language_id,
 }
 
@@ -103,6 +115,12 @@ SELECT doc_id, coalesce(n, 0) AS n_matches, coalesce(l, '') AS licences, round(c
 _MIX_DRAWS = ", ".join(f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{k}'), {8 * j + 1}, 8))::BIGINT" for k in range(mixing.DRAWS // 4) for j in range(4))
 
 ORACLE_SQL = {
+    "op8_exact_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op4_license_scan": _licence_sql(),
     "op6_source_mixing": rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, [{_MIX_DRAWS}] AS u FROM documents),
