@@ -1,23 +1,64 @@
-"""The training-data pipeline: documents in, a weighted mix of clean documents out."""
+"""The training-data pipeline: documents in, a weighted mix of clean documents out.
+
+Each stage works on all that its predecessor kept and acts on its decisions. Rows keep all
+their columns; the last stage adds `copy_no` (1 up to the times a document is taken).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyproof.llm import decontam, mixing, quality, secret_scan
 from tallyproof.llm.minhash import near_duplicates
 from tallyproof.llm.store import Store
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it is fitted on this stage's rows and their labels."""
+    model = quality.fit_on_tables(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, model)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
+    """One document of each group of near copies stays: the one with the smallest doc_id.
+
+    Of rows that share a doc_id one stays; rows with a null doc_id are in no group and stay.
+    """
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
+    rows = docs.join(kept, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), "doc_id")
+    rows = rows.select("row", one.alias("n")).where("n = 1").select("row.*")
+    return rows.union(docs.where("doc_id IS NULL").select(rows.columns))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, copied or edited, go."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in its text are replaced by a mark and n_chars counted anew."""
+    return secret_scan.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's rate and its draw say, as rows numbered by copy_no."""
+    sized = Store(spark).keep(docs.select("doc_id", "source", mixing.word_count().alias("size")))
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "copy_no"]).alias("row"), "doc_id", "source", F.lit(0).cast("bigint").alias("size"))
+    taken = mixing.mix(rows, mixing.rates(sized)).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no")).select("row.*", "copy_no")
 
 
-STAGES = [("near_dedup", drop_near_copies)]
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("minhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", drop_leaks),
+    ("secret_scans", redact_secrets),
+    ("source_mixing", mix_sources),
+]
 
-#: Not expressible in SQL (trained classifiers, alignment); tests compare with brute force.
+#: Not expressible in SQL (a trained classifier, alignment); tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -145,23 +145,21 @@ def _align(index: Index, words: np.ndarray, bounds: np.ndarray, share: float, su
     return [(d, i, *v) for (d, i), v in found.items()]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, sure: int = SURE, rare: float = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, item_id, score (share of the item's length), first_word, end_word of every leak."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+def _indexes(docs: DataFrame, benchmark: DataFrame, rare: float, block_words: int):
+    """(item ids, Index with its rare seeds) of each block of the benchmark."""
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     total = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_words))
-    out = []
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").toArrow()  # some block_words words
-        ids = part["item_id"].to_numpy()
-        words = [w[bounds[i] : bounds[i + 1]] for a, e, w, bounds in _word_blocks(part["text"]) for i in range(e - a)]
-        out.append(_one_block(docs, ids, Index(words), share, sure, rare))
-    found = reduce(DataFrame.union, out)
-    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "first_word", "end_word")).alias("m")).select("doc_id", "item_id", "m.score", "m.first_word", "m.end_word")
+        index = Index([w[bounds[i] : bounds[i + 1]] for a, e, w, bounds in _word_blocks(part["text"]) for i in range(e - a)])
+        _count_seeds(docs, index, rare)
+        yield part["item_id"].to_numpy(), index
 
 
-def _one_block(docs: DataFrame, ids: np.ndarray, index: Index, share: float, sure: int, rare: float) -> DataFrame:
+def _count_seeds(docs: DataFrame, index: Index, rare: float) -> None:
+    """Document counts of the index's seeds over all docs; it keeps the rare ones."""
+
     def count(batches):
         df, n = np.zeros(len(index.seeds), np.int64), 0
         for b in batches:
@@ -181,14 +179,42 @@ def _one_block(docs: DataFrame, ids: np.ndarray, index: Index, share: float, sur
             df[seed] = n
     index.keep_rare(df, max(1.0, rare * total))
 
-    def align(batches):
-        for b in batches:
-            rows = [(a, *x) for a, _, words, bounds in _word_blocks(b.column(1)) for x in _align(index, words, bounds, share, sure)]
-            at = pa.array([r[0] + r[1] for r in rows], pa.int64())
-            item = np.array([r[2] for r in rows], np.int64)
-            size = np.array([len(index.items[i]) for i in item], float)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), pa.array(ids[item].astype(np.int64)), pa.array(np.array([r[3] for r in rows], float) / size), *(pa.array([r[c] for r in rows], pa.int64()) for c in (4, 5))], ["doc_id", "item_id", "score", "first_word", "end_word"]
-            )
-
-    return docs.mapInArrow(align, "doc_id bigint, item_id bigint, score double, first_word bigint, end_word bigint")
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, sure: int = SURE, rare: float = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, item_id, score (share of the item's length), first_word, end_word of every leak."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+    def aligner(ids, index):
+        def align(batches):
+            for b in batches:
+                rows = [(a, *x) for a, _, words, bounds in _word_blocks(b.column(1)) for x in _align(index, words, bounds, share, sure)]
+                at = pa.array([r[0] + r[1] for r in rows], pa.int64())
+                item = np.array([r[2] for r in rows], np.int64)
+                size = np.array([len(index.items[i]) for i in item], float)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(at), pa.array(ids[item].astype(np.int64)), pa.array(np.array([r[3] for r in rows], float) / size), *(pa.array([r[c] for r in rows], pa.int64()) for c in (4, 5))],
+                    ["doc_id", "item_id", "score", "first_word", "end_word"],
+                )
+
+        return align
+
+    out = [docs.mapInArrow(aligner(ids, index), "doc_id bigint, item_id bigint, score double, first_word bigint, end_word bigint") for ids, index in _indexes(docs, benchmark, rare, block_words)]
+    found = reduce(DataFrame.union, out)
+    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "first_word", "end_word")).alias("m")).select("doc_id", "item_id", "m.score", "m.first_word", "m.end_word")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, sure: int = SURE, rare: float = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs that leak no item, with all their columns; decided row by row, without a join."""
+    at = docs.columns.index("text")
+
+    def cleaner(index):
+        def clean(batches):
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                for a, _, words, bounds in _word_blocks(b.column(at)):
+                    keep[[a + x[0] for x in _align(index, words, bounds, share, sure)]] = False
+                yield b.filter(pa.array(keep))
+
+        return clean
+
+    return reduce(lambda d, x: d.mapInArrow(cleaner(x[1]), docs.schema), _indexes(docs, benchmark, rare, block_words), docs)

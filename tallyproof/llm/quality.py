@@ -202,6 +202,17 @@ def score(docs: DataFrame, model, name: str = "score") -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, f"doc_id bigint, {name} double")
 
 
+def keep_good(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose whole text scores at least the threshold, with all their columns."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(model.score(b.column(at)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit_on_tables(docs: DataFrame, labels: DataFrame, size: int = SAMPLE):
     """The classifier from a documents and a labels table, by the split that may be learned from."""
     may = split_of("doc_id", 3) != 1

@@ -28,6 +28,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,15 +185,42 @@ def find_secrets(docs: DataFrame, extra: list[str] | None = None, rate: float =
     return found.select("doc_id", *(extra or []), F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("spans"))
 
 
-def redact(text: str, spans: str, mark: str = "[SECRET]"):
-    """Column: text with each span (merged where they overlap) replaced by `mark`."""
-    name = f"`{text}`"
-    # Walk the spans in order; `at` is how far the text has been copied.
-    return F.expr(f"""reduce(`{spans}`, named_struct('out', '', 'at', 0),
-      (acc, s) -> named_struct(
-        'out', IF(s.start >= acc.at, concat(acc.out, substring({name}, acc.at + 1, s.start - acc.at), '{mark}'), acc.out),
-        'at', greatest(acc.at, s.stop)),
-      acc -> concat(acc.out, substring({name}, acc.at + 1)))""")
+def redact(docs: DataFrame, rate: float = RATE, mark: str = "[SECRET]") -> DataFrame:
+    """docs with each span (merged where they overlap) of its texts replaced by `mark`.
+
+    All columns pass; an `n_chars` column counts the new text. Texts without a span stay as
+    they are, null ones too. Two scans: candidates' p-values for the thresholds, then the
+    replacement, so no text is shuffled or written in between.
+    """
+    least = thresholds(find_candidates(docs.select("doc_id", "text")), rate)
+    at = docs.columns.index("text")
+    size_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches):
+        for b in batches:
+            texts, changed = b.column(at), {}
+            for a, _, data, offs in text_blocks(texts):
+                for i in _suspects(data, offs):
+                    text = data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace")
+                    base, more = scan(text)
+                    spans = sorted([(s, e) for s, e, _ in base] + [(s, e) for s, e, g, p in more if p >= least.get(g, 1.0)])
+                    out, done = [], 0
+                    for s, e in spans:
+                        if s >= done:
+                            out += [text[done:s], mark]
+                        done = max(done, e)
+                    if spans:
+                        changed[a + int(i)] = "".join([*out, text[done:]])
+            if changed:
+                rows = pa.array([i in changed for i in range(b.num_rows)])
+                new = [changed[i] for i in sorted(changed)]
+                b = b.set_column(at, b.schema.field(at), pa.compute.replace_with_mask(texts, rows, pa.array(new, texts.type)))
+                if size_at is not None:
+                    old = b.column(size_at)
+                    b = b.set_column(size_at, b.schema.field(size_at), pa.compute.replace_with_mask(old, rows, pa.array([len(t) for t in new], old.type)))
+            yield b
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def labels(spans: str, kinds: tuple[str, ...] = KINDS):
