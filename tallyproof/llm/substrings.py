@@ -31,6 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,9 +99,16 @@ def _batches(columns: dict[str, np.ndarray], rows: int = 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(v[i : i + rows]) for v in columns.values()], list(columns))
 
 
+#: A removed interval is a row too: from lo to run, with the document in place of the gram.
 _ROW = "gram bigint, run bigint, doc bigint, lo bigint, shape int, removed boolean"
 
 
+def _removed(doc, lo, shape, length: int):
+    """Rows of the removed intervals, merged within what one task has seen."""
+    d, start, stop = _merge(doc, lo, lo + (shape & 255) + length - 1)
+    yield from _batches({"gram": d, "run": stop.astype(np.int64), "doc": d, "lo": start, "shape": np.zeros(len(d), np.int32), "removed": np.ones(len(d), bool)})
+
+
 def _doc_ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(_LEAST).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -117,20 +125,20 @@ def anchor_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
         if parts:
             g, r, d, lo, shape = (np.concatenate(c) for c in zip(*parts))
             order, head, later = _later(g, r, d, lo)
-            keep = head | later  # a repeated row's second copy of the same place says nothing new
-            o = order[keep]
-            yield from _batches({"gram": g[o], "run": r[o], "doc": d[o], "lo": lo[o], "shape": shape[o], "removed": later[keep]})
+            o = order[head]  # a repeated row's second copy of the same place says nothing new
+            yield from _batches({"gram": g[o], "run": r[o], "doc": d[o], "lo": lo[o], "shape": shape[o], "removed": np.zeros(len(o), bool)})
+            yield from _removed(d[order[later]], lo[order[later]], shape[order[later]], length)
 
     return docs.select("doc_id", "text").mapInArrow(run, _ROW)
 
 
-def _by_gram(batches):
-    """Of whole grams: removed runs pass on; the first of each run goes on if its gram has others."""
+def _by_gram(batches, length: int):
+    """Of whole grams: intervals pass on; the first of each run goes on if its gram has others."""
     parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(6)] for b in batches if b.num_rows]
     if not parts:
         return
     g, r, d, lo, shape, removed = (np.concatenate(c) for c in zip(*parts))
-    done = np.flatnonzero(removed)
+    yield from _batches({"gram": g[removed], "run": r[removed], "doc": d[removed], "lo": lo[removed], "shape": shape[removed], "removed": removed[removed]})
     live = np.flatnonzero(~removed)
     order, head, later = _later(g[live], r[live], d[live], lo[live])
     o = live[order]
@@ -138,10 +146,8 @@ def _by_gram(batches):
     group = np.cumsum(gram_head) - 1
     runs = np.bincount(group, weights=head) if len(o) else np.zeros(0)
     more = o[head & (runs[group] > 1)] if len(o) else o
-    out = np.concatenate([done, o[later], more])
-    flag = np.zeros(len(out), bool)
-    flag[: len(out) - len(more)] = True
-    yield from _batches({"gram": g[out], "run": r[out], "doc": d[out], "lo": lo[out], "shape": shape[out], "removed": flag})
+    yield from _batches({"gram": g[more], "run": r[more], "doc": d[more], "lo": lo[more], "shape": shape[more], "removed": np.zeros(len(more), bool)})
+    yield from _removed(d[o[later]], lo[o[later]], shape[o[later]], length)
 
 
 def common_extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -260,7 +266,7 @@ _CONTEXT = "gram bigint, doc bigint, lo bigint, shape int, context binary"
 
 def removed_intervals(docs: DataFrame, store: Store, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, start, stop): byte intervals to remove, not yet merged across rows; doc: doc_id, null as the least bigint."""
-    rows = store.keep(anchor_rows(docs, length, gram).repartition("gram").mapInArrow(_by_gram, _ROW))
+    rows = store.keep(anchor_rows(docs, length, gram).repartition("gram").mapInArrow(lambda batches: _by_gram(batches, length), _ROW))
     open_runs = rows.where("NOT removed").groupBy("doc").agg(F.collect_list(F.struct("gram", "lo", "shape")).alias("runs"))
     keyed = docs.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("doc"), "text")
 
@@ -306,7 +312,7 @@ def removed_intervals(docs: DataFrame, store: Store, length: int = LENGTH, gram:
 
     context = keyed.join(open_runs, "doc").mapInArrow(contexts, _CONTEXT)
     sorted_out = context.repartition("gram").sortWithinPartitions("gram").mapInArrow(sort_windows, "doc bigint, start bigint, stop bigint")
-    known = rows.where("removed").select("doc", F.col("lo").alias("start"), (F.col("lo") + F.expr("shape & 255") + (length - 1)).alias("stop"))
+    known = rows.where("removed").select("doc", F.col("lo").alias("start"), F.col("run").alias("stop"))
     return known.union(sorted_out)
 
 
