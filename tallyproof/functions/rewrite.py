@@ -97,7 +97,7 @@ def best_label(question: Column, labels: Column) -> Column:
 def difference_operands(question: Column, labels: Column) -> Column:
     """array<struct<label, scope>>: what "the difference of X and Y" names, each once."""
     whole = question_scope(question)
-    parts = F.filter(F.transform(F.split(F.coalesce(question, F.lit("")), "以及|与|及|和|、|,|，"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(question, F.lit("")), "以及|与|及|和|、|,|，"), lambda x: F.trim(x)), lambda s: s != "")
     own = lambda s: F.when(s.rlike("口径|报表|本部"), question_scope(s)).otherwise(whole)
     each = F.transform(parts, lambda s: F.struct(best_label(s, labels).alias("label"), own(s).alias("scope")))
     return F.array_distinct(F.filter(each, lambda o: o["label"].isNotNull()))
