@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 8192
-DEPTHS = (1, 8, 32, 128, 512, 2048)
+DEPTHS = (8, 32, 128, 512, 2048)
 
 
 def integer_vectors(table: DataFrame, scale: int = 64, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -41,8 +41,19 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _best(scores: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    o = np.lexsort((rows, -scores))[:k]
+    return rows[o], scores[o]
+
+
 def threshold_top_k(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int):
-    """For each query the block's best k rows, as (query index, row index, score); ids ascend."""
+    """For each query the block's best k rows, as (query index, row indexes, scores); ids ascend.
+
+    Depths are read in rounds. After a round a query whose bound is below its kth score is
+    finished. One whose bound at the next depth still exceeds even its best score has no
+    use for another short round: it reads its lists to the end, together with all such
+    queries, so their remaining rows are scored by one matrix product.
+    """
     n, d = v.shape
     exact = float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * d < 2**53
     v, q = (v.astype(float), q.astype(float)) if exact else (v, q)  # doubles hold these integers exactly
@@ -50,31 +61,42 @@ def threshold_top_k(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np
     depths = [t for t in DEPTHS if t < n] + [n]
     at = np.array(depths) - 1
     ranked = np.take_along_axis(v, order, 0)
-    low, high = ranked[at], ranked[n - 1 - at]  # components at each depth, from the bottom and from the top
-    bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+    bound = np.maximum(q, 0) @ ranked[n - 1 - at].T + np.minimum(q, 0) @ ranked[at].T  # by depth
+    down_lists, up_lists = np.ascontiguousarray(order.T), np.ascontiguousarray(order[::-1].T)
+    own = [np.flatnonzero(ids == x) for x in query_ids]
+    to_end = []
     for i in range(len(q)):
         up, down = np.flatnonzero(q[i] > 0), np.flatnonzero(q[i] < 0)
         seen, rows, scores, done = np.zeros(n, bool), np.zeros(0, np.int64), np.zeros(0, v.dtype), 0
-        own = np.flatnonzero(ids == query_ids[i])
-        for j, t in enumerate(depths):
+        seen[own[i]] = True
+        for j, t in enumerate(depths[:-1]):
             met = np.zeros(n, bool)
-            met[order[n - t : n - done, up].ravel()] = True
-            met[order[done:t, down].ravel()] = True
-            if t == n:
-                met[:] = True  # a query without weights meets nothing in the lists
-            met[own] = False
-            met &= ~seen
+            met[up_lists[up, done:t]] = True
+            met[down_lists[down, done:t]] = True
+            new = np.flatnonzero(met & ~seen)
             seen |= met
             done = t
-            new = np.flatnonzero(met)
-            rows, scores = np.concatenate([rows, new]), np.concatenate([scores, v[new] @ q[i]])
-            if len(rows) > k:
-                best = np.lexsort((rows, -scores))[:k]
-                rows, scores = rows[best], scores[best]
-            if len(rows) == k and bound[i, j] < scores[-1] and t < n:
+            rows, scores = _best(np.concatenate([scores, v[new] @ q[i]]), np.concatenate([rows, new]), k)
+            if len(rows) == k and bound[i, j] < scores[-1]:
+                yield i, rows, scores
+                break
+            if not len(rows) or bound[i, j + 1] > scores[0]:
+                to_end.append(i)
                 break
-        o = np.lexsort((rows, -scores))
-        yield i, rows[o], scores[o]
+        else:
+            to_end.append(i)
+    for x in range(0, len(to_end), 128):
+        part = to_end[x : x + 128]
+        s = q[part] @ v.T
+        keep = np.ones(s.shape, bool)
+        for r, i in enumerate(part):
+            keep[r, own[i]] = False
+        if s.dtype == float and n > k + 1:
+            least = np.partition(np.where(keep, s, -np.inf), n - k, axis=1)[:, n - k]
+            keep &= s >= least[:, None]
+        for r, i in enumerate(part):
+            rows = np.flatnonzero(keep[r])
+            yield i, *_best(s[r, rows], rows, k)
 
 
 def exact_top_k(vectors: DataFrame, is_query, k: int = 20, block: int = BLOCK) -> DataFrame:
@@ -92,7 +114,7 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 20, block: int = BLOCK) -
             if not q.num_rows or not c.num_rows:
                 return
             ids, query_ids = c["vec_id"].to_numpy(), q["vec_id"].to_numpy()
-            found = list(threshold_top_k(ids, _matrix(c["v"], width), query_ids, _matrix(q["v"], width), k))
+            found = sorted(threshold_top_k(ids, _matrix(c["v"], width), query_ids, _matrix(q["v"], width), k), key=lambda f: f[0])
             n = [len(r) for _, r, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(query_ids, n)), pa.array(ids[np.concatenate([r for _, r, _ in found])]), pa.array(np.concatenate([s for _, _, s in found]).astype(np.int64))], ["query_id", "vec_id", "score"]
