@@ -34,10 +34,10 @@ def fold_width(c: Column | str) -> Column:
     return F.translate(_col(c), *_single_forms())
 
 
-@F.pandas_udf("string")
-def nfkc(s):  # type: ignore[no-untyped-def]
+def nfkc(c: Column | str) -> Column:
     """Exact NFKC, also for forms of several code points; an Arrow function, so off the default path."""
-    return s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
+    exact = F.pandas_udf(lambda s: s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x)), "string")
+    return exact(_col(c))
 
 
 def normalize_text(c: Column | str, exact: bool = False) -> Column:
