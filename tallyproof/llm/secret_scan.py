@@ -1,19 +1,22 @@
 r"""Secrets in texts: fixed patterns, and a battery of randomness tests for unnamed keys.
 
 Patterns (kinds assign, access, hex) find what looks like a secret by its form. Beyond
-them, every token of 20 or more of [A-Za-z0-9+/_=-] with a digit is a candidate:
+them, every token of 20 or more of [A-Za-z0-9+/_=-] with a
+digit and a letter is a candidate:
 
 * its encoding is inferred from the characters (hex, base32, base36, base62, base64);
-* three tests ask if it could be uniform random text of that alphabet: chi-squared
-  uniformity of the symbols (exact mean and variance of the statistic for its length),
-  Wald-Wolfowitz runs of the lower and upper half, and serial correlation at lag 1;
-  Fisher's method combines the three p-values;
+* tests ask if it could be uniform random text of that alphabet: chi-squared uniformity of
+  the symbols (exact mean and variance of the statistic for its length) and of the shares
+  of digits, vowels and consonants; Wald-Wolfowitz runs of the alphabet's lower and upper
+  half, and runs of one class; serial correlation at lag 1. Fisher's method combines the
+  p-values;
 * false discoveries are held per stratum of encoding and length, since a short token gives
-  weak evidence: p-values of random tokens are uniform, those of ordinary text pile up near
-  0. With R(t) tokens at p >= t and random ones estimated from the upper half
-  (2 R(1/2) (1 - t), Storey's estimate), the least t with
-  R(t) - 2 R(1/2) (1 - t) <= q R(t) is the stratum's threshold. The p-values of the whole
-  corpus enter as counts in BINS bins, summed in Spark: a table of fixed size.
+  weak evidence. Ordinary tokens (words, numbers and separators in that encoding's
+  characters, NULLS made for each stratum) show which p-values text without secrets has:
+  S(t), the share at or above t. With n tokens of the corpus in the stratum and R(t) of them
+  at p >= t, the least t with n S(t) <= q R(t) is the threshold; without one, nothing of the
+  stratum is taken. The p-values of the whole corpus enter as counts in BINS bins, summed in
+  Spark: a table of fixed size.
 
 Tokens at or above their threshold that overlap no pattern's span become spans of kind
 "random". Texts are scanned once, as bytes with numpy; only texts with a keyword, a long
@@ -24,7 +27,9 @@ empty table gives no rows; repeated rows are scanned alike; other columns are no
 from __future__ import annotations
 
 import math
+import random
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +50,7 @@ _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 MIN_TOKEN = 20
 RATE = 0.05
 BINS = 200
+NULLS = 400
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 
 
@@ -69,6 +75,15 @@ ENCODINGS = (
     ("base64", _UPPERS + _LOWERS + _DIGITS + "+/"),
     ("base64url", _UPPERS + _LOWERS + _DIGITS + "-_"),
 )
+
+
+def _class(ch: str) -> int:
+    """Digit, vowel or consonant of either case, or sign."""
+    return 0 if ch in _DIGITS else (1 if ch in "aeiou" else 2) if ch in _LOWERS else (3 if ch in "AEIOU" else 4) if ch in _UPPERS else 5
+
+
+#: What share of an encoding's alphabet each class has.
+_SHARES = {name: np.bincount([_class(c) for c in alphabet], minlength=6) / len(alphabet) for name, alphabet in ENCODINGS}
 _INDEX = {name: {c: i for i, c in enumerate(alphabet)} for name, alphabet in ENCODINGS}
 
 
@@ -80,7 +95,7 @@ def randomness(token: str) -> tuple[str, float] | None:
     """(stratum, combined p-value that the token is uniform random); None without an encoding."""
     body = token.rstrip("=")
     name = next((n for n, x in _INDEX.items() if all(c in x for c in body)), None)
-    if name is None or len(body) < MIN_TOKEN:
+    if name is None or len(body) < MIN_TOKEN or not any(c.isalpha() for c in body):
         return None
     x = np.array([_INDEX[name][c] for c in body])
     n, k = len(x), len(_INDEX[name])
@@ -99,9 +114,19 @@ def randomness(token: str) -> tuple[str, float] | None:
     c = x - x.mean()
     r = float((c[1:] * c[:-1]).sum() / max(float((c * c).sum()), 1e-9))
     p3 = 2 * _upper(abs(r + 1 / n) * math.sqrt(n))
-    half = -sum(math.log(max(p, 1e-12)) for p in (p1, p2, p3))
+    kind = np.array([_class(ch) for ch in body])
+    share = _SHARES[name]
+    seen = np.bincount(kind, minlength=len(share))
+    used = share > 0
+    chi = float(((seen - n * share)[used] ** 2 / (n * share[used])).sum())
+    df = int(used.sum()) - 1
+    p4 = _upper(((chi / df) ** (1 / 3) - 1 + 2 / (9 * df)) / math.sqrt(2 / (9 * df)))  # Wilson-Hilferty
+    same, q = int((kind[1:] == kind[:-1]).sum()), float((share**2).sum())
+    p5 = 2 * _upper(abs(same - (n - 1) * q) / math.sqrt((n - 1) * q * (1 - q)))
+    tests = (p1, p2, p3, p4, p5)
+    half = -sum(math.log(min(max(p, 1e-12), 1.0)) for p in tests)
     band = min(n.bit_length(), 8)
-    return f"{name}/{band}", min(1.0, math.exp(-half) * (1 + half + half * half / 2))
+    return f"{name}/{band}", min(1.0, math.exp(-half) * sum(half**i / math.factorial(i) for i in range(len(tests))))
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str, float]]]:
@@ -157,6 +182,44 @@ def find_candidates(docs: DataFrame, extra: list[str] | None = None) -> DataFram
     return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + f", found {_SPAN}")
 
 
+# Common words, of which ordinary long tokens are made.
+_COMMON = (
+    "the and for that with this from have not are was you they which will would there their what about more when can time people year work first after good new over think also back "
+    "use two how our way even want because any these give day most file index page data user name test report image main list item system public release version value number group table "
+    "order state story house world point water money month right study book word side kind head business service friend father power hour game line end member law car city community"
+).split()
+
+
+def _ordinary(name: str, length: int, rng: random.Random) -> str:
+    """A token of ordinary text in an encoding's characters."""
+    if name in ("hex", "HEX"):
+        run = "".join(rng.choice(_DIGITS) if rng.random() < 0.85 else rng.choice("abcdef") for _ in range(length))
+        return run.upper() if name == "HEX" else run
+    joiner = {"base64": "/", "base64url": "-"}.get(name, "")
+    out = ""
+    while len(out) < length:
+        word = rng.choice(_COMMON) if rng.random() < 0.8 else str(rng.randrange(1990, 2030) if rng.random() < 0.5 else rng.randrange(100))
+        word = word.upper() if name in ("base32", "BASE36") else word.capitalize() if name == "base62" else word
+        out += (joiner if out else "") + word
+    out = out[:length]
+    return "".join(c if c in _INDEX[name] else "2" for c in out)
+
+
+@lru_cache(maxsize=None)
+def _survival(stratum: str) -> np.ndarray:
+    """S at the bins' lower edges, from NULLS ordinary tokens of the stratum; never quite 0."""
+    name, band = stratum.split("/")
+    rng = random.Random(stratum)
+    least, most = max(MIN_TOKEN, 1 << (int(band) - 1)), (1 << int(band)) - 1 if int(band) < 8 else 300
+    found = []
+    while len(found) < NULLS:
+        token = _ordinary(name, rng.randint(least, most), rng)
+        got = randomness(token if any(c.isalpha() for c in token) else "a" + token[1:])
+        found.append(got[1] if got else 0.0)
+    edges = np.arange(BINS) / BINS
+    return ((np.array(found)[:, None] >= edges).sum(0) + 1) / (NULLS + 1)
+
+
 def thresholds(found: DataFrame, rate: float = RATE) -> dict[str, float]:
     """The least accepted p-value of each stratum; counts of all candidates, in BINS bins."""
     each = found.select(F.explode(F.filter("found", lambda s: s["p"].isNotNull())).alias("s"))
@@ -166,12 +229,11 @@ def thresholds(found: DataFrame, rate: float = RATE) -> dict[str, float]:
         h = np.zeros(BINS)
         for r in counts:
             if r["stratum"] == g:
-                h[r["bin"]] = r["count"]
+                h[r["bin"]] += r["count"]
         above = h[::-1].cumsum()[::-1]
         edges = np.arange(BINS) / BINS
-        false = above - 2 * above[BINS // 2] * (1 - edges)
-        ok = np.flatnonzero((false <= rate * above) & (edges > 0))
-        out[g] = float(edges[ok[0]]) if len(ok) else 1.0
+        ok = np.flatnonzero((h.sum() * _survival(g) <= rate * above) & (edges > 0) & (above > 0))
+        out[g] = float(edges[ok[0]]) if len(ok) else 2.0
     return out
 
 
@@ -179,7 +241,7 @@ def find_secrets(docs: DataFrame, extra: list[str] | None = None, rate: float =
     """Per row: doc_id, `extra` columns and spans array<struct<kind: int, start: int, stop: int>>, by start, then kind."""
     found = (store or Store(docs.sparkSession)).keep(find_candidates(docs, extra))
     least = thresholds(found, rate)
-    limit = F.create_map(*[F.lit(x) for kv in least.items() for x in kv]) if least else F.create_map(F.lit(""), F.lit(1.0))
+    limit = F.create_map(*[F.lit(x) for kv in least.items() for x in kv]) if least else F.create_map(F.lit(""), F.lit(2.0))
     kept = F.filter("found", lambda s: s["p"].isNull() | (s["p"] >= limit[s["stratum"]]))
     spans = F.array_sort(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))))
     return found.select("doc_id", *(extra or []), F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("spans"))
@@ -203,7 +265,7 @@ def redact(docs: DataFrame, rate: float = RATE, mark: str = "[SECRET]") -> DataF
                 for i in _suspects(data, offs):
                     text = data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace")
                     base, more = scan(text)
-                    spans = sorted([(s, e) for s, e, _ in base] + [(s, e) for s, e, g, p in more if p >= least.get(g, 1.0)])
+                    spans = sorted([(s, e) for s, e, _ in base] + [(s, e) for s, e, g, p in more if p >= least.get(g, 2.0)])
                     out, done = [], 0
                     for s, e in spans:
                         if s >= done:
