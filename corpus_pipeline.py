@@ -44,9 +44,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's rate and its draw say, as rows numbered by copy_no."""
-    sized = Store(spark).keep(docs.select("doc_id", "source", mixing.word_count().alias("size")))
+    store = Store(spark)
+    sized = store.keep(docs.select("doc_id", "source", mixing.word_count().alias("size")))
     rows = docs.select(F.struct(*[c for c in docs.columns if c != "copy_no"]).alias("row"), "doc_id", "source", F.lit(0).cast("bigint").alias("size"))
-    taken = mixing.mix(rows, mixing.rates(sized)).where("copies > 0")
+    taken = mixing.mix(rows, store.keep(mixing.rates(sized))).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no")).select("row.*", "copy_no")
 
 

@@ -52,12 +52,21 @@ def targets(sizes: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[i
     return t.select("source", "source_size", F.least("cap", F.col("w") * F.max("level").over(everything)).alias("target"))
 
 
+#: Rows of a per-source table up to which it is sent to every task; a larger one is joined by key.
+BROADCAST_SOURCES = 100_000
+
+
+def _small(per_source: DataFrame) -> DataFrame:
+    """The table marked for broadcast if it is small enough (it is counted), else as it is."""
+    return F.broadcast(per_source) if per_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else per_source
+
+
 def rates(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """Per source of docs (doc_id, source, size): source, source_size, target, rate, base, edge, draw."""
     per = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap, weights)
     per = per.withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
     per = per.withColumn("base", F.floor("rate")).withColumn("edge", (F.col("rate") - F.col("base")) * F.lit(4294967296.0))
-    hit = docs.withColumn("u", draws()).join(per.select(F.col("source").alias("s"), "edge"), F.col("source").eqNullSafe(F.col("s")))
+    hit = docs.withColumn("u", draws()).join(_small(per.select(F.col("source").alias("s"), "edge")), F.col("source").eqNullSafe(F.col("s")))
     summed = hit.groupBy("s").agg(F.array(*[F.sum(F.when(F.col("u")[k] < F.col("edge"), F.col("size")).otherwise(0)) for k in range(DRAWS)]).alias("extra"))
     best = F.array_min(F.transform("extra", lambda x, k: F.struct(F.abs(F.col("source_size") * F.col("base") + x - F.col("target")).alias("off"), k.alias("k"))))["k"]
     return per.join(summed, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "rate", "base", "edge", F.coalesce(best, F.lit(0)).alias("draw"))
@@ -65,7 +74,7 @@ def rates(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int,
 
 def mix(docs: DataFrame, per_source: DataFrame) -> DataFrame:
     """docs (doc_id, source, size, ...) with source_size, target and copies (times it is taken)."""
-    per = per_source.withColumnRenamed("source", "mix_source")
+    per = _small(per_source.withColumnRenamed("source", "mix_source"))
     joined = docs.join(per, F.col("source").eqNullSafe(F.col("mix_source")))
     extra = F.when(draws()[F.col("draw")] < F.col("edge"), 1).otherwise(0)
     return joined.select(*docs.columns, "source_size", "target", (F.col("base") + extra).cast("int").alias("copies"))
