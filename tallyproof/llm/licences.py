@@ -101,10 +101,10 @@ def licence_matches(text: str = "text", templates: dict[str, str] = TEMPLATES, t
     found = f"filter(transform({segments}, s -> transform(array({_bigrams('s')}), g -> named_struct('best', {best}, 'segment', s))[0]), m -> m.best.dice >= {threshold}D)"
     out = f"transform({found}, m -> named_struct('licence', m.best.licence, 'dice', m.best.dice, 'segment', m.segment))"
     none = "CAST(array() AS ARRAY<STRUCT<licence: STRING, dice: DOUBLE, segment: STRING>>)"
-    # Plain substring tests come first; they leave few texts to the regular expression.
-    lower = f"lower({name})"
-    maybe = " OR ".join(f"contains({lower}, '{w}')" for w in marker_words(templates, threshold))
-    return F.expr(f"IF(({maybe}) AND {name} RLIKE r'{pattern}', {out}, {none})")
+    # A set of whole words comes first; it leaves few texts to the regular expression.
+    words = ", ".join(f"'{w}'" for w in marker_words(templates, threshold))
+    maybe = f"arrays_overlap(split(lower({name}), '[^a-z0-9]+'), array({words}))"
+    return F.expr(f"IF({maybe} AND {name} RLIKE r'{pattern}', {out}, {none})")
 
 
 def scan_licences(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
