@@ -11,13 +11,18 @@ together, and a suffix sort follows where it is needed.
    a passage in a third of all documents leaves a task once.
 2. By gram. Equal runs: all but the earliest are removed. A gram with one run only is
    finished. Runs that differ but share a gram (a repeated passage's edges, edited copies)
-   go on: their text is fetched, some 130 bytes each.
-3. Suffix sort. Under each gram the suffixes at one distance from it are sorted by a
+   go on. A gram that already has more than HOT runs within a task isn't gathered: its
+   rows are dealt by run, and one mark tells the others with this gram to go on too.
+3. The text of these runs is fetched and cut in two: windows that start near the gram hold
+   the 66 bytes from the gram on, the others the 67 bytes that end with it. These bytes
+   are the key they meet by, so windows that can't be equal rarely meet; equal pieces
+   that a task has already seen leave as removed.
+4. Suffix sort. Under each key the suffixes at one distance from the gram are sorted by a
    bottom-up mergesort. Two suffixes are compared by their longest common extension, found
    by binary search over polynomial prefix hashes (7 steps for 100 bytes), then by one
    byte. Neighbours that agree on 100 bytes by hash are verified byte by byte; in each
    class all but the earliest are removed.
-4. The removed intervals join the texts by document.
+5. The removed intervals join the texts by document.
 
 Order: smaller doc_id, or same doc_id and earlier start. Null text is empty; a null doc_id
 counts as the smallest id; texts under 100 bytes lose nothing. Repeated rows with one
@@ -40,6 +45,8 @@ from .words import mix64, prefix_hashes, span_hashes, text_blocks
 
 LENGTH = 100
 GRAM = 32
+#: Differing runs of one gram in a task beyond which the gram's rows are dealt by run.
+HOT = 32
 _PIECE = 1 << 21
 _LEAST = -(1 << 63)
 _U = np.uint64
@@ -99,21 +106,27 @@ def _batches(columns: dict[str, np.ndarray], rows: int = 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(v[i : i + rows]) for v in columns.values()], list(columns))
 
 
-#: A removed interval is a row too: from lo to run, with the document in place of the gram.
-_ROW = "gram bigint, run bigint, doc bigint, lo bigint, shape int, removed boolean"
+#: key: what a row is dealt by. Kinds of rows: a run of windows, a removed interval (from lo
+#: to run), a run of a hot gram, the mark of a hot gram.
+_ROW = "key bigint, kind int, gram bigint, run bigint, doc bigint, lo bigint, shape int"
+_PLAIN, _GONE, _DEALT, _MARK = range(4)
+
+
+def _rows(kind: int, key, gram, run, doc, lo, shape):
+    yield from _batches({"key": key, "kind": np.full(len(key), kind, np.int32), "gram": gram, "run": run, "doc": doc, "lo": lo, "shape": shape})
 
 
 def _removed(doc, lo, shape, length: int):
-    """Rows of the removed intervals, merged within what one task has seen."""
+    """Rows of the removed intervals, merged within what one task has seen; dealt by document."""
     d, start, stop = _merge(doc, lo, lo + (shape & 255) + length - 1)
-    yield from _batches({"gram": d, "run": stop.astype(np.int64), "doc": d, "lo": start, "shape": np.zeros(len(d), np.int32), "removed": np.ones(len(d), bool)})
+    yield from _rows(_GONE, d, d, stop.astype(np.int64), d, start, np.zeros(len(d), np.int32))
 
 
 def _doc_ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(_LEAST).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def anchor_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def anchor_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = HOT) -> DataFrame:
     def run(batches):
         parts = []
         for b in batches:
@@ -126,7 +139,14 @@ def anchor_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
             g, r, d, lo, shape = (np.concatenate(c) for c in zip(*parts))
             order, head, later = _later(g, r, d, lo)
             o = order[head]  # a repeated row's second copy of the same place says nothing new
-            yield from _batches({"gram": g[o], "run": r[o], "doc": d[o], "lo": lo[o], "shape": shape[o], "removed": np.zeros(len(o), bool)})
+            first = np.flatnonzero(np.concatenate([[True], g[o][1:] != g[o][:-1]]))
+            hot = np.repeat(np.diff(np.append(first, len(o))) > most, np.diff(np.append(first, len(o))))
+            cold, warm = o[~hot], o[hot]
+            yield from _rows(_PLAIN, g[cold], g[cold], r[cold], d[cold], lo[cold], shape[cold])
+            dealt = mix64((g[warm] ^ r[warm]).view(np.uint64), 8).view(np.int64)
+            yield from _rows(_DEALT, dealt, g[warm], r[warm], d[warm], lo[warm], shape[warm])
+            m = np.unique(g[warm])
+            yield from _rows(_MARK, m, m, *(np.zeros(len(m), np.int64) for _ in range(3)), np.zeros(len(m), np.int32))
             yield from _removed(d[order[later]], lo[order[later]], shape[order[later]], length)
 
     return docs.select("doc_id", "text").mapInArrow(run, _ROW)
@@ -134,19 +154,21 @@ def anchor_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
 
 def _by_gram(batches, length: int):
     """Of whole grams: intervals pass on; the first of each run goes on if its gram has others."""
-    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(6)] for b in batches if b.num_rows]
+    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(7)] for b in batches if b.num_rows]
     if not parts:
         return
-    g, r, d, lo, shape, removed = (np.concatenate(c) for c in zip(*parts))
-    yield from _batches({"gram": g[removed], "run": r[removed], "doc": d[removed], "lo": lo[removed], "shape": shape[removed], "removed": removed[removed]})
-    live = np.flatnonzero(~removed)
+    key, kind, g, r, d, lo, shape = (np.concatenate(c) for c in zip(*parts))
+    gone = kind == _GONE
+    yield from _rows(_GONE, key[gone], g[gone], r[gone], d[gone], lo[gone], shape[gone])
+    live = np.flatnonzero((kind == _PLAIN) | (kind == _DEALT))
+    if not len(live):
+        return
     order, head, later = _later(g[live], r[live], d[live], lo[live])
     o = live[order]
-    gram_head = np.concatenate([[True], g[o][1:] != g[o][:-1]])[: len(o)]
-    group = np.cumsum(gram_head) - 1
-    runs = np.bincount(group, weights=head) if len(o) else np.zeros(0)
-    more = o[head & (runs[group] > 1)] if len(o) else o
-    yield from _batches({"gram": g[more], "run": r[more], "doc": d[more], "lo": lo[more], "shape": shape[more], "removed": np.zeros(len(more), bool)})
+    group = np.cumsum(np.concatenate([[True], g[o][1:] != g[o][:-1]])) - 1
+    others = (np.bincount(group, weights=head)[group] > 1) | (kind[o] == _DEALT) | np.isin(g[o], g[kind == _MARK])
+    more = o[head & others]
+    yield from _rows(_PLAIN, g[more], g[more], r[more], d[more], lo[more], shape[more])
     yield from _removed(d[o[later]], lo[o[later]], shape[o[later]], length)
 
 
@@ -212,7 +234,7 @@ def suffix_sort(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, segment: n
 
 
 def _sort_group(gram, doc, lo, shape, texts: pa.Array, length: int):
-    """Removed windows (doc, start) among the windows of runs that share grams; whole grams come in."""
+    """Removed windows (doc, start) among the windows of pieces that share keys; whole keys come in."""
     order = np.argsort(gram, kind="stable")
     gram, doc, lo, shape = gram[order], doc[order], lo[order], shape[order]
     _, _, raw = texts.take(pa.array(order)).buffers()
@@ -261,16 +283,32 @@ def _merge(doc, start, stop):
     return doc[head], start[head], far[last]
 
 
-_CONTEXT = "gram bigint, doc bigint, lo bigint, shape int, context binary"
+_PIECE_ROW = "key bigint, doc bigint, lo bigint, shape int, stop bigint, context binary"
 
 
-def removed_intervals(docs: DataFrame, store: Store, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def _pieces(lo, shape, length: int, gram: int):
+    """The two pieces of each run: (which run, lo, shape, first and end of the bytes they meet by, from the text's start)."""
+    count, back = (shape & 255).astype(np.int64), (shape >> 8).astype(np.int64)
+    half = (length - gram) // 2
+    out = []
+    # A window at distance o before the gram: o = back, back - 1, ... Far windows (o > half) come first.
+    far = np.clip(back - half, 0, count)
+    for side, skip, n in ((0, np.zeros_like(far), far), (1, far, count - far)):
+        at = np.flatnonzero(n > 0)
+        anchor = lo[at] + back[at]
+        meets = (anchor - half - 1, anchor + gram) if side == 0 else (anchor, anchor + length - half)
+        out.append((at, lo[at] + skip[at], (((back[at] - skip[at]) << 8) + n[at]).astype(np.int32), *meets, np.full(len(at), side)))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def removed_intervals(docs: DataFrame, store: Store, length: int = LENGTH, gram: int = GRAM, most: int = HOT) -> DataFrame:
     """(doc, start, stop): byte intervals to remove, not yet merged across rows; doc: doc_id, null as the least bigint."""
-    rows = store.keep(anchor_rows(docs, length, gram).repartition("gram").mapInArrow(lambda batches: _by_gram(batches, length), _ROW))
-    open_runs = rows.where("NOT removed").groupBy("doc").agg(F.collect_list(F.struct("gram", "lo", "shape")).alias("runs"))
+    rows = store.keep(anchor_rows(docs, length, gram, most).repartition("key").mapInArrow(lambda batches: _by_gram(batches, length), _ROW))
+    open_runs = rows.where(F.col("kind") == _PLAIN).groupBy("doc").agg(F.collect_list(F.struct("gram", "lo", "shape")).alias("runs"))
     keyed = docs.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("doc"), "text")
 
     def contexts(batches):
+        parts, raws = [], []
         for b in batches:
             runs, texts = b.column(b.schema.get_field_index("runs")), b.column(b.schema.get_field_index("text"))
             ids = b.column(b.schema.get_field_index("doc")).to_numpy()
@@ -279,30 +317,56 @@ def removed_intervals(docs: DataFrame, store: Store, length: int = LENGTH, gram:
                 of = np.repeat(np.arange(e - a), pa.compute.list_value_length(part).to_numpy(zero_copy_only=False))
                 each = part.flatten()
                 g, lo, shape = (each.field(i).to_numpy() for i in range(3))
-                size = (shape & 255).astype(np.int64) + length - 1
-                fits = offs[of] + lo + size <= offs[of + 1]  # else of another row with this doc_id
-                of, g, lo, shape, size = of[fits], g[fits], lo[fits], shape[fits], size[fits]
-                for x in range(0, len(of), 20_000):
-                    s = slice(x, x + 20_000)
-                    ends = np.cumsum(size[s])
-                    take = np.arange(int(ends[-1])) + np.repeat(offs[of[s]] + lo[s] - (ends - size[s]), size[s])
-                    raw = pa.Array.from_buffers(pa.binary(), len(of[s]), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(data[take])])
-                    yield pa.RecordBatch.from_arrays([pa.array(g[s]), pa.array(ids[a + of[s]]), pa.array(lo[s]), pa.array(shape[s]), raw], ["gram", "doc", "lo", "shape", "context"])
+                fits = offs[of] + lo + (shape & 255) + length - 1 <= offs[of + 1]  # else of another row with this doc_id
+                of, g, lo, shape = of[fits], g[fits], lo[fits], shape[fits]
+                at, plo, pshape, x, y, side = _pieces(lo, shape, length, gram)
+                if not len(at):
+                    continue
+                base = offs[of[at]]
+                prefix = prefix_hashes(data)
+                key = mix64(span_hashes(prefix, base + x, base + y) ^ mix64(g[at].view(np.uint64), 9) ^ side.astype(_U), 10)
+                size = (pshape & 255).astype(np.int64) + length - 1
+                whole = mix64(span_hashes(prefix, base + plo, base + plo + size) ^ mix64(pshape.astype(_U), 12), 13)
+                ends = np.cumsum(size)
+                take = np.arange(int(ends[-1])) + np.repeat(base + plo - (ends - size), size)
+                raws.append(data[take])
+                parts.append((key.view(np.int64), whole.view(np.int64), ids[a + of[at]], plo, pshape, size))
+        if not parts:
+            return
+        key, whole, doc, lo, shape, size = (np.concatenate(c) for c in zip(*parts))
+        raw, first = np.concatenate(raws), np.concatenate([[0], np.cumsum(size)])
+        del raws
+        order, head, later = _later(key, whole, doc, lo)
+        gone = order[later]
+        d, start, stop = _merge(doc[gone], lo[gone], lo[gone] + size[gone])
+        yield from _piece_rows(d, d, start, np.zeros(len(d), np.int32), stop, pa.nulls(len(d), pa.binary()))
+        keep = np.sort(order[head])
+        for x in range(0, len(keep), 20_000):
+            k = keep[x : x + 20_000]
+            ends = np.cumsum(size[k])
+            take = np.arange(int(ends[-1])) + np.repeat(first[k] - (ends - size[k]), size[k])
+            text = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(raw[take])])
+            yield from _piece_rows(key[k], doc[k], lo[k], shape[k], np.full(len(k), -1), text)
 
     def sort_windows(batches):
         def settle(t: pa.Table):
-            cols = [t[c].combine_chunks() for c in ("gram", "doc", "lo", "shape", "context")]
-            d, p = _sort_group(*(c.to_numpy() for c in cols[:4]), cols[4], length)
-            return zip(("doc", "start", "stop"), _merge(d, p, p + length))
+            gone = pa.compute.greater_equal(t["stop"], 0)
+            known, t = t.filter(gone), t.filter(pa.compute.invert(gone))
+            doc, start, stop = (known[c].to_numpy() for c in ("doc", "lo", "stop"))
+            if t.num_rows:
+                cols = [t[c].combine_chunks() for c in ("key", "doc", "lo", "shape", "context")]
+                d, p = _sort_group(*(c.to_numpy() for c in cols[:4]), cols[4], length)
+                doc, start, stop = np.concatenate([doc, d]), np.concatenate([start, p]), np.concatenate([stop, p + length])
+            return zip(("doc", "start", "stop"), _merge(doc, start, stop))
 
         held: list[pa.RecordBatch] = []
         count = 0
-        for b in batches:  # sorted by gram: all grams but the last of what is held are whole
+        for b in batches:  # sorted by key: all keys but the last of what is held are whole
             held.append(b)
             count += b.num_rows
             if count >= 20_000:
                 t = pa.Table.from_batches(held)
-                g = t["gram"].to_numpy()
+                g = t["key"].to_numpy()
                 cut = int(np.searchsorted(g, g[-1]))
                 if cut:
                     yield from _batches(dict(settle(t.slice(0, cut))))
@@ -310,17 +374,22 @@ def removed_intervals(docs: DataFrame, store: Store, length: int = LENGTH, gram:
         if count:
             yield from _batches(dict(settle(pa.Table.from_batches(held))))
 
-    context = keyed.join(open_runs, "doc").mapInArrow(contexts, _CONTEXT)
-    sorted_out = context.repartition("gram").sortWithinPartitions("gram").mapInArrow(sort_windows, "doc bigint, start bigint, stop bigint")
-    known = rows.where("removed").select("doc", F.col("lo").alias("start"), F.col("run").alias("stop"))
+    context = keyed.join(open_runs, "doc").mapInArrow(contexts, _PIECE_ROW)
+    sorted_out = context.repartition("key").sortWithinPartitions("key").mapInArrow(sort_windows, "doc bigint, start bigint, stop bigint")
+    known = rows.where(F.col("kind") == _GONE).select("doc", F.col("lo").alias("start"), F.col("run").alias("stop"))
     return known.union(sorted_out)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def _piece_rows(key, doc, lo, shape, stop, context: pa.Array):
+    if len(key):
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(lo), pa.array(shape), pa.array(stop), context], ["key", "doc", "lo", "shape", "stop", "context"])
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = HOT) -> DataFrame:
     """Per row: doc_id, n_bytes, kept (binary), spans array<struct<start: bigint, stop: bigint>> (removed, maximal)."""
     store = Store(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    per = removed_intervals(docs, store, length, gram).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
+    per = removed_intervals(docs, store, length, gram, most).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
     joined = docs.withColumn("doc", F.coalesce("doc_id", F.lit(_LEAST))).join(per, "doc", "left").select("doc_id", "text", "found")
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
