@@ -76,7 +76,6 @@ def lookup(prepared: DataFrame, index: dict[str, DataFrame], top_k: int = 5, box
     pack = F.struct("rank", "error", "printed", "value", "raw", "page", "row_scope", "chunk_text", "fragment")
     best = found.groupBy("question_id").agg(F.coalesce(F.min_by(pack, usable), F.max_by(pack, F.col("rank"))).alias("e"), F.max("rank").alias("tried"), F.min(usable).alias("used"))
     out = asked.select("question_id", "question", "labels", "unit").join(best, "question_id", "left")
-    span = evidence.verify_evidence(F.col("e.fragment"), F.col("e.chunk_text"), F.col("e.value"), F.col("unit"))
     # Values and text come from one row, so the proof is of the printed number itself.
     span = F.when(F.col("e.error").isNull() & F.col("e").isNotNull(), evidence.verify_evidence(F.col("e.fragment"), F.col("e.chunk_text"), F.col("e.value"), F.lit(None).cast("string")))
     out = out.withColumn("span", span).withColumn("label_error", evidence.label_error(F.col("question"), F.col("e.printed"), F.col("labels")))

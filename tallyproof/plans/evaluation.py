@@ -150,3 +150,44 @@ def gold_gates(items: DataFrame, index_pages: DataFrame, source_pages: DataFrame
     refused = F.col("expected_outcome") == "REFUSE"
     g1, g2, g3 = (F.coalesce(refused | F.col(c), refused) for c in ("index_gold", "index_any", "source_gold"))
     return out.select("item_id", g1.alias("g1"), g2.alias("g2"), g3.alias("g3"), (g1 & g2 & g3).alias("passed"), F.coalesce("index_value_pages", F.array().cast("array<int>")).alias("value_pages"), (F.size("index_value_pages") > 1).alias("ambiguous"))
+
+
+def failures(results: DataFrame) -> DataFrame:
+    """(failure, n), most frequent first."""
+    return results.where("failure IS NOT NULL").groupBy("failure").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "failure")
+
+
+def eval_stats(results: DataFrame) -> DataFrame:
+    """One row: totals, pass rate, answers and refusals, latency percentiles (nearest rank), tokens per billed question.
+
+    results: compare()'s rows with latency_ms and tokens where they are measured.
+    """
+    for c, kind in (("latency_ms", "double"), ("tokens", "bigint")):
+        if c not in results.columns:
+            results = results.withColumn(c, F.lit(None).cast(kind))
+    w = Window.orderBy(F.col("latency_ms").asc_nulls_last())
+    ranked = results.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("latency_ms").over(Window.partitionBy()))
+    at = lambda p: F.coalesce(F.round(F.max(F.when(F.col("i") == F.bround((F.col("n") - 1) * F.lit(p)).cast("int"), F.col("latency_ms"))), 1), F.lit(0.0))
+    answer, refuse = F.col("expected_outcome") == "ANSWER", F.col("expected_outcome") == "REFUSE"
+    return ranked.agg(
+        F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.round(F.try_divide(F.count_if("passed"), F.count("*")), 4).alias("pass_rate"),
+        F.count_if(answer & F.col("passed")).alias("right_answers"), F.count_if(refuse & F.col("passed")).alias("right_refusals"), F.count_if(F.coalesce(F.col("failure") == "answered_but_should_refuse", F.lit(False))).alias("false_answers"),
+        F.count_if(F.coalesce(F.col("decision") == "ABORT", F.lit(False))).alias("aborts"), at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"), F.round(F.avg("tool_calls"), 2).alias("tool_calls"),
+        F.round(F.avg(F.when(F.col("tokens") > 0, F.col("tokens"))), 1).alias("tokens_per_billed"),
+    )
+
+
+def vocabulary_ablation(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """questions (question_id, doc_id, question, label) -> vocabulary (with, without), hits, total: is the first lexical hit the label asked for?"""
+    from ..functions.text import tokenize
+    from ..operators.retrieval import bm25, postings
+
+    out = None
+    for name, words in (("with", None), ("without", ())):
+        tokens = lambda c, words=words: tokenize(c) if words is None else tokenize(c, words)
+        asked = questions.select("question_id", "doc_id", F.explode(tokens("question")).alias("token"))
+        first = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id"))
+        top = bm25(asked, postings(chunks, "doc_id", "chunk_id", tokens("text"))).withColumn("k", first).where("k = 1").join(chunks.select("chunk_id", F.col("label").alias("found")), "chunk_id")
+        row = questions.join(top.select("question_id", "found"), "question_id", "left").agg(F.count_if(F.coalesce(F.col("found") == F.col("label"), F.lit(False))).alias("hits"), F.count("*").alias("total")).withColumn("vocabulary", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out.select("vocabulary", "hits", "total")
