@@ -28,6 +28,29 @@ def locate_span(claim: Column, text: Column) -> Column:
     return F.when(nothing, None).when(exact > 0, hit("exact", exact, claim)).when((nc != "") & (loose > 0), hit("normalized", loose, nc))
 
 
+#: Claims that are sent to every task at once; more are taken block by block.
+CLAIM_BLOCK = 5_000
+
+
+def locate_claims(claims: DataFrame, texts: DataFrame, block: int = CLAIM_BLOCK) -> DataFrame:
+    """claims (claim_id, claim) in all texts (text_id, text) -> claim_id, text_id, span: every pair with a hit.
+
+    Both sides are normalised once a row, not once a pair, and the first characters of a
+    claim decide whether it is located in a text. Claims are broadcast in blocks, whose
+    number follows from their count; texts are never shuffled.
+    """
+    blocks = max(1, -(-claims.count() // block))
+    body = texts.select("text_id", "text", normalize_text("text").alias("plain"))
+    asked = claims.select("claim_id", "claim", F.substring(normalize_text("claim"), 1, 24).alias("seed")).where("seed <> ''")
+    out = None
+    for k in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("claim_id"), F.lit(blocks)) == k) if blocks > 1 else asked
+        pairs = body.join(F.broadcast(part), F.call_function("contains", F.col("plain"), F.col("seed"))).drop("plain", "seed")
+        out = pairs if out is None else out.unionByName(pairs)
+    # As a generator the location stays behind the join; as a filter it would be moved into its condition.
+    return out.select("claim_id", "text_id", F.explode(F.filter(F.array(locate_span(F.col("claim"), F.col("text"))), lambda s: s.isNotNull())).alias("span"))
+
+
 def value_in_span(span: Column, value: Column, unit: Column, rel_tolerance: float | str = 0) -> Column:
     """Whether any amount of the span equals the value in yuan, or lies within a relative tolerance (a decimal)."""
     expected = to_yuan(value, unit)

@@ -179,13 +179,8 @@ SELECT item_id, doc_id, CASE WHEN contains(text, claim) THEN 'exact' ELSE 'norma
   CASE WHEN contains(text, claim) THEN strpos(text, claim) ELSE strpos(regexp_replace(text, '\\s', '', 'g'), regexp_replace(claim, '\\s', '', 'g')) END - 1 AS start FROM p""".replace("\\\\", "\\"))
 def q11_span_locate(spark, sf_dir):
     bench, docs = read(spark, sf_dir, "benchmark", "documents")
-    # A seed word run that both hold joins items to documents; the claim is located in these pairs only.
-    key = lambda c: F.substring(text.normalize_text(c), 1, 24)
-    items = bench.select("item_id", F.col("text").alias("claim"), key("text").alias("seed"))
-    found = docs.select("doc_id", F.col("text").alias("body"))
-    pairs = found.join(F.broadcast(items), F.call_function("contains", text.normalize_text("body"), F.col("seed")))
-    hit = pairs.withColumn("s", evidence.locate_span(F.col("claim"), F.col("body"))).where("s IS NOT NULL")
-    return hit.select("item_id", "doc_id", F.col("s.mode").alias("mode"), F.col("s.start").alias("start"))
+    hit = evidence.locate_claims(bench.select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim")), docs.select(F.col("doc_id").alias("text_id"), "text"))
+    return hit.select(F.col("claim_id").alias("item_id"), F.col("text_id").alias("doc_id"), F.col("span.mode").alias("mode"), F.col("span.start").alias("start"))
 
 
 @query(rf"""
@@ -232,7 +227,7 @@ dl AS (SELECT unit, sum(tf)::DOUBLE AS dl FROM posts GROUP BY 1), av AS (SELECT
 def _corpus(spark, sf_dir):
     bench, docs = read(spark, sf_dir, "benchmark", "documents")
     words = lambda c: F.regexp_extract_all(c, F.lit("([A-Za-z0-9]+)"), F.lit(1))
-    posts = retrieval.postings(docs.select(F.lit("d").alias("doc_id"), F.concat(F.lit("x"), "doc_id").alias("chunk_id"), "text"), "doc_id", "chunk_id", words("text"))
+    posts = retrieval.postings(docs.select(F.lit("d").alias("doc_id"), F.concat(F.lit("x"), "doc_id").alias("chunk_id"), "text"), "doc_id", "chunk_id", words("text")).persist()  # read for lengths, frequencies and matches
     asked = bench.select(F.col("item_id").alias("question_id"), F.lit("d").alias("doc_id"), F.explode(words("text")).alias("token"))
     return asked, posts
 
