@@ -160,8 +160,10 @@ def _confirm_in_blocks(rest: DataFrame, reps: DataFrame, sets: DataFrame, thresh
     rows however large the key is. A pair is compared only where it meets first, under
     its first shared left key, and if it shares a right key too; only links leave.
     """
-    sizes = rest.groupBy("left").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rest.join(sizes, "left").withColumn("p", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Only keys of more than one block need a count, so the table joined by key stays small.
+    sizes = rest.groupBy("left").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = rest.join(sizes, "left", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("p", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("gid", F.xxhash64("left", F.least("p", "q"), F.greatest("p", "q"))).select("gid", "left", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "p", "node", "label")
     rows = dealt.join(reps.select(F.col("doc_id").alias("node"), "lefts", "rights"), "node").join(sets.withColumnRenamed("doc_id", "node"), "node")
