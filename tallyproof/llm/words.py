@@ -39,29 +39,47 @@ def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
 BYTE_VALUE = mix64(np.arange(256, dtype=_U), 7)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i in 0..n (kept, and made longer when asked)."""
-    if not _POWERS or len(_POWERS[0]) <= n:
-        size = max(n + 1, BLOCK_BYTES + 1)
-        with np.errstate(over="ignore"):
-            _POWERS[:] = [np.cumprod(np.concatenate([[_U(1)], np.full(size, _U(b), _U)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _POWERS[0], _POWERS[1]
+#: Powers are products of two small tables, by the low and the high bits of the exponent.
+_LOW_BITS = 16
+_LOW = 1 << _LOW_BITS
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Tables of B**i and B**-i modulo 2**64 for exponents up to n: low, high, low and high of the inverse."""
+    high = (n >> _LOW_BITS) + 1
+    if not _POWERS or len(_POWERS[1]) < high:
+        tables = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            for step, size in ((base, _LOW), (pow(base, _LOW, 1 << 64), max(high, 64))):
+                with np.errstate(over="ignore"):
+                    tables.append(np.cumprod(np.concatenate([[_U(1)], np.full(size - 1, _U(step), _U)])))
+        _POWERS[:] = tables
+    return _POWERS
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """Prefix sums S of value[byte] * B**i; any substring's hash follows from two of them."""
-    up, _ = _powers(len(data))
+    low, high, _, _ = _powers(len(data))
     out = np.zeros(len(data) + 1, _U)
     with np.errstate(over="ignore"):
-        np.cumsum(BYTE_VALUE[data] * up[: len(data)], out=out[1:])
+        for k in range(0, len(data), _LOW):  # a piece's temporaries stay small, however long the text
+            part = data[k : k + _LOW]
+            t = BYTE_VALUE[part]
+            t *= low[: len(part)]
+            t *= high[k >> _LOW_BITS]
+            t[0] += out[k]
+            np.cumsum(t, out=out[k + 1 : k + 1 + len(part)])
     return out
 
 
 def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Polynomial hashes of the byte spans [start, end), from prefix_hashes()."""
-    _, down = _powers(len(prefix))
+    _, _, low, high = _powers(len(prefix))
     with np.errstate(over="ignore"):
-        return (prefix[ends] - prefix[starts]) * down[starts]
+        out = prefix[ends] - prefix[starts]
+        out *= low[starts & (_LOW - 1)]
+        out *= high[starts >> _LOW_BITS]
+    return out
 
 
 def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
