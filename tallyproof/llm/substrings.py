@@ -304,6 +304,7 @@ def _pieces(lo, shape, length: int, gram: int):
 def removed_intervals(docs: DataFrame, store: Store, length: int = LENGTH, gram: int = GRAM, most: int = HOT) -> DataFrame:
     """(doc, start, stop): byte intervals to remove, not yet merged across rows; doc: doc_id, null as the least bigint."""
     rows = store.keep(anchor_rows(docs, length, gram, most).repartition("key").mapInArrow(lambda batches: _by_gram(batches, length), _ROW))
+    store.settle()
     open_runs = rows.where(F.col("kind") == _PLAIN).groupBy("doc").agg(F.collect_list(F.struct("gram", "lo", "shape")).alias("runs"))
     keyed = docs.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("doc"), "text")
 
