@@ -2,13 +2,16 @@
 
 1. Seeds: the SEED-word grams of the benchmark items (an item with fewer words is one seed).
    One pass over all documents counts in how many each seed occurs.
-2. Rare seeds: those in at most RARE of all documents, and always the rarer half of each
-   item's own seeds, so an item that leaked into very many documents keeps its seeds.
-3. Wherever a document holds a rare seed of an item, its words around the hits (as many as
-   the item has, to either side) are aligned with the item: match 1, mismatch and gap
-   -1/2, linear gaps, exact local alignment row by row. A pair is reported if its score
-   reaches half of the item's length and the worth of SURE words (all words of a shorter
-   item). About a third of the words may differ, and half of an item is enough.
+2. Seeds that occur nowhere go; all others stay. Rare seeds, those in at most RARE of all
+   documents, are evidence by themselves.
+3. Wherever a document holds a seed of an item, its words around the hits (as many as the
+   item has, to either side) are aligned with the item: match 1, mismatch and gap -1/2,
+   linear gaps, exact local alignment row by row. Where no hit is rare (common phrases, or
+   a leak in very many documents), the item's words are counted first, and only places
+   that have too few of them for the least score are passed over: no leak is lost by that.
+   A pair is reported if its score reaches half of the item's length and the worth of SURE
+   words (all words of a shorter item). About a third of the words may differ, and half of
+   an item is enough.
 
 The benchmark is taken in blocks of at most BLOCK_WORDS words, each sent to every task, so
 what is broadcast has a fixed bound; beyond it more blocks follow, each with two passes
@@ -21,6 +24,7 @@ each is aligned, and the best score counts. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -80,19 +84,28 @@ class Index:
         self.hash, self.item, self.place = h[o], np.array([r[1] for r in rows], np.int64)[o], np.array([r[2] for r in rows], np.int64)[o]
         self.seeds, self.first = np.unique(self.hash, return_index=True)
         self.bounds = np.append(self.first, len(self.hash))
-        self.live = np.ones(len(self.seeds), bool)
-
-    def keep_rare(self, df: np.ndarray, most: float) -> None:
-        """Of all seeds, by their document counts; see the module's text."""
-        each = np.repeat(df, np.diff(self.bounds))
-        keep = each <= most
-        o = np.lexsort((self.place, each, self.item))
-        count = np.bincount(self.item, minlength=len(self.items))
-        rank = np.arange(len(o)) - np.repeat(np.cumsum(count) - count, count)
-        keep[o] |= rank < (count[self.item[o]] + 1) // 2
+        self.rare = np.ones(len(self.seeds), bool)
+        self.counts = [np.unique(w, return_counts=True) for w in items]
+
+    def mark_rare(self, df: np.ndarray, most: float) -> None:
+        """Of all seeds, by their document counts: drop those in none, mark the rare ones."""
+        keep = np.repeat(df > 0, np.diff(self.bounds))
         self.hash, self.item, self.place = self.hash[keep], self.item[keep], self.place[keep]
         self.seeds, self.first = np.unique(self.hash, return_index=True)
         self.bounds = np.append(self.first, len(self.hash))
+        self.rare = df[df > 0] <= most
+
+    def may_score(self, i: int, text: np.ndarray, least: float) -> bool:
+        """False only if too few words of item i are in the text for an alignment of that score."""
+        known, count = self.counts[i]
+        at = np.minimum(np.searchsorted(known, text), len(known) - 1)
+        hit = np.flatnonzero(known[at] == text)
+        need = math.ceil(least)
+        if len(hit) < need or np.minimum(np.bincount(at[hit], minlength=len(known)), count).sum() < need:
+            return False
+        # The item's words that don't count towards the score pay for at most that many gaps.
+        m = len(self.items[i])
+        return bool((hit[need - 1 :] - hit[: len(hit) - need + 1] < m + (m - least) / PENALTY).any())
 
     def hits(self, words: np.ndarray, bounds: np.ndarray):
         """(document, place, seed) of every seed in a block's words."""
@@ -127,9 +140,9 @@ def _align(index: Index, words: np.ndarray, bounds: np.ndarray, share: float, su
     doc, place, seed = index.hits(words, bounds)
     n = np.diff(index.bounds)[seed]
     which = np.repeat(index.bounds[:-1][seed], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    doc, place, item = np.repeat(doc, n), np.repeat(place, n), index.item[which]
+    doc, place, item, rare = np.repeat(doc, n), np.repeat(place, n), index.item[which], np.repeat(index.rare[seed], n)
     o = np.lexsort((place, item, doc))
-    doc, place, item = doc[o], place[o], item[o]
+    doc, place, item, rare = doc[o], place[o], item[o], rare[o]
     size = np.array([len(w) for w in index.items])[item]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (place[1:] > place[:-1] + 2 * size[1:])
@@ -137,16 +150,18 @@ def _align(index: Index, words: np.ndarray, bounds: np.ndarray, share: float, su
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
     for s, e in zip(start, np.append(start[1:], len(doc))):
         d, i, m = int(doc[s]), int(item[s]), int(size[s])
-        text = words[bounds[d] : bounds[d + 1]]
-        lo = max(0, int(place[s]) - m - m // 2)
-        score, x, y = local_alignment(index.items[i], text[lo : int(place[e - 1]) + SEED + m + m // 2])
-        if score >= max(share * m, min(m, sure)) and score > found.get((d, i), (0.0,))[0]:
+        lo, least = max(0, int(place[s]) - m - m // 2), max(share * m, min(m, sure))
+        text = words[bounds[d] : bounds[d + 1]][lo : int(place[e - 1]) + SEED + m + m // 2]
+        if not rare[s:e].any() and not index.may_score(i, text, least):
+            continue
+        score, x, y = local_alignment(index.items[i], text)
+        if score >= least and score > found.get((d, i), (0.0,))[0]:
             found[d, i] = (score, lo + x, lo + y)
     return [(d, i, *v) for (d, i), v in found.items()]
 
 
 def _indexes(docs: DataFrame, benchmark: DataFrame, rare: float, block_words: int):
-    """(item ids, Index with its rare seeds) of each block of the benchmark."""
+    """(item ids, Index with its rare seeds marked) of each block of the benchmark."""
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     total = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_words))
@@ -158,7 +173,7 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, rare: float, block_words: in
 
 
 def _count_seeds(docs: DataFrame, index: Index, rare: float) -> None:
-    """Document counts of the index's seeds over all docs; it keeps the rare ones."""
+    """Document counts of the index's seeds over all docs; it marks the rare ones."""
 
     def count(batches):
         df, n = np.zeros(len(index.seeds), np.int64), 0
@@ -177,7 +192,7 @@ def _count_seeds(docs: DataFrame, index: Index, rare: float) -> None:
             total = n
         else:
             df[seed] = n
-    index.keep_rare(df, max(1.0, rare * total))
+    index.mark_rare(df, max(1.0, rare * total))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, sure: int = SURE, rare: float = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -197,3 +197,18 @@ def test_a_leak_in_very_many_documents_is_found(spark, bench):
     rows = [(i, f"{prose(rng, 20)} {items[5][1]}" if i % 3 == 0 else prose(rng, 60)) for i in range(300)]
     got = {r.doc_id for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), table).collect()}
     assert got == {i for i in range(300) if i % 3 == 0}
+
+
+def edited(words, every, mark):
+    return " ".join(f"{mark}{k}" if k % every == every - 1 else w for k, w in enumerate(words))
+
+
+def test_edited_copies_in_several_documents_are_found(spark, bench):
+    rng, items, table = bench
+    w = items[0][1].split()
+    common = " ".join(items[1][1].split()[:3])  # a seed of another item in every document
+    texts = [f"{prose(rng, 30)} {edited(w, 5, 'one')} {prose(rng, 20)}" for _ in range(2)]
+    texts += [f"{prose(rng, 30)} {edited(w, 5, 'two')}" for _ in range(7)] + [f"{edited(w, 4, 'three')} {prose(rng, 9)}" for _ in range(20)]
+    texts += [f"{prose(rng, 30)} {common} {prose(rng, 30)}" for _ in range(60)]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), table).collect()}
+    assert got == {(i, 0) for i in range(29)}
