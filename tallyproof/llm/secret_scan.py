@@ -8,15 +8,18 @@ digit and a letter is a candidate:
 * tests ask if it could be uniform random text of that alphabet: chi-squared uniformity of
   the symbols (exact mean and variance of the statistic for its length) and of the shares
   of digits, vowels and consonants; Wald-Wolfowitz runs of the alphabet's lower and upper
-  half, and runs of one class; serial correlation at lag 1. Fisher's method combines the
-  p-values;
+  half, and runs of one class or one case; serial correlation at lag 1. Fisher's method
+  combines the p-values;
 * false discoveries are held per stratum of encoding and length, since a short token gives
-  weak evidence. Ordinary tokens (words, numbers and separators in that encoding's
-  characters, NULLS made for each stratum) show which p-values text without secrets has:
-  S(t), the share at or above t. With n tokens of the corpus in the stratum and R(t) of them
-  at p >= t, the least t with n S(t) <= q R(t) is the threshold; without one, nothing of the
-  stratum is taken. The p-values of the whole corpus enter as counts in BINS bins, summed in
-  Spark: a table of fixed size.
+  weak evidence. F(t), how many ordinary tokens reach p >= t by chance, is estimated from the
+  corpus's own tokens at p-values where hardly any secret is. A stratum with fewer than NULLS
+  ordinary tokens says too little; there the estimate from NULLS made tokens (words, numbers
+  and separators in the encoding's characters) counts too if it is larger. Fisher's
+  statistic ends at 0 and its distribution is a power of it there, so both tails are
+  continued as a power law and are fine enough for secrets that are rare among ordinary
+  tokens. With R(t) tokens of the stratum at p >= t, the least t with F(t) <= q R(t) is the
+  threshold; without one, nothing of the stratum is taken. The p-values of the whole corpus
+  enter as counts in BINS bins and three more, summed in Spark: a table of fixed size.
 
 Tokens at or above their threshold that overlap no pattern's span become spans of kind
 "random". Texts are scanned once, as bytes with numpy; only texts with a keyword, a long
@@ -50,7 +53,11 @@ _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 MIN_TOKEN = 20
 RATE = 0.05
 BINS = 200
-NULLS = 400
+NULLS = 2000
+TAIL = 40
+#: Fisher's statistic at the ends of the two ranges that show the corpus's own tail.
+RANGES = (15.0, 21.0, 29.4)
+GREATEST = -6 * math.log(1e-12)
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 
 
@@ -82,6 +89,7 @@ def _class(ch: str) -> int:
     return 0 if ch in _DIGITS else (1 if ch in "aeiou" else 2) if ch in _LOWERS else (3 if ch in "AEIOU" else 4) if ch in _UPPERS else 5
 
 
+_GROUP = np.array([0, 1, 1, 2, 2, 3])
 #: What share of an encoding's alphabet each class has.
 _SHARES = {name: np.bincount([_class(c) for c in alphabet], minlength=6) / len(alphabet) for name, alphabet in ENCODINGS}
 _INDEX = {name: {c: i for i, c in enumerate(alphabet)} for name, alphabet in ENCODINGS}
@@ -91,8 +99,19 @@ def _upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def _fisher(half: float, tests: int = 6) -> float:
+    """The combined p-value of a sum of -log p over the tests."""
+    return min(1.0, math.exp(-half) * sum(half**i / math.factorial(i) for i in range(tests)))
+
+
 def randomness(token: str) -> tuple[str, float] | None:
     """(stratum, combined p-value that the token is uniform random); None without an encoding."""
+    found = _evidence(token)
+    return found and (found[0], _fisher(found[1]))
+
+
+def _evidence(token: str) -> tuple[str, float] | None:
+    """(stratum, sum of -log p over the battery); None without an encoding."""
     body = token.rstrip("=")
     name = next((n for n, x in _INDEX.items() if all(c in x for c in body)), None)
     if name is None or len(body) < MIN_TOKEN or not any(c.isalpha() for c in body):
@@ -123,10 +142,13 @@ def randomness(token: str) -> tuple[str, float] | None:
     p4 = _upper(((chi / df) ** (1 / 3) - 1 + 2 / (9 * df)) / math.sqrt(2 / (9 * df)))  # Wilson-Hilferty
     same, q = int((kind[1:] == kind[:-1]).sum()), float((share**2).sum())
     p5 = 2 * _upper(abs(same - (n - 1) * q) / math.sqrt((n - 1) * q * (1 - q)))
-    tests = (p1, p2, p3, p4, p5)
+    kind, share = _GROUP[kind], np.bincount(_GROUP, share, 4)  # digits, lower case, upper case, signs
+    same, q = int((kind[1:] == kind[:-1]).sum()), float((share**2).sum())
+    p6 = _upper((same - (n - 1) * q) / math.sqrt((n - 1) * q * (1 - q))) if q < 1 else 1.0
+    tests = (p1, p2, p3, p4, p5, p6)
     half = -sum(math.log(min(max(p, 1e-12), 1.0)) for p in tests)
-    band = min(n.bit_length(), 8)
-    return f"{name}/{band}", min(1.0, math.exp(-half) * sum(half**i / math.factorial(i) for i in range(len(tests))))
+    step = max(n.bit_length() - 3, 0)
+    return f"{name}/{min(n >> step << step, 128)}", half
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str, float]]]:
@@ -205,34 +227,74 @@ def _ordinary(name: str, length: int, rng: random.Random) -> str:
     return "".join(c if c in _INDEX[name] else "2" for c in out)
 
 
+@lru_cache(maxsize=None)
+def _statistics() -> np.ndarray:
+    """Fisher's statistic at the bins' lower edges (infinite at p = 0)."""
+    out = [math.inf]
+    for p in np.arange(1, BINS) / BINS:
+        lo, hi = 0.0, 100.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if _fisher(mid) > p else (lo, mid)
+        out.append(lo)
+    return np.array(out)
+
+
 @lru_cache(maxsize=None)
 def _survival(stratum: str) -> np.ndarray:
-    """S at the bins' lower edges, from NULLS ordinary tokens of the stratum; never quite 0."""
+    """Share of ordinary tokens of the stratum at or above the bins' lower edges, from NULLS made ones."""
     name, band = stratum.split("/")
     rng = random.Random(stratum)
-    least, most = max(MIN_TOKEN, 1 << (int(band) - 1)), (1 << int(band)) - 1 if int(band) < 8 else 300
+    least = int(band)
+    most = least + (1 << least.bit_length() - 3) - 1 if least < 128 else 300
     found = []
     while len(found) < NULLS:
         token = _ordinary(name, rng.randint(least, most), rng)
-        got = randomness(token if any(c.isalpha() for c in token) else "a" + token[1:])
-        found.append(got[1] if got else 0.0)
-    edges = np.arange(BINS) / BINS
-    return ((np.array(found)[:, None] >= edges).sum(0) + 1) / (NULLS + 1)
+        got = _evidence(token if any(c.isalpha() for c in token) else "a" + token[1:])
+        found.append(got[1] if got else math.inf)
+    x = np.sort(np.maximum(found, 1e-9))
+    u, edges = x[TAIL], _statistics()
+    power = TAIL / max(float(np.log(u / x[:TAIL]).sum()), 1e-9)  # Hill's estimate
+    return np.where(edges < u, TAIL / NULLS * (np.minimum(edges, u) / u) ** power, np.searchsorted(x, edges, "right") / NULLS)
+
+
+def _own_tail(near: float, far: float, ordinary: float, secrets: float) -> np.ndarray:
+    """Ordinary tokens at or above the bins' lower edges, from the corpus's counts in the two ranges.
+
+    The power is at least that between the ranges and the statistic's greatest value, as tails
+    get steeper towards their end.
+    """
+    a, b, c = RANGES
+    due = secrets * (_fisher(a) - _fisher(b))  # that many of the near range's tokens are secrets
+    near = max(0.0, near - due - 2 * math.sqrt(due))
+    power = max(1.0, math.log(max(ordinary, 1.0) / max(near + far, 1.0)) / math.log(GREATEST / c))
+    if not near:
+        return max(far, 1.0) * (_statistics() / c) ** power
+    power = max(power, math.log(max(far, 1.0) / near) / math.log(b / a))
+    return near / ((b / a) ** power - 1) * (_statistics() / a) ** power
 
 
 def thresholds(found: DataFrame, rate: float = RATE) -> dict[str, float]:
-    """The least accepted p-value of each stratum; counts of all candidates, in BINS bins."""
+    """The least accepted p-value of each stratum; counts of all candidates, in BINS bins and the ranges."""
     each = found.select(F.explode(F.filter("found", lambda s: s["p"].isNotNull())).alias("s"))
-    counts = each.groupBy("s.stratum", F.least(F.floor(F.col("s.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).count().collect()  # at most encodings x length bands x BINS rows
+    a, b, c = map(_fisher, RANGES)
+    bin = F.when(F.col("s.p") >= a, F.least(F.floor(F.col("s.p") * BINS), F.lit(BINS - 1)).cast("int")).when(F.col("s.p") >= b, -1).when(F.col("s.p") >= c, -2).otherwise(-3)
+    counts = each.groupBy("s.stratum", bin.alias("bin")).count().collect()  # at most encodings x length bands x (BINS + 3) rows
     out = {}
     for g in {r["stratum"] for r in counts}:
-        h = np.zeros(BINS)
+        h, low = np.zeros(BINS), {-1: 0, -2: 0, -3: 0}
         for r in counts:
             if r["stratum"] == g:
-                h[r["bin"]] += r["count"]
+                h[max(r["bin"], 0)] += r["count"]
+                if r["bin"] < 0:
+                    low[r["bin"]] = r["count"]
         above = h[::-1].cumsum()[::-1]
         edges = np.arange(BINS) / BINS
-        ok = np.flatnonzero((h.sum() * _survival(g) <= rate * above) & (edges > 0) & (above > 0))
+        secrets = 2 * above[BINS // 2]  # their p-values are uniform
+        false = _own_tail(low[-1], low[-2], h.sum() - secrets, secrets)
+        if h.sum() - secrets < NULLS:
+            false = np.maximum(false, h.sum() * _survival(g))
+        ok = np.flatnonzero((false <= rate * above) & (edges > 0) & (above > 0))
         out[g] = float(edges[ok[0]]) if len(ok) else 2.0
     return out
 

@@ -256,3 +256,19 @@ def test_redaction(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in secret_scan.redact(table).collect()}
     text = "é [SECRET] and [SECRET]"
     assert got[1][0].startswith(text) and got[1][1] == len(got[1][0]) and got[2] == ("nothing here", 12) and got[3] == (None, None)
+
+
+def slug(rng):
+    """An ordinary token of base62 characters that isn't made of the module's words."""
+    return "".join("".join(rng.choice(("ta", "re", "min", "no", "lun", "ke", "so", "pi")) for _ in range(3)).capitalize() for _ in range(6)) + str(rng.randrange(1990, 2030))
+
+
+def test_rare_secrets_among_ordinary_tokens(spark):
+    rng = random.Random(8)
+    texts = [" ".join(slug(rng) for _ in range(20)) for _ in range(400)]
+    rows = [(100 + i, t) for i, t in enumerate(texts)] + [(i, f"see {k} here") for i, k in enumerate(KEYS)]  # 0.1 % keys
+    got = {r.doc_id: [(s.start, s.kind, s.stop) for s in r.spans] for r in secret_scan.find_secrets(docs(spark, rows)).collect()}
+    assert sum(got[i] == [(4, 3, 4 + len(k))] for i, k in enumerate(KEYS)) >= 7
+    assert sum(len(got[100 + i]) for i in range(400)) <= 1
+    clean = secret_scan.find_secrets(docs(spark, rows[:400])).where("size(spans) > 0").count()
+    assert clean <= 1
