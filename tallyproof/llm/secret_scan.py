@@ -1,10 +1,13 @@
 r"""Secrets in texts: fixed patterns, and a battery of randomness tests for unnamed keys.
 
 Patterns (kinds assign, access, hex) find what looks like a secret by its form. Beyond
-them, every token of 20 or more of [A-Za-z0-9+/_=-] with a
-digit and a letter is a candidate:
+them, runs of 20 or more of [A-Za-z0-9+/_=-] are cut at inner '=' (name=value). A piece that
+no encoding holds, or that as a whole is no random text, is also cut at '/' and '+', at '-'
+and '_', and at all of these, so a value is found behind a name, prefix or path. Every piece
+or part of 20 or more with a letter is a candidate:
 
-* its encoding is inferred from the characters (hex, base32, base36, base62, base64);
+* its encoding is inferred from the characters (hex, letters of
+  one or both cases, base32, base36, base62, base64);
 * tests ask if it could be uniform random text of that alphabet: chi-squared uniformity of
   the symbols (exact mean and variance of the statistic for its length) and of the shares
   of digits, vowels and consonants; Wald-Wolfowitz runs of the alphabet's lower and upper
@@ -59,6 +62,11 @@ TAIL = 40
 RANGES = (15.0, 21.0, 29.4)
 GREATEST = -6 * math.log(1e-12)
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
+#: A piece between '='; those at the end of a run are padding.
+_PIECE = re.compile(r"[A-Za-z0-9+/_-]+(?:=+$)?")
+_CUTS = tuple(map(re.compile, ("[^/+]+", "[^_-]+", "[^/+_-]+")))
+#: A piece with a p-value below is looked at in parts.
+WHOLE = 0.01
 
 
 def _set(chars: str) -> np.ndarray:
@@ -69,12 +77,14 @@ def _set(chars: str) -> np.ndarray:
 
 _DIGITS, _LOWERS, _UPPERS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TOKEN_BYTES = _set(_DIGITS + _LOWERS + _UPPERS + "+/_=-")
-_DIGIT_BYTES = _set(_DIGITS)
 _HEX_BYTES = _set(_DIGITS + "abcdef")
 #: Encodings by alphabet, the first that holds all of a token's characters counts.
 ENCODINGS = (
     ("hex", _DIGITS + "abcdef"),
     ("HEX", _DIGITS + "ABCDEF"),
+    ("UPPER", _UPPERS),
+    ("lower", _LOWERS),
+    ("letters", _UPPERS + _LOWERS),
     ("base32", _UPPERS + "234567"),
     ("base36", _DIGITS + _LOWERS),
     ("BASE36", _DIGITS + _UPPERS),
@@ -138,7 +148,7 @@ def _evidence(token: str) -> tuple[str, float] | None:
     seen = np.bincount(kind, minlength=len(share))
     used = share > 0
     chi = float(((seen - n * share)[used] ** 2 / (n * share[used])).sum())
-    df = int(used.sum()) - 1
+    df = max(int(used.sum()) - 1, 1)
     p4 = _upper(((chi / df) ** (1 / 3) - 1 + 2 / (9 * df)) / math.sqrt(2 / (9 * df)))  # Wilson-Hilferty
     same, q = int((kind[1:] == kind[:-1]).sum()), float((share**2).sum())
     p5 = 2 * _upper(abs(same - (n - 1) * q) / math.sqrt((n - 1) * q * (1 - q)))
@@ -151,6 +161,33 @@ def _evidence(token: str) -> tuple[str, float] | None:
     return f"{name}/{min(n >> step << step, 128)}", half
 
 
+def _candidates(run: str) -> list[tuple[int, int, str, float]]:
+    """(start, end, stratum, p) of what is judged in a run of token characters; without overlaps."""
+    out = []
+    for m in _PIECE.finditer(run):
+        piece, at = m[0], m.start()
+        if len(piece) < MIN_TOKEN:
+            continue
+        whole = randomness(piece)
+        if whole and whole[1] >= WHOLE:
+            out.append((at, m.end(), *whole))
+            continue
+        parts = {}
+        for cut in _CUTS:
+            for c in cut.finditer(piece):
+                if MIN_TOKEN <= len(c[0]) < len(piece) and c.span() not in parts and (found := randomness(c[0])):
+                    parts[c.span()] = found
+        # Random parts first, the longest of them; the others are judged as they are.
+        taken: list[tuple[int, int]] = []
+        for (s, e), found in sorted(parts.items(), key=lambda x: (x[1][1] < WHOLE, x[0][0] - x[0][1], x[0])):
+            if all(e <= a or s >= b for a, b in taken):
+                taken.append((s, e))
+                out.append((at + s, at + e, *found))
+        if whole and not taken:
+            out.append((at, m.end(), *whole))
+    return sorted(out)
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str, float]]]:
     """(pattern spans (start, end, kind index)), (candidates (start, end, stratum, p)) of one text, in code points."""
     base = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -159,8 +196,10 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, st
     base.sort(key=lambda s: (s[0], s[2]))
     more = []
     for m in _TOKEN.finditer(text):
-        if any(c in _DIGITS for c in m[0]) and not any(s < m.end() and e > m.start() for s, e, _ in base) and (found := randomness(m[0])):
-            more.append((m.start(), m.end(), *found))
+        for a, b, *found in _candidates(m[0]):
+            a, b = m.start() + a, m.start() + b
+            if not any(s < b and e > a for s, e, _ in base):
+                more.append((a, b, *found))
     return base, more
 
 
@@ -168,9 +207,7 @@ def _suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Rows of a block that hold anything that scan() could find."""
     at = [np.zeros(0, np.int64)]
     s, e = token_spans(data, offsets, _TOKEN_BYTES)
-    long = e - s >= MIN_TOKEN
-    digits = np.concatenate([[0], np.cumsum(_DIGIT_BYTES[data], dtype=np.int64)])
-    at.append(s[long][digits[e[long]] > digits[s[long]]])
+    at.append(s[e - s >= MIN_TOKEN])
     s, e = token_spans(data, offsets, _HEX_BYTES)
     at.append(s[e - s >= 24])
     plain, lower = data.tobytes(), LOWER[data].tobytes()
@@ -220,8 +257,8 @@ def _ordinary(name: str, length: int, rng: random.Random) -> str:
     joiner = {"base64": "/", "base64url": "-"}.get(name, "")
     out = ""
     while len(out) < length:
-        word = rng.choice(_COMMON) if rng.random() < 0.8 else str(rng.randrange(1990, 2030) if rng.random() < 0.5 else rng.randrange(100))
-        word = word.upper() if name in ("base32", "BASE36") else word.capitalize() if name == "base62" else word
+        word = rng.choice(_COMMON) if name in ("UPPER", "lower", "letters") or rng.random() < 0.8 else str(rng.randrange(1990, 2030) if rng.random() < 0.5 else rng.randrange(100))
+        word = word.upper() if name in ("UPPER", "base32", "BASE36") else word.capitalize() if name in ("letters", "base62") else word
         out += (joiner if out else "") + word
     out = out[:length]
     return "".join(c if c in _INDEX[name] else "2" for c in out)

@@ -272,3 +272,21 @@ def test_rare_secrets_among_ordinary_tokens(spark):
     assert sum(len(got[100 + i]) for i in range(400)) <= 1
     clean = secret_scan.find_secrets(docs(spark, rows[:400])).where("size(spans) > 0").count()
     assert clean <= 1
+
+
+def test_secrets_behind_names_and_paths_and_of_letters(spark):
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    forms = ("AWS_SECRET_ACCESS_KEY={}", "export STRIPE_KEY=sk_live_{}", "/srv/my-app_data/keys/{}", "a=b={}==", "{}")
+    rows, where, n = [], {}, 0
+    for form in forms:
+        for _ in range(12):
+            key = "".join(rng.choice(letters if form == "{}" else letters + "0123456789") for _ in range(44))
+            rows.append((n, form.format(key)))
+            where[n] = (form.index("{}"), form.index("{}") + 44)
+            n += 1
+    got = {r.doc_id: [(s.start, s.stop) for s in r.spans] for r in secret_scan.find_secrets(docs(spark, rows)).collect()}
+    hit = [any(s <= where[i][0] and e >= where[i][1] for s, e in got[i]) for i in range(n)]
+    assert all(sum(hit[k : k + 12]) >= 10 for k in range(0, n, 12)), [sum(hit[k : k + 12]) for k in range(0, n, 12)]
+    safe = {r.doc_id: r.text for r in secret_scan.redact(docs(spark, rows)).collect()}
+    assert all((t[where[i][0] : where[i][1]] not in safe[i]) == hit[i] for i, t in rows)
