@@ -68,6 +68,21 @@ def test_near_copies_stage_on_odd_rows(spark):
     assert sorted((r.doc_id or -1) for r in got) == [-1, -1, 1, 3]
 
 
+def test_near_copies_stage_drops_copies_from_080_on(spark):
+    rng = random.Random(6)
+    rows, stay = [], set()
+    for i in range(0, 60, 3):
+        w = [f"w{rng.random()}" for _ in range(100)]
+        near, far = w[:], w[:]
+        near[30] = near[60] = "x"  # 86 of 106 shingles, 0.81
+        far[20] = far[40] = far[60] = "y"  # 81 of 111 shingles, 0.73
+        for k, words in enumerate((w, near, far)):
+            rows.append((i + k, " ".join(words), "x", "s", 1))
+        stay |= {i, i + 2}
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert {r.doc_id for r in got} == stay
+
+
 def test_run_mixes_what_is_left(spark, corpus):
     path, rows, role = corpus
     out = corpus_pipeline.run(spark, path)
