@@ -50,9 +50,8 @@ def threshold_top_k(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np
     """For each query the block's best k rows, as (query index, row indexes, scores); ids ascend.
 
     Depths are read in rounds. After a round a query whose bound is below its kth score is
-    finished. One whose bound at the next depth still exceeds even its best score has no
-    use for another short round: it reads its lists to the end, together with all such
-    queries, so their remaining rows are scored by one matrix product.
+    finished. One that no depth but the last can finish reads its lists to the end, together
+    with all such queries, so their remaining rows are scored by one matrix product.
     """
     n, d = v.shape
     exact = float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * d < 2**53
@@ -80,9 +79,6 @@ def threshold_top_k(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np
             if len(rows) == k and bound[i, j] < scores[-1]:
                 yield i, rows, scores
                 break
-            if not len(rows) or bound[i, j + 1] > scores[0]:
-                to_end.append(i)
-                break
         else:
             to_end.append(i)
     for x in range(0, len(to_end), 128):

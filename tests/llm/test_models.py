@@ -149,6 +149,14 @@ def test_top_k_stops_early_and_handles_few_rows(spark):
     assert topk.exact_top_k(topk.integer_vectors(table.where("false")), F.lit(True)).count() == 0
 
 
+def test_top_k_reads_on_until_the_bound_is_met(monkeypatch):
+    ids, v = np.arange(5000), np.zeros((5000, 2))
+    v[:100, 0], v[100:200, 1] = 9, 9  # at depths 8 and 32 the bound of 18 exceeds the best score of 9, at 128 it is 0
+    monkeypatch.setattr(np, "partition", lambda *_, **__: pytest.fail("scored against the whole block"))
+    ((_, rows, _),) = list(topk.threshold_top_k(ids, v, np.array([-1]), np.array([[1.0, 1.0]]), 3))
+    assert rows.tolist() == [0, 1, 2]
+
+
 def slow_alignment(a, b, penalty=0.5):
     h = np.zeros((len(a) + 1, len(b) + 1))
     for i in range(1, len(a) + 1):
