@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .sampling import sample, split_of, with_text
 from .trees import BoostedTrees, Isotonic
-from .words import LOWER, mix64, prefix_hashes, span_hashes, text_blocks, token_spans
+from .words import LOWER, byte_hashes, lanes, mix64, text_blocks, token_spans
 
 SAMPLE = 12_000
 LEXICON = 4096
@@ -67,14 +67,10 @@ def _known(words) -> np.ndarray:
     out = []
     for w in words:
         d = PLAIN[np.frombuffer(w.encode(), np.uint8)]
-        out.append(_hash(prefix_hashes(d), np.array([0]), np.array([len(d)]))[0])
+        out.append(byte_hashes(d, np.array([0]), np.array([len(d)]), 2)[0])
     return np.unique(np.array(out, _U))
 
 
-def _hash(prefix, start, end):
-    return mix64(span_hashes(prefix, start, end) + (end - start).astype(_U), 2)
-
-
 def _isin(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     if not len(table) or not len(x):
         return np.zeros(len(x), bool)
@@ -84,10 +80,11 @@ def _isin(x: np.ndarray, table: np.ndarray) -> np.ndarray:
 def _words(data: np.ndarray, offsets: np.ndarray):
     """Words of a block: starts, ends, bounds by document, and keys (whole word, first 4 and first 5 bytes)."""
     start, end = token_spans(data, offsets, _TOKEN)
-    prefix = prefix_hashes(PLAIN[data])
-    keys = [_hash(prefix, start, end)]
+    plain = PLAIN[data]
+    view = lanes(plain)
+    keys = [byte_hashes(plain, start, end, 2, view)]
     for k in (4, 5):
-        keys.append(np.where(end - start >= k, mix64(_hash(prefix, start, np.minimum(end, start + k)), 40 + k), _U(0)))
+        keys.append(np.where(end - start >= k, mix64(byte_hashes(plain, start, np.minimum(end, start + k), 2, view), 40 + k), _U(0)))
     return start, end, np.searchsorted(start, offsets), keys
 
 

@@ -8,6 +8,7 @@ block of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +20,10 @@ BLOCK_BYTES = 1 << 20
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: list[np.ndarray] = []
 
 
 def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A 64-bit finaliser (xor-shift and multiply), applied to each element."""
+    """A 64-bit finaliser (xor-shift and multiply), applied to each element; one-to-one for a salt."""
     with np.errstate(over="ignore"):
         z = x + _U((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF)
         z ^= z >> _U(30)
@@ -35,51 +34,111 @@ def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return z
 
 
-#: A random 64-bit value for each byte.
-BYTE_VALUE = mix64(np.arange(256, dtype=_U), 7)
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as one number (zeros beyond the end); a view for each shift."""
+    padded = np.concatenate([data, np.zeros(16 - len(data) % 8, np.uint8)])
+    out = np.empty(len(padded) - 8, _U)
+    for k in range(8):
+        out[k::8] = padded[k : k + (len(out) - k + 7) // 8 * 8].view(_U)
+    return out[: len(data) + 1]
 
 
-#: Powers are products of two small tables, by the low and the high bits of the exponent.
-_LOW_BITS = 16
-_LOW = 1 << _LOW_BITS
+#: Longest span that is hashed lane by lane; a longer one is hashed by itself.
+_LANES = 32
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Tables of B**i and B**-i modulo 2**64 for exponents up to n: low, high, low and high of the inverse."""
-    high = (n >> _LOW_BITS) + 1
-    if not _POWERS or len(_POWERS[1]) < high:
-        tables = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            for step, size in ((base, _LOW), (pow(base, _LOW, 1 << 64), max(high, 64))):
-                with np.errstate(over="ignore"):
-                    tables.append(np.cumprod(np.concatenate([[_U(1)], np.full(size - 1, _U(step), _U)])))
-        _POWERS[:] = tables
-    return _POWERS
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0, view: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of byte spans: the length and each 8 bytes pass through mix64 in turn.
 
-
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Prefix sums S of value[byte] * B**i; any substring's hash follows from two of them."""
-    low, high, _, _ = _powers(len(data))
-    out = np.zeros(len(data) + 1, _U)
-    with np.errstate(over="ignore"):
-        for k in range(0, len(data), _LOW):  # a piece's temporaries stay small, however long the text
-            part = data[k : k + _LOW]
-            t = BYTE_VALUE[part]
-            t *= low[: len(part)]
-            t *= high[k >> _LOW_BITS]
-            t[0] += out[k]
-            np.cumsum(t, out=out[k + 1 : k + 1 + len(part)])
+    No algebraic structure: which bytes collide depends on all of them. Spans of more than
+    8 * _LANES bytes are hashed by BLAKE2b.
+    """
+    view = lanes(data) if view is None else view
+    size = ends - starts
+    out = mix64(size.astype(_U), 100 + salt)
+    live = np.flatnonzero((size > 0) & (size <= 8 * _LANES))
+    k = 0
+    while len(live):
+        left = np.minimum(size[live] - k, 8).astype(_U)
+        x = view[starts[live] + k] & (~_U(0) >> (_U(64) - left * _U(8)))
+        out[live] = mix64(out[live] ^ x, 200 + salt)
+        k += 8
+        live = live[size[live] > k]
+    for i in np.flatnonzero(size > 8 * _LANES):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([salt])).digest(), "little")
     return out
 
 
-def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of the byte spans [start, end), from prefix_hashes()."""
-    _, _, low, high = _powers(len(prefix))
-    with np.errstate(over="ignore"):
-        out = prefix[ends] - prefix[starts]
-        out *= low[starts & (_LOW - 1)]
-        out *= high[starts >> _LOW_BITS]
-    return out
+class PrefixHashes:
+    """Prefix polynomial hashes of a byte string, modulo the prime 2**31 - 1 in two bases.
+
+    The hash of any span follows from two prefixes: H[end] - H[start] * B**length. Kept as
+    two arrays of 32 bits. Spans of up to PIECE bytes can be asked for.
+    """
+
+    PRIME = _U((1 << 31) - 1)
+    PIECE = 1 << 16
+    _tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    @classmethod
+    def tables(cls):
+        """Of both bases: a value for each byte, powers, and inverse powers."""
+        if not cls._tables:
+            p = int(cls.PRIME)
+            for k in (0, 1):
+                base = int(mix64(np.array([k], _U), 51)[0]) % (p - 2) + 2
+                out = []
+                for b in (base, pow(base, -1, p)):
+                    powers = [1]
+                    for _ in range(cls.PIECE):
+                        powers.append(powers[-1] * b % p)
+                    out.append(np.array(powers, _U))
+                values = mix64(np.arange(256, dtype=_U), 7 + k) % _U(p - 1) + _U(1)
+                cls._tables.append((values, *out))
+        return cls._tables
+
+    @classmethod
+    def reduce(cls, x: np.ndarray) -> np.ndarray:
+        """x modulo the prime."""
+        for _ in range(2):
+            x = (x & cls.PRIME) + (x >> _U(31))
+        return np.where(x >= cls.PRIME, x - cls.PRIME, x)
+
+    def __init__(self, data: np.ndarray):
+        self.h = []
+        for value, power, inverse in self.tables():
+            h = np.zeros(len(data) + 1, np.uint32)
+            for k in range(0, len(data), self.PIECE):  # a piece's temporaries stay small, however long the text
+                v = value[data[k : k + self.PIECE]]
+                v[0] += int(h[k]) * int(power[1]) % int(self.PRIME)
+                v *= inverse[: len(v)]
+                v = self.reduce(np.cumsum(self.reduce(v)))
+                v *= power[: len(v)]
+                h[k + 1 : k + 1 + len(v)] = self.reduce(v)
+            self.h.append(h)
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Both hashes of each span, as one number of 62 bits."""
+        out = np.zeros(len(start), _U)
+        for h, (_, power, _) in zip(self.h, self.tables()):
+            x = self.reduce(h[start].astype(_U) * power[end - start])
+            out = (out << _U(31)) + self.reduce(h[end] + (self.PRIME - x))
+        return out
+
+    def common_extension(self, a: np.ndarray, b: np.ndarray, most: np.ndarray | int) -> np.ndarray:
+        """Longest common extension, up to `most`, of the suffixes at a and b: binary search over the hashes."""
+        low, high = np.zeros(len(a), np.int64), np.broadcast_to(np.asarray(most, np.int64), len(a)).copy()
+        # H[a + m] - H[b + m] = (H[a] - H[b]) * B**m where the first m bytes agree.
+        apart = [self.reduce(h[a].astype(_U) + (self.PRIME - h[b].astype(_U))) for h in self.h]
+        while (open_ := low < high).any():
+            mid = (low + high + 1) >> 1
+            same = open_.copy()
+            for h, d, (_, power, _) in zip(self.h, apart, self.tables()):
+                far = self.reduce(h[a + mid].astype(_U) + (self.PRIME - h[b + mid].astype(_U)))
+                same &= far == self.reduce(d * power[mid])
+            low = np.where(same, mid, low)
+            high = np.where(same | ~open_, high, mid - 1)
+        return low
 
 
 def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -129,14 +188,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, is_token: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, is_token: np.ndarray = WORD_BYTES, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a block's words in order, and each document's range in them (n + 1 bounds).
 
     `data` should be lower-cased already where case doesn't matter.
     """
     starts, ends = token_spans(data, offsets, is_token)
-    hashes = mix64(span_hashes(prefix_hashes(data), starts, ends) + (ends - starts).astype(_U))
-    return hashes, np.searchsorted(starts, offsets)
+    return byte_hashes(data, starts, ends, salt), np.searchsorted(starts, offsets)
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
