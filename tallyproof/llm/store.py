@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -35,12 +34,6 @@ class Store:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def settle(self) -> None:
-        """Let go of finished jobs: Spark deletes their shuffle files once the driver's garbage is collected."""
-        for _ in range(2):
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, df: DataFrame | None) -> None:
         """Delete the files of a kept table that nothing lazy reads any more."""
         for path in {f.rsplit("/", 1)[0] for f in (df.inputFiles() if df is not None else [])}:

@@ -1,33 +1,35 @@
 """Removal of every byte that lies in a 100-byte string which also starts earlier.
 
-The suffixes of a whole corpus don't fit one sort, so anchors first bring equal strings
-together, and a suffix sort follows where it is needed.
+The suffixes of a whole corpus don't fit one sort, so anchors first bring suffixes that can
+be equal together; a suffix sort then decides which are, and only it removes anything.
 
 1. Anchors. Within a 100-byte window the 32-byte gram with the least hash is its anchor
    (ties: the first), so equal windows have equal anchors at equal places. Neighbouring
    windows mostly share theirs: about one anchor in 35 bytes, each with the run of windows
-   that it serves. One row leaves for an anchor: the gram's hash, a hash of the run's whole
-   text, document, place. Runs that a task has already seen leave as "removed" at once, so
-   a passage in a third of all documents leaves a task once.
-2. By gram. Equal runs: all but the earliest are removed. A gram with one run only is
-   finished. Runs that differ but share a gram (a repeated passage's edges, edited copies)
-   go on. A gram that already has more than HOT runs within a task isn't gathered: its
-   rows are dealt by run, and one mark tells the others with this gram to go on too.
+   that it serves. Runs of one batch of texts that share gram and shape are sorted as
+   suffixes; of equal ones all but the earliest are removed, so a passage in a third of all
+   documents leaves a batch once. One row leaves for each other run: gram, document, place.
+2. By gram. Rows are sorted by gram; one whose gram no other row has is finished, all others
+   go on. Beyond HOT runs of one gram in a batch they go on at once, and one mark of the gram
+   meets the rows elsewhere, so a gram in a third of all documents is gathered nowhere.
 3. The text of these runs is fetched and cut in two: windows that start near the gram hold
-   the 66 bytes from the gram on, the others the 67 bytes that end with it. These bytes
-   are the key they meet by, so windows that can't be equal rarely meet; equal pieces
-   that a task has already seen leave as removed.
-4. Suffix sort. Under each key the suffixes at one distance from the gram are sorted by a
-   bottom-up mergesort. Two suffixes are compared by their longest common extension, found
-   by binary search over polynomial prefix hashes (7 steps for 100 bytes), then by one
-   byte. Neighbours that agree on 100 bytes by hash are verified byte by byte; in each
-   class all but the earliest are removed.
+   the 66 bytes from the gram on, the others the 67 bytes that end with it. These bytes are
+   the key they meet by, so windows that can't be equal rarely meet. Equal pieces of a batch
+   are sorted out as in step 1.
+4. Suffix sort. Under each key equal pieces are sorted out first; of the others, the
+   suffixes at one distance from the gram are sorted window by window. In each class of
+   equal ones all but the earliest are removed.
 5. The removed intervals join the texts by document.
 
-Order: smaller doc_id, or same doc_id and earlier start. Null text is empty; a null doc_id
-counts as the smallest id; texts under 100 bytes lose nothing. Repeated rows with one
-doc_id have equal starts, so neither is earlier than the other; rows of one doc_id with
-different texts pool their removed places. Other columns are not read.
+Every sort is a bottom-up mergesort. Two suffixes are compared by their longest common
+extension, found by binary search over prefix polynomial hashes (7 steps for 100 bytes),
+then by one byte. Neighbours that agree by hash are verified byte by byte.
+
+Order: smaller doc_id, or same document and earlier start. Null text is empty; a null doc_id
+counts as the smallest id; texts under 100 bytes lose nothing. Rows that share a doc_id but
+not the text are documents of their own, in the order of a hash of their texts; repeated
+rows (equal id and text) have equal starts, so neither is earlier than the other. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -40,31 +42,47 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .groups import bounds_of
 from .store import Store
-from .words import mix64, prefix_hashes, span_hashes, text_blocks
+from .words import PrefixHashes, byte_hashes, lanes, mix64, text_blocks
 
 LENGTH = 100
 GRAM = 32
-#: Differing runs of one gram in a task beyond which the gram's rows are dealt by run.
+#: Differing runs of one gram in a batch beyond which they aren't gathered by gram.
 HOT = 32
-_PIECE = 1 << 21
+#: Bytes of text whose runs are sorted together in a task.
+BATCH = 1 << 23
+_PIECE = 1 << 20
 _LEAST = -(1 << 63)
 _U = np.uint64
 
 
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (size[0] of them), then first[1], ..."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - size), size)
+
+
+def _grams(data: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the `size` bytes from each place on."""
+    n, view = len(data) - size + 1, lanes(data)
+    mixed = mix64(view, 1)
+    out = np.zeros(n, _U)
+    with np.errstate(over="ignore"):
+        for k, at in enumerate([*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]):
+            out += mixed[at : at + n] * (mix64(np.array([k], _U), 15)[0] | _U(1))
+    return mix64(out, 2)
+
+
 def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """Of a block: (first window, number of windows, anchor, gram hash, run hash), windows by their starts."""
+    """Of a block: (first window, number of windows, anchor, gram hash), windows by their starts."""
     parts = []
     valid_end = np.maximum(offsets[1:] - length + 1, offsets[:-1])  # windows of a document start before this
     for x in range(0, max(len(data) - length + 1, 0), _PIECE):
         part = data[x : x + _PIECE + length - 1]
         n = len(part) - length + 1
-        if n <= 0:
-            break
-        prefix = prefix_hashes(part)
-        at = np.arange(len(part) - gram + 1)
-        grams = mix64(span_hashes(prefix, at, at + gram))
-        key = (grams & ~_U((1 << 24) - 1)) | at.astype(_U)
+        grams = _grams(part, gram)
+        key = (grams & ~_U((1 << 24) - 1)) | np.arange(len(grams)).astype(_U)
         w = length - gram + 1
         padded = np.concatenate([key, np.full(-len(key) % w + w, ~_U(0), _U)]).reshape(-1, w)
         left = np.minimum.accumulate(padded, axis=1).ravel()
@@ -79,130 +97,35 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
         new[1:] &= ~ok[:-1] | (anchor[1:] != anchor[:-1])
         starts = np.flatnonzero(new)
         stops = np.flatnonzero(ok & np.concatenate([~ok[1:] | (anchor[1:] != anchor[:-1]), [True]])) + 1
-        count, a = stops - starts, anchor[starts]
-        shape = ((a - starts) * 256 + count).astype(_U)
-        run = mix64(span_hashes(prefix, starts, stops + length - 1) ^ mix64(shape, 5), 6)
-        parts.append((starts + x, count, a + x, grams[a], run))
+        a = anchor[starts]
+        parts.append((starts + x, stops - starts, a + x, grams[a]))
     if not parts:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, _U, _U))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, _U))
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
-def _later(gram, run, doc, lo):
-    """Order of rows by (gram, run, doc, lo); True where a row isn't the first of its (gram, run)."""
-    order = np.lexsort((lo, doc, run, gram))
-    same = np.zeros(len(order), bool)
-    g, r, d, s = gram[order], run[order], doc[order], lo[order]
-    equal = (g[1:] == g[:-1]) & (r[1:] == r[:-1])
-    head = np.concatenate([[True], ~equal])[: len(order)]
-    first = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
-    same = (d != d[first]) | (s != s[first])  # the same place in a repeated row isn't later
-    return order, head, same
-
-
-def _batches(columns: dict[str, np.ndarray], rows: int = 100_000):
-    n = len(next(iter(columns.values())))
-    for i in range(0, n, rows):
-        yield pa.RecordBatch.from_arrays([pa.array(v[i : i + rows]) for v in columns.values()], list(columns))
-
-
-#: key: what a row is dealt by. Kinds of rows: a run of windows, a removed interval (from lo
-#: to run), a run of a hot gram, the mark of a hot gram.
-_ROW = "key bigint, kind int, gram bigint, run bigint, doc bigint, lo bigint, shape int"
-_PLAIN, _GONE, _DEALT, _MARK = range(4)
-
-
-def _rows(kind: int, key, gram, run, doc, lo, shape):
-    yield from _batches({"key": key, "kind": np.full(len(key), kind, np.int32), "gram": gram, "run": run, "doc": doc, "lo": lo, "shape": shape})
-
-
-def _removed(doc, lo, shape, length: int):
-    """Rows of the removed intervals, merged within what one task has seen; dealt by document."""
-    d, start, stop = _merge(doc, lo, lo + (shape & 255) + length - 1)
-    yield from _rows(_GONE, d, d, stop.astype(np.int64), d, start, np.zeros(len(d), np.int32))
-
-
-def _doc_ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(_LEAST).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def anchor_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = HOT) -> DataFrame:
-    def run(batches):
-        parts = []
-        for b in batches:
-            ids = _doc_ids(b.column(0))
-            for a, e, data, offs in text_blocks(b.column(1)):
-                lo, count, anchor, grams, runs = _anchors(data, offs, length, gram)
-                i = np.searchsorted(offs, lo, "right") - 1
-                parts.append((grams.view(np.int64), runs.view(np.int64), ids[a + i], lo - offs[i], ((anchor - lo) * 256 + count).astype(np.int32)))
-        if parts:
-            g, r, d, lo, shape = (np.concatenate(c) for c in zip(*parts))
-            order, head, later = _later(g, r, d, lo)
-            o = order[head]  # a repeated row's second copy of the same place says nothing new
-            first = np.flatnonzero(np.concatenate([[True], g[o][1:] != g[o][:-1]]))
-            hot = np.repeat(np.diff(np.append(first, len(o))) > most, np.diff(np.append(first, len(o))))
-            cold, warm = o[~hot], o[hot]
-            yield from _rows(_PLAIN, g[cold], g[cold], r[cold], d[cold], lo[cold], shape[cold])
-            dealt = mix64((g[warm] ^ r[warm]).view(np.uint64), 8).view(np.int64)
-            yield from _rows(_DEALT, dealt, g[warm], r[warm], d[warm], lo[warm], shape[warm])
-            m = np.unique(g[warm])
-            yield from _rows(_MARK, m, m, *(np.zeros(len(m), np.int64) for _ in range(3)), np.zeros(len(m), np.int32))
-            yield from _removed(d[order[later]], lo[order[later]], shape[order[later]], length)
-
-    return docs.select("doc_id", "text").mapInArrow(run, _ROW)
-
-
-def _by_gram(batches, length: int):
-    """Of whole grams: intervals pass on; the first of each run goes on if its gram has others."""
-    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(7)] for b in batches if b.num_rows]
-    if not parts:
-        return
-    key, kind, g, r, d, lo, shape = (np.concatenate(c) for c in zip(*parts))
-    gone = kind == _GONE
-    yield from _rows(_GONE, key[gone], g[gone], r[gone], d[gone], lo[gone], shape[gone])
-    live = np.flatnonzero((kind == _PLAIN) | (kind == _DEALT))
-    if not len(live):
-        return
-    order, head, later = _later(g[live], r[live], d[live], lo[live])
-    o = live[order]
-    group = np.cumsum(np.concatenate([[True], g[o][1:] != g[o][:-1]])) - 1
-    others = (np.bincount(group, weights=head)[group] > 1) | (kind[o] == _DEALT) | np.isin(g[o], g[kind == _MARK])
-    more = o[head & others]
-    yield from _rows(_PLAIN, g[more], g[more], r[more], d[more], lo[more], shape[more])
-    yield from _removed(d[o[later]], lo[o[later]], shape[o[later]], length)
-
-
-def common_extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Longest common extension, up to `most`, of the suffixes at a and b: binary search over prefix hashes."""
-    low, high = np.zeros(len(a), np.int64), np.full(len(a), most, np.int64)
-    while (open_ := low < high).any():
-        mid = (low + high + 1) >> 1
-        same = span_hashes(prefix, a, a + mid) == span_hashes(prefix, b, b + mid)
-        low = np.where(same & open_, mid, low)
-        high = np.where(same | ~open_, high, mid - 1)
-    return low
-
-
 def _less(data, prefix, a, b, most, or_equal):
-    n = common_extension(prefix, a, b, most)
+    n = prefix.common_extension(a, b, most)
     end = n == most
     i = np.where(end, 0, n)
     return np.where(end, or_equal, data[a + i] < data[b + i])
 
 
-def suffix_sort(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, segment: np.ndarray, most: int) -> np.ndarray:
+def suffix_sort(data: np.ndarray, prefix: PrefixHashes, at: np.ndarray, segment: np.ndarray, most: np.ndarray | int) -> np.ndarray:
     """Order of the suffixes `at`, by their first `most` bytes within each (non-decreasing) segment.
 
     A bottom-up mergesort, all segments' merges of a level at once: an element's place in
     the merged run is its own rank plus its rank in the sibling run, by binary search.
+    `most` may differ between segments.
     """
     n = len(at)
     order = np.arange(n)
     if not n:
         return order
-    head = np.concatenate([[True], segment[1:] != segment[:-1]])
-    start = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    size = np.diff(np.concatenate([np.flatnonzero(head), [n]]))[np.cumsum(head) - 1]
+    most = np.broadcast_to(np.asarray(most, np.int64), n)
+    bounds = bounds_of(segment)
+    sizes = np.diff(bounds)
+    start, size = np.repeat(bounds[:-1], sizes), np.repeat(sizes, sizes)
     length = 1
     active = np.flatnonzero(size > 1)
     while len(active):
@@ -220,7 +143,7 @@ def suffix_sort(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, segment: n
         while len(todo):
             mid = (lo[todo] + hi[todo]) >> 1
             other = at[order[base[todo] + mid]]
-            up = _less(data, prefix, other, element[todo], most, odd[todo])
+            up = _less(data, prefix, other, element[todo], most[active[todo]], odd[todo])
             lo[todo] = np.where(up, mid + 1, lo[todo])
             hi[todo] = np.where(up, hi[todo], mid)
             todo = todo[lo[todo] < hi[todo]]
@@ -233,57 +156,176 @@ def suffix_sort(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, segment: n
     return order
 
 
-def _sort_group(gram, doc, lo, shape, texts: pa.Array, length: int):
-    """Removed windows (doc, start) among the windows of pieces that share keys; whole keys come in."""
-    order = np.argsort(gram, kind="stable")
-    gram, doc, lo, shape = gram[order], doc[order], lo[order], shape[order]
-    _, _, raw = texts.take(pa.array(order)).buffers()
-    count, back = (shape & 255).astype(np.int64), (shape >> 8).astype(np.int64)
-    size = count + length - 1
-    base = np.concatenate([[0], np.cumsum(size)])[:-1]
-    data = np.frombuffer(raw, np.uint8)[: int(size.sum())]
-    prefix = prefix_hashes(data)
-    run = np.repeat(np.arange(len(gram)), count)
-    k = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-    # Segments: the gram, and how far before it the window starts.
-    group = np.cumsum(np.concatenate([[True], gram[1:] != gram[:-1]])) - 1
-    by = group[run] * 256 + (back[run] - k)
-    o = np.argsort(by, kind="stable")
-    run, k, by = run[o], k[o], by[o]
-    at = base[run] + k
-    s = suffix_sort(data, prefix, at, by, length)
-    run, k, by, at = run[s], k[s], by[s], at[s]
-    same = (by[1:] == by[:-1]) & (span_hashes(prefix, at[1:], at[1:] + length) == span_hashes(prefix, at[:-1], at[:-1] + length))
-    windows = np.lib.stride_tricks.sliding_window_view(data, length)
+def _classes(data: np.ndarray, prefix: PrefixHashes, at: np.ndarray, segment: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, class of each ordered suffix): equal classes have equal segments and equal `most` bytes, verified."""
+    order = suffix_sort(data, prefix, at, segment, most)
+    at, most = at[order], most[order]
+    same = (segment[1:] == segment[:-1]) if len(at) else np.zeros(0, bool)
     i = np.flatnonzero(same)
-    for x in range(0, len(i), 1 << 16):  # by bytes, against colliding hashes
-        j = i[x : x + (1 << 16)]
-        same[j] &= (windows[at[j]] == windows[at[j + 1]]).all(1)
-    cls = np.cumsum(np.concatenate([[True], ~same])) - 1
-    d, p = doc[run], lo[run] + k
-    o = np.lexsort((p, d, cls))
-    head = np.concatenate([[True], cls[o][1:] != cls[o][:-1]])
-    first = np.maximum.accumulate(np.where(head, np.arange(len(o)), 0))
-    later = (d[o] != d[o][first]) | (p[o] != p[o][first])
-    return d[o][later], p[o][later]
-
-
-def _merge(doc, start, stop):
+    same[i] = prefix.common_extension(at[i], at[i + 1], most[i]) == most[i]
+    i = np.flatnonzero(same)
+    for x in range(0, len(i), 1 << 14):  # by bytes, against colliding hashes
+        j = i[x : x + (1 << 14)]
+        differ = data[_spread(at[j], most[j])] != data[_spread(at[j + 1], most[j])]
+        first = np.cumsum(most[j]) - most[j]
+        same[j] &= ~np.logical_or.reduceat(differ, first)
+    return order, np.cumsum(np.concatenate([[True], ~same])[: len(at)]) - 1
+
+
+def _later(cls: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(indexes of the first of each class by place, indexes of those at a later place); repeated places are neither."""
+    if not len(cls):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort((*reversed(place), cls))
+    bounds = bounds_of(cls[order])
+    first = np.repeat(order[bounds[:-1]], np.diff(bounds))
+    later = np.zeros(len(order), bool)
+    for p in place:
+        later |= p[order] != p[first]
+    return order[bounds[:-1]], order[later]
+
+
+def _sort_out(data: np.ndarray, prefix: PrefixHashes, group: np.ndarray, shape: np.ndarray, at: np.ndarray, length: int, *place: np.ndarray):
+    """Runs (group, shape; their bytes from `at` on): indexes of the earliest of equal ones, and of later ones.
+
+    Only runs that share group and shape are sorted.
+    """
+    order = np.lexsort((shape, group))
+    g, s = group[order], shape[order]
+    pair = (g[1:] == g[:-1]) & (s[1:] == s[:-1]) if len(g) else np.zeros(0, bool)
+    segment = np.cumsum(np.concatenate([[True], ~pair])[: len(g)]) - 1
+    alone = np.bincount(segment)[segment] == 1 if len(g) else np.zeros(0, bool)
+    single, rest, segment = order[alone], order[~alone], segment[~alone]
+    o, cls = _classes(data, prefix, at[rest], segment, (shape[rest] & 255).astype(np.int64) + length - 1)
+    rest = rest[o]
+    first, later = _later(cls, *(p[rest] for p in place))
+    return np.concatenate([single, rest[first]]), rest[later]
+
+
+def _merge(doc, tie, start, stop):
     """Sorted, with touching intervals of a document merged."""
-    o = np.lexsort((start, doc))
-    doc, start, stop = doc[o], start[o], stop[o]
+    o = np.lexsort((start, tie, doc))
+    doc, tie, start, stop = doc[o], tie[o], start[o], stop[o]
     if not len(o):
-        return doc, start, stop
+        return doc, tie, start, stop
     # Furthest stop so far within the document, by one running maximum over doc-ordered keys.
-    group = np.cumsum(np.concatenate([[True], doc[1:] != doc[:-1]])) - 1
+    other = (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])
+    group = np.cumsum(np.concatenate([[True], other])) - 1
     span = int(stop.max()) + 1
     far = np.maximum.accumulate(group * span + stop) - group * span
-    head = np.concatenate([[True], (group[1:] != group[:-1]) | (start[1:] > far[:-1])])
+    head = np.concatenate([[True], other | (start[1:] > far[:-1])])
     last = np.concatenate([np.flatnonzero(head)[1:] - 1, [len(o) - 1]])
-    return doc[head], start[head], far[last]
+    return doc[head], tie[head], start[head], far[last]
+
+
+def _batches(columns: dict[str, np.ndarray], rows: int = 100_000):
+    n = len(next(iter(columns.values())))
+    for i in range(0, n, rows):
+        yield pa.RecordBatch.from_arrays([pa.array(v[i : i + rows]) for v in columns.values()], list(columns))
+
+
+def _text_batches(batches, text: str):
+    """(record batch, its rows a to e, bytes, offsets), gathered to some BATCH bytes of whole texts."""
+    held, size = [], 0
+    for b in batches:
+        for a, e, data, offs in text_blocks(b.column(b.schema.get_field_index(text)), BATCH):
+            if held and size + len(data) > BATCH:
+                yield held
+                held, size = [], 0
+            held.append((b.slice(a, e - a), data, offs))
+            size += len(data)
+    if held:
+        yield held
+
+
+def _together(held):
+    """The parts of a batch as one: bytes, offsets, and a table of the other columns."""
+    shift = np.cumsum([0, *(len(d) for _, d, _ in held)])
+    data = held[0][1] if len(held) == 1 else np.concatenate([d for _, d, _ in held])
+    offs = np.concatenate([[0], *(o[1:] + x for (_, _, o), x in zip(held, shift))])
+    return data, offs, pa.Table.from_batches([b for b, _, _ in held])
+
+
+def _ids(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(t[c].to_numpy().astype(np.int64) for c in ("doc", "tie"))
+
+
+#: Kinds of rows: a run of windows, a run that goes on, the mark of a hot gram, a removed interval.
+_PLAIN, _OPEN, _MARK, _GONE = range(4)
+#: key: what a row is dealt by; size: of runs the shape (windows, and 256 times the anchor's distance), of intervals the length.
+_ROW = "key bigint, kind int, doc bigint, tie bigint, lo int, size int"
 
 
-_PIECE_ROW = "key bigint, doc bigint, lo bigint, shape int, stop bigint, context binary"
+def _rows(kind: int, key, doc, tie, lo, size):
+    yield from _batches({"key": key, "kind": np.full(len(key), kind, np.int32), "doc": doc, "tie": tie, "lo": lo.astype(np.int32), "size": size.astype(np.int32)})
+
+
+def _gone(doc, tie, lo, shape, length: int):
+    """Rows of the removed intervals of runs, merged within a batch."""
+    d, t, start, stop = _merge(doc, tie, lo, lo + (shape & 255) + length - 1)
+    yield from _rows(_GONE, mix64(d.view(_U) ^ t.view(_U), 8).view(np.int64), d, t, start, stop - start)
+
+
+def anchor_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = HOT) -> DataFrame:
+    """Step 1. docs: (doc, tie, text)."""
+
+    def run(batches):
+        for held in _text_batches(batches, "text"):
+            data, offs, t = _together(held)
+            doc, tie = _ids(t)
+            at, count, anchor, g = _anchors(data, offs, length, gram)
+            of = np.searchsorted(offs, at, "right") - 1
+            lo, shape, g = at - offs[of], ((anchor - at) * 256 + count).astype(np.int32), g.view(np.int64)
+            first, later = _sort_out(data, PrefixHashes(data), g, shape, at, length, doc[of], tie[of], lo)
+            yield from _gone(doc[of[later]], tie[of[later]], lo[later], shape[later], length)
+            first = first[np.argsort(g[first], kind="stable")]
+            bounds = bounds_of(g[first]) if len(first) else np.zeros(1, np.int64)
+            hot = np.repeat(np.diff(bounds) > most, np.diff(bounds))
+            for kind, i in ((_PLAIN, first[~hot]), (_OPEN, first[hot])):
+                key = g[i] if kind == _PLAIN else mix64((doc[of[i]] + lo[i]).view(_U), 8).view(np.int64)
+                yield from _rows(kind, key, doc[of[i]], tie[of[i]], lo[i], shape[i])
+            m = np.unique(g[first[hot]])
+            yield from _rows(_MARK, m, *(np.zeros(len(m), np.int64) for _ in range(4)))
+
+    return docs.select("doc", "tie", "text").mapInArrow(run, _ROW)
+
+
+def _shared_grams(batches):
+    """Step 2, of rows sorted by key: runs whose gram no other row has are left out, a row at a time."""
+
+    def settle(c, has_next):
+        # A row's neighbours say enough; open runs and intervals have keys of their own.
+        key, kind = c["key"], c["kind"]
+        by_gram = (kind == _PLAIN) | (kind == _MARK)
+        same = np.zeros(len(key), bool)
+        g = np.flatnonzero(by_gram)
+        equal = key[g[1:]] == key[g[:-1]]
+        same[g[1:]] |= equal
+        same[g[:-1]] |= equal
+        keep = (kind == _GONE) | (kind == _OPEN) | ((kind == _PLAIN) & (same | c["tied"]))
+        tail = g[-1] if len(g) else -1
+        if has_next and tail >= 0:  # the last run waits for the next batch
+            keep[tail] = False
+            last = {k: v[tail : tail + 1] for k, v in c.items()} | {"tied": np.array([bool(same[tail] | c["tied"][tail])])}
+        else:
+            last = None
+        return {k: v[keep] for k, v in c.items() if k != "tied"}, last
+
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        c = {f.name: b.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(b.schema)} | {"tied": np.zeros(b.num_rows, bool)}
+        if last is not None:
+            c = {k: np.concatenate([last[k], v]) for k, v in c.items()}
+        out, last = settle(c, True)
+        yield from _batches(out)
+    if last is not None:
+        yield from _batches(settle(last, False)[0])
+
+
+#: Pieces of runs to be sorted, with their bytes, and removed intervals (size: their length) without.
+_PIECE_ROW = "key bigint, doc bigint, tie bigint, lo int, size int, piece binary"
 
 
 def _pieces(lo, shape, length: int, gram: int):
@@ -301,97 +343,123 @@ def _pieces(lo, shape, length: int, gram: int):
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def removed_intervals(docs: DataFrame, store: Store, length: int = LENGTH, gram: int = GRAM, most: int = HOT) -> DataFrame:
-    """(doc, start, stop): byte intervals to remove, not yet merged across rows; doc: doc_id, null as the least bigint."""
-    rows = store.keep(anchor_rows(docs, length, gram, most).repartition("key").mapInArrow(lambda batches: _by_gram(batches, length), _ROW))
-    store.settle()
-    open_runs = rows.where(F.col("kind") == _PLAIN).groupBy("doc").agg(F.collect_list(F.struct("gram", "lo", "shape")).alias("runs"))
-    keyed = docs.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("doc"), "text")
-
-    def contexts(batches):
-        parts, raws = [], []
-        for b in batches:
-            runs, texts = b.column(b.schema.get_field_index("runs")), b.column(b.schema.get_field_index("text"))
-            ids = b.column(b.schema.get_field_index("doc")).to_numpy()
-            for a, e, data, offs in text_blocks(texts):
-                part = runs.slice(a, e - a)
-                of = np.repeat(np.arange(e - a), pa.compute.list_value_length(part).to_numpy(zero_copy_only=False))
-                each = part.flatten()
-                g, lo, shape = (each.field(i).to_numpy() for i in range(3))
-                fits = offs[of] + lo + (shape & 255) + length - 1 <= offs[of + 1]  # else of another row with this doc_id
-                of, g, lo, shape = of[fits], g[fits], lo[fits], shape[fits]
-                at, plo, pshape, x, y, side = _pieces(lo, shape, length, gram)
-                if not len(at):
-                    continue
-                base = offs[of[at]]
-                prefix = prefix_hashes(data)
-                key = mix64(span_hashes(prefix, base + x, base + y) ^ mix64(g[at].view(np.uint64), 9) ^ side.astype(_U), 10)
-                size = (pshape & 255).astype(np.int64) + length - 1
-                whole = mix64(span_hashes(prefix, base + plo, base + plo + size) ^ mix64(pshape.astype(_U), 12), 13)
-                ends = np.cumsum(size)
-                take = np.arange(int(ends[-1])) + np.repeat(base + plo - (ends - size), size)
-                raws.append(data[take])
-                parts.append((key.view(np.int64), whole.view(np.int64), ids[a + of[at]], plo, pshape, size))
-        if not parts:
-            return
-        key, whole, doc, lo, shape, size = (np.concatenate(c) for c in zip(*parts))
-        raw, first = np.concatenate(raws), np.concatenate([[0], np.cumsum(size)])
-        del raws
-        order, head, later = _later(key, whole, doc, lo)
-        gone = order[later]
-        d, start, stop = _merge(doc[gone], lo[gone], lo[gone] + size[gone])
-        yield from _piece_rows(d, d, start, np.zeros(len(d), np.int32), stop, pa.nulls(len(d), pa.binary()))
-        keep = np.sort(order[head])
-        for x in range(0, len(keep), 20_000):
-            k = keep[x : x + 20_000]
-            ends = np.cumsum(size[k])
-            take = np.arange(int(ends[-1])) + np.repeat(first[k] - (ends - size[k]), size[k])
-            text = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(raw[take])])
-            yield from _piece_rows(key[k], doc[k], lo[k], shape[k], np.full(len(k), -1), text)
-
-    def sort_windows(batches):
-        def settle(t: pa.Table):
-            gone = pa.compute.greater_equal(t["stop"], 0)
-            known, t = t.filter(gone), t.filter(pa.compute.invert(gone))
-            doc, start, stop = (known[c].to_numpy() for c in ("doc", "lo", "stop"))
-            if t.num_rows:
-                cols = [t[c].combine_chunks() for c in ("key", "doc", "lo", "shape", "context")]
-                d, p = _sort_group(*(c.to_numpy() for c in cols[:4]), cols[4], length)
-                doc, start, stop = np.concatenate([doc, d]), np.concatenate([start, p]), np.concatenate([stop, p + length])
-            return zip(("doc", "start", "stop"), _merge(doc, start, stop))
-
-        held: list[pa.RecordBatch] = []
-        count = 0
-        for b in batches:  # sorted by key: all keys but the last of what is held are whole
-            held.append(b)
-            count += b.num_rows
-            if count >= 20_000:
-                t = pa.Table.from_batches(held)
-                g = t["key"].to_numpy()
-                cut = int(np.searchsorted(g, g[-1]))
-                if cut:
-                    yield from _batches(dict(settle(t.slice(0, cut))))
-                held, count = t.slice(cut).to_batches(), len(g) - cut
-        if count:
-            yield from _batches(dict(settle(pa.Table.from_batches(held))))
-
-    context = keyed.join(open_runs, "doc").mapInArrow(contexts, _PIECE_ROW)
-    sorted_out = context.repartition("key").sortWithinPartitions("key").mapInArrow(sort_windows, "doc bigint, start bigint, stop bigint")
-    known = rows.where(F.col("kind") == _GONE).select("doc", F.col("lo").alias("start"), F.col("run").alias("stop"))
-    return known.union(sorted_out)
-
-
-def _piece_rows(key, doc, lo, shape, stop, context: pa.Array):
+def _piece_rows(key, doc, tie, lo, size, piece: pa.Array):
     if len(key):
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(lo), pa.array(shape), pa.array(stop), context], ["key", "doc", "lo", "shape", "stop", "context"])
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(tie), pa.array(lo.astype(np.int32)), pa.array(size.astype(np.int32)), piece], ["key", "doc", "tie", "lo", "size", "piece"])
+
+
+def _fetch(batches, length: int, gram: int):
+    """Step 3, of texts with their runs (doc, tie, text, runs)."""
+    for held in _text_batches(batches, "text"):
+        data, offs, t = _together(held)
+        doc, tie = _ids(t)
+        each = t["runs"].combine_chunks()
+        of = np.repeat(np.arange(t.num_rows), pa.compute.list_value_length(each).to_numpy(zero_copy_only=False))
+        lo, shape = (each.flatten().field(i).to_numpy().astype(np.int64) for i in (0, 1))
+        at, lo, shape, x, y, side = _pieces(lo, shape, length, gram)
+        of = of[at]
+        base = offs[of]
+        view = lanes(data)
+        key = mix64(byte_hashes(data, base + x, base + y, 9, view) ^ side.astype(_U), 10).view(np.int64)
+        del view
+        first, later = _sort_out(data, PrefixHashes(data), key, shape, base + lo, length, doc[of], tie[of], lo)
+        d, ti, start, stop = _merge(doc[of[later]], tie[of[later]], lo[later], lo[later] + (shape[later] & 255) + length - 1)
+        yield from _piece_rows(mix64(d.view(_U) ^ ti.view(_U), 8).view(np.int64), d, ti, start, stop - start, pa.nulls(len(d), pa.binary()))
+        first = np.sort(first)
+        for i in range(0, len(first), 20_000):
+            k = first[i : i + 20_000]
+            size = (shape[k] & 255) + length - 1
+            raw = data[_spread(base[k] + lo[k], size)]
+            piece = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(raw)])
+            yield from _piece_rows(key[k], doc[of[k]], tie[of[k]], lo[k], shape[k], piece)
+
+
+def _removed_windows(t: pa.Table, length: int):
+    """Step 4, of whole keys: (intervals removed, rows of the earliest of equal pieces)."""
+    doc, tie = _ids(t)
+    key, lo, shape = t["key"].to_numpy(), t["lo"].to_numpy().astype(np.int64), t["size"].to_numpy()
+    pieces = t["piece"].combine_chunks()
+    _, offs, raw = pieces.buffers()
+    offs = np.frombuffer(offs, np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+    data = np.frombuffer(raw, np.uint8)[offs[0] : offs[-1]]
+    prefix, base = PrefixHashes(data), (offs[:-1] - offs[0]).astype(np.int64)
+    first, later = _sort_out(data, prefix, key, shape, base, length, doc, tie, lo)
+    gone = [(doc[later], tie[later], lo[later], lo[later] + (shape[later] & 255) + length - 1)]
+    # Only pieces that still share a key have windows to compare.
+    first = np.sort(first)
+    group = np.unique(key[first], return_inverse=True)[1]
+    several = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
+    i, group = first[several], group[several]
+    count, back = (shape[i] & 255).astype(np.int64), (shape[i] >> 8).astype(np.int64)
+    run, k = np.repeat(np.arange(len(i)), count), _spread(np.zeros(len(i), np.int64), count)
+    # Segments: the key, and how far before the gram the window starts.
+    by = group[run] * 256 + (back[run] - k)
+    o = np.argsort(by, kind="stable")
+    run, k, by = run[o], k[o], by[o]
+    s, cls = _classes(data, prefix, base[i][run] + k, by, np.full(len(run), length, np.int64))
+    run, k = run[s], k[s]
+    d, ti, p = doc[i][run], tie[i][run], lo[i][run] + k
+    _, late = _later(cls, d, ti, p)
+    gone.append((d[late], ti[late], p[late], p[late] + length))
+    return _merge(*(np.concatenate(c) for c in zip(*gone))), first
+
+
+def _sort_windows(batches, length: int):
+    """Step 4, of rows sorted by key, document and place; a large key's equal pieces go before the rest is held."""
+    names = ("doc", "tie", "start", "stop")
+    held: list[pa.RecordBatch] = []
+    count, limit = 0, 20_000
+
+    def settle(t: pa.Table):
+        known = t.filter(t["piece"].is_null())
+        t = t.filter(t["piece"].is_valid())
+        start = known["lo"].to_numpy().astype(np.int64)
+        out = [(*_ids(known), start, start + known["size"].to_numpy())]
+        first = np.zeros(0, np.int64)
+        if t.num_rows:
+            found, first = _removed_windows(t, length)
+            out.append(found)
+        yield from _batches(dict(zip(names, _merge(*(np.concatenate(c) for c in zip(*out))))))
+        return t.take(pa.array(first))
+
+    for b in batches:
+        held.append(b)
+        count += b.num_rows
+        if count >= limit:
+            t = pa.Table.from_batches(held)
+            key = t["key"].to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:  # all keys but the last are whole
+                yield from settle(t.slice(0, cut))
+                rest = t.slice(cut)
+            else:  # one large key: its pieces so far, sorted by place, leave their earliest
+                rest = yield from settle(t)
+            held, count = rest.to_batches(), rest.num_rows
+            limit = max(20_000, 2 * count)
+    if count:
+        yield from settle(pa.Table.from_batches(held))
+
+
+def removed_intervals(docs: DataFrame, store: Store, length: int = LENGTH, gram: int = GRAM, most: int = HOT) -> DataFrame:
+    """(doc, tie, start, stop): byte intervals to remove, not yet merged across rows. docs: (doc, tie, text)."""
+    rows = anchor_rows(docs, length, gram, most).repartition("key").sortWithinPartitions("key").mapInArrow(_shared_grams, _ROW)
+    rows = store.keep(rows)
+    open_runs = rows.where(F.col("kind") != _GONE).groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "size")).alias("runs"))
+    pieces = docs.join(open_runs, ["doc", "tie"]).select("doc", "tie", "text", "runs").mapInArrow(lambda b: _fetch(b, length, gram), _PIECE_ROW)
+    found = pieces.repartition("key").sortWithinPartitions("key", "doc", "tie", "lo").mapInArrow(lambda b: _sort_windows(b, length), "doc bigint, tie bigint, start bigint, stop bigint")
+    known = rows.where(F.col("kind") == _GONE).select("doc", "tie", F.col("lo").cast("bigint").alias("start"), (F.col("lo").cast("bigint") + F.col("size")).alias("stop"))
+    return known.union(found)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = HOT) -> DataFrame:
     """Per row: doc_id, n_bytes, kept (binary), spans array<struct<start: bigint, stop: bigint>> (removed, maximal)."""
     store = Store(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    per = removed_intervals(docs, store, length, gram, most).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
-    joined = docs.withColumn("doc", F.coalesce("doc_id", F.lit(_LEAST))).join(per, "doc", "left").select("doc_id", "text", "found")
+    # Rows are told apart by a hash of the text; where every id is there once, that says nothing and isn't carried.
+    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LEAST)).alias("doc"), (F.xxhash64("text") if repeated else F.lit(0).cast("bigint")).alias("tie"), "text")
+    per = removed_intervals(docs.select("doc", "tie", "text"), store, length, gram, most).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
+    joined = docs.join(per, ["doc", "tie"], "left").select("doc_id", "text", "found")
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches):
@@ -402,11 +470,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
                 count = pa.compute.list_value_length(part).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 of = np.repeat(np.arange(e - a), count)
                 each = part.flatten()
-                length_ = np.diff(offs)
-                start, stop = (np.minimum(each.field(i).to_numpy(), length_[of]) for i in range(2))
-                of, start, stop = _merge(of, start, stop)
-                real = stop > start
-                of, start, stop = of[real], start[real], stop[real]
+                start, stop = (each.field(i).to_numpy() for i in range(2))
+                of, _, start, stop = _merge(of, np.zeros_like(of), start, stop)
                 step = np.zeros(len(data) + 1, np.int32)
                 np.add.at(step, offs[of] + start, 1)
                 np.add.at(step, offs[of] + stop, -1)
@@ -414,7 +479,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
                 bounds = np.searchsorted(of, np.arange(e - a + 1))
                 for i in range(e - a):
                     s = slice(offs[i], offs[i + 1])
-                    size.append(int(length_[i]))
+                    size.append(int(offs[i + 1] - offs[i]))
                     kept.append(data[s][left[s]].tobytes())
                     spans.append([{"start": x, "stop": y} for x, y in zip(start[bounds[i] : bounds[i + 1]].tolist(), stop[bounds[i] : bounds[i + 1]].tolist())])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, span)], ["doc_id", "n_bytes", "kept", "spans"])

@@ -84,10 +84,7 @@ def test_near_duplicates_on_odd_rows(spark):
     assert near_duplicates(odd).count() == 2
 
 
-def test_hot_group_is_compared_in_blocks(spark, monkeypatch):
-    from tallyproof.llm import minhash
-
-    monkeypatch.setattr(minhash, "BLOCK", 4)
+def test_hot_group_is_compared_in_blocks(spark):
     rng = random.Random(5)
     base = some_words(rng, 120)
     rows = []
@@ -96,10 +93,33 @@ def test_hot_group_is_compared_in_blocks(spark, monkeypatch):
         for _ in range(rng.randrange(0, 4)):
             w[rng.randrange(120)] = f"z{rng.random()}"
         rows.append((i, " ".join(w)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, rows)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, rows), block=1000).collect()}
     assert got == brute_components(rows)
 
 
+def thue_morse(n, chars):
+    x = chars[0]
+    while len(x) < n:
+        x += x.translate(str.maketrans(chars, chars[::-1]))
+    return x[:n]
+
+
+def test_words_of_one_polynomial_hash_are_told_apart(spark):
+    rows = [(1, thue_morse(1024, "ab")), (2, thue_morse(1024, "ba")), (3, thue_morse(200, "ab") + " x"), (4, thue_morse(200, "ba") + " x")]
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+    texts = [(i, (t * 3).encode()) for i, t in rows] + [(9, rows[1][1][300:700].encode())]
+    cut = {r.doc_id: (r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in substrings.remove_repeats(docs(spark, [(i, t.decode()) for i, t in texts])).collect()}
+    assert cut == substrings.brute_force(texts)
+
+
+def test_near_duplicates_pool_the_links_of_a_doc_id(spark):
+    a, b = "a b c d e f", "g h i j k l"
+    rows = [(3, a), (4, b), (5, a), (5, b), (7, b), (8, "z"), (8, "y"), (9, "z"), (10, "y"), (11, None)]
+    got = near_duplicates(docs(spark, rows)).collect()
+    assert sorted({(r.doc_id, r.component_id) for r in got}) == [(3, 3), (4, 3), (5, 3), (7, 3), (8, 8), (9, 8), (10, 8), (11, 11)] and len(got) == len(rows)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (3, 2), (4, 3), (9, 8), (10, 9), (5, 5)], "a bigint, b bigint")
     got = {r.node: r.label for r in components(edges, Store(spark)).collect()}
@@ -116,8 +136,9 @@ def test_words_never_cross_documents():
     assert [b - a for a, b, *_ in words.text_blocks(column, block_bytes=4)] == [1, 2, 2] or sum(b - a for a, b, *_ in words.text_blocks(column, block_bytes=4)) == 5
 
 
-@pytest.mark.parametrize("seed,most", [(3, 32), (4, 32), (5, 1)])
-def test_repeats_equal_brute_force(spark, seed, most):
+@pytest.mark.parametrize("seed,most,batch", [(3, 32, 1 << 23), (4, 32, 2000), (5, 1, 2000)])
+def test_repeats_equal_brute_force(spark, seed, most, batch, monkeypatch):
+    monkeypatch.setattr(substrings, "BATCH", batch)
     rng = random.Random(seed)
     line = lambda n: "".join(rng.choice("abcdé \n") for _ in range(n))
     shared = [line(n) for n in (99, 100, 101, 180, 400)]
@@ -137,12 +158,19 @@ def test_repeats_on_odd_rows(spark):
     assert substrings.remove_repeats(docs(spark, [])).count() == 0
     got = substrings.remove_repeats(docs(spark, [(1, t), (1, t), (None, t)])).collect()
     assert {(r.doc_id, len(r.spans)) for r in got} == {(1, 1), (None, 0)}  # null is the smallest id; equal rows don't remove each other
+    u = t.swapcase() + "#"
+    got = substrings.remove_repeats(docs(spark, [(1, t), (7, t), (7, u), (None, t[:90] + u), (None, u), (8, None), (9, "")])).collect()
+    kept = {(r.doc_id, r.n_bytes): len(r.kept) for r in got}
+    # Null ids come first and their texts differ: one of the two keeps u. 7's own u goes with that, t of 7 with t of 1.
+    assert kept[1, 130] == 130 and kept[7, 130] == 0 and kept[7, 131] == 0 and {kept[None, 221], kept[None, 131]} in ({221, 0}, {90, 131}) and kept[8, 0] == kept[9, 0] == 0
+    extra = spark.createDataFrame([(1, t, "x", 1, b"k"), (2, t, None, None, None)], "doc_id bigint, text string, doc string, tie int, kept binary")
+    assert [len(r.kept) for r in substrings.remove_repeats(extra).orderBy("doc_id").collect()] == [130, 0]
 
 
 def test_suffix_sort_matches_sorted():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 100, 600).astype(np.uint8)
-    prefix = words.prefix_hashes(data)
+    prefix = words.PrefixHashes(data)
     at = rng.permutation(400)[:300]
     segment = np.sort(rng.integers(0, 7, 300))
     order = substrings.suffix_sort(data, prefix, at, segment, 50)
@@ -154,7 +182,7 @@ def test_suffix_sort_matches_sorted():
 
 def test_common_extension():
     data = np.frombuffer(b"abcdefgh-abcdexgh-----------", np.uint8)
-    got = substrings.common_extension(words.prefix_hashes(data), np.array([0, 0, 1]), np.array([9, 0, 9]), 8)
+    got = words.PrefixHashes(data).common_extension(np.array([0, 0, 1]), np.array([9, 0, 9]), 8)
     assert got.tolist() == [5, 8, 0]
 
 
