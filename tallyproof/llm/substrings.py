@@ -3,7 +3,7 @@
 The suffixes of a whole corpus don't fit one sort, so hashes first bring suffixes that can
 be equal together; a suffix sort then decides which are, and only it removes anything.
 
-1. Chunks. Texts are cut where a hash of 16 bytes is the least of 2 * REACH + 1 neighbouring
+1. Chunks. Texts are cut where a hash of 8 bytes is the least of 2 * REACH + 1 neighbouring
    ones, about every 260 bytes and in equal text at equal places. A chunk is the windows that
    start in it. Chunks whose bytes hash alike meet and are sorted as suffixes; of equal ones
    all but the earliest are removed. That clears copied documents and passages with little
@@ -62,7 +62,7 @@ HOT = 32
 BATCH = 1 << 23
 #: Bytes of runs that are sorted together in a task.
 SORTED = 1 << 22
-_PIECE = 1 << 20
+_PIECE = 1 << 17
 _LEAST = -(1 << 63)
 _U = np.uint64
 
@@ -111,10 +111,13 @@ def _inside(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
 
 def _chunks(data: np.ndarray, offsets: np.ndarray, length: int, reach: int = REACH, most: int = MOST):
     """Of a block: (first window, number of windows) of all chunks."""
-    cuts, width, gram = [], 2 * reach + 1, 16
-    for x in range(0, max(len(data) - gram - width + 2, 0), _PIECE):
-        part = data[x : x + _PIECE + width + gram - 2]
-        least = _least(_placed(_grams(part, gram)), width) & _PLACE
+    cuts, width = [], 2 * reach + 1
+    for x in range(0, max(len(data) - width + 1, 0), _PIECE):
+        view = lanes(data[x : x + _PIECE + width + 6])[:-7]
+        if len(view) < width:
+            break
+        with np.errstate(over="ignore"):
+            least = _least(_placed(view * _U(0x9E3779B97F4A7C15)), width) & _PLACE
         cuts.append(x + reach + np.flatnonzero(least == np.arange(len(least)).astype(_U) + _U(reach)))
     windows = np.maximum(np.diff(offsets) - length + 1, 0)
     start = np.unique(np.concatenate([offsets[:-1][windows > 0], *cuts]))
@@ -127,7 +130,7 @@ def _chunks(data: np.ndarray, offsets: np.ndarray, length: int, reach: int = REA
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray, gone: tuple[np.ndarray, np.ndarray], length: int, gram: int):
-    """Of a block: (first window, number of windows, anchor, gram hash), windows by their starts; those in `gone` (from, to) are left out."""
+    """Of a block: (first window, number of windows, anchor, gram hash, hash of the run), windows by their starts; those in `gone` (from, to) are left out."""
     parts = []
     last = np.maximum(offsets[1:] - length + 1, offsets[:-1])  # windows of a document start before this
     live = _inside(offsets[:-1], last, len(data)) & ~_inside(*gone, len(data))
@@ -144,9 +147,14 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, gone: tuple[np.ndarray, np.n
         starts = np.flatnonzero(new)
         stops = np.flatnonzero(ok & np.concatenate([~ok[1:] | (anchor[1:] != anchor[:-1]), [True]])) + 1
         a = anchor[starts]
-        parts.append((starts + x, stops - starts, a + x, grams[a]))
+        run, size = grams[stops + length - 1 - gram].copy(), stops - starts + length - 1
+        with np.errstate(over="ignore"):
+            for k in range(0, int(size.max()) // gram):
+                i = np.flatnonzero(size >= (k + 1) * gram)
+                run[i] += mix64(grams[starts[i] + k * gram], 60 + k)
+        parts.append((starts + x, stops - starts, a + x, grams[a], run))
     if not parts:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, _U))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, _U, _U))
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
@@ -327,8 +335,10 @@ def _gone(doc, tie, lo, count):
     yield from _rows(_GONE, _spread_key(d, t, start), d, t, start, stop - start)
 
 
-def _chunk_keys(data, at, size) -> np.ndarray:
-    return byte_hashes(data, at, at + size, 14).view(np.int64)
+def _string_keys(data, at, size) -> np.ndarray:
+    """A hash of each string."""
+    view = memoryview(data)
+    return np.array([int.from_bytes(hashlib.blake2b(view[a:e], digest_size=8).digest(), "little", signed=True) for a, e in zip(at.tolist(), (at + size).tolist())], np.int64)
 
 
 def _chunk_rows(batches, length: int):
@@ -339,7 +349,7 @@ def _chunk_rows(batches, length: int):
         at, count = _chunks(data, offs, length)
         of = np.searchsorted(offs, at, "right") - 1
         d, ti, lo, size = doc[of], tie[of], at - offs[of], count + length - 1
-        key = _chunk_keys(data, at, size)
+        key = _string_keys(data, at, size)
         first, later = _sort_out(data, key, count, at, size, d, ti, lo)
         yield from _gone(d[later], ti[later], lo[later], count[later])
         yield from _rows(_PLAIN, key[first], d[first], ti[first], lo[first], count[first])
@@ -351,10 +361,10 @@ def _run_rows(batches, length: int, gram: int, most: int):
         data, offs, t = _together(held)
         doc, tie = _ids(t)
         row, lo, count = _listed(t["gone"])
-        at, count, anchor, g = _anchors(data, offs, (offs[row] + lo, offs[row] + lo + count), length, gram)
+        at, count, anchor, g, run = _anchors(data, offs, (offs[row] + lo, offs[row] + lo + count), length, gram)
         of = np.searchsorted(offs, at, "right") - 1
         d, ti, lo, shape, g = doc[of], tie[of], at - offs[of], (anchor - at) * 256 + count, g.view(np.int64)
-        first, later = _sort_out(data, g, shape, at, count + length - 1, d, ti, lo)
+        first, later = _sort_out(data, run, shape, at, count + length - 1, d, ti, lo)  # runs that hash alike
         yield from _gone(d[later], ti[later], lo[later], count[later])
         first = first[np.argsort(g[first], kind="stable")]
         bounds = bounds_of(g[first]) if len(first) else np.zeros(1, np.int64)
@@ -431,7 +441,7 @@ def _fetch_chunks(batches, length: int):
         yield from _gone_pieces(doc[row], tie[row], lo, count)
         row, lo, count = _listed(t["live"])
         at, size, d, ti = offs[row] + lo, count + length - 1, doc[row], tie[row]
-        key = _chunk_keys(data, at, size)
+        key = _string_keys(data, at, size)
         first, later = _sort_out(data, key, count, at, size, d, ti, lo)
         yield from _gone_pieces(d[later], ti[later], lo[later], count[later])
         i = np.sort(first)
@@ -589,8 +599,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     """Per row: doc_id, n_bytes, kept (binary), spans array<struct<start: bigint, stop: bigint>> (removed, maximal)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # Rows are told apart by a hash of the text; where every id is there once, that says nothing and 0 stands for it.
+    # (Neither doc nor tie can be null, so no join adds a filter of its own and all read the same exchange.)
     repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    docs = docs.withColumn("doc", F.coalesce("doc_id", F.lit(_LEAST))).select("doc_id", "doc", (F.xxhash64("text") if repeated else F.pmod("doc", F.lit(1).cast("bigint"))).alias("tie"), "text")
+    docs = docs.withColumn("doc", F.coalesce("doc_id", F.lit(_LEAST))).select("doc_id", "doc", (F.xxhash64("text") if repeated else F.coalesce(F.pmod("doc", F.lit(1).cast("bigint")), F.lit(0).cast("bigint"))).alias("tie"), "text")
     in_chunks, in_runs = removed_windows(docs, length, gram, most)
     joined = docs.join(in_chunks.withColumnRenamed("gone", "first"), ["doc", "tie"], "left").join(in_runs, ["doc", "tie"], "left").select("doc_id", "doc", "tie", "text", "first", "gone")
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))

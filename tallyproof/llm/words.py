@@ -35,12 +35,9 @@ def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def lanes(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each place on, as one number (zeros beyond the end); a view for each shift."""
-    padded = np.concatenate([data, np.zeros(16 - len(data) % 8, np.uint8)])
-    out = np.empty(len(padded) - 8, _U)
-    for k in range(8):
-        out[k::8] = padded[k : k + (len(out) - k + 7) // 8 * 8].view(_U)
-    return out[: len(data) + 1]
+    """The 8 bytes from each place on, as one number (zeros beyond the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,)).copy()
 
 
 #: Longest span that is hashed lane by lane; a longer one is hashed by itself.
