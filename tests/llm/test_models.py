@@ -141,20 +141,44 @@ def test_top_k_equals_brute_force(spark, d, n, scale):
 def test_top_k_stops_early_and_handles_few_rows(spark):
     ids, v = np.arange(5000), np.zeros((5000, 4))
     v[:, 0] = np.arange(5000)
-    ((_, rows, scores),) = list(topk.threshold_top_k(ids, v, np.array([-1]), np.array([[1.0, 0, 0, 0]]), 3))
-    assert rows.tolist() == [4999, 4998, 4997]
+    ((_, rows, scores, scored),) = list(topk.threshold_top_k(ids, v, np.array([-1]), np.array([[1.0, 0, 0, 0]]), 3))
+    assert rows.tolist() == [4999, 4998, 4997] and scored == 8
     table = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0]), (20, [])], "vec_id bigint, embedding array<float>")
     got = topk.exact_top_k(topk.integer_vectors(table), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.vec_id, r.score) for r in got] == [(0, 1, 4096), (0, 20, 0), (20, 0, 0), (20, 1, 0)]
     assert topk.exact_top_k(topk.integer_vectors(table.where("false")), F.lit(True)).count() == 0
 
 
-def test_top_k_reads_on_until_the_bound_is_met(monkeypatch):
+def test_top_k_reads_on_until_the_bound_is_met():
     ids, v = np.arange(5000), np.zeros((5000, 2))
-    v[:100, 0], v[100:200, 1] = 9, 9  # at depths 8 and 32 the bound of 18 exceeds the best score of 9, at 128 it is 0
-    monkeypatch.setattr(np, "partition", lambda *_, **__: pytest.fail("scored against the whole block"))
-    ((_, rows, _),) = list(topk.threshold_top_k(ids, v, np.array([-1]), np.array([[1.0, 1.0]]), 3))
-    assert rows.tolist() == [0, 1, 2]
+    v[:100, 0], v[100:200, 1] = 9, 9  # at depths 8 and 32 the bound of 9 times the square root of 2 exceeds the best score of 9
+    ((_, rows, _, scored),) = list(topk.threshold_top_k(ids, v, np.array([-1]), np.array([[1.0, 1.0]]), 3))
+    assert rows.tolist() == [0, 1, 2] and scored < 400
+
+
+def test_top_k_stops_on_clustered_vectors():
+    rng = np.random.default_rng(7)
+    v = np.zeros((6400, 64))
+    for c in range(64):  # each cluster has four dimensions of its own and noise elsewhere
+        rows = slice(100 * c, 100 * c + 100)
+        v[rows] = rng.integers(-1, 2, (100, 64))
+        v[rows, rng.choice(64, 4, replace=False)] += rng.integers(40, 60, (100, 4))
+    ids, asked = np.arange(6400), np.arange(0, 6400, 50)
+    found = {i: (r, s, n) for i, r, s, n in topk.threshold_top_k(ids, v, asked, v[asked], 5)}
+    for i, x in enumerate(asked):
+        want = sorted((-int(v[x] @ v[j]), j) for j in ids if j != x)[:5]
+        assert [(-int(s), int(r)) for r, s in zip(*found[i][:2])] == want
+    share = np.mean([n for *_, n in found.values()]) / 6400
+    assert share < 0.5
+    least = np.array([found[i][1][-1] for i in range(len(asked))], float)
+    again = list(topk.threshold_top_k(ids, v, asked, v[asked], 5, least))
+    assert all(r.tolist() == found[i][0].tolist() for i, r, _, _ in again) and sum(n for *_, n in again) <= sum(n for *_, n in found.values())
+
+
+def test_top_k_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [1.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 1.0])]
+    got = topk.exact_top_k(topk.integer_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")), F.col("vec_id") == 0, 4, block=2, group=1).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id, r.score) for r in got] == [(1, 1, 3 * 4096), (2, 1, 2 * 4096), (3, 2, 2 * 4096), (4, 1, 4096)]
 
 
 def slow_alignment(a, b, penalty=0.5):
