@@ -96,20 +96,30 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 
 def _licence_sql() -> str:
-    """The same Dice score by brute force: every segment against every template."""
-    grams = lambda words: f"list_distinct(CASE WHEN len({words}) < 2 THEN {words} ELSE list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]) END)"
-    rows = ", ".join("('{}', [{}])".format(k, ", ".join(f"'{g}'" for g in licences.template_bigrams(v))) for k, v in licences.TEMPLATES.items())
+    """The same by relations: places of template bigrams, windows between two of them, sets of bigrams by lists."""
+    rows, sizes = [], []
+    for key, text in licences.TEMPLATES.items():
+        grams = licences.template_bigrams(text)
+        need, most = licences.bounds(len(grams), licences.THRESHOLD)
+        rows += [f"('{key}', '{g}')" for g in grams]
+        sizes.append(f"('{key}', {len(grams)}, {need}, {most})")
     return rf"""
-WITH t(licence, b) AS (VALUES {rows}),
-segments AS (SELECT doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '
-\s*
-'), [text]))) AS s FROM documents),
-words AS (SELECT doc_id, s, list_filter(string_split(regexp_replace({_LOWER.replace("text", "s")}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM segments),
-grams AS (SELECT doc_id, s, {grams("w")} AS g FROM words),
-scored AS (SELECT doc_id, s, licence, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM grams JOIN t ON len(g) BETWEEN len(b) / 2 AND 2 * len(b)),
-best AS (SELECT doc_id, s, arg_min(licence, (-dice, licence)) AS licence, max(dice) AS dice FROM scored WHERE dice >= {licences.THRESHOLD} GROUP BY doc_id, s),
-per AS (SELECT doc_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT licence)), ',') AS l, max(dice) AS d FROM best GROUP BY doc_id)
-SELECT doc_id, coalesce(n, 0) AS n_matches, coalesce(l, '') AS licences, round(coalesce(d, 0.0::DOUBLE), 6) AS best_dice FROM documents LEFT JOIN per USING (doc_id)"""
+WITH t(licence, b) AS (VALUES {", ".join(rows)}),
+sizes(licence, size, need, most) AS (VALUES {", ".join(sizes)}),
+words AS (SELECT doc_id, text, list_filter(string_split(regexp_replace({_LOWER}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+grams AS (SELECT doc_id, text, CASE WHEN len(w) < 2 THEN [] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END AS g FROM words),
+placed AS (SELECT doc_id, text, unnest(g) AS b, unnest(range(1, len(g) + 1)) AS p FROM grams),
+hits AS (SELECT doc_id, text, licence, p, row_number() OVER (PARTITION BY doc_id, text, licence ORDER BY p) AS k FROM placed JOIN t USING (b)),
+windows AS (SELECT x.doc_id, x.text, x.licence, size, x.p AS s, y.p AS e FROM hits x JOIN hits y ON x.doc_id IS NOT DISTINCT FROM y.doc_id AND x.text = y.text AND x.licence = y.licence
+  JOIN sizes ON sizes.licence = x.licence WHERE y.k - x.k + 1 >= need AND y.p - x.p < most),
+lists AS (SELECT licence, list(b) AS b FROM t GROUP BY licence),
+scored AS (SELECT windows.doc_id, windows.text, windows.licence, s, e, 2.0::DOUBLE * len(list_intersect(list_distinct(g[s:e]), b)) / (len(list_distinct(g[s:e])) + size) AS dice
+  FROM windows JOIN grams ON grams.doc_id IS NOT DISTINCT FROM windows.doc_id AND grams.text = windows.text JOIN lists ON lists.licence = windows.licence),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text, licence ORDER BY dice DESC, s, e) AS r FROM scored WHERE dice >= {licences.THRESHOLD}),
+kept AS (SELECT * FROM best m WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM best o WHERE o.r = 1 AND o.doc_id IS NOT DISTINCT FROM m.doc_id AND o.text = m.text AND o.dice > m.dice AND o.s < m.e + 2 AND o.e + 2 > m.s)),
+per AS (SELECT doc_id, text, count(*) AS n, array_to_string(list_sort(list(licence)), ',') AS l, max(dice) AS d FROM kept GROUP BY doc_id, text)
+SELECT d.doc_id, coalesce(n, 0) AS n_matches, coalesce(l, '') AS licences, round(coalesce(per.d, 0.0::DOUBLE), 6) AS best_dice
+FROM documents d LEFT JOIN per ON per.doc_id IS NOT DISTINCT FROM d.doc_id AND per.text = d.text"""
 
 
 _MIX_DRAWS = ", ".join(f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{k}'), {8 * j + 1}, 8))::BIGINT" for k in range(mixing.DRAWS // 4) for j in range(4))
