@@ -9,22 +9,25 @@ or part of 20 or more with a letter is a candidate:
 * its encoding is inferred from the characters (hex, letters of
   one or both cases, base32, base36, base62, base64);
 * tests ask if it could be uniform random text of that alphabet: chi-squared uniformity of
-  the symbols (exact mean and variance of the statistic for its length) and of the shares
-  of digits, vowels and consonants; Wald-Wolfowitz runs of the alphabet's lower and upper
-  half, and runs of one class or one case; serial correlation at lag 1. Fisher's method
-  combines the p-values;
+  the symbols (exact mean and variance of the statistic for its length), of the letters
+  without regard to case, and of the shares of digits, vowels and consonants;
+  Wald-Wolfowitz runs of the alphabet's lower and upper half, and runs of one class or one
+  case; serial correlation at lag 1. Fisher's method sums the -log p: the evidence against
+  randomness;
 * false discoveries are held per stratum of encoding and length, since a short token gives
-  weak evidence. F(t), how many ordinary tokens reach p >= t by chance, is estimated from the
-  corpus's own tokens at p-values where hardly any secret is. A stratum with fewer than NULLS
-  ordinary tokens says too little; there the estimate from NULLS made tokens (words, numbers
-  and separators in the encoding's characters) counts too if it is larger. Fisher's
-  statistic ends at 0 and its distribution is a power of it there, so both tails are
-  continued as a power law and are fine enough for secrets that are rare among ordinary
-  tokens. With R(t) tokens of the stratum at p >= t, the least t with F(t) <= q R(t) is the
-  threshold; without one, nothing of the stratum is taken. The p-values of the whole corpus
-  enter as counts in BINS bins and three more, summed in Spark: a table of fixed size.
-
-Tokens at or above their threshold that overlap no pattern's span become spans of kind
+  weak evidence. How random tokens of the stratum are distributed is known from NULLS random
+  ones. Twice the tokens below their median estimates the number of secrets; what exceeds
+  them at higher evidence are the corpus's own ordinary tokens. Evidence ends at 0 and its
+  distribution is a power of it there, so F(t), how many ordinary tokens reach t or less by
+  chance, is continued as a power law from the least evidence that TAIL and 5 * TAIL of them
+  show, fine enough for secrets that are rare among ordinary tokens. A stratum with too few
+  of its own takes the estimate from NULLS made ordinary tokens (words, numbers and separators
+  in the encoding's characters). With R(t) tokens of the stratum at t or less, the greatest t
+  with F(t) <= q R(t) is the threshold; without one, nothing of the stratum is taken. The
+  evidence of the whole corpus enters as counts in BINS bins, summed in Spark: a table of
+  fixed size.
+
+Tokens at or below their threshold that overlap no pattern's span become spans of kind
 "random". Texts are scanned once, as bytes with numpy; only texts with a keyword, a long
 run or a candidate are decoded for the regular expressions, whole. Null text is empty; an
 empty table gives no rows; repeated rows are scanned alike; other columns are not read.
@@ -57,10 +60,10 @@ MIN_TOKEN = 20
 RATE = 0.05
 BINS = 200
 NULLS = 2000
-TAIL = 40
-#: Fisher's statistic at the ends of the two ranges that show the corpus's own tail.
-RANGES = (15.0, 21.0, 29.4)
-GREATEST = -6 * math.log(1e-12)
+TAIL = 10
+TESTS = 7
+#: Upper edges of the bins of evidence.
+EDGES = np.geomspace(0.5, -TESTS * math.log(1e-12), BINS)
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 #: A piece between '='; those at the end of a run are padding.
 _PIECE = re.compile(r"[A-Za-z0-9+/_-]+(?:=+$)?")
@@ -109,7 +112,7 @@ def _upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def _fisher(half: float, tests: int = 6) -> float:
+def _fisher(half: float, tests: int = TESTS) -> float:
     """The combined p-value of a sum of -log p over the tests."""
     return min(1.0, math.exp(-half) * sum(half**i / math.factorial(i) for i in range(tests)))
 
@@ -155,31 +158,36 @@ def _evidence(token: str) -> tuple[str, float] | None:
     kind, share = _GROUP[kind], np.bincount(_GROUP, share, 4)  # digits, lower case, upper case, signs
     same, q = int((kind[1:] == kind[:-1]).sum()), float((share**2).sum())
     p6 = _upper((same - (n - 1) * q) / math.sqrt((n - 1) * q * (1 - q))) if q < 1 else 1.0
-    tests = (p1, p2, p3, p4, p5, p6)
+    letters = np.array([ord(c) - 97 for c in body.lower() if c.isalpha()])
+    m, p7 = len(letters), 1.0
+    if m > 1 and k > 26 and not name.startswith(("hex", "HEX")):
+        chi = float((np.bincount(letters, minlength=26).astype(float) ** 2).sum() * 26 / m - m)
+        p7 = _upper((chi - 25) / math.sqrt(50 * (m - 1) / m))
+    tests = (p1, p2, p3, p4, p5, p6, p7)
     half = -sum(math.log(min(max(p, 1e-12), 1.0)) for p in tests)
     step = max(n.bit_length() - 3, 0)
     return f"{name}/{min(n >> step << step, 128)}", half
 
 
 def _candidates(run: str) -> list[tuple[int, int, str, float]]:
-    """(start, end, stratum, p) of what is judged in a run of token characters; without overlaps."""
+    """(start, end, stratum, evidence) of what is judged in a run of token characters; without overlaps."""
     out = []
     for m in _PIECE.finditer(run):
         piece, at = m[0], m.start()
         if len(piece) < MIN_TOKEN:
             continue
-        whole = randomness(piece)
-        if whole and whole[1] >= WHOLE:
+        whole = _evidence(piece)
+        if whole and _fisher(whole[1]) >= WHOLE:
             out.append((at, m.end(), *whole))
             continue
         parts = {}
         for cut in _CUTS:
             for c in cut.finditer(piece):
-                if MIN_TOKEN <= len(c[0]) < len(piece) and c.span() not in parts and (found := randomness(c[0])):
+                if MIN_TOKEN <= len(c[0]) < len(piece) and c.span() not in parts and (found := _evidence(c[0])):
                     parts[c.span()] = found
         # Random parts first, the longest of them; the others are judged as they are.
         taken: list[tuple[int, int]] = []
-        for (s, e), found in sorted(parts.items(), key=lambda x: (x[1][1] < WHOLE, x[0][0] - x[0][1], x[0])):
+        for (s, e), found in sorted(parts.items(), key=lambda x: (_fisher(x[1][1]) < WHOLE, x[0][0] - x[0][1], x[0])):
             if all(e <= a or s >= b for a, b in taken):
                 taken.append((s, e))
                 out.append((at + s, at + e, *found))
@@ -189,7 +197,7 @@ def _candidates(run: str) -> list[tuple[int, int, str, float]]:
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str, float]]]:
-    """(pattern spans (start, end, kind index)), (candidates (start, end, stratum, p)) of one text, in code points."""
+    """(pattern spans (start, end, kind index)), (candidates (start, end, stratum, evidence)) of one text, in code points."""
     base = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     base += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     base += [(m.start(), m.end(), 2) for m in HEX.finditer(text) if len(m[0]) >= 24]
@@ -219,12 +227,12 @@ def _suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(offsets, np.concatenate(at), "right") - 1)
 
 
-_SPAN = "array<struct<kind: int, start: int, stop: int, stratum: string, p: double>>"
+_SPAN = "array<struct<kind: int, start: int, stop: int, stratum: string, evidence: double>>"
 
 
 def find_candidates(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """doc_id (and `extra` columns) with `found`: pattern spans (p null) and candidates, as structs."""
-    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("stratum", pa.string()), ("p", pa.float64())]))
+    """doc_id (and `extra` columns) with `found`: pattern spans (evidence null) and candidates, as structs."""
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("stratum", pa.string()), ("evidence", pa.float64())]))
     keep = ["doc_id", *(extra or [])]
     types = dict((f.name, f.dataType.simpleString()) for f in docs.schema.fields)
 
@@ -235,7 +243,7 @@ def find_candidates(docs: DataFrame, extra: list[str] | None = None) -> DataFram
             for a, _, data, offs in text_blocks(texts):
                 for i in _suspects(data, offs):
                     base, more = scan(data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace"))
-                    found[a + i] = [{"kind": k, "start": s, "stop": e, "stratum": None, "p": None} for s, e, k in base] + [{"kind": 3, "start": s, "stop": e, "stratum": g, "p": p} for s, e, g, p in more]
+                    found[a + i] = [{"kind": k, "start": s, "stop": e, "stratum": None, "evidence": None} for s, e, k in base] + [{"kind": 3, "start": s, "stop": e, "stratum": g, "evidence": x} for s, e, g, x in more]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(found, kind)], [*keep, "found"])
 
     return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + f", found {_SPAN}")
@@ -264,75 +272,76 @@ def _ordinary(name: str, length: int, rng: random.Random) -> str:
     return "".join(c if c in _INDEX[name] else "2" for c in out)
 
 
-@lru_cache(maxsize=None)
-def _statistics() -> np.ndarray:
-    """Fisher's statistic at the bins' lower edges (infinite at p = 0)."""
-    out = [math.inf]
-    for p in np.arange(1, BINS) / BINS:
-        lo, hi = 0.0, 100.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if _fisher(mid) > p else (lo, mid)
-        out.append(lo)
-    return np.array(out)
+def _lengths(stratum: str) -> tuple[str, int, int]:
+    """The encoding, and the least and greatest length of a stratum (300 stands for no end)."""
+    name, band = stratum.split("/")
+    least = int(band)
+    return name, least, least + (1 << max(least.bit_length() - 3, 0)) - 1 if least < 128 else 300
 
 
-@lru_cache(maxsize=None)
-def _survival(stratum: str) -> np.ndarray:
-    """Share of ordinary tokens of the stratum at or above the bins' lower edges, from NULLS made ones."""
-    name, band = stratum.split("/")
+def _made(stratum: str, token) -> np.ndarray:
+    """Sorted evidence of NULLS tokens of the stratum; token(encoding, length, rng) makes one."""
+    name, least, most = _lengths(stratum)
     rng = random.Random(stratum)
-    least = int(band)
-    most = least + (1 << least.bit_length() - 3) - 1 if least < 128 else 300
     found = []
     while len(found) < NULLS:
-        token = _ordinary(name, rng.randint(least, most), rng)
-        got = _evidence(token if any(c.isalpha() for c in token) else "a" + token[1:])
+        t = token(name, rng.randint(least, most), rng)
+        got = _evidence(t if any(c.isalpha() for c in t) else "a" + t[1:])
         found.append(got[1] if got else math.inf)
-    x = np.sort(np.maximum(found, 1e-9))
-    u, edges = x[TAIL], _statistics()
-    power = TAIL / max(float(np.log(u / x[:TAIL]).sum()), 1e-9)  # Hill's estimate
-    return np.where(edges < u, TAIL / NULLS * (np.minimum(edges, u) / u) ** power, np.searchsorted(x, edges, "right") / NULLS)
+    return np.sort(np.maximum(found, 1e-9))
 
 
-def _own_tail(near: float, far: float, ordinary: float, secrets: float) -> np.ndarray:
-    """Ordinary tokens at or above the bins' lower edges, from the corpus's counts in the two ranges.
+@lru_cache(maxsize=None)
+def _random_share(stratum: str) -> np.ndarray:
+    """Share of random tokens of the stratum up to each of EDGES."""
+    alphabets = dict(ENCODINGS)
+    return np.searchsorted(_made(stratum, lambda name, n, rng: "".join(rng.choices(alphabets[name], k=n))), EDGES, "right") / NULLS
 
-    The power is at least that between the ranges and the statistic's greatest value, as tails
-    get steeper towards their end.
-    """
-    a, b, c = RANGES
-    due = secrets * (_fisher(a) - _fisher(b))  # that many of the near range's tokens are secrets
-    near = max(0.0, near - due - 2 * math.sqrt(due))
-    power = max(1.0, math.log(max(ordinary, 1.0) / max(near + far, 1.0)) / math.log(GREATEST / c))
-    if not near:
-        return max(far, 1.0) * (_statistics() / c) ** power
-    power = max(power, math.log(max(far, 1.0) / near) / math.log(b / a))
-    return near / ((b / a) ** power - 1) * (_statistics() / a) ** power
+
+def _power(low: float, n_low: float, high: float, n_high: float) -> float:
+    return max(1.0, math.log(n_high / n_low) / math.log(high / low))
+
+
+@lru_cache(maxsize=None)
+def _made_share(stratum: str) -> np.ndarray:
+    """Share of ordinary tokens of the stratum up to each of EDGES, from made ones."""
+    x = _made(stratum, _ordinary)
+    low, high = x[TAIL - 1], x[5 * TAIL - 1]
+    tail = TAIL / NULLS * (EDGES / low) ** _power(low, 1, high, 5)
+    return np.where(low > EDGES, tail, np.searchsorted(x, EDGES, "right") / NULLS)
+
+
+def _false(stratum: str, counts: np.ndarray) -> np.ndarray:
+    """Ordinary tokens up to each of EDGES, by chance; counts: tokens of the stratum in each bin."""
+    seen, share = counts.cumsum(), _random_share(stratum)
+    median = min(int(np.searchsorted(share, 0.5)), BINS - 1)
+    secrets = seen[median] / max(share[median], 0.5)
+    due = secrets * share
+    ordinary = seen - due
+    sure = np.flatnonzero(ordinary - 2 * np.sqrt(due) >= TAIL)
+    low = sure[0] if len(sure) else None
+    high = low is not None and next((k for k in range(low + 1, BINS) if ordinary[k] >= 5 * ordinary[low]), None)
+    if high:
+        tail = ordinary[low] * (EDGES / EDGES[low]) ** _power(EDGES[low], ordinary[low], EDGES[high], ordinary[high])
+        return np.where(np.arange(BINS) < low, tail, np.maximum(ordinary, tail))
+    return max(seen[-1], 1.0) * _made_share(stratum)
 
 
 def thresholds(found: DataFrame, rate: float = RATE) -> dict[str, float]:
-    """The least accepted p-value of each stratum; counts of all candidates, in BINS bins and the ranges."""
-    each = found.select(F.explode(F.filter("found", lambda s: s["p"].isNotNull())).alias("s"))
-    a, b, c = map(_fisher, RANGES)
-    bin = F.when(F.col("s.p") >= a, F.least(F.floor(F.col("s.p") * BINS), F.lit(BINS - 1)).cast("int")).when(F.col("s.p") >= b, -1).when(F.col("s.p") >= c, -2).otherwise(-3)
-    counts = each.groupBy("s.stratum", bin.alias("bin")).count().collect()  # at most encodings x length bands x (BINS + 3) rows
+    """The greatest accepted evidence of each stratum (-1: none); counts of all candidates in BINS bins."""
+    each = found.select(F.explode(F.filter("found", lambda s: s["evidence"].isNotNull())).alias("s"))
+    step = math.log(EDGES[1] / EDGES[0])
+    bin = F.ceil(F.log(F.greatest(F.col("s.evidence"), F.lit(1e-9)) / float(EDGES[0])) / step - 1e-9)
+    bin = F.greatest(F.least(bin, F.lit(BINS - 1)), F.lit(0)).cast("int")
+    rows = each.groupBy("s.stratum", bin.alias("bin")).count().collect()  # at most encodings x length bands x BINS rows
+    counts: dict[str, np.ndarray] = {}
+    for r in rows:
+        counts.setdefault(r["stratum"], np.zeros(BINS))[r["bin"]] += r["count"]
     out = {}
-    for g in {r["stratum"] for r in counts}:
-        h, low = np.zeros(BINS), {-1: 0, -2: 0, -3: 0}
-        for r in counts:
-            if r["stratum"] == g:
-                h[max(r["bin"], 0)] += r["count"]
-                if r["bin"] < 0:
-                    low[r["bin"]] = r["count"]
-        above = h[::-1].cumsum()[::-1]
-        edges = np.arange(BINS) / BINS
-        secrets = 2 * above[BINS // 2]  # their p-values are uniform
-        false = _own_tail(low[-1], low[-2], h.sum() - secrets, secrets)
-        if h.sum() - secrets < NULLS:
-            false = np.maximum(false, h.sum() * _survival(g))
-        ok = np.flatnonzero((false <= rate * above) & (edges > 0) & (above > 0))
-        out[g] = float(edges[ok[0]]) if len(ok) else 2.0
+    for g, c in counts.items():
+        ok = np.flatnonzero(_false(g, c) <= rate * c.cumsum())
+        ok = ok[c.cumsum()[ok] > 0]
+        out[g] = float(EDGES[ok[-1]]) if len(ok) else -1.0
     return out
 
 
@@ -340,8 +349,8 @@ def find_secrets(docs: DataFrame, extra: list[str] | None = None, rate: float =
     """Per row: doc_id, `extra` columns and spans array<struct<kind: int, start: int, stop: int>>, by start, then kind."""
     found = (store or Store(docs.sparkSession)).keep(find_candidates(docs, extra))
     least = thresholds(found, rate)
-    limit = F.create_map(*[F.lit(x) for kv in least.items() for x in kv]) if least else F.create_map(F.lit(""), F.lit(2.0))
-    kept = F.filter("found", lambda s: s["p"].isNull() | (s["p"] >= limit[s["stratum"]]))
+    limit = F.create_map(*[F.lit(x) for kv in least.items() for x in kv]) if least else F.create_map(F.lit(""), F.lit(-1.0))
+    kept = F.filter("found", lambda s: s["evidence"].isNull() | (s["evidence"] <= limit[s["stratum"]]))
     spans = F.array_sort(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))))
     return found.select("doc_id", *(extra or []), F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("spans"))
 
@@ -350,10 +359,10 @@ def redact(docs: DataFrame, rate: float = RATE, mark: str = "[SECRET]") -> DataF
     """docs with each span (merged where they overlap) of its texts replaced by `mark`.
 
     All columns pass; an `n_chars` column counts the new text. Texts without a span stay as
-    they are, null ones too. Two scans: candidates' p-values for the thresholds, then the
+    they are, null ones too. Two scans: candidates' evidence for the thresholds, then the
     replacement, so no text is shuffled or written in between.
     """
-    least = thresholds(find_candidates(docs.select("doc_id", "text")), rate)
+    most = thresholds(find_candidates(docs.select("doc_id", "text")), rate)
     at = docs.columns.index("text")
     size_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -364,7 +373,7 @@ def redact(docs: DataFrame, rate: float = RATE, mark: str = "[SECRET]") -> DataF
                 for i in _suspects(data, offs):
                     text = data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace")
                     base, more = scan(text)
-                    spans = sorted([(s, e) for s, e, _ in base] + [(s, e) for s, e, g, p in more if p >= least.get(g, 2.0)])
+                    spans = sorted([(s, e) for s, e, _ in base] + [(s, e) for s, e, g, x in more if x <= most.get(g, -1.0)])
                     out, done = [], 0
                     for s, e in spans:
                         if s >= done:

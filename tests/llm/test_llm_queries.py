@@ -1,7 +1,9 @@
 """The operators' queries against their SQL on the smallest tables, and contracts that hold on any table."""
 
 import glob
+import hashlib
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -49,3 +51,18 @@ def test_reruns_agree(spark):
     for name in ("op5_quality_classifier", "op2_toxicity", "op10_language_id"):
         a, b = (plain(queries.QUERIES[name](spark, TABLES).toPandas()) for _ in range(2))
         assert a == b, name
+
+
+def test_base_secrets_of_the_whole_table(spark, db):
+    """The pattern columns against Python's regular expressions."""
+    tables = "/root/testdata/sf0.01"
+    rx = (
+        r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "AKIA[A-Z0-9]+", "[0-9a-f]+",
+    )
+    want = {}
+    for i, text in db.sql(f"SELECT doc_id, text FROM '{tables}/documents.parquet'").fetchall():
+        spans = [(m.start(), k, m.end()) for k, r in enumerate(rx) for m in re.finditer(r, text or "") if (len(m[2]) >= 6 if k == 0 else len(m[0]) >= (20, 24)[k - 1])]
+        joined = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(spans))
+        want[i] = (*(sum(k == j for _, j, _ in spans) for k in range(3)), hashlib.sha256(joined.encode()).hexdigest())
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in queries.QUERIES["op7_secret_scan"](spark, tables).collect()}
+    assert got == want and any(sum(w[:3]) for w in want.values())
