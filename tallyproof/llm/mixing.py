@@ -8,14 +8,15 @@ Targets: with total budget T = share * all words, source s gets min(cap_s, level
 the level that spends T is the largest (T - caps before s) / (weights from s on) over the
 sources in order of cap_s / w_s. This is where resharing the excess by weight ends.
 
-Draws: each document has DRAWS independent uniform numbers from MD5 of its doc_id. A
-source uses the same one of them for all its documents: the one whose words taken come
-nearest to its target (ties: the first). All are summed in the same aggregation, so the
-choice costs no pass, and reruns agree.
+Draws: each document is taken floor(rate) times, and once more with a probability equal to
+the fraction: if a uniform number from MD5 of its doc_id and the seed falls below it. So a
+source's words taken differ from its target by chance, the less the more documents it has;
+reruns agree.
 
 Nulls and ties: null text has size 0; a null source is a source of its own, ordered last;
 a null doc_id draws like the empty string; repeated rows draw alike; a source without
-words has target 0. An empty table gives no rows. Extra columns pass through mix().
+words has target 0. An empty table gives no rows. Other columns pass through mix(), but for
+those that it returns itself.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WEIGHTS = (3, 1, 2)
-DRAWS = 8
+SEED = 0
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -32,11 +33,10 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def draws(doc_id: str = "doc_id") -> Column:
-    """DRAWS numbers of 0 to 2**32 - 1 from the document's id."""
-    text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    md5 = [F.md5(F.concat(text, F.lit(f":{k}"))) for k in range(DRAWS // 4)]
-    return F.array(*[F.conv(F.substring(m, 8 * j + 1, 8), 16, 10).cast("bigint") for m in md5 for j in range(4)])
+def draw(doc_id: str = "doc_id", seed: int = SEED) -> Column:
+    """A number of 0 to 2**32 - 1 from the document's id."""
+    md5 = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(f":{seed}")))
+    return F.conv(F.substring(md5, 1, 8), 16, 10).cast("bigint")
 
 
 def targets(sizes: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -62,19 +62,17 @@ def _small(per_source: DataFrame) -> DataFrame:
 
 
 def rates(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """Per source of docs (doc_id, source, size): source, source_size, target, rate, base, edge, draw."""
+    """Per source of docs (source, size): source, source_size, target, rate, and as edge the draw below which one more copy is taken."""
     per = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap, weights)
     per = per.withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
-    per = per.withColumn("base", F.floor("rate")).withColumn("edge", (F.col("rate") - F.col("base")) * F.lit(4294967296.0))
-    hit = docs.withColumn("u", draws()).join(_small(per.select(F.col("source").alias("s"), "edge")), F.col("source").eqNullSafe(F.col("s")))
-    summed = hit.groupBy("s").agg(F.array(*[F.sum(F.when(F.col("u")[k] < F.col("edge"), F.col("size")).otherwise(0)) for k in range(DRAWS)]).alias("extra"))
-    best = F.array_min(F.transform("extra", lambda x, k: F.struct(F.abs(F.col("source_size") * F.col("base") + x - F.col("target")).alias("off"), k.alias("k"))))["k"]
-    return per.join(summed, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "rate", "base", "edge", F.coalesce(best, F.lit(0)).alias("draw"))
-
-
-def mix(docs: DataFrame, per_source: DataFrame) -> DataFrame:
-    """docs (doc_id, source, size, ...) with source_size, target and copies (times it is taken)."""
-    per = _small(per_source.withColumnRenamed("source", "mix_source"))
-    joined = docs.join(per, F.col("source").eqNullSafe(F.col("mix_source")))
-    extra = F.when(draws()[F.col("draw")] < F.col("edge"), 1).otherwise(0)
-    return joined.select(*docs.columns, "source_size", "target", (F.col("base") + extra).cast("int").alias("copies"))
+    return per.withColumn("edge", (F.col("rate") - F.floor("rate")) * F.lit(4294967296.0))
+
+
+def mix(docs: DataFrame, per_source: DataFrame, seed: int = SEED) -> DataFrame:
+    """docs (doc_id, source, ...) with source_size, target and copies (times it is taken); per_source: a written table of rates()."""
+    per = _small(per_source.select(F.struct("*").alias("mix_rate")))
+    rows = docs.select(F.struct("*").alias("mix_row"), draw(seed=seed).alias("mix_draw"))
+    joined = rows.join(per, F.col("mix_row.source").eqNullSafe(F.col("mix_rate.source")))
+    copies = F.floor("mix_rate.rate") + F.when(F.col("mix_draw") < F.col("mix_rate.edge"), 1).otherwise(0)
+    made = {"source_size": F.col("mix_rate.source_size"), "target": F.col("mix_rate.target"), "copies": copies.cast("int")}
+    return joined.select(*[F.col("mix_row")[c].alias(c) for c in docs.columns if c not in made], *[v.alias(k) for k, v in made.items()])

@@ -122,8 +122,6 @@ SELECT d.doc_id, coalesce(n, 0) AS n_matches, coalesce(l, '') AS licences, round
 FROM documents d LEFT JOIN per ON per.doc_id IS NOT DISTINCT FROM d.doc_id AND per.text = d.text"""
 
 
-_MIX_DRAWS = ", ".join(f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{k}'), {8 * j + 1}, 8))::BIGINT" for k in range(mixing.DRAWS // 4) for j in range(4))
-
 ORACLE_SQL = {
     "op8_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
@@ -133,19 +131,15 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op4_license_scan": _licence_sql(),
     "op6_source_mixing": rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, [{_MIX_DRAWS}] AS u FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{mixing.SEED}'), 1, 8))::BIGINT AS u FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w, (2 * source_size)::DOUBLE AS cap FROM s),
 l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, source_size, least(cap, w * max(level) OVER ()) AS target FROM l),
-r AS (SELECT *, floor(CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END)::BIGINT AS base,
-  ((CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END) - floor(CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END)) * 4294967296.0::DOUBLE AS edge FROM t),
-e AS (SELECT r.source, k, abs(any_value(source_size * base - target) + sum(CASE WHEN u[k + 1] < edge THEN size ELSE 0 END)) AS off
-  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, range({mixing.DRAWS}) AS g(k) GROUP BY r.source, k),
-b AS (SELECT source, arg_min(k, (off, k)) AS draw FROM e GROUP BY source)
-SELECT d.doc_id, d.size, r.source_size, r.target, d.size * (r.base + CASE WHEN u[b.draw + 1] < edge THEN 1 ELSE 0 END) AS taken
-FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN b ON d.source IS NOT DISTINCT FROM b.source""",
+r AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END AS rate FROM t)
+SELECT d.doc_id, d.size, r.source_size, r.target, d.size * (floor(rate)::BIGINT + CASE WHEN u < (rate - floor(rate)) * 4294967296.0::DOUBLE THEN 1 ELSE 0 END) AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source""",
     "op1_minhash_near_dedup": rf"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 shingles AS (

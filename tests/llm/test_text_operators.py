@@ -262,14 +262,19 @@ def test_mix_targets(spark, sizes):
 
 def test_mix_takes_what_it_should(spark):
     rng = random.Random(1)
-    rows = [(i, f"s{min(i % 7, 3)}" if i % 11 else None, rng.randrange(1, 400), "x") for i in range(3000)]
-    table = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint, copy_no string")
-    out = mixing.mix(table, mixing.rates(table)).cache()
-    assert out.count() == len(rows) and out.where("copies > 2 OR copies < 0").count() == 0
+    rows = [(i if i != 5 else None, f"s{min(i % 7, 3)}" if i % 11 else None, rng.randrange(1, 400), "x", 7, 0.5) for i in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint, copy_no string, target int, rate double")
+    per = Store(spark).keep(mixing.rates(table))
+    out = mixing.mix(table, per).cache()
+    assert out.columns == ["doc_id", "source", "size", "copy_no", "rate", "source_size", "target", "copies"] and out.where("rate <> 0.5").count() == 0
+    rate = {r.source: r.rate for r in per.collect()}
+    u = lambda i: int(hashlib.md5(f"{'' if i is None else i}:0".encode()).hexdigest()[:8], 16) / 2**32
+    got = sorted((r.doc_id or -1, r.copies) for r in out.collect())
+    assert got == sorted((i or -1, int(rate[s] // 1 + (u(i) < rate[s] % 1))) for i, s, *_ in rows)
     for r in out.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("t")).collect():
-        assert abs(r.taken - r.t) <= 0.02 * r.t
-    again = mixing.mix(table, mixing.rates(table))
-    assert out.exceptAll(again).count() == 0
+        assert abs(r.taken - r.t) <= 0.1 * r.t  # three standard deviations of the draws are about as much
+    assert out.where("copies > 2 OR copies < 0").count() == 0
+    assert out.exceptAll(mixing.mix(table, per)).count() == 0
     empty = table.where("false")
     assert mixing.mix(empty, mixing.rates(empty)).count() == 0
 
