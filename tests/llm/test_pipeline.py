@@ -66,6 +66,9 @@ def test_near_copies_stage_on_odd_rows(spark):
     rows = [(1, "a b c d e f", "x", "s", 11), (1, "a b c d e f", "x", "s", 11), (None, "a b c d e f", "x", "s", 11), (None, None, None, None, None), (2, "a b c d e f", "x", "s", 11), (3, "", "x", "s", 0)]
     got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted((r.doc_id or -1) for r in got) == [-1, -1, 1, 3]
+    rows = [(1, "a b c d e f", "y", "s", 11), (1, "a b c d e f", "x", None, 11), (1, "g h i j k l", "x", "s", 11), (2, "g h i j k l", "x", "s", 11), (4, "long " * 50_000, "x", "s", 1)]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted((r.doc_id, r.text[:11], r.lang) for r in got) == [(1, "a b c d e f", "x"), (1, "g h i j k l", "x"), (4, "long long l", "x")]
 
 
 def test_near_copies_stage_drops_copies_from_080_on(spark):
@@ -106,6 +109,16 @@ def test_empty_tables(spark, tmp_path):
         assert q[name](spark, path).count() == 0, name
 
 
+def test_extra_columns_pass_the_stages(spark, corpus):
+    path, rows, _ = corpus
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumn("target", F.lit("t")).withColumn("row", F.lit("r")).withColumn("n", F.lit(2)).withColumn("copy_no", F.lit(9)).withColumn("others", F.lit("o"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns and out.where("target <> 't' OR row <> 'r' OR n <> 2 OR others <> 'o' OR copy_no <> 9").isEmpty()
+    mixed = corpus_pipeline.mix_sources(spark, docs, path)
+    assert sorted(mixed.columns) == sorted(docs.columns) and mixed.where("target <> 't' OR copy_no NOT IN (1, 2)").isEmpty()
+
+
 def test_every_operator_is_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
