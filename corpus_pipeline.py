@@ -25,12 +25,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Copies have a Jaccard similarity of 0.8 or more; groups of 3 minhashes miss a link at 0.8
     with a probability of 9e-5.
-    Of rows that share a doc_id one stays; rows with a null doc_id are in no group and stay.
+    Rows that share a doc_id are one document: of those with one text one row stays (the first
+    by its other columns), of different texts each. Rows with a null doc_id are in no group and stay.
     """
     kept = near_duplicates(docs, threshold=80, group=3).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    rows = docs.join(kept, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), "doc_id")
-    rows = rows.select("row", one.alias("n")).where("n = 1").select("row.*")
+    others = F.to_json(F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c not in ("doc_id", "text")]))
+    first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("others"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", others.alias("others")).join(kept, "doc_id", "left_semi")
+    rows = rows.select("row", first.alias("n")).where("n = 1").select("row.*")
     return rows.union(docs.where("doc_id IS NULL").select(rows.columns))
 
 
@@ -45,11 +47,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate and its draw say, as rows numbered by copy_no."""
-    store = Store(spark)
-    sized = store.keep(docs.select("doc_id", "source", mixing.word_count().alias("size")))
-    rows = docs.select(F.struct(*[c for c in docs.columns if c != "copy_no"]).alias("row"), "doc_id", "source", F.lit(0).cast("bigint").alias("size"))
-    taken = mixing.mix(rows, store.keep(mixing.rates(sized))).where("copies > 0")
+    """Each document as often as its source's rate and its draw say, as rows numbered by copy_no (it replaces a column of that name)."""
+    per_source = Store(spark).keep(mixing.rates(docs.select("source", mixing.word_count().alias("size"))))
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "copy_no"]).alias("row"), "doc_id", "source")
+    taken = mixing.mix(rows, per_source).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no")).select("row.*", "copy_no")
 
 
