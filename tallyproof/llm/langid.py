@@ -11,7 +11,8 @@ matrix products: presence (texts x slots) by landmarks' presence, scaled by the
 by the weights. The language of the largest response wins; the score is its softmax.
 
 Fitted on at most SAMPLE labelled rows a run (the first by a hash of the id, evenly over
-languages); applied to every whole text. `und` for texts without a letter (null and empty
+languages, of which the first SAMPLE can be told); of rows that share id and language one is
+learned from. Applied to every whole text. `und` for texts without a letter (null and empty
 ones too), with score 0. Without training rows all are `und`. Ties: the language first in
 code-point order. Repeated rows score alike; other columns are not read.
 """
@@ -24,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import with_text
+from .sampling import sample_evenly, with_text
 from .words import LOWER, mix64, text_blocks
 
 SLOTS = 1 << 16
@@ -106,23 +107,17 @@ class Model:
 def fit(rows: DataFrame, size: int = SAMPLE, landmarks: int = LANDMARKS) -> Model:
     """rows: (doc_id, text, lang), only rows that may be learned from; null langs are left out."""
     known = rows.where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    langs = sorted(r[0] for r in known.select("lang").distinct().collect())
-    if not langs:
-        return Model([], None, None)
-    share = max(1, size // len(langs))
-    # The first of each language by a hash: each branch is a bounded top-k, no language is gathered whole.
-    chosen = None
-    for lang in langs:
-        top = known.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(share)
-        chosen = top if chosen is None else chosen.unionByName(top)
 
     def run(batches):
         for b in batches:
-            for a, e, slots, bounds, _ in presence(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), b.column(2).slice(a, e - a), pa.ListArray.from_arrays(bounds.astype(np.int32), slots)], ["doc_id", "lang", "slots"])
+            for a, e, slots, bounds, _ in presence(b.column(2)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), b.column(1).slice(a, e - a), pa.ListArray.from_arrays(bounds.astype(np.int32), slots)], ["doc_id", "lang", "slots"])
 
-    got = with_text(rows, chosen).select("doc_id", "text", "lang")
-    table = got.mapInArrow(run, "doc_id bigint, lang string, slots array<int>").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()  # at most `size` rows of up to SLOTS numbers
+    got = with_text(known, sample_evenly(known, size, "lang", "doc_id"), "doc_id", "lang").select("doc_id", "lang", "text")
+    table = got.mapInArrow(run, "doc_id bigint, lang string, slots array<int>").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").toArrow()  # at most `size` rows of up to SLOTS numbers
+    langs = sorted(set(table["lang"].to_pylist()))
+    if not langs:
+        return Model([], None, None)
     lang = np.array(table["lang"].to_pylist(), object)
     lists = table["slots"].combine_chunks()
     slots, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()

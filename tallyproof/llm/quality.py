@@ -15,7 +15,7 @@ Only trusted positives and unlabelled text are learned from, never negative labe
   non-negative PU learning.
 
 The score is the network's probability. Fitted on at most SAMPLE positives and SAMPLE
-unlabelled rows (the first by a hash of the id), both from rows that may be learned from;
+unlabelled ids (the first by a hash of the id; of rows that share an id, one), both from rows that may be learned from;
 applied to every row. Without positives all scores are 0.5. Null and empty texts have
 zeros for features; repeated rows score alike; other columns are not read.
 """
@@ -183,7 +183,7 @@ def fit(positives: DataFrame, docs: DataFrame, size: int = SAMPLE) -> Network |
             x = features(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.ListArray.from_arrays(np.arange(0, x.size + 1, FEATURES, dtype=np.int32), x.ravel())], ["doc_id", "trusted", "web", "x"])
 
-    rows = with_text(docs, chosen).select("doc_id", "text", "trusted", "web")
+    rows = with_text(docs, chosen, "doc_id").select("doc_id", "text", "trusted", "web")
     got = rows.mapInArrow(run, "doc_id bigint, trusted boolean, web boolean, x array<double>").orderBy("doc_id").toArrow()  # at most 2 * size rows of FEATURES numbers
     x = np.asarray(got["x"].combine_chunks().values, float).reshape(-1, FEATURES)
     is_p, is_u = (got[c].fill_null(False).to_numpy() for c in ("trusted", "web"))

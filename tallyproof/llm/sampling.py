@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,18 @@ def sample(rows: DataFrame, size: int, *keys: str) -> DataFrame:
     return rows.orderBy(F.xxhash64(*keys), *keys).limit(size)
 
 
-def with_text(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Texts of the chosen doc_ids. `chosen` is bounded by a sample's size, so it is broadcast; docs isn't shuffled."""
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+def sample_evenly(rows: DataFrame, size: int, by: str, key: str) -> DataFrame:
+    """At most `size` distinct (key, by), evenly over the values of `by`: of each the first by a hash of the key, in turns."""
+    order = Window.partitionBy(by).orderBy(F.xxhash64(key), key)
+    first = rows.select(key, by, F.dense_rank().over(order).alias("turn")).where(F.col("turn") <= size).distinct()
+    return first.orderBy("turn", F.xxhash64(key, by), key, by).limit(size).select(key, by)
+
+
+def with_text(docs: DataFrame, chosen: DataFrame, *keys: str) -> DataFrame:
+    """chosen with the text of its keys; of rows that share them, the text with the least hash.
+
+    `chosen` is bounded by a sample's size, so it is broadcast; docs isn't shuffled, and no
+    more rows come out than `chosen` has.
+    """
+    found = docs.select(*keys, "text").join(F.broadcast(chosen), list(keys))
+    return found.groupBy(*chosen.columns).agg(F.min_by(F.struct("text"), F.xxhash64("text")).alias("t")).select(*chosen.columns, "t.text")

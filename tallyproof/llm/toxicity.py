@@ -1,18 +1,19 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-Features of a text: densities of lexicon words (a fixed list, and words and word beginnings
-learned from labelled text), lexicon words near second-person words, capitals, punctuation
-and obfuscation rates, and plain size measures. All are computed from the bytes of a whole
-text with numpy.
-
-The learned lexicon holds words, and beginnings of 4 and 5 letters, whose documents are
-toxic more often than chance by a log-likelihood ratio G2 >= LEAST_G2 (at most LEXICON
-entries of each kind and fold). Each training row's features use a lexicon from the other
+Features of a text: densities of lexicon words (a fixed list for each of four languages, and
+words and word beginnings learned from labelled text), lexicon words near second-person
+words, capitals, punctuation and obfuscation rates, and plain size measures. All are computed
+from the bytes of a whole text with numpy. Words are runs of letters, digits, '@' and
+apostrophes between letters; case counts for none of A-Z and the letters from À to Þ.
+
+The learned lexicon holds words, and beginnings of 4 and 5 bytes, whose documents are
+toxic more often than chance by a log-likelihood ratio G2 >= LEAST_G2; such a word is in
+several toxic documents of the sample, so the sample's size bounds it. Each training row's features use a lexicon from the other
 half of the sample, so a row's own label never reaches its features. Scores are calibrated
 on out-of-fold predictions.
 
 Fitted on at most SAMPLE labelled rows (bounded by parameter; the first by a hash of the
-id); applied to every row. Without labels of both values all scores are the share of
+id; of rows that share an id, one text, toxic if any label of the id says so); applied to every row. Without labels of both values all scores are the share of
 toxic labels (0 without any). Null and empty texts have a feature vector of zeros and are
 scored like any other; repeated rows score alike; other columns are not read.
 """
@@ -29,20 +30,20 @@ from .trees import BoostedTrees, Isotonic
 from .words import LOWER, byte_hashes, lanes, mix64, text_blocks, token_spans
 
 SAMPLE = 12_000
-LEXICON = 4096
 LEAST_G2 = 20.0
 THRESHOLD = 0.7
 FOLDS = 2
 
-# Insults and hostile words.
-INSULTS = (
-    "idiot idiots moron morons stupid dumb loser losers scum trash garbage pathetic worthless disgusting clown clowns fool fools "
-    "imbecile cretin coward liar filth filthy vermin pig pigs ugly hate hateful despicable vile useless ignorant jerk creep "
-    "bastard damn crap shut kill die idioten dumm dummkopf trottel abschaum arschloch wertlos ekelhaft verlierer müll "
-    "imbécile crétin débile ordure salaud connard minable dégoûtant nul imbécil estúpido tonto basura escoria perdedor asqueroso inútil"
-).split()
-# Second-person words.
-SECOND_PERSON = "you your yours yourself you're u ur du dich dir dein deine ihr euch euer sie tu te toi ton ta tes vous votre vos tú usted ustedes tus vosotros os".split()
+# Insults and hostile words of four languages. Words that are common and harmless
+# in another of them (like German "die") are left out.
+INSULTS = {
+    "en": "idiot idiots moron morons stupid dumb loser losers scum trash garbage pathetic worthless disgusting clown clowns fool fools imbecile cretin coward liar filth filthy vermin pig pigs ugly hate hateful despicable vile useless ignorant jerk creep bastard damn crap",
+    "de": "idioten dumm dummkopf trottel abschaum arschloch wertlos ekelhaft verlierer müll",
+    "fr": "imbécile crétin débile ordure salaud connard minable dégoûtant",
+    "es": "imbécil estúpido tonto basura escoria perdedor asqueroso inútil",
+}
+# Second-person words, again without those that mean something else in another language.
+SECOND_PERSON = {"en": "you your yours yourself you're", "de": "dich dir dein deine deiner euch euer", "fr": "toi vous votre vos", "es": "tú usted ustedes vosotros vosotras"}
 
 _U = np.uint64
 
@@ -58,15 +59,24 @@ _PUNCT = _mask(lambda b: 33 <= b <= 126 and not (48 <= b <= 57 or 65 <= b <= 90
 _SPACE = _mask(lambda b: b == 32 or 9 <= b <= 13)
 _ODD = _mask(lambda b: chr(b) in "*#$%&@|~^_+=<>\\")
 _TOKEN = _LETTER | _DIGIT | _mask(lambda b: chr(b) in "@'")
-#: Lower case, and digits and signs that stand for letters.
-PLAIN = LOWER.copy()
-PLAIN[[ord(c) for c in "013457@"]] = [ord(c) for c in "oieasta"]
+#: Digits and signs that stand for letters, on top of lower case.
+_STANDS = LOWER.copy()
+_STANDS[[ord(c) for c in "013457@"]] = [ord(c) for c in "oieasta"]
 
 
-def _known(words) -> np.ndarray:
+def plain(data: np.ndarray) -> np.ndarray:
+    """Bytes in lower case (A-Z, and the letters from À to Þ in UTF-8), with letters for digits and signs that stand for them."""
+    out = _STANDS[data]
+    accented = np.flatnonzero(data[:-1] == 0xC3) + 1
+    accented = accented[(data[accented] >= 0x80) & (data[accented] <= 0x9E) & (data[accented] != 0x97)]
+    out[accented] += 0x20
+    return out
+
+
+def _known(words: str) -> np.ndarray:
     out = []
-    for w in words:
-        d = PLAIN[np.frombuffer(w.encode(), np.uint8)]
+    for w in words.split():
+        d = plain(np.frombuffer(w.encode(), np.uint8))
         out.append(byte_hashes(d, np.array([0]), np.array([len(d)]), 2)[0])
     return np.unique(np.array(out, _U))
 
@@ -79,21 +89,25 @@ def _isin(x: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def _words(data: np.ndarray, offsets: np.ndarray):
     """Words of a block: starts, ends, bounds by document, and keys (whole word, first 4 and first 5 bytes)."""
-    start, end = token_spans(data, offsets, _TOKEN)
-    plain = PLAIN[data]
-    view = lanes(plain)
-    keys = [byte_hashes(plain, start, end, 2, view)]
+    quotes = np.flatnonzero(data == 39)
+    inside = (quotes > 0) & (quotes < len(data) - 1)
+    inside[inside] = _LETTER[data[quotes[inside] - 1]] & _LETTER[data[quotes[inside] + 1]]
+    text = plain(data)
+    text[quotes[~inside]] = 32
+    start, end = token_spans(text, offsets, _TOKEN)
+    view = lanes(text)
+    keys = [byte_hashes(text, start, end, 2, view)]
     for k in (4, 5):
-        keys.append(np.where(end - start >= k, mix64(byte_hashes(plain, start, np.minimum(end, start + k), 2, view), 40 + k), _U(0)))
+        keys.append(np.where(end - start >= k, mix64(byte_hashes(text, start, np.minimum(end, start + k), 2, view), 40 + k), _U(0)))
     return start, end, np.searchsorted(start, offsets), keys
 
 
-FEATURES = 26
+FEATURES = 30
 
 
 def features(column: pa.Array, lexicon: list[np.ndarray]) -> np.ndarray:
     """(rows, FEATURES) of whole texts; lexicon: sorted hashes of learned words and beginnings."""
-    fixed, second = _known(INSULTS), _known(SECOND_PERSON)
+    fixed, second = [_known(w) for w in INSULTS.values()], _known(" ".join(SECOND_PERSON.values()))
     parts = [np.zeros((0, FEATURES))]
     for a, e, data, offs in text_blocks(column):
         n = e - a
@@ -105,7 +119,8 @@ def features(column: pa.Array, lexicon: list[np.ndarray]) -> np.ndarray:
         count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offs])
         upper, punct, digit, letter = _UPPER[data], _PUNCT[data], _DIGIT[data], _LETTER[data]
         total = np.maximum(size, 1)
-        is_fixed, is_you = _isin(keys[0], fixed), _isin(keys[0], second)
+        by_language = [_isin(keys[0], f) for f in fixed]
+        is_fixed, is_you = np.logical_or.reduce(by_language), _isin(keys[0], second)
         learned = [_isin(k, t) for k, t in zip(keys, lexicon)]
         any_hit = is_fixed | learned[0] | learned[1] | learned[2]
         near = np.zeros(len(of), bool)
@@ -123,6 +138,7 @@ def features(column: pa.Array, lexicon: list[np.ndarray]) -> np.ndarray:
         hits = per(any_hit)
         x = np.stack(
             [
+                *(per(f) / words for f in by_language),
                 per(is_fixed) / words, per(learned[0]) / words, per(learned[1]) / words, per(learned[2]) / words,
                 np.log1p(per(is_fixed)), np.log1p(per(learned[0])), np.log1p(per(learned[1])), np.log1p(per(learned[2])),
                 hits / words, np.log1p(hits), (hits > 0).astype(float), (hits > 1).astype(float),
@@ -139,7 +155,7 @@ def features(column: pa.Array, lexicon: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _learn_lexicon(rows: DataFrame, size: int, least: float) -> list[list[np.ndarray]]:
+def _learn_lexicon(rows: DataFrame, least: float) -> list[list[np.ndarray]]:
     """Lexicons from all training rows, and from the rows outside each fold. rows: (text, y, fold)."""
 
     def run(batches):
@@ -177,7 +193,7 @@ def _learn_lexicon(rows: DataFrame, size: int, least: float) -> list[list[np.nda
         rate = pos / (pos + neg)
         g2 = 2 * (p1 * F.log(F.greatest(p1, F.lit(1e-9)) / ((p1 + p0) * rate)) + p0 * F.log(F.greatest(p0, F.lit(1e-9)) / ((p1 + p0) * (1 - rate))))
         strong = per.where(p1 + p0 > 0).withColumn("g2", g2).where((F.col("g2") >= least) & (p1 / pos > 3 * p0 / neg))
-        found = [r for kind in range(3) for r in strong.where(F.col("kind") == kind).orderBy(F.desc("g2"), "key").limit(size).select("kind", "key").collect()]  # at most 3 * size
+        found = strong.select("kind", "key").collect()  # words in several toxic documents of a bounded sample
         out.append([np.unique(np.array([r["key"] for r in found if r["kind"] == k], np.int64).view(_U)) for k in range(3)])
     return out
 
@@ -192,14 +208,14 @@ class Model:
         return np.clip(self.calibration(self.trees.raw(features(texts, self.lexicon))), 0, 1)
 
 
-def fit(labelled: DataFrame, docs: DataFrame, size: int = SAMPLE, lexicon: int = LEXICON, least_g2: float = LEAST_G2) -> Model:
+def fit(labelled: DataFrame, docs: DataFrame, size: int = SAMPLE, least_g2: float = LEAST_G2) -> Model:
     """labelled: (doc_id, y 0/1), rows that may be learned from; docs: (doc_id, text)."""
     from .store import Store
 
     chosen = sample(labelled.where("y IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("y").cast("int").alias("y")), size, "doc_id")
-    rows = with_text(docs, chosen).withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(FOLDS)).cast("int"))
+    rows = with_text(docs, chosen, "doc_id").withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(FOLDS)).cast("int"))
     rows = Store(docs.sparkSession).keep(rows.repartition(16, "doc_id"))
-    lexicons = _learn_lexicon(rows, lexicon, least_g2)
+    lexicons = _learn_lexicon(rows, least_g2)
 
     def run(batches):
         for b in batches:

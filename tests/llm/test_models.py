@@ -1,7 +1,9 @@
 """Classifiers on planted text, exact search, decontamination: held-out accuracy and brute force."""
 
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyproof.llm import decontam, langid, quality, topk, toxicity
-from tallyproof.llm.sampling import split_of
+from tallyproof.llm.sampling import sample_evenly, split_of, with_text
 from tallyproof.llm.trees import BoostedTrees, Isotonic
 
 
@@ -89,6 +91,106 @@ def test_quality_uses_no_negative_labels(spark, labelled):
     assert np.array_equal(a, b)
 
 
+def test_samples_are_bounded_whatever_ids_repeat(spark):
+    rows = [(1, f"text {i}", "aa") for i in range(300)] + [(i, f"other {i}", "bb" if i % 2 else "cc") for i in range(2, 40)] + [(None, "x", "aa"), (2, "again", "bb"), (3, None, "aa")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    chosen = sample_evenly(docs.where("doc_id IS NOT NULL"), 9, "lang", "doc_id")
+    got = with_text(docs, chosen, "doc_id", "lang").collect()
+    per = Counter(r.lang for r in got)
+    assert len(got) == 9 and per["aa"] == 2 and {per["bb"], per["cc"]} == {3, 4}  # aa has two ids
+    assert all((r.doc_id, r.text, r.lang) in rows for r in got)
+    assert sorted(map(tuple, with_text(docs, chosen, "doc_id", "lang").collect())) == sorted(map(tuple, got))
+    a, b = (langid.fit(d, size=9) for d in (docs, docs.repartition(5)))
+    assert np.array_equal(a.weights, b.weights) and a.languages == ["aa", "bb", "cc"]
+    labels = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (2, 1, 0), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    assert toxicity.score(docs, toxicity.fit(labels.selectExpr("doc_id", "toxic AS y"), docs)).count() == len(rows)
+    assert quality.score(docs, quality.fit(labels.where("quality = 1"), docs, size=3)).count() == len(rows)
+
+
+def test_models_ignore_other_columns(spark, labelled):
+    docs, labels = labelled
+    clash = docs.withColumn("y", F.lit("k")).withColumn("fold", F.lit("k")).withColumn("score", F.lit("k")).withColumn("trusted", F.lit("k")).withColumn("t", F.lit("k"))
+    texts = pa.array(["ta re mi", "you idiot", ""])
+    for fit in (lambda d: toxicity.fit(toxicity.train_rows(labels, "toxic"), d), lambda d: quality.fit_on_tables(d, labels)):
+        assert np.array_equal(fit(docs).score(texts), fit(clash).score(texts))
+    lang = docs.withColumn("lang", F.lit("aa"))
+    assert langid.predict(lang.withColumn("slots", F.lit(1)).withColumn("turn", F.lit(1)), langid.fit(lang.withColumn("slots", F.lit(1)).withColumn("turn", F.lit(1)))).columns == ["doc_id", "lang_pred", "score"]
+
+
+TEXTS = ["You IDIOT!! 'idiot' it's a MÜLL-day, id10t; you're w0rthless", "", None, "die Katze und du ton sie", "a", "Hello, World. 12 apples?\n\nhi hi hi a|b $$ %% LOUD words", "é É çà " * 40, "x" * 30 + " " + "tú imbécil"]
+
+
+def test_toxicity_features_by_a_plain_count():
+    got = toxicity.features(pa.array(TEXTS), [np.zeros(0, np.uint64)] * 3)
+    stands = str.maketrans("013457@", "oieasta")
+    lists = [set(w.translate(stands) for w in ws.split()) for ws in toxicity.INSULTS.values()]
+    you = set(w.translate(stands) for ws in toxicity.SECOND_PERSON.values() for w in ws.split())
+    letter = "[A-Za-z\\u0080-\\U0010ffff]"
+    for row, text in zip(got, TEXTS):
+        text = text or ""
+        raw, n = text.encode(), max(len(text.encode()), 1)
+        words = re.findall(rf"(?:[A-Za-z0-9@\u0080-\U0010ffff]|(?<={letter})'(?={letter}))+", text)
+        plain = [w.lower().translate(stands) for w in words]
+        m = max(len(words), 1)
+        hit = [any(w in x for x in lists) for w in plain]
+        near = [h and any(plain[j] in you for j in range(max(0, i - 5), min(len(plain), i + 6)) if j != i) for i, h in enumerate(hit)]
+        punct = sum(33 <= b <= 126 and not chr(b).isalnum() for b in raw)
+        want = [*(sum(w in x for w in plain) / m for x in lists), sum(hit) / m]
+        if not text:
+            assert not row.any()
+            continue
+        assert row[:5] == pytest.approx(want), text
+        assert row[17:19] == pytest.approx([sum(near) / m, sum(w in you for w in plain) / m])
+        assert row[[19, 21, 23, 24, 27, 28, 29]] == pytest.approx([sum(65 <= b <= 90 for b in raw) / n, punct / n, raw.count(b"!") / n, raw.count(b"?") / n, sum(48 <= b <= 57 for b in raw) / n, np.log1p(len(words)), len(raw) / m])
+
+
+def test_quality_features_by_a_plain_count():
+    got = quality.features(pa.array(TEXTS))
+    for row, text in zip(got, TEXTS):
+        raw = (text or "").encode()
+        if not raw:
+            assert not row.any()
+            continue
+        n, words = len(raw), re.findall(rb"[^\x20\x09-\x0D]+", raw)
+        lower = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words]
+        pairs = list(zip(lower, lower[1:]))
+        plain = b".,;:'\"-()"
+        is_letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 0x80
+        sign = lambda b: 33 <= b <= 126 and not is_letter(b) and not 48 <= b <= 57 and b not in plain
+        m, sizes = len(words), [len(w) for w in words]
+        want = [
+            sum(65 <= b <= 90 for b in raw) / n, sum(map(sign, raw)) / n, sum(48 <= b <= 57 for b in raw) / n, sum(b in plain for b in raw) / n, sum(b >= 0x80 for b in raw) / n,
+            sum(sign(b) and a == b for a, b in zip(raw, raw[1:])) / n, raw.count(b"!") / n, raw.count(b"|") / n,
+            sum(sum(map(is_letter, w)) > 1 and all(65 <= b <= 90 for b in w if is_letter(b)) for w in words) / m, sum(any(map(sign, w)) for w in words) / m, sum(not any(map(is_letter, w)) for w in words) / m, sum(x > 20 for x in sizes) / m,
+            np.mean(sizes), np.std(sizes), sum(x <= 3 for x in sizes) / m, len(set(lower)) / m, max(Counter(lower).values()) / m,
+            len(set(pairs)) / max(len(pairs), 1), max(Counter(pairs).values(), default=0) / max(len(pairs), 1), sum(a == b for a, b in pairs) / m,
+            sum(raw.count(c) for c in (b".", b"?", b"!")) / m, sum(bool(x) for x in raw.split(b"\n")) / m, np.log1p(m), np.log1p(len(set(lower))),
+        ]
+        assert row == pytest.approx(want, abs=1e-9), text
+
+
+def test_language_by_a_plain_kernel(spark):
+    rng = random.Random(14)
+    kinds = {"aa": ("ta", "re", "mi"), "bb": ("ta", "schu", "mi")}
+    rows = [(i, prose(rng, 6, kinds[x]), x) for i, x in enumerate(["aa", "bb"] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs, landmarks=8)
+    order = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    text, lang = {i: t for i, t, _ in rows}, {i: x for i, _, x in rows}
+    grams = lambda t: {t[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1)}
+    kernel = lambda a, b: len(grams(a) & grams(b)) / (len(grams(a)) * len(grams(b))) ** 0.5
+    marks = [i for x in ("aa", "bb") for i in [j for j in order if lang[j] == x][:4]]
+    k = np.array([[kernel(text[i], text[j]) for j in marks] for i in order])
+    y = np.array([[1.0 if lang[i] == x else -1.0 for x in ("aa", "bb")] for i in order])
+    gram = np.array([[kernel(text[i], text[j]) for j in marks] for i in marks])
+    weights = np.linalg.solve(k.T @ k + langid.RIDGE * (gram + 1e-3 * np.eye(8)), k.T @ y)
+    new = [prose(rng, 5, kinds[x]) for x in ("aa", "bb") * 5]
+    response = 4 * np.array([[kernel(t, text[j]) for j in marks] for t in new]) @ weights
+    want = 1 / np.exp(response - response.max(1, keepdims=True)).sum(1)
+    names, score = model.predict(pa.array(new))
+    assert names == [("aa", "bb")[b] for b in response.argmax(1)] and score == pytest.approx(want, abs=2e-3)
+
+
 def test_class_prior():
     rng = np.random.default_rng(1)
     p = rng.normal(0, 1, (3000, 3))
@@ -244,3 +346,30 @@ def test_edited_copies_in_several_documents_are_found(spark, bench):
     texts += [f"{prose(rng, 30)} {common} {prose(rng, 30)}" for _ in range(60)]
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), table).collect()}
     assert got == {(i, 0) for i in range(29)}
+
+
+def test_seeds_find_what_alignment_of_all_pairs_finds(spark):
+    rng = random.Random(21)
+    vocabulary = [prose(rng, 1) + str(i) for i in range(400)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [some(rng.randrange(8, 50)) for _ in range(25)]
+    texts = []
+    for i in range(300):
+        w = list(rng.choice(items))
+        for _ in range(rng.randrange(0, 1 + len(w) // 2)):  # words replaced, dropped, put in, moved
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([some(1), [], [w[k], *some(1)], some(1)])
+            w = w or some(1)
+        texts.append(some(rng.randrange(40)) + (w if i % 3 else some(20)) + some(rng.randrange(40)))
+    ids = {}
+    number = lambda w: np.array([ids.setdefault(x, len(ids)) for x in w], np.uint64)
+    want = set()
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            if decontam.local_alignment(number(item), number(t))[0] >= max(decontam.SHARE * len(item), min(len(item), decontam.SURE)):
+                want.add((d, i))
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id bigint, text string")
+    bench_ = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(3, " ".join(items[3]))], "item_id bigint, text string")
+    rows = decontam.contaminated(docs.union(docs.limit(5)), bench_).collect()
+    got = {(r.doc_id, r.item_id) for r in rows}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 150, (len(got), len(want))
