@@ -78,8 +78,9 @@ def threshold_top_k(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np
     """
     n, d = v.shape
     least = np.full(len(q), -np.inf) if least is None else least
-    exact = float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * d < 2**53
-    v, q = (v.astype(float), q.astype(float)) if exact else (v, q)  # doubles hold these integers exactly
+    greatest = float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * d
+    kind = np.float32 if greatest < 2**24 else np.float64 if greatest < 2**53 else np.int64  # which hold these integers exactly
+    v, q = v.astype(kind), q.astype(kind)
     order = np.ascontiguousarray(np.argsort(v, axis=0, kind="stable").T)
     ranked = np.take_along_axis(v.T, order, 1)  # each dimension's list, ascending
     norm = float(np.sqrt((v.astype(float) ** 2).sum(1).max(initial=0))) * (1 + 1e-9)
