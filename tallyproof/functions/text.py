@@ -25,17 +25,37 @@ def _single_forms() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+@lru_cache
+def _multiple_forms() -> dict[str, str]:
+    """Code points of the basic plane whose compatibility form is several code points, and these forms."""
+    pairs = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000}
+    return {a: b for a, b in pairs.items() if len(b) > 1}
+
+
+#: Stands for a code point whose form is several code points, while looking for one; no character.
+_MARK = "\ufffe"
+
+
+def _fold(c: Column, source: str, target: str) -> Column:
+    """translate(), and forms of several code points spelt out; texts without any (nearly all) take one pass."""
+    forms = _multiple_forms()
+    table = F.str_to_map(F.lit("\x01".join(f"{a}\x02{b}" for a, b in forms.items())), F.lit("\x01"), F.lit("\x02"))
+    known = F.array(F.translate(c, "".join(forms) + source, _MARK * len(forms) + target))
+    spelt = F.array_join(F.transform(F.split(c, ""), lambda x: F.when(F.translate(x, "".join(forms), "") == "", F.try_element_at(table, x)).otherwise(x)), "")
+    return F.transform(known, lambda t: F.when(t.contains(_MARK), F.translate(spelt, source, target)).otherwise(t))[0]
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def fold_width(c: Column | str) -> Column:
-    """NFKC for all forms of one code point (full and half width, compatibility letters), by one table."""
-    return F.translate(_col(c), *_single_forms())
+    """NFKC of each code point by itself (full and half width, compatibility letters, ligatures, fractions), by tables."""
+    return _fold(_col(c), *_single_forms())
 
 
 def nfkc(c: Column | str) -> Column:
-    """Exact NFKC, also for forms of several code points; an Arrow function, so off the default path."""
+    """Exact NFKC, which also composes letters and the marks behind them; an Arrow function, so off the default path."""
     exact = F.pandas_udf(lambda s: s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x)), "string")
     return exact(_col(c))
 
@@ -49,7 +69,7 @@ def normalize_text(c: Column | str, exact: bool = False) -> Column:
     table |= {d: "-" for d in _DASHES} | dict(zip(_QUOTES, "''\"\"" + '""""'))
     removed = {s for s in _SPACES} | {a for a, b in table.items() if b in _SPACES}
     table = {a: b for a, b in table.items() if a not in removed}
-    return F.translate(text, "".join(table) + "".join(sorted(removed)), "".join(table.values()))
+    return _fold(text, "".join(table) + "".join(sorted(removed)), "".join(table.values()))
 
 
 def squash(c: Column | str) -> Column:
@@ -57,9 +77,10 @@ def squash(c: Column | str) -> Column:
     return F.regexp_replace(fold_width(F.coalesce(_col(c), F.lit(""))), r"(?U)\s+", "")
 
 
+# Footnotes, ordinals and qualifiers around item names.
 _FOOTNOTE = r"[（(](?:净亏损|净收益|亏损|收益)[^）)]*号填列[）)]\s*$"
 _ORDINAL = r"[(（]?[一二三四五六七八九十0-9]{1,3}[)）、.．]\s*"
-_QUALIFIER = r"(?:其中|加|减|＋|＋:|加：|减：|其中：)[:：]?\s*"
+_QUALIFIER = r"(?:其中|加|减|＋)[:：]{0,2}\s*"
 
 
 def clean_label(c: Column | str) -> Column:
@@ -128,6 +149,7 @@ def chunk_text(label: Column, section: Column, values: Column) -> Column:
     return F.concat_ws(" | ", F.filter(F.concat(F.array(label, F.coalesce(section, F.lit(""))), values), lambda p: p != ""))
 
 
+# Legal forms.
 _SUFFIX = r"(?:股份有限公司|有限责任公司|有限公司|集团|公司)$"
 
 

@@ -28,27 +28,46 @@ def locate_span(claim: Column, text: Column) -> Column:
     return F.when(nothing, None).when(exact > 0, hit("exact", exact, claim)).when((nc != "") & (loose > 0), hit("normalized", loose, nc))
 
 
-#: Claims that are sent to every task at once; more are taken block by block.
+#: Needles that are sent to every task at once; more are taken block by block.
 CLAIM_BLOCK = 5_000
+#: Characters of a needle that it is looked up by.
+SEED = 8
+
+
+def containing(texts: DataFrame, plain: str, needles: DataFrame, needle: str, block: int = CLAIM_BLOCK) -> DataFrame:
+    """Rows of texts joined with the needles that their `plain` contains, both normalised; needles can be many.
+
+    Each needle is looked up by its first SEED characters (all of a shorter one): those that
+    a text has are found in one pass over its characters, and only they are joined, by
+    equality, with the needles; contains() decides. Needles are taken in blocks that are
+    broadcast, so texts are never shuffled and no pair is made that shares no seed.
+    """
+    asked = needles.where(F.length(needle) > 0).withColumn("seed", F.substring(needle, 1, SEED))
+    counted = asked.agg(F.count("*").alias("n"), F.collect_set(F.length("seed")).alias("sizes")).first()  # at most SEED sizes
+    blocks, out = max(1, -(-counted["n"] // block)), None
+    for k in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64(needle), F.lit(blocks)) == k) if blocks > 1 else asked
+        for size in sorted(counted["sizes"]) or [SEED]:
+            some = part.where(F.length("seed") == size)
+            seeds = [r["seed"] for r in some.select("seed").distinct().collect()]  # at most a block
+            every = F.regexp_extract_all(plain, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1))
+            met = F.explode(F.array_intersect(every, F.split(F.lit("\x01".join(seeds)), "\x01")))
+            pairs = texts.withColumn("seed", met).join(F.broadcast(some), "seed").drop("seed")
+            pairs = pairs.where(F.call_function("contains", F.col(plain), F.col(needle)))
+            out = pairs if out is None else out.unionByName(pairs)
+    return out
 
 
 def locate_claims(claims: DataFrame, texts: DataFrame, block: int = CLAIM_BLOCK) -> DataFrame:
     """claims (claim_id, claim) in all texts (text_id, text) -> claim_id, text_id, span: every pair with a hit.
 
-    Both sides are normalised once a row, not once a pair, and the first characters of a
-    claim decide whether it is located in a text. Claims are broadcast in blocks, whose
-    number follows from their count; texts are never shuffled.
+    Both sides are normalised once a row, not once a pair; see containing().
     """
-    blocks = max(1, -(-claims.count() // block))
     body = texts.select("text_id", "text", normalize_text("text").alias("plain"))
-    asked = claims.select("claim_id", "claim", F.substring(normalize_text("claim"), 1, 24).alias("seed")).where("seed <> ''")
-    out = None
-    for k in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("claim_id"), F.lit(blocks)) == k) if blocks > 1 else asked
-        pairs = body.join(F.broadcast(part), F.call_function("contains", F.col("plain"), F.col("seed"))).drop("plain", "seed")
-        out = pairs if out is None else out.unionByName(pairs)
+    asked = claims.select("claim_id", "claim", normalize_text("claim").alias("needle"))
+    pairs = containing(body, "plain", asked, "needle", block)
     # As a generator the location stays behind the join; as a filter it would be moved into its condition.
-    return out.select("claim_id", "text_id", F.explode(F.filter(F.array(locate_span(F.col("claim"), F.col("text"))), lambda s: s.isNotNull())).alias("span"))
+    return pairs.select("claim_id", "text_id", F.explode(F.filter(F.array(locate_span(F.col("claim"), F.col("text"))), lambda s: s.isNotNull())).alias("span"))
 
 
 def value_in_span(span: Column, value: Column, unit: Column, rel_tolerance: float | str = 0) -> Column:
@@ -129,12 +148,14 @@ def resolve_rows(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
     SCOPE_NOT_AVAILABLE, LABEL_NOT_FOUND. An item without scope in the index is also found
     when a scope is asked only if it carries that scope.
     """
-    scoped = by_label_scope(chunks)
-    per = scoped.groupBy("doc_id", "label").agg(F.array_sort(F.collect_set("scope")).alias("scopes"), F.collect_list(F.struct("scope", "chunk_id", "page", "values", "text", "section")).alias("found"))
-    per = per.select(F.col("doc_id").alias("of_doc"), F.col("label").alias("printed"), "scopes", "found")
     alias = F.try_element_at(F.create_map(*[F.lit(x) for kv in LABEL_ALIAS.items() for x in kv]), F.col("label"))
     keys = [c for c in wanted.columns]
     options = wanted.withColumn("option", F.explode(F.filter(F.array(F.struct(F.lit(0).alias("ord"), F.col("label").alias("name")), F.struct(F.lit(1).alias("ord"), alias.alias("name"))), lambda o: o["name"].isNotNull())))
+    # Only chunks of the names asked for are ranked and collected.
+    named = options.select("doc_id", F.col("option.name").alias("label")).distinct()
+    scoped = by_label_scope(chunks.join(named, ["doc_id", "label"], "left_semi"))
+    per = scoped.groupBy("doc_id", "label").agg(F.array_sort(F.collect_set("scope")).alias("scopes"), F.collect_list(F.struct("scope", "chunk_id", "page", "values", "text", "section")).alias("found"))
+    per = per.select(F.col("doc_id").alias("of_doc"), F.col("label").alias("printed"), "scopes", "found")
     joined = options.join(per, (F.col("doc_id") == F.col("of_doc")) & (F.col("option.name") == F.col("printed")), "left")
     best = joined.groupBy(*keys).agg(F.min_by(F.struct("printed", "scopes", "found"), F.when(F.col("printed").isNotNull(), F.col("option.ord"))).alias("b"))
     hit = F.filter("b.found", lambda r: F.when(F.col("scope").isNull(), F.lit(True)).otherwise(r["scope"] == F.col("scope")))

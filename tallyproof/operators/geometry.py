@@ -1,7 +1,8 @@
 """Boxes on pages: algebra, text search over words, and rows by vertical overlap.
 
-Words are a table (page, x0, y0, x1, y1, text, block, line), one row a word. A search joins
-targets to words by page; windows of up to 12 words are arrays within a page's block.
+Words are a table (doc_id, page, x0, y0, x1, y1, text, block, line), one row a word. A search
+joins targets to words by document and page; windows of up to 12 words are arrays within a
+page's block. Tables without a doc_id are of one document.
 """
 
 from __future__ import annotations
@@ -38,18 +39,25 @@ def vertical_distance(page_a: Column, a: Column, page_b: Column, b: Column) -> C
     return F.when(page_a == page_b, F.abs((a["y0"] + a["y1"]) / 2 - (b["y0"] + b["y1"]) / 2)).otherwise(F.lit(float("inf")))
 
 
-def find_text(targets: DataFrame, words: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """targets (target_id, page, target) -> target_id, page, ord, box: runs of words that hold the target's text.
+def _of_document(df: DataFrame) -> DataFrame:
+    return df if "doc_id" in df.columns else df.withColumn("doc_id", F.lit(""))
+
+
+def find_text(targets: DataFrame, words: DataFrame, max_words: int = MAX_WORDS, unique: bool = False) -> DataFrame:
+    """targets (target_id, doc_id, page, target) -> target_id, doc_id, page, ord, box: runs of words that hold the target's text.
+
+    unique: only targets that are found exactly once.
 
     Within a block, runs in (line, x) order are extended up to max_words words; the first
     length that holds the target counts if the run's height is at most 2.6 times its
     tallest word. Boxes within 0.6 points of an earlier one are left out.
     """
-    order = Window.partitionBy("page", "block").orderBy("line", "x0", "y0")
+    targets, words = _of_document(targets), _of_document(words)
+    order = Window.partitionBy("doc_id", "page", "block").orderBy("line", "x0", "y0")
     run = order.rowsBetween(0, max_words - 1)
-    w = words.withColumn("s", squash("text")).withColumn("run", F.collect_list(F.struct("x0", "y0", "x1", "y1", "s")).over(run)).withColumn("ord", F.row_number().over(Window.partitionBy("page").orderBy("block", "line", "x0", "y0")))
+    w = words.withColumn("s", squash("text")).withColumn("run", F.collect_list(F.struct("x0", "y0", "x1", "y1", "s")).over(run)).withColumn("ord", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("block", "line", "x0", "y0")))
     t = targets.withColumn("t", squash("target")).where("t <> ''")
-    both = t.join(w.select("page", "ord", "run"), "page").where(F.call_function("contains", F.array_join(F.transform("run", lambda r: r["s"]), ""), F.col("t")))
+    both = t.join(w.select("doc_id", "page", "ord", "run"), ["doc_id", "page"]).where(F.call_function("contains", F.array_join(F.transform("run", lambda r: r["s"]), ""), F.col("t")))
     lengths = F.sequence(F.lit(1), F.size("run"))
     text = lambda n: F.array_join(F.transform(F.slice("run", F.lit(1), n), lambda r: r["s"]), "")
     first = F.array_min(F.filter(lengths, lambda n: F.call_function("contains", text(n), F.col("t"))))
@@ -62,20 +70,21 @@ def find_text(targets: DataFrame, words: DataFrame, max_words: int = MAX_WORDS)
     tallest = F.array_max(F.transform(part, lambda r: r["y1"] - r["y0"]))
     found = both.withColumn("b", box).where((F.col("b.y1") - F.col("b.y0")) <= 2.6 * tallest)
     rounded = [F.round(F.col(f"b.{c}") / 0.6).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")]
-    near = Window.partitionBy("target_id", "page", *[r for r in ("r_x0", "r_y0", "r_x1", "r_y1")]).orderBy("ord")
-    found = found.select("target_id", "page", "ord", F.struct("b.x0", "b.y0", "b.x1", "b.y1").alias("box"), *rounded)
-    return found.withColumn("k", F.row_number().over(near)).where("k = 1").select("target_id", "page", "ord", "box")
+    near = Window.partitionBy("target_id", "doc_id", "page", *[r for r in ("r_x0", "r_y0", "r_x1", "r_y1")]).orderBy("ord")
+    found = found.select("target_id", "doc_id", "page", "ord", F.struct("b.x0", "b.y0", "b.x1", "b.y1").alias("box"), *rounded)
+    found = found.withColumn("k", F.row_number().over(near)).where("k = 1").select("target_id", "doc_id", "page", "ord", "box")
+    return found.withColumn("k", F.count("*").over(Window.partitionBy("target_id"))).where("k = 1").drop("k") if unique else found
 
 
 def locate_rows(pairs: DataFrame, label_boxes: DataFrame, value_boxes: DataFrame, tol: float = ROW_TOLERANCE) -> DataFrame:
-    """pairs (pair_id) with boxes (pair_id, page, ord, box) of a label and of a value -> label_box, value_box, row_box, same_row.
+    """pairs (pair_id) with boxes (pair_id, doc_id, page, ord, box) of a label and of a value, in one document -> label_box, value_box, row_box, same_row.
 
     The pair of boxes that share a row with the least distance counts (ties: the first
     ones); without one the first boxes are given, unverified.
     """
-    l = label_boxes.select("pair_id", F.col("page").alias("lp"), F.col("ord").alias("lo"), F.col("box").alias("lb"))
-    v = value_boxes.select("pair_id", F.col("page").alias("vp"), F.col("ord").alias("vo"), F.col("box").alias("vb"))
-    met = l.join(v, "pair_id").where(same_row(F.col("lp"), F.col("lb"), F.col("vp"), F.col("vb"), tol))
+    l = _of_document(label_boxes).select("pair_id", "doc_id", F.col("page").alias("lp"), F.col("ord").alias("lo"), F.col("box").alias("lb"))
+    v = _of_document(value_boxes).select("pair_id", "doc_id", F.col("page").alias("vp"), F.col("ord").alias("vo"), F.col("box").alias("vb"))
+    met = l.join(v, ["pair_id", "doc_id"]).where(same_row(F.col("lp"), F.col("lb"), F.col("vp"), F.col("vb"), tol))
     gap = vertical_distance(F.col("lp"), F.col("lb"), F.col("vp"), F.col("vb"))
     best = met.groupBy("pair_id").agg(F.min_by(F.struct("lp", "lb", "vb"), F.struct(gap, "lo", "vo")).alias("m"))
     first_l = l.groupBy("pair_id").agg(F.min_by("lb", "lo").alias("fl"))

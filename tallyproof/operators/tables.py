@@ -64,7 +64,7 @@ def mode_larger(values: Column) -> Column:
 
 
 def is_header(cells: Column) -> Column:
-    rest = F.slice(cells, 2, 10_000)
+    rest = F.slice(cells, F.lit(2), F.size(cells))
     dated = F.exists(cells, lambda c: looks_like_date(c)) & ~F.exists(rest, lambda c: looks_like_amount(c))
     return F.coalesce(F.try_element_at(cells, F.lit(1)).contains("项目") | dated, F.lit(False))
 

@@ -127,11 +127,14 @@ def answer(questions: DataFrame, documents: DataFrame, index: dict[str, DataFram
     common = lambda df, *more: df.select("question_id", F.col("error"), F.col("pages"), "tool_calls", *more)
     merged = common(a, "indicator", "value", "row_scope", "fragment", "span_mode", "row_box").unionByName(common(c, "indicator", "value"), allowMissingColumns=True)
     merged = merged.unionByName(common(b, "verdict", "lhs", "rhs", F.col("diff"), "tolerance", "missing", "suspects", "operands"), allowMissingColumns=True)
-    q = prepared.select("question_id", "doc_id", "question", "route", "formula_id", "scope", "company", "unit", "years", "guard", "input_error")
+    q = prepared.select("question_id", "doc_id", "question", F.col("period").alias("asked_period"), "route", "formula_id", "scope", "company", "unit", "years", "guard", "input_error")
     out = q.join(merged, "question_id", "left")
     calls = F.when(F.col("guard") == "AMBIGUOUS_ABBREVIATION", 0).when(F.col("guard").isNotNull(), 1).otherwise(F.coalesce("tool_calls", F.lit(1)))
     steps = F.when(calls == 0, 0).otherwise(calls + 1)
-    period = F.when(F.size("years") > 0, F.concat(F.array_max("years").cast("string"), F.lit(" 年度")))
+    # The prior period is the last but one of the document's years, or the year before its only one.
+    prior = F.coalesce(F.get(F.sort_array("years", False), F.lit(1)), F.array_max("years") - 1)
+    year = F.when(period_column(F.col("asked_period")) == 0, F.array_max("years")).otherwise(prior)
+    period = F.when(F.size("years") > 0, F.concat(year.cast("string"), F.lit(" 年度")))
     meta = F.when(F.col("route") != "VERIFY", evidence.missing_fields(company=F.col("company"), period=period)).otherwise(F.array().cast("array<string>"))
     over = (steps > budgets["steps"]) | (calls > budgets["tool_calls"])
     nothing = F.when(F.col("route") == "VERIFY", "NO_OUTCOME").when(F.col("route") == "DIFF", "DIFF_FAILED").otherwise("NO_RECALL")
@@ -146,7 +149,7 @@ def answer(questions: DataFrame, documents: DataFrame, index: dict[str, DataFram
         given(F.col("company")).alias("company"), given(period).alias("period"), given(F.col("indicator")).alias("indicator"),
         given(F.coalesce("row_scope", "scope", F.lit("未标注"))).alias("scope"), given(F.col("value")).alias("value"), given(F.col("unit")).alias("unit"), given(F.col("pages")).alias("pages"),
         "fragment", "span_mode", given(F.col("row_box")).alias("row_box"), given(F.col("verdict")).alias("verdict"), given(F.col("lhs")).alias("lhs"), given(F.col("rhs")).alias("rhs"), given(F.col("diff")).alias("diff"),
-        given(F.col("tolerance")).alias("tolerance"), "missing", "suspects", "operands", calls.alias("tool_calls"), steps.alias("steps"),
+        given(F.col("tolerance")).alias("tolerance"), "missing", "suspects", "operands", calls.alias("tool_calls"), steps.alias("steps"), (F.col("guard").isNull() & (calls > 1)).alias("evidence_recalled"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.amounts import to_decimal
 from ..functions.text import normalize_text
+from ..operators.evidence import containing
 
 # What a bank's items may say.
 TYPES, OUTCOMES, SCOPES, VERDICTS, LEVELS = ("L1", "L2", "L3", "R"), ("ANSWER", "REFUSE"), ("合并", "母公司", "跨口径", "不适用"), ("PASS", "WARN", "FAIL"), ("easy", "medium", "hard")
@@ -87,7 +88,8 @@ def compare(items: DataFrame, results: DataFrame) -> DataFrame:
     Refusals: refused, and for the expected reason if one is given; an abort isn't a
     refusal. Verdicts: operands first, then the verdict. Values: the number, then a page.
     """
-    j = items.join(results.select(F.col("question_id").alias("item_id"), "route", "decision", "reason", "verdict", F.coalesce("value", "lhs").cast("string").alias("got_value"), "pages", F.col("operands").alias("got_operands"), "tool_calls", "steps"), "item_id", "left")
+    recalled = F.col("evidence_recalled") if "evidence_recalled" in results.columns else F.lit(None).cast("boolean")
+    j = items.join(results.select(F.col("question_id").alias("item_id"), recalled.alias("evidence_recalled"), "route", "decision", "reason", "verdict", F.coalesce("value", "lhs").cast("string").alias("got_value"), "pages", F.col("operands").alias("got_operands"), "tool_calls", "steps"), "item_id", "left")
     refuse, verdict = F.col("expected_outcome") == "REFUSE", wants_verdict() & ~_empty("gold_verdict")
     wrong = F.map_filter(F.coalesce("gold_operands", F.create_map().cast("map<string,string>")), lambda k, v: ~same_number(F.try_element_at(F.col("got_operands"), k).cast("string"), v))
     value_ok = same_number(F.col("got_value"), F.col("gold_value"))
@@ -99,7 +101,7 @@ def compare(items: DataFrame, results: DataFrame) -> DataFrame:
         .when(verdict & ~F.col("verdict").eqNullSafe(F.col("gold_verdict")), "wrong_verdict").when(verdict, None).when(~value_ok, "wrong_value").when(~page_ok, "wrong_page")
     )
     out = j.withColumn("failure", failure)
-    return out.select("item_id", "question_type", "scope", "expected_outcome", "route", "decision", "reason", "got_value", "failure", F.col("failure").isNull().alias("passed"), value_ok.alias("value_ok"), page_ok.alias("page_ok"), "tool_calls", "steps")
+    return out.select("item_id", "question_type", "scope", "expected_outcome", "route", "decision", "reason", "got_value", "failure", F.col("failure").isNull().alias("passed"), value_ok.alias("value_ok"), page_ok.alias("page_ok"), "tool_calls", "steps", "evidence_recalled")
 
 
 def pass_rates(results: DataFrame) -> DataFrame:
@@ -122,9 +124,10 @@ def nearest_rank_by(df: DataFrame, by: list[str], value: str, ps: dict[str, floa
     return ranked.groupBy(*by).agg(*[F.round(F.max(F.when(F.col("i") == F.bround((F.col("n") - 1) * F.lit(p)).cast("int"), F.col(value))), 1).alias(name) for name, p in ps.items()])
 
 
-def usage_per_question(calls: DataFrame, key: str = "item_id", order: str = "ord") -> DataFrame:
-    """Cumulative counters to per-question tokens, and averages over the questions that were billed."""
-    w = Window.orderBy(order)
+def usage_per_question(calls: DataFrame, run: str = "run_id", order: str = "ord") -> DataFrame:
+    """Counters that add up over a run to per-question tokens; calls without a run column are of one run."""
+    calls = calls if run in calls.columns else calls.withColumn(run, F.lit(0))
+    w = Window.partitionBy(run).orderBy(order)
     return calls.withColumn("tokens", F.col("total_tokens") - F.coalesce(F.lag("total_tokens").over(w), F.lit(0))).withColumn("billed", F.col("tokens") > 0)
 
 
@@ -136,14 +139,19 @@ def gold_gates(items: DataFrame, index_pages: DataFrame, source_pages: DataFrame
     """
     answer = items.where("expected_outcome = 'ANSWER'")
     probe = F.coalesce("gold_value", F.array_max(F.transform(F.map_values("gold_operands"), lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))["v"])
-    targets = answer.select("item_id", F.col("doc").alias("doc_id"), "gold_pages", normalize_text(probe).alias("probe"), F.explode(F.transform("gold_evidence", lambda e: normalize_text(e))).alias("target"))
+    evidence_text = F.transform("gold_evidence", lambda e: F.struct(F.lit(True).alias("is_evidence"), normalize_text(e).alias("needle")))
+    each = F.explode(F.concat(evidence_text, F.array(F.struct(F.lit(False).alias("is_evidence"), normalize_text(probe).alias("needle")))))
+    needles = answer.select("item_id", F.col("doc").alias("of_doc"), "gold_pages", each.alias("e")).select("item_id", "of_doc", "gold_pages", "e.is_evidence", "e.needle").distinct()
 
     def located(pages: DataFrame, name: str) -> DataFrame:
-        p = pages.select("doc_id", "page", normalize_text("text").alias("t"))
-        hit = F.call_function("contains", F.col("t"), F.col("target"))
-        on_gold = F.coalesce(F.bool_or(hit & F.array_contains("gold_pages", F.col("page"))), F.lit(False))
-        each = targets.join(p, "doc_id", "left").groupBy("item_id", "target").agg(on_gold.alias("gold"), F.coalesce(F.bool_or(hit), F.lit(False)).alias("any"), F.array_sort(F.collect_set(F.when(F.call_function("contains", F.col("t"), F.col("probe")), F.col("page")))).alias("vp"))
-        return each.groupBy("item_id").agg(F.bool_and("gold").alias(f"{name}_gold"), F.bool_and("any").alias(f"{name}_any"), F.first("vp").alias(f"{name}_value_pages"))
+        p = pages.select("doc_id", "page", normalize_text("text").alias("plain"))
+        hits = containing(p, "plain", needles, "needle").where("doc_id = of_doc").select("item_id", "is_evidence", "needle", "page")
+        joined = needles.join(hits, ["item_id", "is_evidence", "needle"], "left")
+        found = joined.groupBy("item_id", "is_evidence", "needle").agg(
+            F.coalesce(F.bool_or(F.array_contains("gold_pages", F.col("page"))), F.lit(False)).alias("gold"), (F.count("page") > 0).alias("any"), F.array_sort(F.collect_set("page")).alias("pages")
+        )
+        of = lambda c: F.bool_and(F.when(F.col("is_evidence"), F.col(c)))
+        return found.groupBy("item_id").agg(of("gold").alias(f"{name}_gold"), of("any").alias(f"{name}_any"), F.first(F.when(~F.col("is_evidence"), F.col("pages")), ignorenulls=True).alias(f"{name}_value_pages"))
 
     out = items.join(located(index_pages, "index"), "item_id", "left")
     out = out.join(located(source_pages, "source"), "item_id", "left") if source_pages is not None else out.withColumn("source_gold", F.lit(False))
@@ -162,18 +170,19 @@ def eval_stats(results: DataFrame) -> DataFrame:
 
     results: compare()'s rows with latency_ms and tokens where they are measured.
     """
-    for c, kind in (("latency_ms", "double"), ("tokens", "bigint")):
+    for c, kind in (("latency_ms", "double"), ("tokens", "bigint"), ("evidence_recalled", "boolean")):
         if c not in results.columns:
             results = results.withColumn(c, F.lit(None).cast(kind))
-    w = Window.orderBy(F.col("latency_ms").asc_nulls_last())
-    ranked = results.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("latency_ms").over(Window.partitionBy()))
-    at = lambda p: F.coalesce(F.round(F.max(F.when(F.col("i") == F.bround((F.col("n") - 1) * F.lit(p)).cast("int"), F.col("latency_ms"))), 1), F.lit(0.0))
+    # The nearest rank's share of the way from the least to the greatest value; percentile() keeps counts by value.
+    n = results.agg(F.count("latency_ms")).first()[0]
+    at = lambda p: F.coalesce(F.round(F.percentile("latency_ms", round((n - 1) * p) / (n - 1) if n > 1 else 0.0), 1), F.lit(0.0))
     answer, refuse = F.col("expected_outcome") == "ANSWER", F.col("expected_outcome") == "REFUSE"
-    return ranked.agg(
+    recalled = F.count_if(F.coalesce(F.col("evidence_recalled"), F.lit(False)))
+    return results.agg(
         F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.round(F.try_divide(F.count_if("passed"), F.count("*")), 4).alias("pass_rate"),
         F.count_if(answer & F.col("passed")).alias("right_answers"), F.count_if(refuse & F.col("passed")).alias("right_refusals"), F.count_if(F.coalesce(F.col("failure") == "answered_but_should_refuse", F.lit(False))).alias("false_answers"),
         F.count_if(F.coalesce(F.col("decision") == "ABORT", F.lit(False))).alias("aborts"), at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"), F.round(F.avg("tool_calls"), 2).alias("tool_calls"),
-        F.round(F.avg(F.when(F.col("tokens") > 0, F.col("tokens"))), 1).alias("tokens_per_billed"),
+        F.round(F.avg(F.when(F.col("tokens") > 0, F.col("tokens"))), 1).alias("tokens_per_billed"), recalled.alias("evidence_recalled"),
     )
 
 

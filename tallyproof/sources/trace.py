@@ -10,12 +10,14 @@ STEPS = "run_id string, seq int, node string, tool string, args string, ok boole
 
 
 def append(rows: DataFrame, path: str) -> None:
-    rows.withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(path)
+    """Append rows in their order: written_at is the write's time, written_seq the place in it."""
+    rows.withColumn("written_at", F.current_timestamp()).withColumn("written_seq", F.monotonically_increasing_id()).write.mode("append").parquet(path)
 
 
 def latest(rows: DataFrame, *key: str) -> DataFrame:
-    """One row per key, the last written (replace on conflict)."""
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("written_at")))).where("n = 1").drop("n")
+    """One row per key, the last written (replace on conflict); on equal times the last of a write, else the row with the greatest hash."""
+    ties = [F.desc("written_seq")] if "written_seq" in rows.columns else [F.desc(F.xxhash64(*rows.columns))]
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("written_at"), *ties))).where("n = 1").drop("n")
 
 
 def runs(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
