@@ -50,8 +50,8 @@ def _col(c: Column | str) -> Column:
 
 
 def fold_width(c: Column | str) -> Column:
-    """NFKC of each code point by itself (full and half width, compatibility letters, ligatures, fractions), by tables."""
-    return _fold(_col(c), *_single_forms())
+    """NFKC for all forms of one code point (full and half width, compatibility letters), by one table; for numbers and names."""
+    return F.translate(_col(c), *_single_forms())
 
 
 def nfkc(c: Column | str) -> Column:
@@ -60,8 +60,11 @@ def nfkc(c: Column | str) -> Column:
     return exact(_col(c))
 
 
-def normalize_text(c: Column | str, exact: bool = False) -> Column:
-    """Compatibility forms folded, all white space removed, dashes and quotes in their ASCII forms; null: ''."""
+def normalize_text(c: Column | str, exact: bool = False, cell: bool = False) -> Column:
+    """NFKC of each code point (ligatures, fractions and squared words too), all white space removed, dashes and quotes in their ASCII forms; null: ''.
+
+    cell: a table's cell, of which only digits, signs and fixed headers matter; forms of one code point do.
+    """
     text = F.coalesce(_col(c), F.lit(""))
     text = nfkc(text) if exact else text
     source, target = _single_forms()
@@ -69,7 +72,8 @@ def normalize_text(c: Column | str, exact: bool = False) -> Column:
     table |= {d: "-" for d in _DASHES} | dict(zip(_QUOTES, "''\"\"" + '""""'))
     removed = {s for s in _SPACES} | {a for a, b in table.items() if b in _SPACES}
     table = {a: b for a, b in table.items() if a not in removed}
-    return _fold(text, "".join(table) + "".join(sorted(removed)), "".join(table.values()))
+    tables = "".join(table) + "".join(sorted(removed)), "".join(table.values())
+    return F.translate(text, *tables) if cell else _fold(text, *tables)
 
 
 def squash(c: Column | str) -> Column:
@@ -113,13 +117,13 @@ def is_number_token(t: Column) -> Column:
 
 def looks_like_amount(c: Column | str) -> Column:
     """An amount cell: digits with a grouping comma, two decimals, or five characters at least."""
-    t = F.regexp_replace(normalize_text(c), "，", ",")
+    t = F.regexp_replace(normalize_text(c, cell=True), "，", ",")
     body = F.length(F.regexp_replace(t, "^-+", ""))
     return t.rlike(r"^-?[0-9,]+(?:\.[0-9]+)?$") & (t.contains(",") | t.rlike(r"\.[0-9]{2}$") | (body >= 5))
 
 
 def looks_like_date(c: Column | str) -> Column:
-    return normalize_text(c).rlike(r"[0-9]{4}[年\-/][0-9]{1,2}[月\-/][0-9]{1,2}")
+    return normalize_text(c, cell=True).rlike(r"[0-9]{4}[年\-/][0-9]{1,2}[月\-/][0-9]{1,2}")
 
 
 def years_in(c: Column | str, bounded: bool = True) -> Column:

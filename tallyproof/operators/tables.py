@@ -137,7 +137,7 @@ def logical_tables(stitched: DataFrame) -> DataFrame:
 def value_columns(header: Column, width: Column) -> Column:
     """Indexes of value columns: those whose header isn't a label, note or ordinal column; all but the first without such."""
     default = F.when(width > 1, F.sequence(F.lit(1), F.greatest(width - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    picked = F.filter(F.transform(header, lambda h, i: F.when(~normalize_text(h).isin(*NON_VALUE_HEADERS), i)), lambda i: i.isNotNull())
+    picked = F.filter(F.transform(header, lambda h, i: F.when(~normalize_text(h, cell=True).isin(*NON_VALUE_HEADERS), i)), lambda i: i.isNotNull())
     return F.when(header.isNull() | (F.size(picked) == 0), default).otherwise(picked)
 
 
