@@ -71,11 +71,11 @@ def item_problems() -> Column:
     return F.filter(F.array(*[F.when(F.coalesce(r, F.lit(False)), F.lit(m)) for r, m in rules]), lambda x: x.isNotNull())
 
 
-def validate_bank(items: DataFrame) -> DataFrame:
-    """item_id, problems: items that break rules, repeat an id, or repeat a question of a document."""
+def validate_bank(items: DataFrame, key: str = "item_id") -> DataFrame:
+    """key, problems: items that break rules, repeat an id, or repeat a question of a document."""
     again = lambda *c: F.count("*").over(Window.partitionBy(*c)) > 1
     extra = F.filter(F.array(F.when(again("item_id"), F.lit("item_id is repeated")), F.when(again("doc", "question"), F.lit("question is repeated"))), lambda x: x.isNotNull())
-    return items.select("item_id", F.concat(item_problems(), extra).alias("problems")).where(F.size("problems") > 0)
+    return items.select(key, F.concat(item_problems(), extra).alias("problems")).where(F.size("problems") > 0)
 
 
 def same_number(a: Column, b: Column) -> Column:
