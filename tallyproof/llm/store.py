@@ -10,14 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
+#: Folders of our own by application, where the session names none (local tests); the session's settings stay as they are.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the session names; only where none is set (local tests), one of our own."""
     found = spark.conf.get(SETTING, None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {SETTING} to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="tallyproof-")
-        spark.conf.set(SETTING, found)
+        app = spark.sparkContext.applicationId
+        found = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="tallyproof-"))
     return found.rstrip("/")
 
 
