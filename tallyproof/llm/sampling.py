@@ -17,10 +17,22 @@ def sample(rows: DataFrame, size: int, *keys: str) -> DataFrame:
 
 
 def sample_evenly(rows: DataFrame, size: int, by: str, key: str) -> DataFrame:
-    """At most `size` distinct (key, by), evenly over the values of `by`: of each the first by a hash of the key, in turns."""
-    order = Window.partitionBy(by).orderBy(F.xxhash64(key), key)
-    first = rows.select(key, by, F.dense_rank().over(order).alias("turn")).where(F.col("turn") <= size).distinct()
-    return first.orderBy("turn", F.xxhash64(key, by), key, by).limit(size).select(key, by)
+    """At most `size` distinct (key, by), evenly over the first `size` values of `by`: of each the first by a hash of the key, in turns.
+
+    Hashes with more leading zeros come first, so counts of ids by (by, leading zeros) tell how
+    many zeros the first `size` ids of a value have; only such rows are ranked, some 2 * size of
+    a value, however many rows it has.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(key), 1)
+    each = rows.select(key, by, h.alias("h"), (63 - F.length(F.bin(h))).alias("zeros"))
+    counts = each.groupBy(by, "zeros").agg(F.count_distinct(key).alias("n"))
+    from_top = Window.partitionBy(by).orderBy(F.desc("zeros"))
+    least = F.max(F.when(F.col("reached") >= size, F.col("zeros")))
+    cuts = counts.withColumn("reached", F.sum("n").over(from_top)).groupBy(F.col(by).alias("value")).agg(F.coalesce(least, F.lit(0)).alias("least"))
+    cuts = cuts.orderBy(F.xxhash64("value"), "value").limit(size)  # so it can be broadcast
+    first = each.join(F.broadcast(cuts), F.col(by) == F.col("value")).where("zeros >= least").select(key, by, "h").distinct()
+    turn = F.row_number().over(Window.partitionBy(by).orderBy("h", key))
+    return first.withColumn("turn", turn).where(F.col("turn") <= size).orderBy("turn", "h", key, by).limit(size).select(key, by)
 
 
 def with_text(docs: DataFrame, chosen: DataFrame, *keys: str) -> DataFrame:
