@@ -73,7 +73,7 @@ def normalize_text(c: Column | str, exact: bool = False, cell: bool = False) ->
     removed = {s for s in _SPACES} | {a for a, b in table.items() if b in _SPACES}
     table = {a: b for a, b in table.items() if a not in removed}
     tables = "".join(table) + "".join(sorted(removed)), "".join(table.values())
-    return F.translate(text, *tables) if cell else _fold(text, *tables)
+    return F.translate(text, *tables) if cell or exact else _fold(text, *tables)
 
 
 def squash(c: Column | str) -> Column:
