@@ -61,15 +61,19 @@ def tfidf(posts: DataFrame, key: str = "doc_id", unit: str = "chunk_id") -> Data
     return weighted.join(norm, [key, unit]).select(key, unit, "token", (F.col("w") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("w"))
 
 
-def cosine(queries: DataFrame, posts: DataFrame, key: str = "doc_id", unit: str = "chunk_id", query: str = "question_id") -> DataFrame:
-    """(query, unit, score > 0): sparse tf-idf cosine. queries: (query, key, token, tf); tokens outside the vocabulary don't count."""
+def cosine(queries: DataFrame, posts: DataFrame, key: str = "doc_id", unit: str = "chunk_id", query: str = "question_id", vectors: DataFrame | None = None) -> DataFrame:
+    """(query, unit, score > 0): sparse tf-idf cosine. queries: (query, key, token, tf); tokens outside the vocabulary don't count.
+
+    vectors: tfidf(posts) where it is stored; else it is made.
+    """
+    vectors = tfidf(posts, key, unit) if vectors is None else vectors.select(key, unit, "token", "w")
     total = posts.select(key, unit).distinct().groupBy(key).agg(F.count("*").alias("n_units"))
     df = posts.groupBy(key, "token").agg(F.count("*").alias("df"))
     weight = F.col("tf") * (F.log((F.col("n_units") + 1) / (F.col("df") + 1)) + 1)
     q = queries.join(df, [key, "token"]).join(total, key).select(query, key, "token", weight.alias("qw"))
     norm = q.groupBy(query, key).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("norm"))
     q = q.join(norm, [query, key]).select(query, key, "token", (F.col("qw") / F.col("norm")).alias("qw"))
-    return q.join(tfidf(posts, key, unit), [key, "token"]).groupBy(query, unit).agg(F.sum(F.col("qw") * F.col("w")).alias("score")).where("score > 0")
+    return q.join(vectors, [key, "token"]).groupBy(query, unit).agg(F.sum(F.col("qw") * F.col("w")).alias("score")).where("score > 0")
 
 
 def dense_cosine(queries: DataFrame, vectors: DataFrame, on: str = "doc_id") -> DataFrame:
@@ -118,9 +122,9 @@ def numeric_channel(questions: DataFrame, number: DataFrame, limit: int) -> Data
     return ranked(hits, "numeric", limit, F.col("chunk_id"))
 
 
-def vector_channel(questions: DataFrame, posts: DataFrame, limit: int) -> DataFrame:
+def vector_channel(questions: DataFrame, posts: DataFrame, limit: int, vectors: DataFrame | None = None) -> DataFrame:
     asked = question_tokens(questions).groupBy("question_id", "doc_id", "token").agg(F.count("*").alias("tf"))
-    return ranked(cosine(asked, posts), "vector", limit, F.desc("score"), F.col("chunk_id"))
+    return ranked(cosine(asked, posts, vectors=vectors), "vector", limit, F.desc("score"), F.col("chunk_id"))
 
 
 def fuse(hits: DataFrame, k: int = RRF_K, channels: tuple[str, ...] = CHANNELS, by: str = "question_id") -> DataFrame:
@@ -149,7 +153,7 @@ def retrieve(questions: DataFrame, index: dict[str, DataFrame], top_k: int = 5,
         "label": lambda: label_channel(questions, index["chunks"], limit),
         "lexical": lambda: lexical_channel(questions, index["postings"], limit),
         "numeric": lambda: numeric_channel(questions, index["numbers"], limit),
-        "vector": lambda: vector_channel(questions, index["postings"], limit),
+        "vector": lambda: vector_channel(questions, index["postings"], limit, index.get("vectors")),
     }
     parts = [made[c]() for c in channels]
     hits = parts[0]

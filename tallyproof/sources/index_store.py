@@ -17,19 +17,39 @@ def build(chunks: DataFrame) -> dict[str, DataFrame]:
     return {"chunks": chunks, "numbers": numbers(chunks), "postings": posts, "vectors": tfidf(posts), "meta": counts}
 
 
-def write(index: dict[str, DataFrame], path: str, buckets: int = 64) -> None:
-    """Overwrite the index at `path`; rows of a document are together, sorted for min/max skipping."""
+#: Chunks in a bucket, by default: some tens of MB of text.
+BUCKET_CHUNKS = 200_000
+
+
+def _bucket(n: int):
+    return F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
+
+
+def write(index: dict[str, DataFrame], path: str, buckets: int | None = None) -> None:
+    """Overwrite the index at `path`; rows of a document are together, sorted for min/max skipping.
+
+    The number of buckets follows from the number of chunks unless it is given, and is kept
+    beside the tables.
+    """
+    buckets = buckets or max(1, -(-index["chunks"].count() // BUCKET_CHUNKS))
     keys = {"chunks": ["label", "chunk_id"], "numbers": ["value", "chunk_id"], "postings": ["token", "chunk_id"], "vectors": ["token", "chunk_id"]}
     for name, df in index.items():
         if name in keys:
-            bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
-            df.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "doc_id", *keys[name]).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+            df.withColumn("bucket", _bucket(buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "doc_id", *keys[name]).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
-def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{path}/{t}").drop("bucket") for t in TABLES}
+    index["chunks"].sparkSession.range(buckets, buckets + 1).write.mode("overwrite").parquet(f"{path}/layout")
+
+
+def load(spark: SparkSession, path: str, documents: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The index's tables; with documents (doc_id) only their rows, from the buckets that hold them."""
+    found = {t: spark.read.parquet(f"{path}/{t}") for t in TABLES}
+    if documents is not None:
+        n = spark.read.parquet(f"{path}/layout").first()["id"]
+        wanted = documents.select("doc_id").distinct().withColumn("bucket", _bucket(n))
+        buckets = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]  # at most as many as the index has
+        found = {t: df if t == "meta" else df.where(F.col("bucket").isin(buckets)).join(wanted, ["bucket", "doc_id"], "left_semi") for t, df in found.items()}
+    return {t: df.drop("bucket") for t, df in found.items()}
 
 
 def scope_report(chunks: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from tallyproof.functions import text
-from tallyproof.operators import evidence, geometry
+from tallyproof.operators import evidence, geometry, retrieval, tables
 from tallyproof.plans import evaluation, tools
-from tallyproof.sources import trace
+from tallyproof.sources import index_store, trace
 
 CHUNK = "doc_id string, chunk_id string, label string, scope string, page int, text string, table_index int, row_index int"
 
@@ -64,3 +64,16 @@ def test_statistics_without_one_task_for_all(spark):
     calls = spark.createDataFrame([("a", 1, 10), ("a", 2, 25), ("b", 1, 7)], "run_id string, ord int, total_tokens bigint")
     assert sorted((r.run_id, r.tokens) for r in evaluation.usage_per_question(calls).collect()) == [("a", 10), ("a", 15), ("b", 7)]
     assert evaluation.eval_stats(df.where(F.lit(False))).first().p50_ms == 0.0
+
+
+def test_an_index_is_read_by_the_buckets_of_its_documents(spark, tmp_path):
+    page = "<!-- page 1 of 1 -->\n## 合并资产负债表\n| 项目 | 附注 | 2024年12月31日 | 2023年12月31日 |\n| --- | --- | --- | --- |\n| 存货 | 1 | 1,234.00 | 99.00 |\n| 货币资金 | 1 | 5.00 | 6.00 |\n"
+    docs = spark.createDataFrame([(f"d{i}", page) for i in range(12)], "doc_id string, text string")
+    built = index_store.build(tables.build_chunks(docs))
+    index_store.write(built, str(tmp_path), buckets=5)
+    whole, some = index_store.load(spark, str(tmp_path)), index_store.load(spark, str(tmp_path), docs.where("doc_id IN ('d3', 'd7')"))
+    assert whole["chunks"].count() == 24 and {r.doc_id for r in some["chunks"].collect()} == {"d3", "d7"} and "bucket" not in some["chunks"].columns
+    assert "PartitionFilters: [bucket" in some["chunks"]._jdf.queryExecution().toString()
+    asked = spark.createDataFrame([("q", "d3", "2024年存货是多少")], "question_id string, doc_id string, question string")
+    hits = [sorted((r.chunk_id, round(r.score, 9), r.rank) for r in retrieval.retrieve(asked, i).collect()) for i in (built, whole, some)]
+    assert hits[0] == hits[1] == hits[2] and hits[0]
