@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licences, mixing, quality, secret_scan, substrings, topk, toxicity
+from . import bpe, centroids, decontam, langid, licences, merkle, mixing, quality, secret_scan, substrings, topk, toxicity
 from .minhash import near_duplicates
 from .sampling import split_of
 from .store import Store
@@ -78,6 +78,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (split_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(centroids.integer_vectors(_read(spark, sf_dir, "embeddings")))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(_read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    folded = found.withColumn("folded_root", merkle.fold("tampered", "proof"))
+    return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings("proof"), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_bpe_encoding(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents"), path), path)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -89,6 +110,9 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_bpe_encoding": op13_bpe_encoding,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -122,7 +146,59 @@ SELECT d.doc_id, coalesce(n, 0) AS n_matches, coalesce(l, '') AS licences, round
 FROM documents d LEFT JOIN per ON per.doc_id IS NOT DISTINCT FROM d.doc_id AND per.text = d.text"""
 
 
+def _kmeans_sql(k: int = 8, rounds: int = 10, seed: int = 3) -> str:
+    """Each round as two relations: distances to all centroids, then exact floors of means."""
+    ctes = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h, e) - 1)::INTEGER AS c, e FROM (SELECT sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')) AS h, e FROM v ORDER BY h, e LIMIT {k}))"]
+    for i in range(rounds + 1):
+        ctes.append(f"""a{i} AS MATERIALIZED (SELECT r, vec_id, e, c, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, c) AS n FROM (
+  SELECT v.r, vec_id, v.e, c, list_sum(list_transform(list_zip(v.e, c{i}.e), lambda z: ((z[1] - z[2]) * (z[1] - z[2]))::HUGEINT))::BIGINT AS d FROM v, c{i})) WHERE n = 1)""")
+        if i < rounds:
+            ctes.append(f"""m{i} AS (SELECT c, j, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT c, unnest(e) AS x, unnest(range(1, 65)) AS j FROM a{i}) GROUP BY c, j),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(f, e) AS e FROM c{i} LEFT JOIN (SELECT c, list((s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END)::BIGINT ORDER BY j) AS f FROM m{i} GROUP BY c) USING (c))""")
+    return f"""WITH {", ".join(ctes)}
+SELECT vec_id, a{rounds}.c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a{rounds}.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c{rounds}.e, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
+def _merkle_sql(levels: int = 8) -> str:
+    """Levels as relations; trees of up to 16 ** levels leaves."""
+    field = lambda x: f"coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')"
+    leaf = lambda t: f"sha256(concat({', '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', t)))}))"
+    crc = f"""xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i])::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)"""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [f"d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS bad FROM documents)"]
+
+    def tree(name: str, rows: str) -> list[str]:
+        """Levels name0, name1, ... of (t, p, h), their one-node ends, and proofs of level 0 (pieces by level)."""
+        out = [f"{name}0 AS MATERIALIZED ({rows})"]
+        for i in range(levels):
+            out.append(f"{name}{i + 1} AS MATERIALIZED (SELECT t, p // 16 AS p, sha256(string_agg(h, '' ORDER BY p)) AS h FROM (SELECT *, count(*) OVER (PARTITION BY t) AS n FROM {name}{i}) WHERE n > 1 GROUP BY t, p // 16)")
+        ends = " UNION ALL ".join(f"(SELECT t, min(h) AS h FROM {name}{i} GROUP BY t HAVING count(*) = 1)" for i in range(levels + 1))
+        out.append(f"{name}end AS MATERIALIZED ({ends})")
+        pieces = " UNION ALL ".join(
+            f"(SELECT l.t, l.p, {i} AS lv, coalesce(string_agg(s.h, '' ORDER BY s.p) FILTER (s.p < l.p >> {4 * i}), '') AS before, coalesce(string_agg(s.h, '' ORDER BY s.p) FILTER (s.p > l.p >> {4 * i}), '') AS after "
+            f"FROM {name}0 l JOIN (SELECT *, count(*) OVER (PARTITION BY t) AS n FROM {name}{i}) s ON s.t IS NOT DISTINCT FROM l.t AND s.p // 16 = l.p >> {4 * i + 4} AND s.n > 1 GROUP BY l.t, l.p)"
+            for i in range(levels)
+        )
+        out.append(f"{name}proof AS MATERIALIZED (SELECT t, p, list({{'b': before, 'a': after}} ORDER BY lv) AS proof FROM ({pieces}) GROUP BY t, p)")
+        return out
+
+    ctes += ["n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM d)"]
+    ctes += tree("x", "SELECT source AS t, p, leaf AS h FROM n")
+    ctes += ["s AS MATERIALIZED (SELECT t AS source, h AS subroot, row_number() OVER (ORDER BY t NULLS FIRST) - 1 AS p FROM xend)"]
+    ctes += tree("y", "SELECT 0 AS t, p, subroot AS h FROM s")
+    ctes += ["""f AS (SELECT doc_id, leaf, bad, subroot, (SELECT h FROM yend) AS root, list_concat(coalesce(xproof.proof, []), coalesce(yproof.proof, [])) AS proof FROM n JOIN s ON s.source IS NOT DISTINCT FROM n.source
+  LEFT JOIN xproof ON xproof.t IS NOT DISTINCT FROM n.source AND xproof.p = n.p LEFT JOIN yproof ON yproof.p = s.p),
+g AS (SELECT *, list_reduce(list_prepend({'b': '', 'a': bad}, proof), lambda acc, x: {'b': '', 'a': sha256(x.b || acc.a || x.a)}).a AS folded_root FROM f)"""]
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(proof, lambda x: x.b || x.a), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM g"
+
+
 ORACLE_SQL = {
+    "op11_centroid_clustering": _kmeans_sql(),
+    "op12_merkle_manifest": _merkle_sql(),
     "op8_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
