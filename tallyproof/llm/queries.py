@@ -95,7 +95,7 @@ def op13_bpe_encoding(spark: SparkSession, sf_dir: str, path: str | None = None)
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents"), path), path)
+    coded = bpe.encode(_read(spark, sf_dir, "documents"), path, decoded=True)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

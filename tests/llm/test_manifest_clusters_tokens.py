@@ -178,7 +178,10 @@ def coded_of(spark, rows, path):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).withColumns({c: F.lit("clash") for c in ("block", "code", "word", "ids", "digest", "decoded")})
     docs.write.mode("overwrite").parquet(f"{path}/docs")
     file = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
-    return bpe.decode(bpe.encode(spark.read.parquet(f"{path}/docs"), file), file)
+    docs = spark.read.parquet(f"{path}/docs")
+    coded = bpe.encode(docs, file, decoded=True)
+    assert plain_rows(coded) == plain_rows(bpe.decode(bpe.encode(docs, file), file))
+    return coded
 
 
 def expected(rows):
@@ -225,6 +228,13 @@ def test_each_distinct_word_is_encoded_once(spark):
     assert sorted(r["word"] for r in got) == ["naïve", "of", "the"] and all(len(r["places"]) == 50 for r in got)
 
 
+def test_decoding_ids_of_any_table(spark):
+    file = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    pack = lambda *ids: bytearray(np.array(ids, "<u4").tobytes())
+    got = bpe.decode(spark.createDataFrame([(1, pack(49406, 0, 49407)), (2, None), (3, pack()), (4, pack(70_000, 1, 2**32 - 1))], "doc_id int, ids binary"), file)
+    assert [r["decoded"] for r in got.orderBy("doc_id").collect()] == ["<|startoftext|> ! <|endoftext|>", "", "", '"']
+
+
 def test_changed_input_is_an_error(spark):
     docs = spark.range(50).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("w"), F.expr("cast(rand() as string)")).alias("text"))
     shuffled = docs.withColumn("text", F.udf(lambda t: t + str(random.random()), "string").asNondeterministic()("text"))
