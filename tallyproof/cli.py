@@ -4,7 +4,7 @@
   answer INDEX FACTS QUESTIONS OUT   questions (JSON lines) to answers (Parquet)
   evaluate INDEX FACTS BANK          a bank's pass rates, failures and statistics
   check-bank BANK                    rules that items break
-  gold-check INDEX BANK              the gates of a bank's gold annotations
+  gold-check INDEX BANK [--source REPORTS]   the gates of a bank's gold annotations; the third one needs the reports
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ def main(argv: list[str] | None = None) -> None:
         command = commands.add_parser(name)
         for a in args:
             command.add_argument(a)
+        if name == "gold-check":
+            command.add_argument("--source", help="page-marked files that the index was built from")
     a = parser.parse_args(argv)
     spark = get_session()
     if a.command == "build-index":
@@ -51,7 +53,8 @@ def main(argv: list[str] | None = None) -> None:
         bank.bank_stats(items).show(100, False)
     else:
         pages = documents.chunk_pages(index_store.load(spark, a.index)["chunks"])
-        evaluation.gold_gates(bank.read_bank(spark, a.bank), pages).show(100, False)
+        source = a.source and tables.pages(documents.read_documents(spark, a.source)).select("doc_id", "page", F.col("body").alias("text"))
+        evaluation.gold_gates(bank.read_bank(spark, a.bank), pages, source).show(100, False)
 
 
 if __name__ == "__main__":

@@ -5,8 +5,12 @@ Refusal is data: a reason column in a fixed order of precedence, never an except
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.amounts import parse_amounts, to_yuan
 from ..functions.lexicon import CONSOLIDATED, LABEL_ALIAS
@@ -20,54 +24,113 @@ def _blank(c: Column) -> Column:
 
 def locate_span(claim: Column, text: Column) -> Column:
     """struct<mode, start, stop, span>: where the claim stands in the text (0-based), exact, else normalised; else null."""
+    return F.when(~(_blank(claim) | text.isNull() | (text == "")), _span(claim, text, normalize_text(claim), normalize_text(text)))
+
+
+def _span(claim: Column, text: Column, nc: Column, nt: Column) -> Column:
+    """The same of a claim and a text that aren't blank and their normalised forms."""
     exact = F.call_function("instr", text, claim)
-    nc, nt = normalize_text(claim), normalize_text(text)
     loose = F.call_function("instr", nt, nc)
     hit = lambda mode, at, span: F.struct(F.lit(mode).alias("mode"), (at - 1).alias("start"), (at - 1 + F.length(span)).alias("stop"), span.alias("span"))
-    nothing = _blank(claim) | text.isNull() | (text == "")
-    return F.when(nothing, None).when(exact > 0, hit("exact", exact, claim)).when((nc != "") & (loose > 0), hit("normalized", loose, nc))
+    return F.when(exact > 0, hit("exact", exact, claim)).when((nc != "") & (loose > 0), hit("normalized", loose, nc))
+
+
+#: Characters of needles that one automaton holds; more are taken block by block.
+BLOCK_CHARS = 1 << 20
+_automata: dict[str, object] = {}
+
+
+def _automaton(token: str, needles: list[tuple[str, list[int] | None]]):
+    """The automaton of a block's needles, made once a worker (and one at a time)."""
+    if token not in _automata:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for i, (needle, keys) in enumerate(needles):
+            found.add_word(needle, (i, None if keys is None else frozenset(keys)))
+        found.make_automaton()
+        _automata.clear()
+        _automata[token] = found
+    return _automata[token]
 
 
-#: Needles that are sent to every task at once; more are taken block by block.
-CLAIM_BLOCK = 5_000
-#: Characters of a needle that it is looked up by.
-SEED = 8
+def _dealt(asked: DataFrame, by: list[str], most: int) -> tuple[DataFrame, int]:
+    """Distinct needles with a block of some `most` characters: by key, so that a text meets few blocks, and those of a hot key by needle."""
+    size = F.length("needle").cast("bigint")
+    total = asked.agg(F.sum(size).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-total // most))
+    if blocks == 1:
+        return asked.withColumn("block", F.lit(0)), 1
+    if not by:
+        return asked.withColumn("block", F.pmod(F.xxhash64("needle"), F.lit(blocks)).cast("int")), blocks
+    # Keys with more than a block's characters: at most `blocks` of them.
+    hot = asked.groupBy("key").agg(F.ceil(F.sum(size) / most).cast("bigint").alias("parts")).where("parts > 1")
+    salt = F.pmod(F.xxhash64("needle"), F.coalesce("parts", F.lit(1)))
+    return asked.join(F.broadcast(hot), "key", "left").withColumn("block", F.pmod(F.xxhash64("key", salt), F.lit(blocks)).cast("int")).drop("parts"), blocks
 
 
-def containing(texts: DataFrame, plain: str, needles: DataFrame, needle: str, block: int = CLAIM_BLOCK) -> DataFrame:
+def containing(texts: DataFrame, plain: str, needles: DataFrame, needle: str, by: list[str] | None = None, most: int = BLOCK_CHARS) -> DataFrame:
     """Rows of texts joined with the needles that their `plain` contains, both normalised; needles can be many.
 
-    Each needle is looked up by its first SEED characters (all of a shorter one): those that
-    a text has are found in one pass over its characters, and only they are joined, by
-    equality, with the needles; contains() decides. Needles are taken in blocks that are
-    broadcast, so texts are never shuffled and no pair is made that shares no seed.
+    by: columns of both tables that must agree too (a document's id), null never does; they come
+    out once. Blocks of distinct needles (by their characters) become Aho-Corasick automata that
+    are sent to every task; a block takes one pass over the texts (with `by`, over those of its
+    keys), whatever the needles' lengths. Only hits leave it, so pairs grow with hits, not with
+    texts times needles. A needle may hold any characters; empty and null ones are in nothing.
     """
-    asked = needles.where(F.length(needle) > 0).withColumn("seed", F.substring(needle, 1, SEED))
-    counted = asked.agg(F.count("*").alias("n"), F.collect_set(F.length("seed")).alias("sizes")).first()  # at most SEED sizes
-    blocks, out = max(1, -(-counted["n"] // block)), None
+    by = by or []
+    key = F.xxhash64(*by) if by else F.lit(None).cast("bigint")
+    given = needles.where(F.length(needle) > 0)
+    body = texts.where(F.col(plain) != "")
+    for c in by:
+        given, body = given.where(F.col(c).isNotNull()), body.where(F.col(c).isNotNull())
+    given = given.withColumn("needle_key", key)
+    dealt, blocks = _dealt(given.select(F.col(needle).alias("needle"), F.col("needle_key").alias("key")).distinct(), by, most)
+    if blocks > 1:
+        dealt = dealt.persist()
+    spark, out = texts.sparkSession, None
+    schema = T.StructType([*body.schema.fields, T.StructField("needle_hit", T.StringType())])
     for k in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64(needle), F.lit(blocks)) == k) if blocks > 1 else asked
-        for size in sorted(counted["sizes"]) or [SEED]:
-            some = part.where(F.length("seed") == size)
-            seeds = [r["seed"] for r in some.select("seed").distinct().collect()]  # at most a block
-            every = F.regexp_extract_all(plain, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1))
-            met = F.explode(F.array_intersect(every, F.split(F.lit("\x01".join(seeds)), "\x01")))
-            pairs = texts.withColumn("seed", met).join(F.broadcast(some), "seed").drop("seed")
-            pairs = pairs.where(F.call_function("contains", F.col(plain), F.col(needle)))
-            out = pairs if out is None else out.unionByName(pairs)
-    return out
-
-
-def locate_claims(claims: DataFrame, texts: DataFrame, block: int = CLAIM_BLOCK) -> DataFrame:
+        # At most some `most` characters: what the automaton of the block holds.
+        rows = dealt.where(F.col("block") == k).groupBy("needle").agg(F.collect_list("key").alias("keys")).collect()
+        if not rows:
+            continue
+        sent = spark.sparkContext.broadcast([(r["needle"], r["keys"] if by else None) for r in rows])
+        some = body.withColumn("needle_key", key)
+        if by and blocks > 1:
+            some = some.join(F.broadcast(dealt.where(F.col("block") == k).select(F.col("key").alias("needle_key")).distinct()), "needle_key", "left_semi").select(*body.columns, "needle_key")
+        at = body.columns.index(plain)
+
+        def search(batches, sent=sent, token=uuid.uuid4().hex, at=at):
+            found = _automaton(token, sent.value)
+            for b in batches:
+                hit_rows, hits = [], []
+                keys = b.column(b.num_columns - 1).to_pylist()
+                for i, text in enumerate(b.column(at).to_pylist()):
+                    met = {n for _, (n, of) in found.iter(text) if of is None or keys[i] in of}
+                    hit_rows += [i] * len(met)
+                    hits += sorted(met)
+                taken = b.take(pa.array(hit_rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*taken.columns[:-1], pa.array([sent.value[n][0] for n in hits], pa.string())], [*b.schema.names[:-1], "needle_hit"])
+
+        met = some.mapInArrow(search, schema)
+        out = met if out is None else out.union(met)
+    columns = [c for c in needles.columns if c not in body.columns]
+    if out is None:
+        return spark.createDataFrame([], T.StructType([*body.schema.fields, *[needles.schema[c] for c in columns]]))
+    given = given.drop("needle_key").withColumnRenamed(needle, "needle_hit")
+    return out.join(given, ["needle_hit", *by]).withColumnRenamed("needle_hit", needle).select(*body.columns, *columns)
+
+
+def locate_claims(claims: DataFrame, texts: DataFrame, most: int = BLOCK_CHARS) -> DataFrame:
     """claims (claim_id, claim) in all texts (text_id, text) -> claim_id, text_id, span: every pair with a hit.
 
     Both sides are normalised once a row, not once a pair; see containing().
     """
     body = texts.select("text_id", "text", normalize_text("text").alias("plain"))
     asked = claims.select("claim_id", "claim", normalize_text("claim").alias("needle"))
-    pairs = containing(body, "plain", asked, "needle", block)
-    # As a generator the location stays behind the join; as a filter it would be moved into its condition.
-    return pairs.select("claim_id", "text_id", F.explode(F.filter(F.array(locate_span(F.col("claim"), F.col("text"))), lambda s: s.isNotNull())).alias("span"))
+    pairs = containing(body, "plain", asked, "needle", most=most)
+    return pairs.select("claim_id", "text_id", _span(F.col("claim"), F.col("text"), F.col("needle"), F.col("plain")).alias("span"))
 
 
 def value_in_span(span: Column, value: Column, unit: Column, rel_tolerance: float | str = 0) -> Column:

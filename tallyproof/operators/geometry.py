@@ -76,17 +76,43 @@ def find_text(targets: DataFrame, words: DataFrame, max_words: int = MAX_WORDS,
     return found.withColumn("k", F.count("*").over(Window.partitionBy("target_id"))).where("k = 1").drop("k") if unique else found
 
 
+def row_pairs(left: DataFrame, right: DataFrame, by: list[str], tol: float = ROW_TOLERANCE) -> DataFrame:
+    """Rows of left (by, lbox) and right (by, rbox) whose boxes share a row of the page: a range join by bins over y.
+
+    Bins are as high as the greater of the two sides' mean heights (and the tolerance), and a box lies in
+    each bin that it touches; a pair is made only in the bin where its overlap begins, so once.
+    Pairs grow with what overlaps nearby, not with the boxes of a page. `by` must hold the page;
+    null keys, null boxes and boxes with null or non-finite edges meet nothing.
+    """
+    height = lambda df, c: df.where(_has_range(F.col(c))).agg(F.avg(F.col(c)["y1"] - F.col(c)["y0"]).alias("h")).first()["h"] or 0.0
+    bin_height = max(height(left, "lbox"), height(right, "rbox"), tol, 1e-6) * 2
+    at = lambda y: F.floor(y / F.lit(bin_height)).cast("bigint")
+    # Half of the tolerance on each side decides on the same pairs but for rounding, which the exact test settles; so both get all of it.
+    bins = lambda c: F.explode(F.sequence(at(F.col(c)["y0"] - tol), at(F.col(c)["y1"] + tol)))
+    l = left.where(_has_range(F.col("lbox"))).withColumn("bin", bins("lbox"))
+    r = right.where(_has_range(F.col("rbox"))).withColumn("bin", bins("rbox"))
+    begins = at(F.greatest(F.col("lbox")["y0"], F.col("rbox")["y0"]) - tol) == F.col("bin")
+    page = F.lit(1)
+    return l.join(r, [*by, "bin"]).where(begins & same_row(page, F.col("lbox"), page, F.col("rbox"), tol)).drop("bin")
+
+
+def _has_range(b: Column) -> Column:
+    finite = lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) != float("inf"))
+    return b.isNotNull() & finite(b["y0"]) & finite(b["y1"]) & (b["y0"] <= b["y1"])
+
+
 def locate_rows(pairs: DataFrame, label_boxes: DataFrame, value_boxes: DataFrame, tol: float = ROW_TOLERANCE) -> DataFrame:
     """pairs (pair_id) with boxes (pair_id, doc_id, page, ord, box) of a label and of a value, in one document -> label_box, value_box, row_box, same_row.
 
     The pair of boxes that share a row with the least distance counts (ties: the first
     ones); without one the first boxes are given, unverified.
     """
-    l = _of_document(label_boxes).select("pair_id", "doc_id", F.col("page").alias("lp"), F.col("ord").alias("lo"), F.col("box").alias("lb"))
-    v = _of_document(value_boxes).select("pair_id", "doc_id", F.col("page").alias("vp"), F.col("ord").alias("vo"), F.col("box").alias("vb"))
-    met = l.join(v, ["pair_id", "doc_id"]).where(same_row(F.col("lp"), F.col("lb"), F.col("vp"), F.col("vb"), tol))
-    gap = vertical_distance(F.col("lp"), F.col("lb"), F.col("vp"), F.col("vb"))
-    best = met.groupBy("pair_id").agg(F.min_by(F.struct("lp", "lb", "vb"), F.struct(gap, "lo", "vo")).alias("m"))
+    l = _of_document(label_boxes).select("pair_id", "doc_id", "page", F.col("ord").alias("lo"), F.col("box").alias("lbox"))
+    v = _of_document(value_boxes).select("pair_id", "doc_id", "page", F.col("ord").alias("vo"), F.col("box").alias("rbox"))
+    met = row_pairs(l, v, ["pair_id", "doc_id", "page"], tol)
+    gap = vertical_distance(F.col("page"), F.col("lbox"), F.col("page"), F.col("rbox"))
+    best = met.groupBy("pair_id").agg(F.min_by(F.struct(F.col("page").alias("lp"), F.col("lbox").alias("lb"), F.col("rbox").alias("vb")), F.struct(gap, "lo", "vo")).alias("m"))
+    l, v = l.withColumnRenamed("lbox", "lb"), v.withColumnRenamed("rbox", "vb")
     first_l = l.groupBy("pair_id").agg(F.min_by("lb", "lo").alias("fl"))
     first_v = v.groupBy("pair_id").agg(F.min_by("vb", "vo").alias("fv"))
     out = pairs.select("pair_id").join(best, "pair_id", "left").join(first_l, "pair_id", "left").join(first_v, "pair_id", "left")

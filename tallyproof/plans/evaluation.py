@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,11 +119,45 @@ def nearest_rank(values: Column, p: float) -> Column:
     return F.coalesce(F.round(F.get(F.sort_array(values), F.greatest(F.least(at, F.size(values) - 1), F.lit(0))), 1), F.lit(0.0))
 
 
-def nearest_rank_by(df: DataFrame, by: list[str], value: str, ps: dict[str, float]) -> DataFrame:
-    """The same per group for groups of any size: ranks by a window, no array of a group is built."""
-    w = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).select(*by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    return ranked.groupBy(*by).agg(*[F.round(F.max(F.when(F.col("i") == F.bround((F.col("n") - 1) * F.lit(p)).cast("int"), F.col(value))), 1).alias(name) for name, p in ps.items()])
+#: Ranges into which the values that are still in question are counted in a round.
+RANGES = 1024
+
+
+def nearest_rank_by(df: DataFrame, by: list[str], value: str, ps: dict[str, float], ranges: int = RANGES, digits: int | None = 1) -> DataFrame:
+    """The same per group, by exact selection: one row a group with a column for each of `ps`.
+
+    Each round counts the values of a group and rank by ranges of equal width between the least
+    and the greatest that the rank can be, and keeps the range that holds it, until that is one
+    value. Counts are added up before any shuffle, so no task holds a group, however large; a
+    round takes one pass, and two or three find a rank among any usual values.
+
+    Null, NaN and infinite values don't count; groups without others give no row. Null group keys
+    are a group.
+    """
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).select(*by, v.alias("v"))
+    ends = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    names = F.explode(F.array(*[F.struct(F.lit(k).alias("p"), F.bround((F.col("n") - 1) * F.lit(p)).cast("bigint").alias("left")) for k, p in ps.items()]))
+    asked = _cut(ends.withColumn("a", names).select(*by, "a.p", "a.left", "lo", "hi"))
+    while asked.where("lo < hi").limit(1).count():
+        open_ = asked.where("lo < hi").select(*[F.col(c).alias(f"of_{c}") for c in by], "p", "left", "lo", "hi")
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by], F.lit(True))
+        near = rows.join(open_, same & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        # Quarters keep differences finite; the ends fall into different ranges, so every round narrows.
+        share = F.coalesce(F.try_divide(F.col("v") / 4 - F.col("lo") / 4, F.col("hi") / 4 - F.col("lo") / 4), F.lit(0.0))
+        part = F.when(F.col("v") == F.col("hi"), ranges - 1).otherwise(F.when(F.col("v") == F.col("lo"), 0).otherwise(F.least(F.floor(share * ranges), F.lit(ranges - 1)))).cast("int")
+        counts = near.groupBy(*by, "p", "left", part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy(*by, "p").orderBy("part"))  # at most `ranges` rows
+        found = counts.withColumn("upto", upto).where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("n") <= F.col("left")))
+        found = found.select(*by, "p", (F.col("left") - F.col("upto") + F.col("n")).alias("left"), "lo", "hi")
+        asked = _cut(asked.where("lo >= hi").unionByName(found))
+    exact = F.col("lo") if digits is None else F.round("lo", digits)
+    return asked.groupBy(*by).agg(*[F.max(F.when(F.col("p") == k, exact)).alias(k) for k in ps])
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """The rows written in the checkpoint folder where there is one, else kept by Spark: they are read several times."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
 def usage_per_question(calls: DataFrame, run: str = "run_id", order: str = "ord") -> DataFrame:
@@ -132,32 +168,34 @@ def usage_per_question(calls: DataFrame, run: str = "run_id", order: str = "ord"
 
 
 def gold_gates(items: DataFrame, index_pages: DataFrame, source_pages: DataFrame | None = None) -> DataFrame:
-    """Three gates per item: every evidence string on a gold page of the index, anywhere in the index, on a gold page of the source.
+    """Three gates per item, each on its gold pages: its values in the index, its evidence in the index, its values in the source.
 
-    Refusal items pass; a source that is missing fails its gate. Text is compared
-    normalised. value_pages: pages that hold the answer (or else the longest operand).
+    An item's values are its operands, or else its answer; each must stand on one of the pages.
+    Refusal items pass; an item without values or without evidence fails, and so does a gate
+    whose pages are missing. Text is compared normalised. value_pages: pages of the document's
+    index that hold the answer (or else the longest operand).
     """
     answer = items.where("expected_outcome = 'ANSWER'")
-    probe = F.coalesce("gold_value", F.array_max(F.transform(F.map_values("gold_operands"), lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))["v"])
-    evidence_text = F.transform("gold_evidence", lambda e: F.struct(F.lit(True).alias("is_evidence"), normalize_text(e).alias("needle")))
-    each = F.explode(F.concat(evidence_text, F.array(F.struct(F.lit(False).alias("is_evidence"), normalize_text(probe).alias("needle")))))
-    needles = answer.select("item_id", F.col("doc").alias("of_doc"), "gold_pages", each.alias("e")).select("item_id", "of_doc", "gold_pages", "e.is_evidence", "e.needle").distinct()
+    operands = F.map_values(F.coalesce("gold_operands", F.create_map().cast("map<string,string>")))
+    values = F.when(F.size(operands) > 0, operands).otherwise(F.array("gold_value"))
+    probe = F.coalesce("gold_value", F.array_max(F.transform(operands, lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))["v"])
+    asked = lambda kind, texts: F.transform(F.filter(texts, lambda x: x.isNotNull()), lambda x: F.struct(F.lit(kind).alias("kind"), normalize_text(x).alias("needle")))
+    each = F.explode(F.concat(asked("value", values), asked("evidence", F.coalesce("gold_evidence", F.array().cast("array<string>"))), asked("probe", F.array(probe))))
+    needles = answer.select("item_id", F.col("doc").alias("doc_id"), "gold_pages", each.alias("e")).select("item_id", "doc_id", "gold_pages", "e.kind", "e.needle").distinct()
 
     def located(pages: DataFrame, name: str) -> DataFrame:
         p = pages.select("doc_id", "page", normalize_text("text").alias("plain"))
-        hits = containing(p, "plain", needles, "needle").where("doc_id = of_doc").select("item_id", "is_evidence", "needle", "page")
-        joined = needles.join(hits, ["item_id", "is_evidence", "needle"], "left")
-        found = joined.groupBy("item_id", "is_evidence", "needle").agg(
-            F.coalesce(F.bool_or(F.array_contains("gold_pages", F.col("page"))), F.lit(False)).alias("gold"), (F.count("page") > 0).alias("any"), F.array_sort(F.collect_set("page")).alias("pages")
-        )
-        of = lambda c: F.bool_and(F.when(F.col("is_evidence"), F.col(c)))
-        return found.groupBy("item_id").agg(of("gold").alias(f"{name}_gold"), of("any").alias(f"{name}_any"), F.first(F.when(~F.col("is_evidence"), F.col("pages")), ignorenulls=True).alias(f"{name}_value_pages"))
+        hits = containing(p, "plain", needles, "needle", by=["doc_id"]).groupBy("item_id", "kind", "needle").agg(F.collect_set("page").alias("pages"))
+        joined = needles.join(hits, ["item_id", "kind", "needle"], "left").withColumn("gold", F.coalesce(F.arrays_overlap("pages", "gold_pages"), F.lit(False)))
+        gate = lambda kind: F.bool_and(F.when(F.col("kind") == kind, F.col("gold")))
+        held = F.first(F.when(F.col("kind") == "probe", F.array_sort("pages")), ignorenulls=True)
+        return joined.groupBy("item_id").agg(gate("value").alias(f"{name}_values"), gate("evidence").alias(f"{name}_evidence"), held.alias(f"{name}_pages"))
 
     out = items.join(located(index_pages, "index"), "item_id", "left")
-    out = out.join(located(source_pages, "source"), "item_id", "left") if source_pages is not None else out.withColumn("source_gold", F.lit(False))
+    out = out.join(located(source_pages, "source"), "item_id", "left") if source_pages is not None else out.withColumn("source_values", F.lit(False))
     refused = F.col("expected_outcome") == "REFUSE"
-    g1, g2, g3 = (F.coalesce(refused | F.col(c), refused) for c in ("index_gold", "index_any", "source_gold"))
-    return out.select("item_id", g1.alias("g1"), g2.alias("g2"), g3.alias("g3"), (g1 & g2 & g3).alias("passed"), F.coalesce("index_value_pages", F.array().cast("array<int>")).alias("value_pages"), (F.size("index_value_pages") > 1).alias("ambiguous"))
+    g1, g2, g3 = (F.coalesce(refused | F.col(c), refused) for c in ("index_values", "index_evidence", "source_values"))
+    return out.select("item_id", g1.alias("g1"), g2.alias("g2"), g3.alias("g3"), (g1 & g2 & g3).alias("passed"), F.coalesce("index_pages", F.array().cast("array<int>")).alias("value_pages"), (F.size("index_pages") > 1).alias("ambiguous"))
 
 
 def failures(results: DataFrame) -> DataFrame:
@@ -173,15 +211,14 @@ def eval_stats(results: DataFrame) -> DataFrame:
     for c, kind in (("latency_ms", "double"), ("tokens", "bigint"), ("evidence_recalled", "boolean")):
         if c not in results.columns:
             results = results.withColumn(c, F.lit(None).cast(kind))
-    # The nearest rank's share of the way from the least to the greatest value; percentile() keeps counts by value.
-    n = results.agg(F.count("latency_ms")).first()[0]
-    at = lambda p: F.coalesce(F.round(F.percentile("latency_ms", round((n - 1) * p) / (n - 1) if n > 1 else 0.0), 1), F.lit(0.0))
+    ranks = nearest_rank_by(results.select(F.lit(0).alias("all_rows"), "latency_ms"), ["all_rows"], "latency_ms", {"p50_ms": 0.5, "p95_ms": 0.95}).first()
+    at = lambda name: F.lit(float(ranks[name]) if ranks else 0.0)
     answer, refuse = F.col("expected_outcome") == "ANSWER", F.col("expected_outcome") == "REFUSE"
     recalled = F.count_if(F.coalesce(F.col("evidence_recalled"), F.lit(False)))
     return results.agg(
         F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.round(F.try_divide(F.count_if("passed"), F.count("*")), 4).alias("pass_rate"),
         F.count_if(answer & F.col("passed")).alias("right_answers"), F.count_if(refuse & F.col("passed")).alias("right_refusals"), F.count_if(F.coalesce(F.col("failure") == "answered_but_should_refuse", F.lit(False))).alias("false_answers"),
-        F.count_if(F.coalesce(F.col("decision") == "ABORT", F.lit(False))).alias("aborts"), at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"), F.round(F.avg("tool_calls"), 2).alias("tool_calls"),
+        F.count_if(F.coalesce(F.col("decision") == "ABORT", F.lit(False))).alias("aborts"), at("p50_ms").alias("p50_ms"), at("p95_ms").alias("p95_ms"), F.round(F.avg("tool_calls"), 2).alias("tool_calls"),
         F.round(F.avg(F.when(F.col("tokens") > 0, F.col("tokens"))), 1).alias("tokens_per_billed"), recalled.alias("evidence_recalled"),
     )
 

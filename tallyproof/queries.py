@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import amounts, rewrite, text
-from .operators import evidence, formulas, geometry, retrieval, tables
+from .functions import amounts, lattice, rewrite, text
+from .operators import evidence, formulas, geometry, pruned, retrieval, tables
 from .plans import answer, evaluation, tools
 from .sources import bank, index_store, trace
 
@@ -394,12 +394,28 @@ def q27_same_row_join(spark, sf_dir):
     at = lambda f, i, j: (f(F.col("embedding")[i], F.col("embedding")[j]).cast("double") * 100)
     box = F.struct(at(F.least, 0, 1).alias("x0"), at(F.least, 2, 3).alias("y0"), at(F.greatest, 0, 1).alias("x1"), at(F.greatest, 2, 3).alias("y1"))
     b = e.select("vec_id", F.col("label").alias("page"), box.alias("b"))
-    l, v = b.where("vec_id % 2 = 0").select(F.col("vec_id").alias("pair_id"), "page", F.col("b").alias("lb")), b.where("vec_id % 2 = 1").select(F.col("vec_id").alias("other"), "page", F.col("b").alias("vb"))
-    met = l.join(v, "page").where(geometry.same_row(F.col("page"), F.col("lb"), F.col("page"), F.col("vb")))
-    gap = geometry.vertical_distance(F.col("page"), F.col("lb"), F.col("page"), F.col("vb"))
+    l, v = b.where("vec_id % 2 = 0").select(F.col("vec_id").alias("pair_id"), "page", F.col("b").alias("lbox")), b.where("vec_id % 2 = 1").select(F.col("vec_id").alias("other"), "page", F.col("b").alias("rbox"))
+    met = geometry.row_pairs(l, v, ["page"])
+    gap = geometry.vertical_distance(F.col("page"), F.col("lbox"), F.col("page"), F.col("rbox"))
     return met.withColumn("gap", gap).groupBy("pair_id").agg(F.min_by("other", F.struct("gap", "other")).alias("other"), F.round(F.min("gap"), 6).alias("gap"))
 
 
+@query("""
+WITH b AS (SELECT l_orderkey AS k, (l_linenumber % 2)::INTEGER AS side, l_linenumber AS ord, l_quantity::DOUBLE * 10 AS y0, l_quantity::DOUBLE * 10 + l_discount::DOUBLE * 300 AS y1, l_tax::DOUBLE AS x0 FROM lineitem),
+p AS (SELECT l.k, l.ord AS a, r.ord AS b, least(l.y0, r.y0) AS y0, greatest(l.y1, r.y1) AS y1, abs((l.y0 + l.y1) / 2 - (r.y0 + r.y1) / 2) AS gap FROM b l JOIN b r ON l.k = r.k AND l.side = 0 AND r.side = 1 AND NOT (l.y1 + 1 < r.y0 OR r.y1 + 1 < l.y0)),
+m AS (SELECT k, arg_min({'y0': y0, 'y1': y1}, (gap, a, b)) AS m FROM p GROUP BY 1)
+SELECT o_orderkey AS pair_id, m IS NOT NULL AS same_row, coalesce(round(m.y0, 4), -1.0) AS y0, coalesce(round(m.y1, 4), -1.0) AS y1 FROM orders LEFT JOIN m ON k = o_orderkey""")
+def q46_locate_rows(spark, sf_dir):
+    """Lines of an order as boxes on its page: even ones are labels, odd ones values; the nearest two that share a row."""
+    orders, lineitem = read(spark, sf_dir, "orders", "lineitem")
+    y = F.col("l_quantity").cast("double") * 10
+    box = F.struct(F.col("l_tax").cast("double").alias("x0"), y.alias("y0"), F.lit(1.0).alias("x1"), (y + F.col("l_discount").cast("double") * 300).alias("y1"))
+    boxes = lineitem.select(F.col("l_orderkey").alias("pair_id"), F.lit("d").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("ord"), box.alias("box"))
+    found = geometry.locate_rows(orders.select(F.col("o_orderkey").alias("pair_id")), boxes.where("ord % 2 = 0"), boxes.where("ord % 2 = 1"))
+    edge = lambda c: F.coalesce(F.round(F.col(f"row_box.{c}"), 4), F.lit(-1.0)).alias(c)
+    return found.select("pair_id", "same_row", edge("y0"), edge("y1"))
+
+
 _FORMS = (
     ("合并报表的资产总计是否等于负债合计与所有者权益合计之和", "VERIFY", "F1"), ("净利润是否等于利润总额减所得税费用", "VERIFY", "F2a"), ("合并利润表的毛利率是多少", "VERIFY", "F4"), ("合并口径的存货与母公司口径的存货相差多少", "DIFF", "-"),
     ("存货与相差", "LOOKUP", "-"), ("2024年合并资产负债表的存货是多少", "LOOKUP", "-"), ("本期同比如何", "VERIFY", "F6"),
@@ -464,6 +480,18 @@ def q32_nearest_rank_percentiles(spark, sf_dir):
     return evaluation.nearest_rank_by(events, ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
+@query("""
+WITH g AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'hot' ELSE l_returnflag END AS g, l_extendedprice::DOUBLE AS v FROM lineitem UNION ALL SELECT 'all', l_extendedprice::DOUBLE FROM lineitem),
+s AS (SELECT g, list_sort(list(v)) AS v FROM g GROUP BY 1)
+SELECT g, v[round_even((len(v) - 1) * 0.01, 0)::INTEGER + 1] AS p01, v[round_even((len(v) - 1) * 0.5, 0)::INTEGER + 1] AS p50, v[round_even((len(v) - 1) * 0.99, 0)::INTEGER + 1] AS p99 FROM s""")
+def q47_exact_selection(spark, sf_dir):
+    """Ranks of prices by return flag, in a group of a third of all lines, and over all lines."""
+    (lineitem,) = read(spark, sf_dir, "lineitem")
+    group = F.when(F.col("l_orderkey") % 3 == 0, "hot").otherwise(F.col("l_returnflag"))
+    rows = lineitem.select(F.explode(F.array(group, F.lit("all"))).alias("g"), F.col("l_extendedprice").cast("double").alias("v"))
+    return evaluation.nearest_rank_by(rows, ["g"], "v", {"p01": 0.01, "p50": 0.5, "p99": 0.99}, digits=None)
+
+
 _BANK = """b AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'bad' ELSE 'A-X_Y-' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') END AS item_id, ['L1', 'L2', 'R', 'L9'][1 + p_partkey % 4] AS kind,
   CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE '1.00' END AS gold, p_partkey % 3 = 0 AS refused, p_brand AS doc, p_size::VARCHAR || ' is?' AS question FROM part)"""
 
@@ -498,18 +526,25 @@ def q34_bank_stats(spark, sf_dir):
     return bank.bank_stats(_bank(spark, sf_dir))
 
 
-@query("""
-WITH d AS (SELECT doc_id, (doc_id % 50)::INTEGER AS page, regexp_replace(text, '\\s', '', 'g') AS t FROM documents), b AS (SELECT item_id, regexp_replace(text, '\\s', '', 'g') AS t, (item_id % 50)::INTEGER AS gold FROM benchmark)
-SELECT 'i' || item_id AS item_id, coalesce(bool_or(contains(d.t, b.t) AND page BETWEEN gold AND gold + 24), FALSE) AS g1, coalesce(bool_or(contains(d.t, b.t)), FALSE) AS g2, coalesce(len(list_distinct(list(page) FILTER (contains(d.t, b.t)))), 0) AS n_pages FROM b CROSS JOIN d GROUP BY 1""".replace("\\\\", "\\"))
+@query(r"""
+WITH d AS (SELECT 's' || source AS doc, (doc_id % 50)::INTEGER AS page, regexp_replace(text, '\s', '', 'g') AS t FROM documents), b AS (SELECT item_id, (item_id % 50)::INTEGER AS gold, regexp_replace(text, '\s', '', 'g') AS e,
+  regexp_replace(array_to_string(string_split(text, ' ')[1:6], ''), '\s', '', 'g') AS v FROM benchmark),
+s AS (SELECT DISTINCT doc FROM d), h AS (SELECT item_id, doc, page, page BETWEEN gold AND gold + 24 AS gold, contains(d.t, b.v) AS v, contains(d.t, b.e) AS e FROM b JOIN d ON contains(d.t, b.v))
+SELECT item_id || '@' || s.doc AS item_id, coalesce(bool_or(gold AND v), FALSE) AS g1, coalesce(bool_or(gold AND e), FALSE) AS g2, coalesce(bool_or(gold AND v AND page % 2 = 0), FALSE) AS g3, count(DISTINCT page) FILTER (v) AS n_pages
+FROM (SELECT item_id FROM b) CROSS JOIN s LEFT JOIN h USING (item_id, doc) GROUP BY 1""")
 def q35_gold_gates(spark, sf_dir):
+    """Sources as documents of up to 50 pages; every item is asked of every document, so most pairs of item and page share no document."""
     bench, docs = read(spark, sf_dir, "benchmark", "documents")
-    pages = docs.select(F.lit("d").alias("doc_id"), (F.col("doc_id") % 50).cast("int").alias("page"), "text")
+    pages = docs.select(F.concat(F.lit("s"), "source").alias("doc_id"), (F.col("doc_id") % 50).cast("int").alias("page"), "text")
+    names = F.array_sort(F.collect_set(F.col("doc_id"))).alias("docs")
     gold = (F.col("item_id") % 50).cast("int")
-    items = bench.select(
-        F.concat(F.lit("i"), "item_id").alias("item_id"), F.lit("d").alias("doc"), F.lit("ANSWER").alias("expected_outcome"), F.sequence(gold, gold + 24).alias("gold_pages"), F.array("text").alias("gold_evidence"), F.col("text").alias("gold_value"),
-        F.create_map().cast("map<string,string>").alias("gold_operands"),
+    asked = bench.select("item_id", "text", gold.alias("gold"), F.lit(1).alias("one")).join(F.broadcast(pages.agg(names).withColumn("one", F.lit(1))), "one")
+    items = asked.select("item_id", "text", "gold", F.explode("docs").alias("doc")).select(
+        F.concat("item_id", F.lit("@"), "doc").alias("item_id"), "doc", F.lit("ANSWER").alias("expected_outcome"), F.sequence(F.col("gold"), F.col("gold") + 24).alias("gold_pages"), F.array("text").alias("gold_evidence"),
+        F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("gold_value"), F.create_map().cast("map<string,string>").alias("gold_operands"),
     )
-    return evaluation.gold_gates(items, pages).select("item_id", "g1", "g2", F.size("value_pages").cast("bigint").alias("n_pages"))
+    gates = evaluation.gold_gates(items, pages, pages.where("page % 2 = 0"))
+    return gates.select("item_id", "g1", "g2", "g3", F.size("value_pages").cast("bigint").alias("n_pages"))
 
 
 @query("""
@@ -631,3 +666,42 @@ def q45_cells_and_labels(spark, sf_dir):
     raw = F.element_at(F.array(*[F.lit(x) for x, *_ in _LABELS]), (F.col("p_partkey") % len(_LABELS) + 1).cast("int"))
     cell = F.concat(F.col("p_partkey").cast("string"), F.lit(",00"))
     return part.select("p_partkey", text.clean_label(raw).alias("clean"), cell.alias("cell"), text.looks_like_amount(cell).alias("amount"), text.looks_like_date(cell).alias("dated"))
+
+
+@query(r"""
+WITH RECURSIVE t AS (SELECT item_id, regexp_replace(lower(text), '[^a-z]+', '', 'g') AS s FROM benchmark), w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark),
+d AS (SELECT w, count(*) AS n FROM w WHERE len(w) <= 12 GROUP BY 1), z AS (SELECT sum(n)::DOUBLE AS total FROM d), k AS (SELECT w, round(1e6 * (ln(total) - ln(n)))::BIGINT AS c FROM d, z),
+o AS (SELECT item_id, i, l, substr(s, i, l) AS w FROM t, unnest(range(1, len(s) + 1)) AS a(i), unnest(range(1, 13)) AS b(l) WHERE i + l - 1 <= len(s)),
+g AS (SELECT item_id, i, list({'l': l, 'c': coalesce(c, round(1e6 * ln(total))::BIGINT), 'w': w}) AS edges FROM o LEFT JOIN k USING (w), z WHERE l = 1 OR c IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT item_id, (len(s) + 1)::BIGINT AS i, [0::BIGINT] AS best, [''] AS path FROM t
+  UNION ALL SELECT item_id, i, list_slice(list_prepend(m.c, best), 1, 12), list_slice(list_prepend(m.w || ' ' || path[-m.l], path), 1, 12)
+  FROM (SELECT r.item_id, g.i, best, path, list_min(list_transform(edges, lambda e: {'c': e.c + best[e.l], 'l': -e.l, 'w': e.w})) AS m FROM r JOIN g ON g.item_id = r.item_id AND g.i = r.i - 1))
+SELECT item_id, rtrim(path[1]) AS words FROM r WHERE i = 1""")
+def q48_lattice_segmentation(spark, sf_dir):
+    """Benchmark texts without their spaces, cut again by the words and counts of the same corpus."""
+    (bench,) = read(spark, sf_dir, "benchmark")
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))
+    known = lattice.lattice_of(bench.select(word.alias("word")).where("length(word) <= 12").groupBy("word").agg(F.count("*").alias("n")))
+    return bench.select("item_id", F.array_join(lattice.segment(F.regexp_replace(F.lower("text"), "[^a-z]+", ""), known), " ").alias("words"))
+
+
+@query(r"""
+WITH words AS (SELECT coalesce(lang, '-') AS key, 'x' || doc_id AS unit, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS token FROM documents), posts AS (SELECT key, unit, token, count(*) AS tf FROM words GROUP BY ALL),
+n AS (SELECT key, count(DISTINCT unit) AS n FROM posts GROUP BY 1), df AS (SELECT key, token, count(*) AS df FROM posts GROUP BY 1, 2), dl AS (SELECT key, unit, sum(tf)::DOUBLE AS dl FROM posts GROUP BY 1, 2), av AS (SELECT key, avg(dl) AS avgdl FROM dl GROUP BY 1),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS token FROM benchmark),
+s AS (SELECT item_id, key, unit, round(list_sum(list(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) ORDER BY token)), 6) AS score
+  FROM asked JOIN posts USING (token) JOIN df USING (key, token) JOIN dl USING (key, unit) JOIN n USING (key) JOIN av USING (key) GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id, key ORDER BY score DESC, unit) AS rank FROM s)
+SELECT item_id, key, unit, score, rank FROM r WHERE rank <= 5""")
+def q49_pruned_top_k(spark, sf_dir):
+    """The best five documents of each language for every benchmark text, by an index with block maxima."""
+    bench, docs = read(spark, sf_dir, "benchmark", "documents")
+    words = lambda c: F.regexp_extract_all(c, F.lit("([A-Za-z0-9]+)"), F.lit(1))
+    units = docs.select(F.coalesce("lang", F.lit("-")).alias("doc_id"), F.concat(F.lit("x"), "doc_id").alias("chunk_id"), "text")
+    impacts = pruned.impacts_of(retrieval.postings(units, "doc_id", "chunk_id", words("text"))).persist()
+    index = {t: df.persist() for t, df in pruned.index_of(impacts).items()} | {"impacts": impacts}
+    keys = index["terms"].select("doc_id").distinct()
+    asked = bench.select(F.lit(1).alias("one"), "item_id", F.explode(F.array_distinct(words("text"))).alias("token")).join(F.broadcast(keys.agg(F.collect_set("doc_id").alias("k")).withColumn("one", F.lit(1))), "one")
+    asked = asked.select(F.explode("k").alias("doc_id"), "item_id", "token").withColumn("question_id", F.struct("item_id", "doc_id"))
+    out = pruned.top_k(asked, index, 5)
+    return out.select(F.col("question_id.item_id").alias("item_id"), F.col("question_id.doc_id").alias("key"), F.col("chunk_id").alias("unit"), "score", "rank")

@@ -2,6 +2,8 @@
 
 import unicodedata
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tallyproof.functions import text
@@ -31,12 +33,34 @@ def test_words_of_two_documents_never_make_one_run(spark):
 def test_needles_are_found_whatever_their_length(spark):
     texts = spark.createDataFrame([(1, "abcdefghijkl"), (2, "xyz"), (3, ""), (4, None), (5, "a" * 50)], "text_id int, plain string")
     needles = ["a", "abc", "defghijkl", "defghijkX", "z", "", "a" * 20, "yz"]
-    found = evidence.containing(texts, "plain", spark.createDataFrame([(n,) for n in needles], "needle string"), "needle", block=3)
+    found = evidence.containing(texts, "plain", spark.createDataFrame([(n,) for n in needles], "needle string"), "needle", most=12)
     want = {(i, n) for i, t in ((1, "abcdefghijkl"), (2, "xyz"), (5, "a" * 50)) for n in needles if n and n in t}
     assert {(r.text_id, r.needle) for r in found.collect()} == want
     assert evidence.containing(texts, "plain", spark.createDataFrame([], "needle string"), "needle").count() == 0
 
 
+def test_needles_of_any_characters_and_one_beginning(spark):
+    head = "the same sentence begins each of them, "
+    needles = ["a\x01b", "\x00", "\x02\x01", *[f"{head}number {i}." for i in range(60)], head]
+    texts = [(i, f"x {head}number {i}. y" + ("a\x01b" if i == 3 else "\x00" if i == 4 else "")) for i in range(70)]
+    for most in (1 << 20, 300):
+        found = evidence.containing(spark.createDataFrame(texts, "text_id int, plain string"), "plain", spark.createDataFrame([(n,) for n in needles], "needle string"), "needle", most=most)
+        assert sorted((r.text_id, r.needle) for r in found.collect()) == sorted((i, n) for i, t in texts for n in needles if n in t)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 200])
+def test_needles_of_a_document_meet_its_own_texts(spark, most):
+    """200 documents with one common sentence: as many pairs as hits, and hot or null keys."""
+    common = "one common sentence"
+    texts = [(f"d{i}" if i else None, p, f"{common} of {i} {'q' * p}") for i in range(200) for p in range(2)]
+    needles = [(f"d{i}" if i else None, k, n) for i in range(200) for k, n in enumerate((common, f"of {i} q"))] + [("d5", 7 + k, f"sentence of 5{' q' * (k == 1)}{k if k > 1 else ''}") for k in range(40)]
+    t, n = spark.createDataFrame(texts, "doc_id string, page int, plain string"), spark.createDataFrame(needles, "doc_id string, k int, needle string")
+    got = evidence.containing(t, "plain", n, "needle", by=["doc_id"], most=most)
+    assert sorted((r.doc_id, r.page, r.k) for r in got.collect()) == sorted((d, p, k) for d, p, x in texts for e, k, y in needles if d is not None and d == e and y in x)
+    scanned = [r for r in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "MapInArrow" in r]
+    assert len(scanned) <= 1 + sum(len(y) for _, _, y in {(d, 0, y) for d, _, y in needles}) // most
+
+
 def test_tools_without_an_index_and_without_formulas(spark):
     chunks = spark.createDataFrame([("d", "c1", "存货", "合并", 2, "存货 | 1", 0, 0), ("d", "c2", "存货跌价", None, 2, "x", 0, 1), ("e", "c3", "存货", None, 2, "x", 0, 0)], CHUNK)
     asked = spark.createDataFrame([("r1", "d", "存货"), ("r2", "d", "商誉"), ("r3", "d", "")], "request_id string, doc_id string, query string")

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -301,7 +302,7 @@ def test_gold_gates(spark, report, tmp_path):
     b = items(spark, tmp_path, {}, {"gold_evidence": ["没有的"]}, {"gold_pages": [58]})
     pages = documents.chunk_pages(report[1])
     got = evaluation.gold_gates(b, pages, pages).orderBy("item_id").collect()
-    assert [(r.g1, r.g2, r.g3) for r in got] == [(True, True, True), (False, False, False), (False, True, False)] and got[0].value_pages == [59]
+    assert [(r.g1, r.g2, r.g3) for r in got] == [(True, True, True), (True, False, True), (False, False, False)] and got[0].value_pages == [59]
     assert not evaluation.gold_gates(b, pages).orderBy("item_id").first().g3
 
 
@@ -347,3 +348,39 @@ def test_streams(spark, tmp_path):
 def test_read_documents(spark, tmp_path):
     (tmp_path / "rep.md").write_text(REPORT)
     assert documents.read_documents(spark, str(tmp_path / "*.md")).first().doc_id == "rep"
+
+
+def test_selection_equals_sorting_in_any_group(spark):
+    rng = random.Random(3)
+    groups = {"hot": [rng.lognormvariate(0, 5) for _ in range(3000)], None: [1.0] * 50, "one": [7.5], "ties": [rng.choice([1.0, 2.0, 3.0]) for _ in range(500)], "far": [-1.7e308, 1.7e308, 0.0, 5e-324, -5e-324] * 3, "odd": [float("nan"), float("inf"), None, 4.0, 2.0]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("none", None)]
+    ps = {"p0": 0.0, "p01": 0.01, "p50": 0.5, "p95": 0.95, "p1": 1.0}
+    few = [x for x in rows if x[0] in ("ties", "one", "odd")]
+    for ranges, some in ((2, few), (1024, rows)):
+        got = {r.g: r for r in evaluation.nearest_rank_by(spark.createDataFrame(some, "g string, v double"), ["g"], "v", ps, ranges=ranges, digits=None).collect()}
+        for g, r in got.items():
+            v = sorted(x for x in groups[g] if x is not None and abs(x) < float("inf"))
+            assert [r[k] for k in ps] == [v[round((len(v) - 1) * p)] for p in ps.values()], g
+    assert "none" not in got and len(got) == 6
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_range_join_equals_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    side = lambda n: [(i, rng.randint(1, 3), y, y + rng.choice([0.0, 5.0, 12.0, 300.0 if rng.random() < 0.05 else 8.0])) for i in range(n) for y in [rng.choice([rng.uniform(-50, 900), float(rng.randint(0, 80) * 11)])]]
+    left, right = side(150), side(120) + [(900, 1, None, 1.0), (901, 1, float("nan"), 1.0)]
+    frame = lambda rows, i, c: spark.createDataFrame(rows, f"{i} int, page int, y0 double, y1 double").select(i, "page", F.struct(F.lit(0.0).alias("x0"), "y0", F.lit(1.0).alias("x1"), "y1").alias(c))
+    got = geometry.row_pairs(frame(left, "l", "lbox"), frame(right, "r", "rbox"), ["page"])
+    want = sorted((a[0], b[0]) for a in left for b in right[:-2] if a[1] == b[1] and not (a[3] + 1 < b[2] or b[3] + 1 < a[2]))
+    assert sorted((x.l, x.r) for x in got.collect()) == want and len(want) > 100
+
+
+def test_range_join_makes_no_pairs_of_far_boxes(spark):
+    """A page of n rows: as many pairs come out of the join as overlap nearby, not n * n."""
+    n = 3000
+    rows = spark.range(n).select("id", F.lit(1).alias("page"), F.struct(F.lit(0.0).alias("x0"), (F.col("id") * 20.0).alias("y0"), F.lit(1.0).alias("x1"), (F.col("id") * 20.0 + 10).alias("y1")).alias("b"))
+    got = geometry.row_pairs(rows.withColumnRenamed("b", "lbox"), rows.withColumnRenamed("b", "rbox").withColumnRenamed("id", "other"), ["page"])
+    assert got.count() == n
+    got.collect()
+    made = [int(x.replace(",", "")) for x in re.findall(r"number of output rows: ([0-9,]+)", str(got._jdf.queryExecution().executedPlan().toString()))]
+    assert not made or max(made) < 10 * n

@@ -80,3 +80,6 @@ def test_command_line(spark, tmp_path, capsys):
     for command in (["evaluate", index, facts], ["check-bank"], ["gold-check", index]):
         cli.main([*command, str(tmp_path / "bank.jsonl")])
     assert "|all" in capsys.readouterr().out.replace(" ", "")
+    cli.main(["gold-check", index, str(tmp_path / "bank.jsonl"), "--source", str(tmp_path / "in" / "*.md")])
+    row = [x for x in capsys.readouterr().out.replace(" ", "").splitlines() if ITEM["item_id"] in x][0].split("|")
+    assert row[2:6] == ["true"] * 4  # the third gate is met by the report itself
