@@ -6,11 +6,11 @@ The index (by document, as everything here):
 * blocks: key, token, part, block, most, postings: BLOCK units with their impacts, greatest first
 * impacts: key, unit, token, impact: what a token adds to a unit's score, with idf and length in it
 
-A search reads in two steps. The first blocks of the question's tokens give partial scores,
-whose kth best is a score to beat. Then a token's block is read only if its greatest impact and
+A search reads in two steps. The first blocks of the question's tokens give partial scores; the
+best units by them are scored in full, and the kth of these is a score to beat. Then a token's block is read only if its greatest impact and
 the greatest ones of the question's other tokens can reach that score, and only for tokens
-without which it can't be reached. Units met so are scored in full by their impacts, which are
-looked up by (unit, token). All steps are joins and aggregations over many questions at once.
+without which it can't be reached. Units met so that can still reach it are scored in full by
+their impacts, which are looked up by (unit, token). All steps are joins and aggregations over many questions at once.
 
 Lists of frequent tokens are dealt into parts by unit, so none is sorted in one task.
 """
@@ -25,6 +25,8 @@ from .retrieval import B, K1
 #: Postings of a block, and of a part of a list at most (about).
 BLOCK = 128
 PART = 1 << 16
+#: Times k units that are scored in full first, for the score to beat.
+FIRST = 4
 #: Scores are compared to so many decimals, so that the order of additions doesn't matter.
 DIGITS = 6
 
@@ -57,20 +59,30 @@ def _kth(scores: DataFrame, query: str, k: int) -> DataFrame:
     return scores.withColumn("r", rank).where(F.col("r") <= k).groupBy(query).agg(F.when(F.count("*") == k, F.min("score")).alias("beat"))
 
 
-def candidates(asked: DataFrame, index: dict[str, DataFrame], k: int, key: str = "doc_id", query: str = "question_id") -> DataFrame:
-    """Blocks that must be read: query, key, token, part, block, postings, and the score to beat. asked: (query, key, token)."""
+def _scored(met: DataFrame, asked: DataFrame, index: dict[str, DataFrame], key: str, unit: str, query: str) -> DataFrame:
+    """(query, unit, score) in full of units met (query, key, unit); parts are added in the tokens' order."""
+    wanted = met.join(asked, [query, key]).join(index["impacts"], [key, unit, "token"])
+    parts = F.array_sort(F.collect_list(F.struct("token", "impact")))
+    return wanted.groupBy(query, unit).agg(F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["impact"]).alias("score"))
+
+
+def candidates(asked: DataFrame, index: dict[str, DataFrame], k: int, key: str = "doc_id", query: str = "question_id", unit: str = "chunk_id") -> DataFrame:
+    """Blocks that must be read: query, key, token, part, block, postings; the token's greatest impact (most), all of the query's (all),
+    and the score to reach. asked: (query, key, token)."""
     asked = asked.select(query, key, "token").distinct()
     known = asked.join(index["terms"], [key, "token"])
     by_most = Window.partitionBy(query).orderBy("most", "token")
     known = known.select(query, key, "token", "most", F.sum("most").over(Window.partitionBy(query)).alias("all"), F.sum("most").over(by_most.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
     first = known.select(query, key, "token").join(index["blocks"].where("block = 0"), [key, "token"])
-    partial = first.select(query, F.explode("postings").alias("p")).groupBy(query, F.col("p.unit").alias("unit")).agg(F.sum("p.impact").alias("score"))
-    beat = _kth(partial, query, k)
+    partial = first.select(query, key, F.explode("postings").alias("p")).groupBy(query, key, F.col("p.unit").alias(unit)).agg(F.sum("p.impact").alias("partial"))
+    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("partial"), unit))
+    best = partial.withColumn("r", rank).where(F.col("r") <= FIRST * k).select(query, key, unit)
+    beat = _kth(_scored(best, asked, index, key, unit, query), query, k)
     # A margin for rounding and for scores that are equal to DIGITS decimals.
     reach = F.coalesce(F.col("beat") - 2 * 10.0**-DIGITS, F.lit(float("-inf")))
     need = known.join(beat, query, "left").where(F.col("upto") >= reach)
     blocks = index["blocks"].withColumnRenamed("most", "block_most")
-    return need.join(blocks, [key, "token"]).where(F.col("block_most") + F.col("all") - F.col("most") >= reach).select(query, key, "token", "part", "block", "postings", "beat")
+    return need.join(blocks, [key, "token"]).where(F.col("block_most") + F.col("all") - F.col("most") >= reach).select(query, key, "token", "part", "block", "postings", "most", "all", reach.alias("reach"))
 
 
 def top_k(asked: DataFrame, index: dict[str, DataFrame], k: int, key: str = "doc_id", unit: str = "chunk_id", query: str = "question_id") -> DataFrame:
@@ -79,19 +91,19 @@ def top_k(asked: DataFrame, index: dict[str, DataFrame], k: int, key: str = "doc
     index: terms and blocks, see index_of(), and impacts. Tokens outside the index count
     nothing; a unit without any of the tokens isn't ranked, so a query may have fewer than k.
     """
-    read = candidates(asked, index, k, key, query)
-    met = read.select(query, key, F.explode("postings").alias("p")).select(query, key, F.col("p.unit").alias(unit)).distinct()
-    wanted = met.join(asked.select(query, key, "token").distinct(), [query, key]).join(index["impacts"], [key, unit, "token"])
-    parts = F.array_sort(F.collect_list(F.struct("token", "impact")))
-    score = F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["impact"])
-    scored = wanted.groupBy(query, unit).agg(F.round(score, DIGITS).alias("score"))
+    read = candidates(asked, index, k, key, query, unit)
+    each = read.select(query, key, "most", "all", "reach", F.explode("postings").alias("p"))
+    # What a unit's read postings leave open is at most the greatest impacts of the tokens it wasn't met by.
+    met = each.groupBy(query, key, F.col("p.unit").alias(unit)).agg((F.sum("p.impact") - F.sum("most") + F.max("all")).alias("at_most"), F.max("reach").alias("reach"))
+    met = met.where(F.col("at_most") >= F.col("reach")).select(query, key, unit)
+    scored = _scored(met, asked.select(query, key, "token").distinct(), index, key, unit, query).withColumn("score", F.round("score", DIGITS))
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), unit))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def share_read(asked: DataFrame, index: dict[str, DataFrame], k: int, key: str = "doc_id", query: str = "question_id") -> DataFrame:
+def share_read(asked: DataFrame, index: dict[str, DataFrame], k: int, key: str = "doc_id", query: str = "question_id", unit: str = "chunk_id") -> DataFrame:
     """One row: postings of the queries' tokens, and how many of them the search reads (the first blocks too)."""
     terms = asked.select(query, key, "token").distinct().join(index["terms"], [key, "token"])
     first = terms.select(query, key, "token").join(index["blocks"].where("block = 0"), [key, "token"]).select(query, key, "token", "part", "block", "postings")
-    read = candidates(asked, index, k, key, query).drop("beat").unionByName(first).dropDuplicates([query, key, "token", "part", "block"])
+    read = candidates(asked, index, k, key, query, unit).drop("most", "all", "reach").unionByName(first).dropDuplicates([query, key, "token", "part", "block"])
     return terms.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("postings")).withColumn("one", F.lit(1)).join(read.agg(F.coalesce(F.sum(F.size("postings")), F.lit(0)).alias("read")).withColumn("one", F.lit(1)), "one").drop("one")
