@@ -175,10 +175,13 @@ def constraint_error(question: Column, company: Column, aliases: Column, issuers
     return F.when(F.coalesce(outside, F.lit(False)), "OUT_OF_DOCUMENT_PERIOD").when(F.coalesce(foreign, F.lit(False)), "WRONG_DOCUMENT")
 
 
-def label_error(question: Column, chosen: Column, labels: Column) -> Column:
-    """Why the chosen item isn't the one asked for (no_label, none_named, other_item, part_of_item), else null."""
+def label_error(question: Column, chosen: Column, labels: Column, keys: Column | None = None) -> Column:
+    """Why the chosen item isn't the one asked for (no_label, none_named, other_item, part_of_item), else null.
+
+    keys: the labels' label_key() where they are at hand, so they aren't made for each question.
+    """
     q, c = label_key(expand_question(question)), label_key(chosen)
-    named = F.filter(F.transform(labels, label_key), lambda k: (F.length(k) >= 2) & F.call_function("contains", q, k))
+    named = F.filter(F.transform(labels, label_key) if keys is None else keys, lambda k: (F.length(k) >= 2) & F.call_function("contains", q, k))
     return (
         F.when(_blank(chosen), "no_label").when(F.size(named) == 0, "none_named").when(~F.array_contains(named, c), "other_item")
         .when(F.exists(named, lambda k: (k != c) & F.call_function("contains", k, c)), "part_of_item")

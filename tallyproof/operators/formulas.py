@@ -104,10 +104,17 @@ def evaluate(operands: DataFrame, key: list[str], unit: str = "unit") -> DataFra
     """Outcomes of many formulas at once. operands: (key…, formula_id, name, value, unit), value null if missing.
 
     Operands that a formula doesn't need are ignored; an unknown formula_id gives
-    FORMULA_NOT_FOUND. One aggregation by key and formula; the registry is eight rows.
+    FORMULA_NOT_FOUND. A name that comes more than once counts once where its values agree (nulls
+    aside), else the outcome's error is CONFLICTING_OPERANDS and it counts as missing; rows without
+    a name only say that the formula is asked for. Aggregated by name, then by key and formula; the
+    registry is eight rows.
     """
     spark = operands.sparkSession
-    grouped = operands.groupBy(*key, "formula_id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.col("value").cast("decimal(28,8)").alias("v")))).alias("m"), F.first(unit, ignorenulls=True).alias("unit"))
+    value = F.col("value").cast("decimal(28,8)")
+    named = operands.groupBy(*key, "formula_id", "name").agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.min(unit).alias("u"))
+    entry = F.when(F.col("name").isNotNull(), F.struct("name", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("v")))
+    conflict = F.coalesce(F.bool_or(F.col("name").isNotNull() & (F.col("lo") < F.col("hi"))), F.lit(False))
+    grouped = named.groupBy(*key, "formula_id").agg(F.map_from_entries(F.collect_list(entry)).alias("m"), F.min("u").alias("unit"), conflict.alias("conflict"))
     known = grouped.join(F.broadcast(registry(spark).withColumnsRenamed({"lhs": "left_name", "rhs": "terms"})), "formula_id", "left")
     at = lambda n: F.try_element_at(F.col("m"), F.lit(n) if isinstance(n, str) else n)
     terms = F.transform("terms", lambda r: F.struct(r["name"].alias("name"), at(r["name"]).alias("value"), r["sign"].alias("sign")))
@@ -127,5 +134,5 @@ def evaluate(operands: DataFrame, key: list[str], unit: str = "unit") -> DataFra
         F.when(whole, pick(margin["lhs"], fx["lhs"], at("本期值"), identity["lhs"])).alias("lhs"), F.when(whole, pick(none, fx["rhs"], at("上期值"), identity["rhs"])).alias("rhs"),
         F.when(whole, pick(none, fx["diff"], change["change"], identity["diff"])).alias("diff"), pick(F.lit("0.01"), fx["tolerance"], F.lit(YOY_THRESHOLD), tol).alias("tolerance"),
         "missing", F.when(F.col("verdict") == FAIL, identity["suspects"]).otherwise(F.array().cast("array<string>")).alias("suspects"),
-        F.when(F.col("name").isNull(), "FORMULA_NOT_FOUND").when(F.size("missing") > 0, "MISSING_OPERANDS").alias("error"), F.col("m").alias("operands"),
+        F.when(F.col("name").isNull(), "FORMULA_NOT_FOUND").when(F.col("conflict"), "CONFLICTING_OPERANDS").when(F.size("missing") > 0, "MISSING_OPERANDS").alias("error"), F.col("m").alias("operands"),
     )

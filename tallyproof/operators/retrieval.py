@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.amounts import parse_amounts, to_decimal
 from ..functions.rewrite import expand_question
 from ..functions.text import is_number_token, normalize_text, tokenize
+from .embedding import Embedder, dense_top_k, embed
 
 STRONG = ("label", "lexical", "numeric")
 CHANNELS = ("label", "lexical", "numeric", "vector")
@@ -96,12 +97,13 @@ def label_channel(questions: DataFrame, chunks: DataFrame, limit: int) -> DataFr
 
     Labels are matched once per document and distinct label; the chunks follow by equi-join.
     """
-    labels = chunks.select("doc_id", normalize_text("label").alias("key")).where("key <> ''").distinct()
+    form = F.col("label_form") if "label_form" in chunks.columns else normalize_text("label")  # an index keeps it
+    labels = chunks.select("doc_id", form.alias("key")).where("key <> ''").distinct()
     asked = questions.select("question_id", "doc_id", normalize_text(expand_question("question")).alias("q")).where("q <> ''")
     same = F.col("key") == F.col("q")
     inside = (F.length("key") >= 2) & F.call_function("contains", F.col("q"), F.col("key"))
     named = asked.join(labels, "doc_id").where(same | inside).select("question_id", "doc_id", "key", F.when(same, 0).otherwise(1).alias("tier"))
-    hits = named.join(chunks.select("doc_id", "chunk_id", "page", normalize_text("label").alias("key")), ["doc_id", "key"])
+    hits = named.join(chunks.select("doc_id", "chunk_id", "page", form.alias("key")), ["doc_id", "key"])
     size = F.when(F.col("tier") == 1, -F.length("key")).otherwise(0)
     return ranked(hits, "label", limit, F.col("tier"), size, F.col("page"), F.col("chunk_id"))
 
@@ -142,18 +144,26 @@ def fuse(hits: DataFrame, k: int = RRF_K, channels: tuple[str, ...] = CHANNELS,
     return out.select(by, "chunk_id", score.alias("score"), via.alias("via"), ranks.alias("ranks"), strong.alias("strong"))
 
 
-def retrieve(questions: DataFrame, index: dict[str, DataFrame], top_k: int = 5, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
+def dense_channel(questions: DataFrame, vectors: DataFrame, embedder: Embedder, limit: int) -> DataFrame:
+    """The vector channel with an embedder of the caller's: vectors are embed(chunks, "text", embedder)."""
+    asked = embed(questions.select("question_id", "doc_id", expand_question("question").alias("asked")), "asked", embedder)
+    hits = dense_top_k(asked.select("question_id", "doc_id", "vec"), vectors.select("doc_id", F.col("chunk_id").alias("unit"), "vec"), limit)
+    return hits.select("question_id", F.col("unit").alias("chunk_id"), F.lit("vector").alias("channel"), "rank")
+
+
+def retrieve(questions: DataFrame, index: dict[str, DataFrame], top_k: int = 5, channels: tuple[str, ...] = CHANNELS, embedder: Embedder | None = None) -> DataFrame:
     """questions (question_id, doc_id, question) -> hits: question_id, chunk_id, score, via, ranks, rank.
 
     Every channel gives 3 * top_k; a candidate stays only if a strong channel found it.
-    index: chunks, numbers and postings tables, see sources.index_store.
+    index: chunks, numbers and postings tables, see sources.index_store; with an embedder, also
+    dense: embed(chunks, "text", embedder), which the vector channel then uses.
     """
     limit = 3 * top_k
     made = {
         "label": lambda: label_channel(questions, index["chunks"], limit),
         "lexical": lambda: lexical_channel(questions, index["postings"], limit),
         "numeric": lambda: numeric_channel(questions, index["numbers"], limit),
-        "vector": lambda: vector_channel(questions, index["postings"], limit, index.get("vectors")),
+        "vector": lambda: vector_channel(questions, index["postings"], limit, index.get("vectors")) if embedder is None else dense_channel(questions, index["dense"], embedder, limit),
     }
     parts = [made[c]() for c in channels]
     hits = parts[0]

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.amounts import to_decimal
 from ..functions.lexicon import OTHER_ISSUERS
 from ..functions.rewrite import check_formula, difference_operands, longest_ambiguous, question_scope, route
-from ..functions.text import company_aliases, fragment, question_error
+from ..functions.text import company_aliases, fragment, label_key, question_error
 from ..operators import evidence, formulas, retrieval
+from ..session import cut
 
 #: Most steps, tool calls and questions to a model in a run.
 BUDGETS = {"steps": 12, "tool_calls": 10}
@@ -30,11 +31,11 @@ GRAPH = {
 
 def prepare(questions: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """questions with their document's facts, scope, operands, route and every refusal that needs no retrieval."""
-    labels = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    labels = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_set("label")).alias("labels")).withColumn("label_keys", F.array_distinct(F.transform("labels", label_key)))
     q = questions.withColumn("question", F.trim("question"))
     if "period" not in q.columns:
         q = q.withColumn("period", F.lit("current"))
-    q = q.join(documents, "doc_id", "left").join(labels, "doc_id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
+    q = q.join(documents, "doc_id", "left").join(labels, "doc_id", "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("labels", "label_keys")})
     q = q.withColumn("scope", question_scope("question")).withColumn("operands", difference_operands(F.col("question"), F.col("labels")))
     q = q.withColumn("route", route(F.col("question"), F.col("operands"))).withColumn("formula_id", F.when(F.col("route") == "VERIFY", check_formula("question")))
     q = q.withColumn("input_error", question_error("question"))
@@ -60,25 +61,41 @@ def row_evidence(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def lookup(prepared: DataFrame, index: dict[str, DataFrame], top_k: int = 5, boxes: DataFrame | None = None) -> DataFrame:
+#: What the routes ask of rows: whose, for what (a candidate's rank, an operand's name, a side), and which row.
+WANTED = ("route", "question_id", "ord", "name", "formula_id", "unit", "doc_id", "label", "scope", "period")
+
+
+def wanted_rows(prepared: DataFrame, index: dict[str, DataFrame], top_k: int = 5) -> DataFrame:
+    """The rows that all questions need, whatever their route, in one table of the columns WANTED."""
+    open_ = prepared.where("guard IS NULL AND input_error IS NULL")
+    asked = open_.where("route = 'LOOKUP'")
+    hits = retrieval.retrieve(asked.select("question_id", "doc_id", "question"), index, top_k)
+    cand = hits.select("question_id", "chunk_id", F.col("rank").alias("ord")).join(index["chunks"].select("chunk_id", "label"), "chunk_id").join(asked.select("question_id", "doc_id", "scope", "period", "route", "formula_id", "unit"), "question_id")
+    need = formulas.registry(prepared.sparkSession).select("formula_id", F.explode("required").alias("name"))
+    operands = open_.where("route = 'VERIFY'").join(F.broadcast(need), "formula_id").withColumn("label", F.col("name")).withColumn("ord", F.lit(0))
+    sides = open_.where("route = 'DIFF'").select("*", F.posexplode("operands").alias("ord", "o")).withColumns({"label": F.col("o.label"), "scope": F.col("o.scope")})
+    none = F.lit(None).cast("string")
+    return cand.withColumn("name", none).select(*WANTED).unionByName(operands.select(*WANTED)).unionByName(sides.withColumn("name", none).select(*WANTED))
+
+
+def lookup(prepared: DataFrame, rows: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
     """LOOKUP questions -> question_id, error, evidence columns, span verdict, rank of the candidate used.
 
+    rows: row_evidence() of wanted_rows().
+
     boxes: (question_id, same_row, row_box) where a page geometry is at hand; a row that
     isn't verified leaves the answer without a box, as a missing geometry does.
     """
     asked = prepared.where("route = 'LOOKUP' AND guard IS NULL AND input_error IS NULL")
-    hits = retrieval.retrieve(asked.select("question_id", "doc_id", "question"), index, top_k)
-    chunks = index["chunks"]
-    cand = hits.select("question_id", "chunk_id", "rank").join(chunks.select("chunk_id", "label"), "chunk_id").join(asked.select("question_id", "doc_id", "scope", "period"), "question_id")
-    found = row_evidence(cand.select("question_id", "rank", "doc_id", "label", "scope", "period"), chunks)
+    found = rows.where("route = 'LOOKUP'").withColumnRenamed("ord", "rank")
     # The first candidate's scope error is final; else the first usable candidate counts.
     usable = F.when(F.col("error").isNull() | ((F.col("error") == "AMBIGUOUS_SCOPE") & (F.col("rank") == 1)), F.col("rank"))
     pack = F.struct("rank", "error", "printed", "value", "raw", "page", "row_scope", "chunk_text", "fragment")
     best = found.groupBy("question_id").agg(F.coalesce(F.min_by(pack, usable), F.max_by(pack, F.col("rank"))).alias("e"), F.max("rank").alias("tried"), F.min(usable).alias("used"))
-    out = asked.select("question_id", "question", "labels", "unit").join(best, "question_id", "left")
+    out = asked.select("question_id", "question", "labels", "label_keys", "unit").join(best, "question_id", "left")
     # Values and text come from one row, so the proof is of the printed number itself.
     span = F.when(F.col("e.error").isNull() & F.col("e").isNotNull(), evidence.verify_evidence(F.col("e.fragment"), F.col("e.chunk_text"), F.col("e.value"), F.lit(None).cast("string")))
-    out = out.withColumn("span", span).withColumn("label_error", evidence.label_error(F.col("question"), F.col("e.printed"), F.col("labels")))
+    out = out.withColumn("span", span).withColumn("label_error", evidence.label_error(F.col("question"), F.col("e.printed"), F.col("labels"), F.col("label_keys")))
     error = (
         F.when(F.col("e").isNull(), "NO_RECALL").when(F.col("e.error").isNotNull(), F.col("e.error")).when(~F.col("span.accepted"), F.coalesce("span.reason", F.lit("SPAN_REJECTED")))
         .when(F.col("label_error").isNotNull(), "LABEL_MISMATCH")
@@ -90,12 +107,9 @@ def lookup(prepared: DataFrame, index: dict[str, DataFrame], top_k: int = 5, box
     return out.join(boxes.select("question_id", F.when(F.col("same_row"), F.col("row_box")).alias("row_box")), "question_id", "left")
 
 
-def verify(prepared: DataFrame, chunks: DataFrame) -> DataFrame:
+def verify(rows: DataFrame) -> DataFrame:
     """VERIFY questions -> question_id, error, outcome columns, operands, pages."""
-    asked = prepared.where("route = 'VERIFY' AND guard IS NULL AND input_error IS NULL")
-    need = formulas.registry(prepared.sparkSession).select("formula_id", F.explode("required").alias("name"))
-    wanted = asked.select("question_id", "doc_id", "scope", "period", "formula_id", "unit").join(F.broadcast(need), "formula_id").withColumn("label", F.col("name"))
-    found = row_evidence(wanted, chunks)
+    found = rows.where("route = 'VERIFY'")
     outcome = formulas.evaluate(found, ["question_id"]).drop("error")
     scope_error = F.max(F.when(F.col("error").isin("AMBIGUOUS_SCOPE", "SCOPE_NOT_AVAILABLE"), F.col("error"))).alias("scope_error")
     side = found.groupBy("question_id").agg(scope_error, F.array_sort(F.collect_set(F.when(F.col("value").isNotNull(), F.col("page")))).alias("pages"))
@@ -104,11 +118,9 @@ def verify(prepared: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.select("question_id", error.alias("error"), "verdict", "lhs", "rhs", "diff", "tolerance", "missing", "suspects", F.col("operands"), "pages", F.lit(3).alias("tool_calls"))
 
 
-def difference(prepared: DataFrame, chunks: DataFrame) -> DataFrame:
+def difference(rows: DataFrame) -> DataFrame:
     """DIFF questions -> question_id, error, indicator, value = |a - b|, pages."""
-    asked = prepared.where("route = 'DIFF' AND guard IS NULL AND input_error IS NULL")
-    wanted = asked.select("question_id", "doc_id", "period", F.posexplode("operands").alias("side", "o")).select("question_id", "side", "doc_id", "period", F.col("o.label").alias("label"), F.col("o.scope").alias("scope"))
-    found = row_evidence(wanted, chunks)
+    found = rows.where("route = 'DIFF'").withColumnRenamed("ord", "side")
     at = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
     shown = F.when(F.col("scope").isNotNull(), F.concat(F.col("printed"), F.lit("（"), F.col("scope"), F.lit("）"))).otherwise(F.col("printed"))
     out = found.withColumn("shown", shown).groupBy("question_id").agg(
@@ -122,8 +134,10 @@ def difference(prepared: DataFrame, chunks: DataFrame) -> DataFrame:
 def answer(questions: DataFrame, documents: DataFrame, index: dict[str, DataFrame], top_k: int = 5, budgets: dict[str, int] = BUDGETS, boxes: DataFrame | None = None) -> DataFrame:
     """One row per question: route, decision (ANSWER, REFUSE, ABORT, or null on an input error), reason, the six-tuple and the outcome."""
     chunks = index["chunks"]
-    prepared = prepare(questions, documents, chunks)
-    a, b, c = lookup(prepared, index, top_k, boxes), verify(prepared, chunks), difference(prepared, chunks)
+    # Questions, the rows they want and what these hold are computed once each; plans stay small.
+    prepared = cut(prepare(questions, documents, chunks))
+    rows = cut(row_evidence(cut(wanted_rows(prepared, index, top_k)), chunks))
+    a, b, c = lookup(prepared, rows, boxes), verify(rows), difference(rows)
     common = lambda df, *more: df.select("question_id", F.col("error"), F.col("pages"), "tool_calls", *more)
     merged = common(a, "indicator", "value", "row_scope", "fragment", "span_mode", "row_box").unionByName(common(c, "indicator", "value"), allowMissingColumns=True)
     merged = merged.unionByName(common(b, "verdict", "lhs", "rhs", F.col("diff"), "tolerance", "missing", "suspects", "operands"), allowMissingColumns=True)

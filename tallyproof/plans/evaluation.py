@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.amounts import to_decimal
 from ..functions.text import normalize_text
 from ..operators.evidence import containing
+from ..session import cut
 
 # What a bank's items may say.
 TYPES, OUTCOMES, SCOPES, VERDICTS, LEVELS = ("L1", "L2", "L3", "R"), ("ANSWER", "REFUSE"), ("合并", "母公司", "跨口径", "不适用"), ("PASS", "WARN", "FAIL"), ("easy", "medium", "hard")
@@ -138,7 +139,7 @@ def nearest_rank_by(df: DataFrame, by: list[str], value: str, ps: dict[str, floa
     rows = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).select(*by, v.alias("v"))
     ends = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     names = F.explode(F.array(*[F.struct(F.lit(k).alias("p"), F.bround((F.col("n") - 1) * F.lit(p)).cast("bigint").alias("left")) for k, p in ps.items()]))
-    asked = _cut(ends.withColumn("a", names).select(*by, "a.p", "a.left", "lo", "hi"))
+    asked = cut(ends.withColumn("a", names).select(*by, "a.p", "a.left", "lo", "hi"))
     while asked.where("lo < hi").limit(1).count():
         open_ = asked.where("lo < hi").select(*[F.col(c).alias(f"of_{c}") for c in by], "p", "left", "lo", "hi")
         same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by], F.lit(True))
@@ -150,16 +151,11 @@ def nearest_rank_by(df: DataFrame, by: list[str], value: str, ps: dict[str, floa
         upto = F.sum("n").over(Window.partitionBy(*by, "p").orderBy("part"))  # at most `ranges` rows
         found = counts.withColumn("upto", upto).where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("n") <= F.col("left")))
         found = found.select(*by, "p", (F.col("left") - F.col("upto") + F.col("n")).alias("left"), "lo", "hi")
-        asked = _cut(asked.where("lo >= hi").unionByName(found))
+        asked = cut(asked.where("lo >= hi").unionByName(found))
     exact = F.col("lo") if digits is None else F.round("lo", digits)
     return asked.groupBy(*by).agg(*[F.max(F.when(F.col("p") == k, exact)).alias(k) for k in ps])
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The rows written in the checkpoint folder where there is one, else kept by Spark: they are read several times."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def usage_per_question(calls: DataFrame, run: str = "run_id", order: str = "ord") -> DataFrame:
     """Counters that add up over a run to per-question tokens; calls without a run column are of one run."""
     calls = calls if run in calls.columns else calls.withColumn(run, F.lit(0))

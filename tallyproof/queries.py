@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import amounts, lattice, rewrite, text
-from .operators import evidence, formulas, geometry, pruned, retrieval, tables
+from .operators import embedding, evidence, formulas, geometry, pruned, retrieval, tables
 from .plans import answer, evaluation, tools
 from .sources import bank, index_store, trace
 
@@ -266,9 +266,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id
 def q17_dense_cosine(spark, sf_dir):
     (e,) = read(spark, sf_dir, "embeddings")
     asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), "label", F.col("embedding").alias("vec"))
-    scored = retrieval.dense_cosine(asked, e.select(F.col("vec_id").alias("unit"), "label", F.col("embedding").alias("vec")), "label").withColumn("score", F.round("score", 6))
-    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "unit"))
-    return scored.withColumn("rank", rank).where("rank <= 10").select(F.col("question_id").alias("q_id"), F.col("unit").alias("vec_id"), "score", "rank")
+    best = embedding.dense_top_k(asked, e.select(F.col("vec_id").alias("unit"), "label", F.col("embedding").alias("vec")), 10, "label")
+    return best.select(F.col("question_id").alias("q_id"), F.col("unit").alias("vec_id"), "score", "rank")
 
 
 _HITS = """h(channel, q, c, rank) AS (
@@ -619,7 +618,7 @@ def q41_answer(spark, sf_dir):
     docs = _reports(spark, sf_dir)
     facts = tables.issuer(docs).join(tables.declared_unit(docs.withColumn("priority", F.lit(0))), "doc_id").select("doc_id", "company", "unit", F.array(F.lit(2023), F.lit(2024)).alias("years"))
     asked = docs.select("doc_id", F.posexplode(F.array(*map(F.lit, _ASK))).alias("k", "question")).select(F.concat("doc_id", F.lit("-"), "k").alias("question_id"), "doc_id", "question")
-    out = answer.answer(asked, facts, index_store.build(tables.build_chunks(docs)))
+    out = answer.answer(asked, facts, index_store.build(tables.build_chunks(docs), hold=True))
     return out.select("question_id", "decision", F.coalesce("reason", F.lit("-")).alias("reason"), F.col("value").cast("double").alias("value"), F.coalesce("period", F.lit("-")).alias("period"))
 
 
@@ -706,3 +705,19 @@ def q49_pruned_top_k(spark, sf_dir):
     asked = asked.select(F.get("k", (F.col("item_id") % F.size("k")).cast("int")).alias("doc_id"), F.col("item_id").alias("question_id"), "token").persist()  # read at each step
     out = pruned.top_k(asked, index, 5)
     return out.join(asked.select("question_id", "doc_id").distinct(), "question_id").select(F.col("question_id").alias("item_id"), F.col("doc_id").alias("key"), F.col("chunk_id").alias("unit"), "score", "rank")
+
+
+@query(r"""
+WITH p AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS token FROM documents), n AS (SELECT count(DISTINCT doc_id) AS n FROM p), v AS (SELECT token, ln((n + 1.0::DOUBLE) / (count(*) + 1)) + 1 AS idf FROM p, n GROUP BY token, n),
+t AS (SELECT item_id, token, count(*) * any_value(idf) AS w FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS token FROM benchmark) JOIN v USING (token) GROUP BY 1, 2), l AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM t GROUP BY 1),
+s AS (SELECT a.item_id, b.item_id AS other, round(sum(a.w / x.norm * b.w / y.norm), 6) AS score FROM t a JOIN t b ON a.token = b.token AND a.item_id % 2 = 0 AND b.item_id % 2 = 1 JOIN l x ON x.item_id = a.item_id JOIN l y ON y.item_id = b.item_id GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, other) AS rank FROM s) SELECT item_id, other, score, rank FROM r WHERE rank <= 3""")
+def q50_fitted_tfidf(spark, sf_dir):
+    """A vocabulary fitted on documents ranks benchmark texts, which it hasn't seen, by each other."""
+    bench, docs = read(spark, sf_dir, "benchmark", "documents")
+    words = lambda c: F.regexp_extract_all(c, F.lit("([A-Za-z]+)"), F.lit(1))
+    model = embedding.fit_tfidf(docs, "doc_id", words("text"))
+    w = model.weights(bench, words("text"), "item_id")
+    scored = embedding.sparse_scores(w.where("item_id % 2 = 0").withColumnRenamed("item_id", "question_id"), w.where("item_id % 2 = 1").withColumnRenamed("item_id", "unit")).withColumn("score", F.round("score", 6))
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "unit"))
+    return scored.withColumn("rank", rank).where("rank <= 3").select(F.col("question_id").alias("item_id"), F.col("unit").alias("other"), "score", "rank")

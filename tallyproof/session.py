@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(name: str = "tallyproof", **conf: str) -> SparkSession:
@@ -17,3 +17,11 @@ def get_session(name: str = "tallyproof", **conf: str) -> SparkSession:
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once, for what reads it several times: written to the checkpoint folder where there is one, else kept by Spark.
+
+    What is read from it has a short plan of its own, and outlives executors.
+    """
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_text
 from ..operators.retrieval import chunk_postings, numbers, tfidf
+from ..session import cut
 
 TABLES = ("chunks", "numbers", "postings", "vectors", "meta")
 
 
-def build(chunks: DataFrame) -> dict[str, DataFrame]:
-    """All index tables of a chunk table."""
-    posts = chunk_postings(chunks)
+def build(chunks: DataFrame, hold: bool = False) -> dict[str, DataFrame]:
+    """All index tables of a chunk table; hold: each computed once, for an index that is used before it is written."""
+    keep = cut if hold else lambda df: df
+    chunks = keep(chunks.withColumn("label_form", normalize_text("label")))
+    posts = keep(chunk_postings(chunks))
     counts = chunks.groupBy("scope").agg(F.count("*").alias("n")).select(F.concat(F.lit("chunks."), F.coalesce("scope", F.lit("none"))).alias("key"), F.col("n").cast("string").alias("value"))
-    return {"chunks": chunks, "numbers": numbers(chunks), "postings": posts, "vectors": tfidf(posts), "meta": counts}
+    return {"chunks": chunks, "numbers": keep(numbers(chunks)), "postings": posts, "vectors": keep(tfidf(posts)), "meta": counts}
 
 
 #: Chunks in a bucket, by default: some tens of MB of text.

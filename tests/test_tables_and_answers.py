@@ -384,3 +384,12 @@ def test_range_join_makes_no_pairs_of_far_boxes(spark):
     got.collect()
     made = [int(x.replace(",", "")) for x in re.findall(r"number of output rows: ([0-9,]+)", str(got._jdf.queryExecution().executedPlan().toString()))]
     assert not made or max(made) < 10 * n
+
+
+def test_repeated_and_nameless_operands_are_no_crash(spark):
+    rows = [("same", "F4", "营业收入", "10.00"), ("same", "F4", "营业收入", "10.00"), ("same", "F4", "营业成本", "4.00"), ("two", "F4", "营业收入", "10.00"), ("two", "F4", "营业收入", "11.00"), ("two", "F4", "营业成本", "4.00"),
+        ("half", "F4", "营业收入", None), ("half", "F4", "营业收入", "10.00"), ("half", "F4", "营业成本", "4.00"), ("none", "F4", None, "1.00"), ("none", "F4", None, "2.00"), ("odd", "F99", "营业收入", "1.00")]
+    asked = spark.createDataFrame(rows, "k string, formula_id string, name string, value string").withColumn("value", F.col("value").cast("decimal(28,8)")).withColumn("unit", F.lit("元"))
+    got = {r.k: r for r in formulas.evaluate(asked, ["k"]).collect()}
+    assert {k: r.error for k, r in got.items()} == {"same": None, "two": "CONFLICTING_OPERANDS", "half": None, "none": "MISSING_OPERANDS", "odd": "FORMULA_NOT_FOUND"}
+    assert got["same"].lhs == got["half"].lhs and got["two"].missing == ["营业收入"] and got["none"].missing == ["营业收入", "营业成本"]
