@@ -112,9 +112,15 @@ def question_tokens(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", "doc_id", F.explode(tokenize(expand_question("question"))).alias("token"))
 
 
-def lexical_channel(questions: DataFrame, posts: DataFrame, limit: int) -> DataFrame:
+def lexical_channel(questions: DataFrame, posts: DataFrame, limit: int, index: dict[str, DataFrame] | None = None) -> DataFrame:
+    """index: one with impacts, terms and blocks, which is then searched instead of the postings (see pruned); ranks agree to 6 decimals of a score."""
     asked = question_tokens(questions).where(~is_number_token(F.col("token")))
-    return ranked(bm25(asked, posts), "lexical", limit, F.desc("score"), F.col("chunk_id"))
+    if index and "blocks" in index:
+        from .pruned import top_k
+
+        return top_k(asked, index, limit).select("question_id", "chunk_id", F.lit("lexical").alias("channel"), "rank")
+    # Rounded, so that the order in which parts were added decides no tie.
+    return ranked(bm25(asked, posts), "lexical", limit, F.desc(F.round("score", 6)), F.col("chunk_id"))
 
 
 def numeric_channel(questions: DataFrame, number: DataFrame, limit: int) -> DataFrame:
@@ -161,7 +167,7 @@ def retrieve(questions: DataFrame, index: dict[str, DataFrame], top_k: int = 5,
     limit = 3 * top_k
     made = {
         "label": lambda: label_channel(questions, index["chunks"], limit),
-        "lexical": lambda: lexical_channel(questions, index["postings"], limit),
+        "lexical": lambda: lexical_channel(questions, index["postings"], limit, index),
         "numeric": lambda: numeric_channel(questions, index["numbers"], limit),
         "vector": lambda: vector_channel(questions, index["postings"], limit, index.get("vectors")) if embedder is None else dense_channel(questions, index["dense"], embedder, limit),
     }

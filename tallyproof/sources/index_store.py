@@ -6,25 +6,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
+from ..operators.pruned import impacts_of, index_of
 from ..operators.retrieval import chunk_postings, numbers, tfidf
 from ..session import cut
 
 TABLES = ("chunks", "numbers", "postings", "vectors", "meta")
+#: Tables of a pruned lexical search, which an index has if it was built so.
+PRUNED = ("impacts", "terms", "blocks")
 
 
-def build(chunks: DataFrame, hold: bool = False) -> dict[str, DataFrame]:
-    """All index tables of a chunk table; hold: each computed once, for an index that is used before it is written."""
+def build(chunks: DataFrame, hold: bool = False, pruned: bool = False) -> dict[str, DataFrame]:
+    """All index tables of a chunk table; hold: each computed once, for an index that is used before it is written.
+
+    pruned: with impacts (lengths and frequencies in them), terms and blocks, from which the
+    lexical channel takes its best chunks without reading whole posting lists.
+    """
     keep = cut if hold else lambda df: df
     chunks = keep(chunks.withColumn("label_form", normalize_text("label")))
     posts = keep(chunk_postings(chunks))
     counts = chunks.groupBy("scope").agg(F.count("*").alias("n")).select(F.concat(F.lit("chunks."), F.coalesce("scope", F.lit("none"))).alias("key"), F.col("n").cast("string").alias("value"))
-    return {"chunks": chunks, "numbers": keep(numbers(chunks)), "postings": posts, "vectors": keep(tfidf(posts)), "meta": counts}
+    index = {"chunks": chunks, "numbers": keep(numbers(chunks)), "postings": posts, "vectors": keep(tfidf(posts)), "meta": counts}
+    if pruned:
+        index["impacts"] = keep(impacts_of(posts))
+        index |= {name: keep(df) for name, df in index_of(index["impacts"]).items()}
+    return index
 
 
 #: Chunks in a bucket, by default: some tens of MB of text.
 BUCKET_CHUNKS = 200_000
 
 
+#: Chunks looked up by id are found by a filter in each file, as ids don't follow the order of rows.
+BLOOM = {"parquet.bloom.filter.enabled#chunk_id": "true", "parquet.bloom.filter.expected.ndv#chunk_id": str(BUCKET_CHUNKS)}
+
+
 def _bucket(n: int):
     return F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
 
@@ -36,10 +51,10 @@ def write(index: dict[str, DataFrame], path: str, buckets: int | None = None) ->
     beside the tables.
     """
     buckets = buckets or max(1, -(-index["chunks"].count() // BUCKET_CHUNKS))
-    keys = {"chunks": ["label", "chunk_id"], "numbers": ["value", "chunk_id"], "postings": ["token", "chunk_id"], "vectors": ["token", "chunk_id"]}
+    keys = {"chunks": ["label", "chunk_id"], "numbers": ["value", "chunk_id"], "postings": ["token", "chunk_id"], "vectors": ["token", "chunk_id"], "impacts": ["chunk_id", "token"], "terms": ["token"], "blocks": ["token", "part", "block"]}
     for name, df in index.items():
         if name in keys:
-            df.withColumn("bucket", _bucket(buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "doc_id", *keys[name]).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+            df.withColumn("bucket", _bucket(buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "doc_id", *keys[name]).write.mode("overwrite").options(**(BLOOM if "chunk_id" in df.columns else {})).partitionBy("bucket").parquet(f"{path}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
     index["chunks"].sparkSession.range(buckets, buckets + 1).write.mode("overwrite").parquet(f"{path}/layout")
@@ -47,7 +62,10 @@ def write(index: dict[str, DataFrame], path: str, buckets: int | None = None) ->
 
 def load(spark: SparkSession, path: str, documents: DataFrame | None = None) -> dict[str, DataFrame]:
     """The index's tables; with documents (doc_id) only their rows, from the buckets that hold them."""
-    found = {t: spark.read.parquet(f"{path}/{t}") for t in TABLES}
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = {f.getPath().getName() for f in fs.listStatus(root)}
+    found = {t: spark.read.parquet(f"{path}/{t}") for t in (*TABLES, *PRUNED) if t in held}
     if documents is not None:
         n = spark.read.parquet(f"{path}/layout").first()["id"]
         wanted = documents.select("doc_id").distinct().withColumn("bucket", _bucket(n))

@@ -91,3 +91,21 @@ def test_pruning_reads_less(spark):
     asked = spark.createDataFrame([(1, "d", "other"), (2, "d", "x3")], "question_id int, doc_id string, token string")
     share = pruned.share_read(asked, index, 5).first()
     assert share["postings"] > 1500 and share["read"] < share["postings"] / 3
+
+
+def test_the_lexical_channel_of_a_pruned_index(spark, tmp_path):
+    """Written, loaded for some documents, and searched: the same chunks as from postings; lookups by id have a filter to use."""
+    from tallyproof.sources import index_store
+
+    rng = random.Random(2)
+    words = ["存货", "资产", "合同负债", "净利润", "应收账款", "商誉", "毛利率"]
+    rows = [(f"d{i % 3}", f"c{i:03d}", w, None, 1, " ".join(rng.choices(words, k=4)), 0, i, ["1.00"]) for i in range(90) for w in [rng.choice(words)]]
+    chunks = spark.createDataFrame(rows, "doc_id string, chunk_id string, label string, scope string, page int, text string, table_index int, row_index int, values array<string>")
+    index_store.write(index_store.build(chunks, pruned=True), str(tmp_path / "i"), 2)
+    index = index_store.load(spark, str(tmp_path / "i"), spark.createDataFrame([("d0",), ("d1",)], "doc_id string"))
+    assert set(index_store.PRUNED) <= set(index) and index["impacts"].select("doc_id").distinct().count() == 2
+    asked = spark.createDataFrame([(f"q{i}", f"d{i % 3}", "".join(rng.sample(words, 2)) + "是多少") for i in range(12)], "question_id string, doc_id string, question string")
+    plain = lambda df: sorted((r.question_id, r.rank, r.chunk_id) for r in df.collect())
+    got = plain(retrieval.lexical_channel(asked, index["postings"], 4, index))
+    assert got == plain(retrieval.lexical_channel(asked, index["postings"], 4)) and len(got) >= 24
+    assert sorted(r.chunk_id for r in index_store.lookup(index, spark.createDataFrame([("c004",), ("c002",)], "chunk_id string")).collect()) == ["c004"]
