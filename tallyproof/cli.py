@@ -33,7 +33,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.command == "build-index":
         docs = documents.read_documents(spark, a.reports)
         chunks = tables.build_chunks(docs)
-        index_store.write(index_store.build(chunks), a.index)
+        index_store.write(index_store.build(chunks, hold=True), a.index)
         years = tables.logical_tables(tables.stitch(tables.blocks(tables.pages(docs)))).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("report_years")))).alias("years"))
         facts = tables.issuer(docs).join(tables.declared_unit(docs.withColumn("priority", F.lit(0))), "doc_id").join(years, "doc_id", "left")
         facts.write.mode("overwrite").parquet(f"{a.index}/facts")
@@ -53,7 +53,7 @@ def main(argv: list[str] | None = None) -> None:
         bank.bank_stats(items).show(100, False)
     else:
         pages = documents.chunk_pages(index_store.load(spark, a.index)["chunks"])
-        source = a.source and tables.pages(documents.read_documents(spark, a.source)).select("doc_id", "page", F.col("body").alias("text"))
+        source = a.source and documents.read_pages(spark, a.source).select("doc_id", "page", F.col("body").alias("text"))
         evaluation.gold_gates(bank.read_bank(spark, a.bank), pages, source).show(100, False)
 
 
