@@ -721,3 +721,67 @@ def q50_fitted_tfidf(spark, sf_dir):
     scored = embedding.sparse_scores(w.where("item_id % 2 = 0").withColumnRenamed("item_id", "question_id"), w.where("item_id % 2 = 1").withColumnRenamed("item_id", "unit")).withColumn("score", F.round("score", 6))
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "unit"))
     return scored.withColumn("rank", rank).where("rank <= 3").select(F.col("question_id").alias("item_id"), F.col("unit").alias("other"), "score", "rank")
+
+
+@query("""
+SELECT p_brand AS doc_id, 'part-' || p_partkey AS label, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INTEGER AS row_index, p_retailprice::DECIMAL(18,2)::VARCHAR AS value, p_size || '.00' AS before,
+  'part-' || p_partkey || ' | ' || p_retailprice::DECIMAL(18,2) || ' | ' || p_size || '.00' AS text FROM part""")
+def q51_html_tables(spark, sf_dir):
+    """A report of a brand as one HTML table of its parts."""
+    (part,) = read(spark, sf_dir, "part")
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), cell(F.concat(F.lit("<b>part-"), "p_partkey", F.lit("</b>"))), cell(F.lit("1")), cell(money("p_retailprice").cast("string")), cell(F.concat("p_size", F.lit(".00"))), F.lit("</tr>"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("row")))), lambda r: r["row"])
+    head = "<!-- page 1 of 1 -->\n## 合并资产负债表\n<table><tr><td>项目</td><td>附注</td><td>2024年12月31日</td><td>2023年12月31日</td></tr>"
+    docs = part.groupBy(F.col("p_brand").alias("doc_id")).agg(F.concat(F.lit(head), F.array_join(rows, ""), F.lit("</table>")).alias("text"))
+    return tables.build_chunks(docs).select("doc_id", "label", "row_index", F.col("values")[0].alias("value"), F.col("values")[1].alias("before"), "text")
+
+
+@query("""
+WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, CASE WHEN value >= 20 THEN '✓' WHEN value >= 5 THEN '✗' ELSE '·' END AS mark, event_type AS node, CASE WHEN value > 50 THEN 'search' ELSE '' END AS tool,
+  props || ' of event ' || event_id || ' with a detail that is longer than the line shows' AS detail FROM events)
+SELECT user_id, string_agg(rtrim(printf('%02d %s %-12s %-20s %s', seq, mark, node, tool, substr(detail, 1, 60))), chr(10) ORDER BY seq) AS text FROM s GROUP BY 1""")
+def q52_trace_replay(spark, sf_dir):
+    """Each user's events as the steps of a run."""
+    (events,) = read(spark, sf_dir, "events")
+    detail = F.concat("props", F.lit(" of event "), "event_id", F.lit(" with a detail that is longer than the line shows"))
+    steps = events.select(
+        F.col("user_id").alias("run_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("seq"), F.when(F.col("value") >= 20, True).when(F.col("value") >= 5, False).alias("ok"), F.col("event_type").alias("node"),
+        F.when(F.col("value") > 50, "search").alias("tool"), detail.alias("detail"),
+    )
+    return trace.replay(steps).select(F.col("run_id").alias("user_id"), "text")
+
+
+@query("""
+WITH r AS (SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'REFUSE' ELSE 'ANSWER' END AS expected, o_orderkey % 7 <> 0 AS passed, CASE WHEN o_orderkey % 7 = 0 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'answered_but_should_refuse' ELSE 'wrong_value' END END AS failure,
+  CASE WHEN o_orderstatus = 'P' THEN 'ABORT' ELSE 'ANSWER' END AS decision, o_custkey % 9 AS calls, o_totalprice::DOUBLE / 100 AS ms, o_custkey % 5 * 100 AS tokens, o_orderstatus = 'F' AS recalled FROM orders), v AS (SELECT list_sort(list(ms)) AS v FROM r)
+SELECT count(*) AS total, count(*) FILTER (passed) AS passed, round(count(*) FILTER (passed) / count(*), 4) AS pass_rate, count(*) FILTER (passed AND expected = 'ANSWER') AS right_answers, count(*) FILTER (passed AND expected = 'REFUSE') AS right_refusals,
+  count(*) FILTER (failure = 'answered_but_should_refuse') AS false_answers, count(*) FILTER (decision = 'ABORT') AS aborts, round(any_value(v[round_even((len(v) - 1) * 0.5, 0)::INTEGER + 1]), 1) AS p50_ms, round(any_value(v[round_even((len(v) - 1) * 0.95, 0)::INTEGER + 1]), 1) AS p95_ms,
+  round(avg(calls), 2) AS tool_calls, round(avg(tokens) FILTER (tokens > 0), 1) AS tokens_per_billed, count(*) FILTER (recalled) AS evidence_recalled FROM r, v""")
+def q53_statistics(spark, sf_dir):
+    """The statistics block over orders as results."""
+    (orders,) = read(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    failure = F.when(k % 7 == 0, F.when(k % 4 == 0, "answered_but_should_refuse").otherwise("wrong_value"))
+    results = orders.select(
+        F.when(k % 4 == 0, "REFUSE").otherwise("ANSWER").alias("expected_outcome"), (k % 7 != 0).alias("passed"), failure.alias("failure"), F.when(F.col("o_orderstatus") == "P", "ABORT").otherwise("ANSWER").alias("decision"), (c % 9).alias("tool_calls"),
+        (F.col("o_totalprice").cast("double") / 100).alias("latency_ms"), (c % 5 * 100).alias("tokens"), (F.col("o_orderstatus") == "F").alias("evidence_recalled"),
+    )
+    return evaluation.eval_stats(results)
+
+
+@query(f"""
+WITH {_STATED}, r AS (SELECT d, i, label, cur, CASE (d + i) % 4 WHEN 3 THEN 'unknown' ELSE label END AS asked, CASE (d + i) % 4 WHEN 2 THEN 'nowhere' ELSE cur::VARCHAR END AS span, (cur + CASE WHEN (d + i) % 4 = 1 THEN 1 ELSE 0 END)::VARCHAR AS value FROM v)
+SELECT d || '-' || i AS request_id, CASE WHEN asked = 'unknown' THEN 'LABEL_NOT_FOUND' ELSE '-' END AS error, CASE WHEN asked = 'unknown' THEN '-' WHEN span = 'nowhere' THEN 'SPAN_NOT_FOUND' WHEN value <> cur::VARCHAR THEN 'VALUE_NOT_IN_SPAN' ELSE 'accepted' END AS outcome FROM r""")
+def q54_verify_span(spark, sf_dir):
+    """Claims about every item of every report: right ones, wrong values, spans that aren't there, and unknown items."""
+    chunks = tables.build_chunks(_reports(spark, sf_dir)).persist()
+    way = (F.col("doc_id").cast("int") + F.col("row_index")) % 4
+    number = F.col("values")[0]
+    asked = chunks.select(
+        F.concat("doc_id", F.lit("-"), "row_index").alias("request_id"), "doc_id", F.when(way == 3, "unknown").otherwise(F.col("label")).alias("label"), F.lit("合并").alias("scope"), F.when(way == 2, "nowhere").otherwise(number).alias("claimed_span"),
+        F.when(way == 1, (number.cast("decimal(18,2)") + 1).cast("decimal(18,2)").cast("string")).otherwise(number).alias("claimed_value"),
+    )
+    out = tools.verify_span(asked, chunks)
+    outcome = F.when(F.col("error").isNotNull(), "-").when(F.col("accepted"), "accepted").otherwise(F.col("reason"))
+    return out.select("request_id", F.coalesce("error", F.lit("-")).alias("error"), outcome.alias("outcome"))
