@@ -63,6 +63,12 @@ def mode_larger(values: Column) -> Column:
     return F.array_max(counted)["v"]
 
 
+def mode_by(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The same per group, for groups of any size: values are counted first, so no array of a group is built."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    return counts.groupBy(*by).agg(F.max(F.struct("n", value))[value].alias(value))
+
+
 def is_header(cells: Column) -> Column:
     rest = F.slice(cells, F.lit(2), F.size(cells))
     dated = F.exists(cells, lambda c: looks_like_date(c)) & ~F.exists(rest, lambda c: looks_like_amount(c))

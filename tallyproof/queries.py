@@ -372,8 +372,7 @@ def q24_carry_forward(spark, sf_dir):
 WITH n AS (SELECT l_suppkey, l_quantity::INTEGER AS q, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT l_suppkey, arg_max(q, (n, q)) AS mode FROM n GROUP BY 1""")
 def q25_mode_tie_larger(spark, sf_dir):
     (lines,) = read(spark, sf_dir, "lineitem")
-    each = lines.groupBy("l_suppkey").agg(F.collect_list(F.col("l_quantity").cast("int")).alias("q"))
-    return each.select("l_suppkey", tables.mode_larger("q").alias("mode"))
+    return tables.mode_by(lines.select("l_suppkey", F.col("l_quantity").cast("int").alias("mode")), ["l_suppkey"], "mode")
 
 
 @query(r"""
@@ -645,27 +644,32 @@ def q43_evaluate_formulas(spark, sf_dir):
     return out.select("o_orderkey", "formula_id", F.coalesce("verdict", F.lit("-")).alias("verdict"), F.coalesce("error", F.lit("-")).alias("error"), F.when(F.col("formula_id") == "F1", F.col("diff")).cast("double").alias("diff"))
 
 
-_NAMED = (("2024年存货是多少", "存货", "-"), ("2024年存货是多少", "货币资金", "other_item"), ("今天如何", "存货", "none_named"), ("存货是多少", "", "no_label"), ("流动资产合计是多少", "资产合计", "part_of_item"))
-
-
-@query(f"""WITH f(k, error) AS (VALUES {", ".join(f"({i}, '{e}')" for i, (*_, e) in enumerate(_NAMED))}) SELECT o_orderkey, error FROM orders JOIN f ON k = o_orderkey % {len(_NAMED)}""")
+@query("""
+WITH p AS (SELECT p_partkey, p_name, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN string_split(p_name, ' ')[2] WHEN 2 THEN p_type ELSE '' END AS chosen,
+  CASE WHEN p_partkey % 5 = 4 THEN 'how is ' || p_brand ELSE 'price of ' || p_name || ' in 2024' END AS question FROM part),
+k AS (SELECT *, replace(chosen, ' ', '') AS c, list_filter([a || b, a, b], lambda x: len(x) >= 2 AND contains(regexp_replace(question, '[^A-Za-z0-9]', '', 'g'), x)) AS named FROM p)
+SELECT p_partkey, CASE WHEN chosen = '' THEN 'no_label' WHEN len(named) = 0 THEN 'none_named' WHEN NOT list_contains(named, c) THEN 'other_item' WHEN len(list_filter(named, lambda x: x <> c AND contains(x, c))) > 0 THEN 'part_of_item' ELSE '-' END AS error FROM k""")
 def q44_label_error(spark, sf_dir):
-    (orders,) = read(spark, sf_dir, "orders")
-    case = F.element_at(F.array(*[F.struct(F.lit(q).alias("q"), F.lit(c).alias("c")) for q, c, _ in _NAMED]), (F.col("o_orderkey") % len(_NAMED) + 1).cast("int"))
-    labels = F.array(*map(F.lit, ("存货", "货币资金", "资产合计", "流动资产合计")))
-    asked = orders.select("o_orderkey", case.alias("x"))
-    return asked.select("o_orderkey", F.coalesce(evidence.label_error(F.col("x.q"), F.col("x.c"), labels), F.lit("-")).alias("error"))
-
-
-_LABELS = (("一、营业收入", "营业收入", "营业收入"), ("其中：利息收入", "利息收入", "其中利息收入"), ("（二）净利润（净亏损以“－”号填列）", "净利润", "二净利润"), ("加：其他收益", "其他收益", "加其他收益"), ("1. Cash (net)", "Cash (net)", "1Cash"))
+    """Parts' names, the words in them and other values, as items chosen for a question."""
+    (part,) = read(spark, sf_dir, "part")
+    word = F.split("p_name", " ")
+    k = F.col("p_partkey")
+    chosen = F.when(k % 4 == 0, F.col("p_name")).when(k % 4 == 1, word[1]).when(k % 4 == 2, F.col("p_type")).otherwise("")
+    question = F.when(k % 5 == 4, F.concat(F.lit("how is "), "p_brand")).otherwise(F.concat(F.lit("price of "), "p_name", F.lit(" in 2024")))
+    return part.select("p_partkey", F.coalesce(evidence.label_error(question, chosen, F.array(F.col("p_name"), word[0], word[1])), F.lit("-")).alias("error"))
 
 
-@query(f"""WITH f(k, clean) AS (VALUES {", ".join(f"({i}, '{c}')" for i, (_, c, _) in enumerate(_LABELS))}) SELECT p_partkey, clean, p_partkey::VARCHAR || ',00' AS cell, len(p_partkey::VARCHAR) >= 1 AS amount, FALSE AS dated FROM part JOIN f ON k = p_partkey % {len(_LABELS)}""")
+@query(r"""
+WITH o AS (SELECT o_orderkey, o_orderpriority AS clean, CASE o_orderkey % 5 WHEN 0 THEN o_totalprice::DECIMAL(18,2)::VARCHAR WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN o_custkey::VARCHAR WHEN 3 THEN o_orderpriority ELSE o_custkey || ',' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') END AS cell FROM orders)
+SELECT o_orderkey, clean, regexp_matches(cell, '^-?[0-9,]+(\.[0-9]+)?$') AND (contains(cell, ',') OR regexp_matches(cell, '\.[0-9]{2}$') OR len(cell) >= 5) AS amount, regexp_matches(cell, '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}') AS dated FROM o""")
 def q45_cells_and_labels(spark, sf_dir):
-    (part,) = read(spark, sf_dir, "part")
-    raw = F.element_at(F.array(*[F.lit(x) for x, *_ in _LABELS]), (F.col("p_partkey") % len(_LABELS) + 1).cast("int"))
-    cell = F.concat(F.col("p_partkey").cast("string"), F.lit(",00"))
-    return part.select("p_partkey", text.clean_label(raw).alias("clean"), cell.alias("cell"), text.looks_like_amount(cell).alias("amount"), text.looks_like_date(cell).alias("dated"))
+    """Prices, dates, keys and names as cells; priorities as item names behind ordinals and qualifiers."""
+    (orders,) = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    raw = F.when(k % 3 == 0, F.concat(F.col("o_custkey") % 1000, F.lit("、"), "o_orderpriority")).when(k % 3 == 1, F.concat(F.lit("其中:"), "o_orderpriority")).otherwise(F.concat(F.lit("（二）加："), "o_orderpriority"))
+    key = F.col("o_custkey").cast("string")
+    cell = F.when(k % 5 == 0, money("o_totalprice").cast("string")).when(k % 5 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k % 5 == 2, key).when(k % 5 == 3, F.col("o_orderpriority")).otherwise(F.concat(key, F.lit(","), F.lpad((k % 1000).cast("string"), 3, "0")))
+    return orders.select("o_orderkey", text.clean_label(raw).alias("clean"), text.looks_like_amount(cell).alias("amount"), text.looks_like_date(cell).alias("dated"))
 
 
 @query(r"""
