@@ -43,8 +43,13 @@ def is_known_unit(unit: Column | str) -> Column:
     return F.coalesce(F.trim(_col(unit)).isin(*DISCLOSURE_UNITS), F.lit(False))
 
 
-def _amount(raw: Column, value: Column, unit: Column) -> Column:
-    return F.struct(raw.alias("raw"), value.alias("value"), unit.alias("unit"), to_yuan(value, unit).alias("normalized"), unit.isNull().alias("unit_assumed"))
+def _read(raw: Column, value: Column, unit: Column) -> Column:
+    return F.struct(raw.alias("raw"), value.alias("value"), unit.alias("unit"))
+
+
+def _amount(a: Column) -> Column:
+    value, unit = a["value"], a["unit"]
+    return F.struct(a["raw"].alias("raw"), value.alias("value"), unit.alias("unit"), to_yuan(value, unit).alias("normalized"), unit.isNull().alias("unit_assumed"))
 
 
 def parse_amounts(c: Column | str) -> Column:
@@ -54,21 +59,22 @@ def parse_amounts(c: Column | str) -> Column:
     repeated ones too. Years and parts of dates count as amounts.
     """
     text = fold_width(F.coalesce(_col(c), F.lit("")))
-    negative = F.transform(F.regexp_extract_all(text, F.lit(f"({_PAREN})"), F.lit(1)), lambda m: _amount(m, -to_decimal(F.substring(m, F.lit(2), F.length(m) - 2)), F.lit(None).cast("string")))
+    negative = F.transform(F.regexp_extract_all(text, F.lit(f"({_PAREN})"), F.lit(1)), lambda m: _read(m, -to_decimal(F.substring(m, F.lit(2), F.length(m) - 2)), F.lit(None).cast("string")))
     rest = F.regexp_replace(text, _PAREN, " ")
 
     def plain(m: Column) -> Column:
         unit = F.regexp_extract(m, f"({_UNIT})$", 1)
-        return _amount(F.trim(m), to_decimal(F.regexp_extract(m, f"^{NUMBER}", 0)), F.when(unit != "", unit))
+        return _read(F.trim(m), to_decimal(F.regexp_extract(m, f"^{NUMBER}", 0)), F.when(unit != "", unit))
 
     positive = F.transform(F.regexp_extract_all(rest, F.lit(_PLAIN), F.lit(1)), plain)
-    return F.filter(F.concat(negative, positive), lambda a: a["value"].isNotNull())
+    # Numbers and units are read once each, then filtered, then scaled.
+    return F.transform(F.filter(F.concat(negative, positive), lambda a: a["value"].isNotNull()), _amount)
 
 
 def single_amount(c: Column | str) -> Column:
     """The amount of a text that has exactly one, else null."""
-    found = parse_amounts(c)
-    return F.when(F.size(found) == 1, F.try_element_at(found, F.lit(1)))
+    once = F.transform(F.array(parse_amounts(c)), lambda found: F.when(F.size(found) == 1, F.try_element_at(found, F.lit(1))))
+    return F.try_element_at(once, F.lit(1))
 
 
 def quantize(c: Column) -> Column:
