@@ -48,6 +48,10 @@ def main(argv: list[str] | None = None) -> None:
         for table in (evaluation.pass_rates(results), evaluation.failures(results), evaluation.eval_stats(results)):
             table.show(100, False)
     elif a.command == "check-bank":
+        bad = bank.bad_lines(spark, a.bank)
+        if not bad.isEmpty():
+            bad.show(100, False)
+            return
         items = bank.read_bank(spark, a.bank)
         evaluation.validate_bank(items).show(100, False)
         bank.bank_stats(items).show(100, False)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = (
@@ -12,12 +12,32 @@ SCHEMA = (
 )
 
 
+#: Lines that hold no item.
+_SKIPPED = r"^\s*(?:#|$)"
+
+
+def _parsed(line: Column) -> Column:
+    return F.from_json(line, f"{SCHEMA}, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+
+
 def read_bank(spark: SparkSession, path: str) -> DataFrame:
-    """Items of a bank; blank lines and lines that begin with # are skipped, a line that isn't JSON is an error."""
+    """Items of a bank; blank lines and lines that begin with # are skipped, a line that isn't JSON is an error that names its file and what it holds.
+
+    bad_lines() gives the numbers of all such lines.
+    """
     # The parser sees null for skipped lines, whatever the order in which filters are applied.
-    item = F.when(~F.col("value").rlike(r"^\s*(?:#|$)"), F.col("value"))
-    lines = spark.read.text(path).select(F.from_json(item, SCHEMA, {"mode": "FAILFAST"}).alias("i"))
-    return lines.where("i IS NOT NULL").select("i.*")
+    item = F.when(~F.col("value").rlike(_SKIPPED), F.col("value"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), _parsed(item).alias("i"))
+    problem = F.concat(F.lit("not an item of a bank: "), "file", F.lit(": "), F.substring("i.broken", 1, 80))
+    checked = F.when(F.col("i.broken").isNull(), F.col("i")).otherwise(F.raise_error(problem))
+    return lines.where("i IS NOT NULL").select(checked.alias("i")).select("i.*").drop("broken")
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text): lines of a bank that aren't JSON objects, by number from 1; each file is read as one text."""
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "text"))
+    lines = texts.where(~F.col("text").rlike(_SKIPPED)).withColumn("i", _parsed(F.col("text")))
+    return lines.where("i.broken IS NOT NULL").select("file", (F.col("at") + 1).alias("line"), "text")
 
 
 def write_bank(items: DataFrame, path: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyproof import cli
 from tallyproof.operators import tables
 from tallyproof.plans import evaluation, tools
-from tallyproof.sources import index_store
+from tallyproof.sources import bank, index_store
 from test_tables_and_answers import ITEM, REPORT
 
 
@@ -83,3 +83,14 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["gold-check", index, str(tmp_path / "bank.jsonl"), "--source", str(tmp_path / "in" / "*.md")])
     row = [x for x in capsys.readouterr().out.replace(" ", "").splitlines() if ITEM["item_id"] in x][0].split("|")
     assert row[2:6] == ["true"] * 4  # the third gate is met by the report itself
+
+
+def test_lines_of_a_bank_that_are_no_items(spark, tmp_path, capsys):
+    path = tmp_path / "bank.jsonl"
+    path.write_text("# a note\n\n" + json.dumps(ITEM) + "\n{broken\n" + json.dumps(ITEM) + "\n[1]\n")
+    bad = bank.bad_lines(spark, str(path)).collect()
+    assert [(r.line, r.text) for r in bad] == [(4, "{broken"), (6, "[1]")] and bad[0].file.endswith("bank.jsonl")
+    with pytest.raises(Exception, match=r"bank\.jsonl: (\{broken|\[1\])"):
+        bank.read_bank(spark, str(path)).collect()
+    cli.main(["check-bank", str(path)])
+    assert "{broken" in capsys.readouterr().out
