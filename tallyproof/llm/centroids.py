@@ -64,11 +64,12 @@ def nearest(x: np.ndarray, norms: np.ndarray, centroids: np.ndarray) -> tuple[np
     of = segment_norms(centroids)
     size = (norms**2).sum(1)[:, None] + (of**2).sum(1)[None, :]
     bound = size - 2 * norms @ of.T - 1e-12 * size
-    cluster = bound.argmin(1)
+    first = bound.argmin(1)
+    cluster = first.copy()
     best = ((x - centroids[cluster]) ** 2).sum(1)
     done = len(x)
     for c in range(len(centroids)):
-        rows = np.flatnonzero((cluster != c) & (bound[:, c] <= best.astype(float) * (1 + 1e-12)))
+        rows = np.flatnonzero((first != c) & (bound[:, c] <= best.astype(float) * (1 + 1e-12)))
         d = ((x[rows] - centroids[c]) ** 2).sum(1)
         better = (d < best[rows]) | ((d == best[rows]) & (c < cluster[rows]))
         best[rows[better]], cluster[rows[better]] = d[better], c
