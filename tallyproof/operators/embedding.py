@@ -89,13 +89,19 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, on: str = "doc_i
     v, q = shaped(vectors, unit), shaped(queries, query)
     blocks = v.groupBy(on, "dims").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     asked = q.groupBy(on, "dims").agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
-    plan = blocks.join(asked, [on, "dims"])  # a row a key: how many blocks meet how many groups
+    greatest = lambda df, n: df.agg(F.max(n)).first()[0] or 1
+    one = F.lit(1)
+    if greatest(blocks, "blocks") == 1 and greatest(asked, "groups") == 1:  # no key needs dealing
+        plan = None
+    else:
+        plan = blocks.join(asked, [on, "dims"])  # a row a key: how many blocks meet how many groups
+    planned = lambda df: df.withColumns({"blocks": one, "groups": one}) if plan is None else df.join(plan, [on, "dims"])
     dealt = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     gid = ["on_hash", "dims", "block", "group_no"]
     key = F.col(on).alias("on_key")
-    left = q.join(plan, [on, "dims"]).withColumn("group_no", dealt("groups", 1)).withColumn("block", every("blocks")).select(F.xxhash64(on).alias("on_hash"), key, "dims", "block", "group_no", "id", "vec")
-    right = v.join(plan, [on, "dims"]).withColumn("block", dealt("blocks", 2)).withColumn("group_no", every("groups")).select(F.xxhash64(on).alias("on_hash"), key, "dims", "block", "group_no", "id", "vec")
+    left = planned(q).withColumn("group_no", dealt("groups", 1)).withColumn("block", every("blocks")).select(F.xxhash64(on).alias("on_hash"), key, "dims", "block", "group_no", "id", "vec")
+    right = planned(v).withColumn("block", dealt("blocks", 2)).withColumn("group_no", every("groups")).select(F.xxhash64(on).alias("on_hash"), key, "dims", "block", "group_no", "id", "vec")
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         found: list[pa.Table] = []
