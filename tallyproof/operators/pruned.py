@@ -7,10 +7,12 @@ The index (by document, as everything here):
 * impacts: key, unit, token, impact: what a token adds to a unit's score, with idf and length in it
 
 A search reads in two steps. The first blocks of the question's tokens give partial scores; the
-best units by them are scored in full, and the kth of these is a score to beat. Then a token's block is read only if its greatest impact and
+best units by them are scored in full by their impacts, which are looked up by (unit, token), and the kth of
+these is a score to beat. Then a token's block is read only if its greatest impact and
 the greatest ones of the question's other tokens can reach that score, and only for tokens
-without which it can't be reached. Units met so that can still reach it are scored in full by
-their impacts, which are looked up by (unit, token). All steps are joins and aggregations over many questions at once.
+without which it can't be reached. Units met so that can still reach it are scored in full, a row
+a unit with its impacts, however many questions met it (see retrieval.best_units). All other steps are
+joins and aggregations over many questions at once.
 
 Lists of frequent tokens are dealt into parts by unit, so none is sorted in one task.
 """
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .retrieval import B, K1
+from .retrieval import B, K1, best_units
 
 #: Postings of a block, and of a part of a list at most (about).
 BLOCK = 128
@@ -31,9 +33,12 @@ FIRST = 4
 DIGITS = 6
 
 
-def impacts_of(posts: DataFrame, key: str = "doc_id", unit: str = "chunk_id") -> DataFrame:
-    """(key, unit, token, impact) of postings (key, unit, token, tf): the terms of Okapi BM25, whose idf is at least 1e-6."""
-    length = posts.groupBy(key, unit).agg(F.sum("tf").alias("dl"))
+def impacts_of(posts: DataFrame, key: str = "doc_id", unit: str = "chunk_id", length: DataFrame | None = None) -> DataFrame:
+    """(key, unit, token, impact) of postings (key, unit, token, tf): the terms of Okapi BM25, whose idf is at least 1e-6.
+
+    length: (key, unit, dl) of all units, where the postings are of some tokens only; else it is made.
+    """
+    length = posts.groupBy(key, unit).agg(F.sum("tf").alias("dl")) if length is None else length
     total = length.groupBy(key).agg(F.count("*").alias("n_units"), F.avg("dl").alias("avgdl"))
     terms = posts.groupBy(key, "token").agg(F.count("*").alias("df")).join(total, key)
     idf = F.greatest(F.log((F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
@@ -95,10 +100,12 @@ def top_k(asked: DataFrame, index: dict[str, DataFrame], k: int, key: str = "doc
     each = read.select(query, key, "most", "all", "reach", F.explode("postings").alias("p"))
     # What a unit's read postings leave open is at most the greatest impacts of the tokens it wasn't met by.
     met = each.groupBy(query, key, F.col("p.unit").alias(unit)).agg((F.sum("p.impact") - F.sum("most") + F.max("all")).alias("at_most"), F.max("reach").alias("reach"))
-    met = met.where(F.col("at_most") >= F.col("reach")).select(query, key, unit)
-    scored = _scored(met, asked.select(query, key, "token").distinct(), index, key, unit, query).withColumn("score", F.round("score", DIGITS))
-    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), unit))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    met = met.where(F.col("at_most") >= F.col("reach")).select(key, unit).distinct()
+    asked = asked.select(query, key, "token").distinct().withColumn("w", F.lit(1.0))
+    # What is scored besides, by another question's meeting, has its full score too.
+    held = index["impacts"].join(asked.select(key, "token").distinct(), [key, "token"], "left_semi").join(met, [key, unit], "left_semi")
+    rows = held.groupBy(key, unit).agg(F.array_sort(F.collect_list(F.struct("token", F.col("impact").alias("x")))).alias("parts"))
+    return best_units(asked, rows, k, key, unit, query)
 
 
 def share_read(asked: DataFrame, index: dict[str, DataFrame], k: int, key: str = "doc_id", query: str = "question_id", unit: str = "chunk_id") -> DataFrame:

@@ -109,3 +109,42 @@ def test_the_lexical_channel_of_a_pruned_index(spark, tmp_path):
     got = plain(retrieval.lexical_channel(asked, index["postings"], 4, index))
     assert got == plain(retrieval.lexical_channel(asked, index["postings"], 4)) and len(got) >= 24
     assert sorted(r.chunk_id for r in index_store.lookup(index, spark.createDataFrame([("c004",), ("c002",)], "chunk_id string")).collect()) == ["c004"]
+
+
+@pytest.mark.parametrize("cells,asked_at_once,k", [(1 << 20, 1 << 20, 3), (50, 1 << 20, 5), (300, 40, 1), (1 << 20, 1 << 20, 1000)])
+def test_best_units_equal_full_scores(spark, corpus, monkeypatch, cells, asked_at_once, k):
+    """By steps and blocks of any size: the ranks of joins over all pairs."""
+    posts, asked = corpus
+    monkeypatch.setattr(retrieval, "CELLS", cells)
+    monkeypatch.setattr(retrieval, "ASKED", asked_at_once)
+    rows = posts.groupBy("doc_id", "chunk_id").agg(F.sum("tf").alias("dl"), F.array_sort(F.collect_list(F.struct("token", "tf"))).alias("parts"))
+    rank = lambda rows: sorted(((r["question_id"], r["chunk_id"], round(r["score"], 6)) for r in rows), key=lambda r: (r[0], -r[2], r[1]))
+    full = rank(retrieval.bm25(asked, posts).withColumn("score", F.round("score", 6)).collect())
+    want = [r for i, r in enumerate(full) if sum(x[0] == r[0] for x in full[:i]) < k]
+    assert rank(retrieval.best_units(*retrieval.bm25_parts(rows, asked), k).collect()) == want
+
+
+def test_rows_of_units_and_their_cosines(spark):
+    """Rows of one unit are one text, texts without tokens are none, copies tie by id; lengths and norms count tokens that nobody asks."""
+    texts = [("d", "a", "x y y z"), ("d", "b", "x"), ("d", "b", "y q"), ("d", "c", ""), ("d", "e", None), ("d", "f", "x y y z"), (None, "g", "x"), ("e", "h", "x x")]
+    units = spark.createDataFrame(texts, "doc_id string, chunk_id string, text string")
+    words = F.regexp_extract_all("text", F.lit("([a-z]+)"), F.lit(1))
+    asked = spark.createDataFrame([(1, "d", "y", 2), (1, "d", "x", 1), (2, "e", "x", 1), (3, "e", "none", 1)], "question_id int, doc_id string, token string, tf int")
+    rows = {(r.doc_id, r.chunk_id): (r.dl, [(p.token, p.tf) for p in r.parts]) for r in retrieval.unit_rows(units, asked, words).collect()}
+    assert rows["d", "b"] == (3, [("x", 1), ("y", 1)]) and rows["d", "a"] == (4, [("x", 1), ("y", 2)]) and ("d", "c") not in rows and ("d", "e") not in rows
+    got = {(r.question_id, r.chunk_id): (round(r.score, 6), r["rank"]) for r in retrieval.best_units(*retrieval.cosine_parts(units, asked, words), 9).collect()}
+    full = {(r.question_id, r.chunk_id): round(r.score, 6) for r in retrieval.cosine(asked, retrieval.postings(units, "doc_id", "chunk_id", words)).collect()}
+    assert {k: v[0] for k, v in got.items()} == full and [got[1, c][1] for c in "afb"] == [1, 2, 3] and set(got) == {(1, "a"), (1, "b"), (1, "f"), (2, "h")}
+
+
+def test_the_index_of_q49_holds_what_is_asked(spark, monkeypatch):
+    """And its last step scores each unit once, not once a question and token."""
+    from tallyproof import queries
+
+    made, scored = [], []
+    index_of, full = pruned.index_of, pruned._scored
+    monkeypatch.setattr(pruned, "index_of", lambda impacts: made.append(impacts) or index_of(impacts))
+    monkeypatch.setattr(pruned, "_scored", lambda met, *a: scored.append(met) or full(met, *a))
+    assert queries.QUERIES["q49_pruned_top_k"](spark, "/root/testdata/sf0.001").count() > 0
+    known = {r.token for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), F.lit(1))).alias("token")).collect()}
+    assert {r.token for r in made[0].select("token").distinct().collect()} <= known and len(scored) == 1
