@@ -393,3 +393,34 @@ def test_repeated_and_nameless_operands_are_no_crash(spark):
     got = {r.k: r for r in formulas.evaluate(asked, ["k"]).collect()}
     assert {k: r.error for k, r in got.items()} == {"same": None, "two": "CONFLICTING_OPERANDS", "half": None, "none": "MISSING_OPERANDS", "odd": "FORMULA_NOT_FOUND"}
     assert got["same"].lhs == got["half"].lhs and got["two"].missing == ["营业收入"] and got["none"].missing == ["营业收入", "营业成本"]
+
+
+def _joined(df) -> int:
+    """Rows that the joins of a frame make in all, as it runs."""
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df.collect()
+
+        def rows(node) -> int:
+            own = node.metrics().get("numOutputRows").get().value() if "Join" in node.nodeName() else 0
+            children = node.children()
+            return own + sum(rows(children.apply(i)) for i in range(children.size()))
+
+        return rows(df._jdf.queryExecution().executedPlan())
+    finally:
+        df.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_numeric_channel_meets_the_first_chunks_of_a_value(spark):
+    """A value of many chunks: the first ones of all values, also where rows repeat, and no more pairs than that."""
+    from tallyproof.operators import retrieval
+
+    number = [("d", f"c{i:04d}", Decimal(v)) for i in range(600) for v in ((100, 200) if i % 2 else (200,))] * 2 + [("e", "c0", Decimal(100))]
+    number = spark.createDataFrame(number, "doc_id string, chunk_id string, value decimal(38,8)")
+    asked = spark.createDataFrame([(f"q{i}", "d", "is it 100 or 200" if i else "is it 100") for i in range(300)] + [("none", "d", "is it 7")], "question_id string, doc_id string, question string")
+    out = retrieval.numeric_channel(asked, number, 3)
+    assert _joined(out) <= 2 * 300
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.question_id, {})[r["rank"]] = r.chunk_id
+    assert got["q0"] == {1: "c0001", 2: "c0003", 3: "c0005"} and got["q7"] == {1: "c0000", 2: "c0001", 3: "c0002"} and len(got) == 300
