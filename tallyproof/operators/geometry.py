@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squash
+from ..session import cut
 
 MAX_WORDS = 12
 ROW_TOLERANCE = 1.0
@@ -96,6 +97,44 @@ def row_pairs(left: DataFrame, right: DataFrame, by: list[str], tol: float = ROW
     return l.join(r, [*by, "bin"]).where(begins & same_row(page, F.col("lbox"), page, F.col("rbox"), tol)).drop("bin")
 
 
+def nearest_in_row(left: DataFrame, right: DataFrame, by: list[str], other: str, tol: float = ROW_TOLERANCE) -> DataFrame:
+    """Rows of left (by, lbox, …) with `other` and the gap of the right box (by, rbox, other) of their row whose centre is nearest; ties: the least `other`.
+
+    Both sides are sorted by centre in bins, and each left box sees the next right centres below
+    and above it (from other bins by a row a bin). If all boxes with the nearest centre share its row, it is done:
+    work grows with the boxes, not with their pairs. Only the rest, whose nearest centre isn't of
+    their row, meets all boxes of the row, see row_pairs().
+    """
+    names = left.columns
+    kept = lambda df, c: df.where(_has_range(F.col(c))).dropna(subset=by)
+    middle = lambda c: ((F.col(c)["y0"] + F.col(c)["y1"]) / 2).alias("c")
+    edge = lambda y, c: F.col(c)[y].cast("double")
+    # Boxes with one centre: the lowest of them decides whether all share a row.
+    centres = kept(right, "rbox").groupBy(*by, middle("rbox")).agg(F.min(other).alias("other"), F.max(edge("y0", "rbox")).alias("y0"), F.min(edge("y1", "rbox")).alias("y1"))
+    r = centres.select(*by, "c", F.lit(None).cast(left.select(F.struct(*names)).dtypes[0][1]).alias("l"), F.struct("c", "other", "y0", "y1").alias("r"))
+    l = kept(left, "lbox").select(*by, middle("lbox"), F.struct(*names).alias("l"), F.lit(None).cast(r.select("r").dtypes[0][1]).alias("r"))
+    both = l.unionByName(r).withColumn("bin", F.floor(F.col("c") / tol))
+    seen = lambda order, *keys: Window.partitionBy(*keys).orderBy(order)
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    before = lambda order: seen(order, *by).rowsBetween(Window.unboundedPreceding, -1)
+    bins = both.groupBy(*by, "bin").agg(F.min("r").alias("lowest"), F.max("r").alias("highest"))
+    bins = bins.select(*by, "bin", last("highest", before(F.asc("bin"))).alias("under"), last("lowest", before(F.desc("bin"))).alias("over"))
+    at = both.withColumn("a", last("r", seen(F.asc("c"), *by, "bin"))).withColumn("b", last("r", seen(F.desc("c"), *by, "bin"))).where("l IS NOT NULL")
+    at = at.join(bins, [*by, "bin"]).withColumns({"a": F.coalesce("a", "under"), "b": F.coalesce("b", "over")}).where("a IS NOT NULL OR b IS NOT NULL")
+    gap = lambda c: F.coalesce(F.abs(F.col("c") - F.col(c)["c"]), F.lit(float("inf")))
+    at = at.withColumns({"ga": gap("a"), "gb": gap("b")}).withColumn("gap", F.least("ga", "gb"))
+    shares = lambda c: ~((F.col("l.lbox.y1") + tol < F.col(c)["y0"]) | (F.col(c)["y1"] + tol < F.col("l.lbox.y0")))
+    ok = lambda c, g: (F.col(g) > F.col("gap")) | shares(c)
+    at = at.withColumn("done", ok("a", "ga") & ok("b", "gb"))
+    mine = lambda c, g: F.when(F.col(g) == F.col("gap"), F.col(c)["other"])
+    done = at.where("done").select("l.*", F.least(mine("a", "ga"), mine("b", "gb")).alias(other), "gap")
+    rest = cut(at.where("NOT done").select("l.*"))
+    met = row_pairs(rest.withColumn("row", F.monotonically_increasing_id()), right.select(*by, "rbox", other), by, tol)
+    page = F.lit(1)
+    best = met.withColumn("gap", vertical_distance(page, F.col("lbox"), page, F.col("rbox"))).groupBy("row").agg(F.min_by(F.struct(*names, other, "gap"), F.struct("gap", other)).alias("m"))
+    return done.unionByName(best.select("m.*"))
+
+
 def _has_range(b: Column) -> Column:
     finite = lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) != float("inf"))
     return b.isNotNull() & finite(b["y0"]) & finite(b["y1"]) & (b["y0"] <= b["y1"])

@@ -424,3 +424,28 @@ def test_numeric_channel_meets_the_first_chunks_of_a_value(spark):
     for r in out.collect():
         got.setdefault(r.question_id, {})[r["rank"]] = r.chunk_id
     assert got["q0"] == {1: "c0001", 2: "c0003", 3: "c0005"} and got["q7"] == {1: "c0000", 2: "c0001", 3: "c0002"} and len(got) == 300
+
+
+def test_nearest_in_row_equals_all_pairs(spark):
+    """Heights of all kinds, equal centres, ties on both sides, empty bins between, null and non-finite boxes; crowded pages make no pairs."""
+    import random
+
+    from tallyproof.operators import geometry
+
+    rng = random.Random(5)
+    box = lambda y, h: (0.0, y - h / 2, 1.0, y + h / 2)
+    some = lambda n, base: [(base + i, rng.choice(["p", "q", None]), box(rng.choice([rng.randint(0, 60) / 2, rng.uniform(-300, 300)]), rng.choice([0, 0.5, 3, 40]))) for i in range(n)]
+    nan = float("nan")
+    left = some(150, 0) + [(900, "p", None), (901, "p", (0.0, nan, 1.0, 2.0)), (902, "alone", box(0, 1)), (3, "q", box(5, 1))]
+    right = some(150, 1000) + [(1900, "p", (0.0, 1.0, 1.0, nan)), (1901, "p", None)]
+    frame = lambda rows, id, b: spark.createDataFrame(rows, f"{id} int, page string, {b} struct<x0: double, y0: double, x1: double, y1: double>")
+    l, r = frame(left, "id", "lbox"), frame(right, "other", "rbox")
+    got = sorted((x.id, x.page, x.lbox.y0, x.gap, x.other) for x in geometry.nearest_in_row(l, r, ["page"], "other").collect())
+    want = []
+    for i, page, a in left:
+        met = [(abs((a[1] + a[3]) / 2 - (b[1] + b[3]) / 2), o) for o, p, b in right if a and b and p == page and p and nan not in (a[1], b[3]) and not (a[3] + 1 < b[1] or b[3] + 1 < a[1]) and a[1] == a[1] and b[3] == b[3]]
+        want += [(i, page, a[1], *min(met))] if met else []
+    assert got == sorted(want)
+    crowd = spark.range(4000).selectExpr("cast(id AS int) AS k", "'p' AS page", "struct(0D AS x0, (id % 97) / 10D AS y0, 1D AS x1, (id % 97) / 10D + 2 AS y1) AS b")
+    out = geometry.nearest_in_row(crowd.where("k % 2 = 0").withColumnsRenamed({"k": "id", "b": "lbox"}), crowd.where("k % 2 = 1").withColumnsRenamed({"k": "other", "b": "rbox"}), ["page"], "other")
+    assert _joined(out) <= 4000 and out.count() == 2000
